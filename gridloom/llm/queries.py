@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality_rules import robust_outliers
 from .tables import table
 from .token_counts import token_counts
 
@@ -29,3 +30,10 @@ def tokenizer_file(name: str) -> str:
 def op10(spark, sf_dir):
     """Tokens of every whole document by byte_bpe_50k.json; limit 512."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
+@query("op6_quality_rules")
+def op6(spark, sf_dir):
+    """Base counts and the robust outlier verdict of every whole document."""
+    out = robust_outliers(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
