@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .quality_classifier import quality
 from .quality_rules import robust_outliers
 from .tables import table
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -37,3 +39,15 @@ def op6(spark, sf_dir):
     """Base counts and the robust outlier verdict of every whole document."""
     out = robust_outliers(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    """Toxicity of every whole document; fold 0 of 5 is held out."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0)
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    """Quality of every whole document; fold 2 of 4 is held out."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2, threshold=0.7)
