@@ -57,20 +57,22 @@ class Model:
         return of
 
 
-def train_nnpu(positive: list[list[str]], unlabelled: list[list[str]], prior: float, least: int = 4, most: int = 6000, steps: int = 600, rate: float = 0.05, decay: float = 2e-5) -> Model:
+def train_nnpu(positive: list[list[str]], unlabelled: list[list[str]], prior: float, least: int = 4, most: int = 6000, steps: int = 600, rate: float = 0.05, decay: float = 2e-5, init: float = 0.5, present: float = 0.6, pure: float = 0.7) -> Model:
     """``positive`` and ``unlabelled`` are lists of feature lists (one per document).
 
     Features: those in at least ``least`` positives whose share among positives
-    is at least three times the share among the unlabelled, the strongest
-    ``most`` of them.  Where the non-negative part is below zero, the step goes
-    against it, as the estimator prescribes.
+    times the prior is at least ``pure`` of their share among the unlabelled
+    (1: only toxic documents have it), the strongest ``most`` of them.  Where the non-negative part is below zero, the step goes
+    against it, as the estimator prescribes.  Each step sees a seeded share
+    ``present`` of the occurrences, so that every word learns to carry a
+    document alone.
     """
     n_p, n_u = len(positive), len(unlabelled)
     if not n_p or not n_u or not 0 < prior < 1:
         return Model({}, -20.0)
     df_p, df_u = Counter(f for d in positive for f in set(d)), Counter(f for d in unlabelled for f in set(d))
     gain = {f: (c / n_p) / ((df_u[f] + 1) / n_u) for f, c in df_p.items() if c >= least}
-    chosen = sorted((f for f, g in gain.items() if g >= 3), key=lambda f: (-df_p[f] * np.log(gain[f]), f))[:most]
+    chosen = sorted((f for f, g in gain.items() if g * prior >= pure), key=lambda f: (-df_p[f] * np.log(gain[f]), f))[:most]
     if not chosen:
         return Model({}, -20.0)
     index = {f: k for k, f in enumerate(chosen)}
@@ -80,18 +82,20 @@ def train_nnpu(positive: list[list[str]], unlabelled: list[list[str]], prior: fl
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         return owner, np.array([k for r in rows for k in r], dtype=np.int64), len(rows)
 
-    def apply(m, w):
-        return np.bincount(m[0], weights=w[m[1]], minlength=m[2])
+    def apply(m, w, live):
+        return np.bincount(m[0], weights=w[m[1]] * live, minlength=m[2])
 
-    def back(m, g):
-        return np.bincount(m[1], weights=g[m[0]], minlength=len(chosen))
+    def back(m, g, live):
+        return np.bincount(m[1], weights=g[m[0]] * live, minlength=len(chosen))
 
     xp, xu = matrix(positive), matrix(unlabelled)
-    w, b = np.zeros(len(chosen)), -1.0
+    w, b = init * np.log([gain[f] for f in chosen]), -2.0
     m1, m2 = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    rng = np.random.default_rng(23)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
-        fp, fu = sig(apply(xp, w) + b), sig(apply(xu, w) + b)
+        live_p, live_u = rng.random(len(xp[1])) < present, rng.random(len(xu[1])) < present
+        fp, fu = sig(apply(xp, w, live_p) + b), sig(apply(xu, w, live_u) + b)
         # sigmoid loss: positive side 1 - s, negative side s
         sp, su = fp * (1 - fp), fu * (1 - fu)
         negative = fu.mean() - prior * fp.mean()
@@ -100,7 +104,7 @@ def train_nnpu(positive: list[list[str]], unlabelled: list[list[str]], prior: fl
             gp, gu = gp - prior * sp / n_p, su / n_u
         else:
             gp, gu = prior * sp / n_p, -su / n_u
-        grad = np.append(back(xp, gp) + back(xu, gu) + decay * np.sign(w), gp.sum() + gu.sum())
+        grad = np.append(back(xp, gp, live_p) + back(xu, gu, live_u) + decay * np.sign(w), gp.sum() + gu.sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
