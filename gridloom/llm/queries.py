@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .quality_classifier import quality
 from .quality_rules import robust_outliers
+from .simhash import near_duplicates
 from .tables import table
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -51,3 +52,9 @@ def op3(spark, sf_dir):
 def op9(spark, sf_dir):
     """Quality of every whole document; fold 2 of 4 is held out."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2, threshold=0.7)
+
+
+@query("op4_simhash_near_dedup")
+def op4(spark, sf_dir):
+    """SimHash of 4-word shingles; components of links of 4 bits or fewer."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4).select("doc_id", "fingerprint", "component_id")
