@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from . import chat_rotation, decontamination
 from .quality_classifier import quality
 from .quality_rules import robust_outliers
 from .simhash import near_duplicates
 from .tables import table
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .url_filters import rule_table, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -58,3 +60,33 @@ def op9(spark, sf_dir):
 def op4(spark, sf_dir):
     """SimHash of 4-word shingles; components of links of 4 bits or fewer."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4).select("doc_id", "fingerprint", "component_id")
+
+
+#: The query's rules: longest wins.
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+SQL_8 = """
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+     r(rule_host, rule_path, action) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block'))
+SELECT page_id, host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, coalesce(max_by(action, length(rule_host || rule_path)), 'allow') AS verdict
+FROM (SELECT p.*, row_number() OVER () AS k FROM p) q LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY k, page_id, host, path
+"""
+
+
+@query("op8_url_filters", SQL_8)
+def op8(spark, sf_dir):
+    """Every page's host, path, deciding rule and verdict."""
+    return url_filter(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
+@query("op2_chat_rotation", chat_rotation.SQL)
+def op2(spark, sf_dir):
+    """Every conversation from each participant's side."""
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query("op1_decontamination", decontamination.SQL)
+def op1(spark, sf_dir):
+    """Documents that hold benchmark passages, with the items."""
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

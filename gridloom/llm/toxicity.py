@@ -134,8 +134,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(["\n".join(x) for x in lists])], names=["positive", "features"])
 
     table = rows.select("text", "positive").mapInArrow(run, "positive int, features string").toArrow()
-    split = lambda flag: [x.split("\n") for x, p in zip(table.column("features").to_pylist(), table.column("positive").to_pylist()) if p == flag]
-    return train_nnpu(sorted(split(1)), sorted(split(0)), prior)
+    rows = list(zip(table.column("positive").to_pylist(), table.column("features").to_pylist()))
+    del table
+    # only features of several positives can be chosen: the driver keeps one string for each of those
+    seen = Counter()
+    for flag, x in rows:
+        if flag:
+            seen.update(x.split("\n"))
+    may = {f: f for f, c in seen.items() if c >= 4}
+    del seen
+    lists = {flag: sorted([may[f] for f in x.split("\n") if f in may] for g, x in rows if g == flag) for flag in (1, 0)}
+    return train_nnpu(lists[1], lists[0], prior, least=4)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
