@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, decontamination
+from pyspark.sql import functions as F
+
+from . import chat_rotation, decontamination, token_store, unigram
 from .quality_classifier import quality
 from .quality_rules import robust_outliers
 from .simhash import near_duplicates
-from .tables import table
+from .tables import new_folder, table
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filters import rule_table, url_filter
@@ -90,3 +92,21 @@ def op2(spark, sf_dir):
 def op1(spark, sf_dir):
     """Documents that hold benchmark passages, with the items."""
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_sentencepiece")
+def op7(spark, sf_dir):
+    """Every whole document encoded by piece_bpe_32k.model's pieces and decoded again."""
+    file = tokenizer_file("piece_bpe_32k.model")
+    coded = unigram.encode(table(spark, sf_dir, "documents"), file, keep=["doc_id", "text"])
+    back = unigram.decode(coded, file, keep=["doc_id", "n_pieces", "ids_crc32", "text"])
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), unigram.MARK, " ")
+    return back.select("doc_id", "n_pieces", "ids_crc32", F.length("decoded").cast("bigint").alias("n_chars"), same.alias("round_trip"))
+
+
+@query("op5_token_store")
+def op5(spark, sf_dir):
+    """Every whole document's ids written to a content-addressed store, read back and verified."""
+    path = new_folder(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return token_store.verify_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
