@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,3 +35,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it has ``most`` rows at most; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Names a row within one reading of a table; see ``numbered``.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row number.  It is the same each time the same files are
+    read with the same settings, so a decision on rows can be taken in one
+    reading and applied in another; ids may be null or repeated."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def without(docs: DataFrame, rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows numbered in ``rows`` (one column, ``ROW``); up to ``most`` numbers are broadcast."""
+    gone = written(rows.select(ROW).distinct(), "rows-to-go")
+    return numbered(docs).join(small(gone, most), ROW, "left_anti").drop(ROW)
