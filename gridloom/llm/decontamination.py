@@ -2,7 +2,7 @@
 
 Words of both sides are hashed; fixed masks pick some positions of a window
 and ignore the others; equal hashes of the picked words join a place in a
-document with a place in a benchmark item; around each hit the aligned words
+document with a place in a benchmark item; the words that each hit lines up
 are compared, and a stretch of up to 20 words with at most 3 substitutions is
 an overlap.  The masks leave no such stretch unhit (every choice of 3 of 20
 positions is avoided by one of them at some offset).
@@ -69,21 +69,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     item id one item; null and empty texts hold nothing.
     """
     side, n, masks = item_windows(benchmark, item_col, item_text)
-    rows = docs.select(F.col(id_col).alias("doc"), hashed(F.col(text_col).cast("string")).alias("h")).filter(F.size("h") >= min(map(len, masks)))
-    placed = rows.select("doc", "h", F.explode(F.sequence(F.lit(0), F.size("h") - min(map(len, masks)))).alias("at"))
-    keyed = placed.select("doc", "h", "at", F.explode(F.array(*[F.when(F.col("at") + len(m) <= F.size("h"), key(F.col("h"), F.col("at"), m)) for m in masks])).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("row"), hashed(F.col(text_col).cast("string")).alias("h")).filter(F.size("h") >= min(map(len, masks)))
+    placed = rows.select("doc", "row", "h", F.explode(F.sequence(F.lit(0), F.size("h") - min(map(len, masks)))).alias("at"))
+    keyed = placed.select("doc", "row", "h", "at", F.explode(F.array(*[F.when(F.col("at") + len(m) <= F.size("h"), key(F.col("h"), F.col("at"), m)) for m in masks])).alias("key"))
     hits = keyed.join(F.broadcast(side) if n <= BROADCAST_WINDOWS else side, "key")
+    # the document's words that line up with the item; what an exploded place carries stays behind here, and hits
+    # of one alignment become one row (the aggregate also keeps the comparison below out of the join)
+    begin = F.col("at") - F.col("place")
+    hits = hits.select("doc", "row", "item", begin.alias("begin"), F.slice("h", F.greatest(begin, F.lit(0)) + 1, F.size("passage")).alias("aligned"), "passage")
+    lines = hits.groupBy("doc", "row", "item", "begin").agg(F.first("aligned").alias("aligned"), F.first("passage").alias("passage"))
     window = F.least(F.lit(WINDOW), F.size("passage"))
-    # item words from `low` to `high` can share a window with the hit
-    low = F.greatest(F.col("place") + F.least(F.lit(SPAN), F.size("passage")) - window, F.lit(0))
-    high = F.least(F.col("place") + window, F.size("passage"))
-    same = F.transform(F.sequence(low, high - 1), lambda k: F.coalesce((F.get("h", F.col("at") - F.col("place") + k) == F.get("passage", k)).cast("int"), F.lit(0)))
-    hits = hits.select("doc", "item", window.alias("n_window"), F.greatest(F.col("at") - F.col("place"), F.lit(0)).alias("first"), same.alias("same"))
-    # a stretch of few equal words in all can't hold a window
+    cut = F.greatest(-F.col("begin"), F.lit(0))
+    same = F.transform("passage", lambda w, k: F.when(k >= cut, F.coalesce((F.get("aligned", k - cut) == w).cast("int"), F.lit(0))).otherwise(0))
+    lines = lines.select("doc", "item", window.alias("n_window"), F.greatest("begin", F.lit(0)).alias("first"), same.alias("same"))
     allowed = F.when(F.col("n_window") < SPAN, F.lit(0)).otherwise(F.floor(F.col("n_window") * WRONG / WINDOW))
-    total = F.aggregate("same", F.lit(0), lambda a, x: a + x)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("n_window") + 1), lambda k: F.aggregate(F.slice("same", k, F.col("n_window")), F.lit(0), lambda a, x: a + x)))
-    found = hits.filter(total >= F.col("n_window") - allowed).withColumn("matched", best).filter(F.col("matched") >= F.col("n_window") - allowed)
+    found = lines.withColumn("matched", best).filter(F.col("matched") >= F.col("n_window") - allowed)
     out = found.groupBy("doc", "item").agg(F.max("matched").cast("bigint").alias("n_matched"), F.max("n_window").cast("bigint").alias("n_window"), F.min("first").cast("bigint").alias("first_word"))
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_matched", "n_window", "first_word")
 
@@ -99,9 +100,8 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{
      iw AS (SELECT item_id, p, unnest(range(0, len(p) - {SPAN} + 1)) AS b FROM i WHERE len(p) >= {SPAN}),
      dk AS (SELECT doc_id, h, a, unnest([{", ".join(_sql_key("h", "a", m) for m in MASKS)}]) AS k FROM dw),
      ik AS (SELECT item_id, p, b, unnest([{", ".join(_sql_key("p", "b", m) for m in MASKS)}]) AS k FROM iw),
-     hit AS (SELECT DISTINCT doc_id, h, item_id, p, a, b, least({WINDOW}, len(p)) AS w FROM dk JOIN ik USING (k)),
-     al AS (SELECT *, greatest(b + {SPAN} - w, 0) AS lo, least(b + w, len(p)) AS hi FROM hit),
-     same AS (SELECT doc_id, item_id, w, greatest(a - b, 0) AS f, list_transform(range(lo, hi), lambda k: CASE WHEN a - b + k >= 0 AND h[a - b + k + 1] = p[k + 1] THEN 1 ELSE 0 END) AS e FROM al),
+     al AS (SELECT DISTINCT doc_id, h, item_id, p, a - b AS g, least({WINDOW}, len(p)) AS w FROM dk JOIN ik USING (k)),
+     same AS (SELECT doc_id, item_id, w, greatest(g, 0) AS f, list_transform(range(0, len(p)), lambda k: CASE WHEN g + k >= 0 AND h[g + k + 1] = p[k + 1] THEN 1 ELSE 0 END) AS e FROM al),
      best AS (SELECT *, list_max(list_transform(range(1, len(e) - w + 2), lambda k: list_sum(e[k:k + w - 1]))) AS m FROM same)
 SELECT doc_id, item_id, cast(max(m) AS bigint) AS n_matched, cast(max(w) AS bigint) AS n_window, cast(min(f) AS bigint) AS first_word
 FROM best WHERE m >= w - floor(w * {WRONG} / {WINDOW}) GROUP BY doc_id, item_id
