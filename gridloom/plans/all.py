@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from . import pixel_queries, stats_queries  # noqa: F401
+from . import focal_queries, pixel_queries, stats_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
