@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from . import focal_queries, pixel_queries, spatial_queries, spectral_queries, stats_queries  # noqa: F401
+from . import focal_queries, pixel_queries, spatial_queries, spectral_queries, stats_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
