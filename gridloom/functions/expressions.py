@@ -20,31 +20,58 @@ def known(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def nearest(x: Column | str, digits: int = 6) -> Column:
+    """``x`` rounded half away from zero as scaled doubles, which is how other engines round doubles."""
+    x = F.col(x) if isinstance(x, str) else x
+    p = 10.0**digits
+    return F.signum(x) * F.floor(F.abs(x) * p + 0.5) / p
+
+
 def clean(x: Column, digits: int = 6) -> Column:
     """Rounded for comparison, NaN as null, no negative zero."""
-    return F.round(F.when(F.isnan(x), None).otherwise(x), digits) + F.lit(0.0)
+    return nearest(F.when(F.isnan(x), None).otherwise(x), digits) + F.lit(0.0)
 
 
 _FUNCTIONS = {"sin": F.sin, "cos": F.cos, "tan": F.tan, "exp": F.exp, "ln": F.log, "log10": F.log10, "sqrt": F.sqrt, "abs": F.abs, "asin": F.asin, "acos": F.acos, "atan": F.atan, "pow": F.pow, "atan2": F.atan2, "pi": lambda: F.lit(3.141592653589793)}
 
 
-def _ternary(text: str) -> str:
-    """``c ? a : b`` as Python's conditional expression, inside out by brackets."""
-    depth, at = 0, None
-    for k, ch in enumerate(text):
+def _split(text: str, mark: str) -> list[str]:
+    """Parts of ``text`` between marks that stand outside brackets."""
+    parts, depth = [""], 0
+    for ch in text:
         depth += (ch == "(") - (ch == ")")
-        if ch == "?" and depth == 0:
-            at = k
-            break
-    if at is None:
-        return re.sub(r"\(([^()]*\?[^()]*)\)", lambda m: "(" + _ternary(m[1]) + ")", text)
-    depth = level = 0
-    for k in range(at + 1, len(text)):
-        ch = text[k]
+        if ch == mark and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    return parts
+
+
+def _ternary(text: str) -> str:
+    """``c ? a : b`` as Python's conditional expression, bracket by bracket."""
+    out, k = "", 0
+    while k < len(text):
+        if text[k] != "(":
+            out, k = out + text[k], k + 1
+            continue
+        end, depth = k + 1, 1
+        while depth:
+            depth += (text[end] == "(") - (text[end] == ")")
+            end += 1
+        out, k = out + "(" + ",".join(_ternary(p) for p in _split(text[k + 1 : end - 1], ",")) + ")", end
+    head, *rest = _split(out, "?")
+    if not rest:
+        return out
+    tail, open_ = "?".join(rest), 0
+    depth = 0
+    for k, ch in enumerate(tail):
         depth += (ch == "(") - (ch == ")")
-        level += (ch == "?") - (ch == ":") if depth == 0 else 0
-        if level < 0:
-            return f"(({_ternary(text[at + 1 : k])}) if ({_ternary(text[:at])}) else ({_ternary(text[k + 1 :])}))"
+        if depth == 0 and ch == "?":
+            open_ += 1
+        elif depth == 0 and ch == ":":
+            if not open_:
+                return f"(({_ternary(tail[:k])}) if ({head}) else ({_ternary(tail[k + 1 :])}))"
+            open_ -= 1
     raise ValueError("'?' without ':'")
 
 

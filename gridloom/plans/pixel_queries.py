@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expressions import band_math, clean, ratio, referenced_bands
+from ..functions.expressions import band_math, clean, nearest, ratio, referenced_bands
 from ..operators import pixel as P
 from .fixtures import ctes, load
 from .registry import query
@@ -15,7 +15,7 @@ NDVI = "CASE WHEN b2 + b1 = 0 THEN NULL ELSE (b2 - b1) / (b2 + b1) END"
 @query("ndvi_zonal_stats", f"{ctes('ms')} SELECT label, count(*) AS total_pixels, count(nd) AS area_pixels, round(avg(nd), 6) AS mean_nd, round(stddev_pop(nd), 6) AS stddev_nd FROM (SELECT label, {NDVI} AS nd FROM ms) GROUP BY label")
 def ndvi_zonal_stats(spark, d):
     nd = load(spark, d, "ms").select("label", P.spectral_index("ndvi", n="b2", r="b1").alias("nd"))
-    return nd.groupBy("label").agg(F.count(F.lit(1)).alias("total_pixels"), F.count("nd").alias("area_pixels"), F.round(F.avg("nd"), 6).alias("mean_nd"), F.round(F.stddev_pop("nd"), 6).alias("stddev_nd")).orderBy("label")
+    return nd.groupBy("label").agg(F.count(F.lit(1)).alias("total_pixels"), F.count("nd").alias("area_pixels"), nearest(F.avg("nd"), 6).alias("mean_nd"), nearest(F.stddev_pop("nd"), 6).alias("stddev_nd")).orderBy("label")
 
 
 @query("b01_band_math", f"{ctes('ms')} SELECT y, x, round(CASE WHEN b1 IS NULL OR b2 IS NULL OR b3 IS NULL THEN NULL WHEN b2 / b1 > 1 AND b3 < 6 THEN sqrt(b2) + pow(b1, 2) / 100 ELSE least(b1, b2) - b3 END, 6) AS value FROM ms")
@@ -51,7 +51,7 @@ def b06(spark, d):
 def b07(spark, d):
     mask = load(spark, d, "qa").select("y", "x", P.qa_bits(F.col("qa"), [2, 4]).alias("mask"))
     out = P.apply_mask(load(spark, d, "ms"), mask, ["b1", "b2", "b3", "b4"])
-    return out.agg(F.sum("masked").cast("bigint").alias("masked_pixels"), F.count(F.lit(1)).alias("total_pixels"), F.round(F.lit(100.0) * F.sum("masked") / F.count(F.lit(1)), 6).alias("masked_percent"), F.round(F.sum("b1"), 6).alias("sum_b1"))
+    return out.agg(F.sum("masked").cast("bigint").alias("masked_pixels"), F.count(F.lit(1)).alias("total_pixels"), nearest(F.lit(100.0) * F.sum("masked") / F.count(F.lit(1)), 6).alias("masked_percent"), nearest(F.sum("b1"), 6).alias("sum_b1"))
 
 
 @query("b08_recode", f"{ctes('grid')} SELECT y, x, CASE label WHEN 1 THEN 10 WHEN 3 THEN 30 ELSE label END AS label FROM grid")
@@ -78,12 +78,12 @@ def b12(spark, d):
     return load(spark, d, "ms").select("y", "x", clean(ratio(F.col("b2"), F.col("b3"))).alias("ratio"))
 
 
-@query("b13_ihs_round_trip", f"{ctes('ms')} SELECT y, x, round((b1 + b2 + b3) / 3.0, 6) AS intensity, round(b1, 6) AS r, round(b2, 6) AS g, round(b3, 6) AS b FROM ms")
+@query("b13_ihs_round_trip", f"{ctes('ms')} SELECT y, x, round((b1 + b2 + b3) / 3.0, 8) AS intensity, round(b1, 9) AS r, round(b2, 9) AS g, round(b3, 9) AS b FROM ms")
 def b13(spark, d):
     i, h, s = P.rgb_to_ihs(F.col("b1"), F.col("b2"), F.col("b3"))
     out = load(spark, d, "ms").select("y", "x", i.alias("i"), h.alias("h"), s.alias("s"))
     r, g, b = P.ihs_to_rgb(F.col("i"), F.col("h"), F.col("s"))
-    return out.select("y", "x", clean(F.col("i")).alias("intensity"), clean(r).alias("r"), clean(g).alias("g"), clean(b).alias("b"))
+    return out.select("y", "x", clean(F.col("i"), 8).alias("intensity"), clean(r, 9).alias("r"), clean(g, 9).alias("g"), clean(b, 9).alias("b"))
 
 
 @query("b14_palette", f"{ctes('ms')}, p(e, r, g, b) AS (VALUES (1, 10, 10, 3), (2, 30, 30, 5), (3, 40, 80, 8)) SELECT y, x, min_by(e, (b1 - r) * (b1 - r) + (b2 - g) * (b2 - g) + (b3 - b) * (b3 - b)) AS entry FROM ms, p WHERE b1 IS NOT NULL GROUP BY y, x")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clean
+from ..functions.expressions import clean, nearest
 from ..operators import spectral as S
 from .fixtures import ctes, load
 from .registry import query
@@ -46,8 +46,8 @@ def h04(spark, d):
 @query("h05_stretches", f"{ctes('grid')}, q AS (SELECT quantile_cont(value, 0.02) AS a, quantile_cont(value, 0.98) AS z, avg(value) AS m, stddev_pop(value) AS s FROM grid) SELECT y, x, round(least(greatest((value - a) / (z - a), 0.0), 1.0) * 255, 4) AS clipped, round(least(greatest((value - (m - 2 * s)) / (4 * s), 0.0), 1.0) * 255, 4) AS sigma FROM grid, q")
 def h05(spark, d):
     g = load(spark, d, "grid")
-    a = S.percent_clip(g, "value").select("y", "x", F.round("value", 4).alias("clipped"))
-    return a.join(S.stddev_stretch(g, "value").select("y", "x", F.round("value", 4).alias("sigma")), ["y", "x"])
+    a = S.percent_clip(g, "value").select("y", "x", nearest("value", 4).alias("clipped"))
+    return a.join(S.stddev_stretch(g, "value").select("y", "x", nearest("value", 4).alias("sigma")), ["y", "x"])
 
 
 @query("h05_equalize", f"{ctes('grid')}, r AS (SELECT min(value) AS lo, max(value) AS hi FROM grid), b AS (SELECT y, x, least(floor((value - lo) / (hi - lo) * 256), 255) AS b FROM grid, r), h AS (SELECT b, sum(count(*)) OVER (ORDER BY b) AS c FROM b GROUP BY b) SELECT y, x, round((c - (SELECT min(c) FROM h)) / ((SELECT max(c) FROM h) - (SELECT min(c) FROM h)) * 255, 6) AS value FROM b JOIN h USING (b)")
@@ -110,7 +110,7 @@ def h14(spark, d):
 @query("h14_pca_variance", f"{ctes('ms')}, m AS (SELECT * FROM ms WHERE b1 IS NOT NULL) SELECT round(var_pop(b1) + var_pop(b2) + var_pop(b3) + var_pop(b4), 5) AS total FROM m")
 def h14v(spark, d):
     out, _, _ = S.pca(S.with_array(full_ms(spark, d), MS), 4)
-    return out.agg(F.round(sum([F.var_pop(F.col("scores")[k]) for k in range(1, 4)], F.var_pop(F.col("scores")[0])), 5).alias("total"))
+    return out.agg(nearest(sum([F.var_pop(F.col("scores")[k]) for k in range(1, 4)], F.var_pop(F.col("scores")[0])), 5).alias("total"))
 
 
 @query("h15_mnf")
@@ -187,4 +187,4 @@ def h22(spark, d):
 
 @query("h22_rx_mean", f"{ctes('spectra')} SELECT 8.0 AS mean_score, count(*) AS n FROM spectra")
 def h22m(spark, d):
-    return S.rx(spectra(spark, d), 8).agg(F.round(F.avg("score"), 4).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+    return S.rx(spectra(spark, d), 8).agg(nearest(F.avg("score"), 4).alias("mean_score"), F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clean
+from ..functions.expressions import clean, nearest
 from ..operators import stats as S
 from .fixtures import ctes, load
 from .registry import query
@@ -160,7 +160,7 @@ def d17m(spark, d):
 @query("d18_time_aggregates", "SELECT user_id AS face, round(sum(value), 4) AS total, max(value) AS highest, min(value) AS lowest, round(avg(value), 6) AS mean FROM events GROUP BY user_id")
 def d18(spark, d):
     ev = spark.read.parquet(f"{d}/events.parquet")
-    return ev.groupBy(F.col("user_id").alias("face")).agg(F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("highest"), F.min("value").alias("lowest"), F.round(F.avg("value"), 6).alias("mean"))
+    return ev.groupBy(F.col("user_id").alias("face")).agg(nearest(F.sum("value"), 4).alias("total"), F.max("value").alias("highest"), F.min("value").alias("lowest"), nearest(F.avg("value"), 6).alias("mean"))
 
 
 @query("d19_affine_fit", f"{ctes('pts')} SELECT 5.0 AS a0, 2.0 AS a1, -1.0 AS a2, 7.0 AS b0, 0.5 AS b1, 3.0 AS b2, 0.0 AS rmse")

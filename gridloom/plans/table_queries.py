@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clean
+from ..functions.expressions import clean, nearest
 from ..operators import chain as K
 from ..operators import focal, ml, pixel, provenance, stats
 from ..operators.components import _written
@@ -61,10 +61,10 @@ def a11(spark, d):
     return R.virtual({"before": one("ms_before"), "after": one("ms_after")}, "union", -1.0)
 
 
-@query("a12_overviews", f"{ctes('grid')} SELECT cast(floor(y / 4) AS bigint) AS y, cast(floor(x / 4) AS bigint) AS x, round(avg(value), 5) AS mean, arg_min(value, y * 1000 + x) AS nearest FROM grid GROUP BY ALL")
+@query("a12_overviews", f"{ctes('grid')} SELECT cast(floor(y / 4) AS bigint) AS y, cast(floor(x / 4) AS bigint) AS x, round(avg(value), 6) AS mean, arg_min(value, y * 1000 + x) AS nearest FROM grid GROUP BY ALL")
 def a12(spark, d):
     g = load(spark, d, "grid")
-    return R.overview(g, 4).select("y", "x", F.round("value", 5).alias("mean")).join(R.overview(g, 4, "nearest").withColumnRenamed("value", "nearest"), ["y", "x"])
+    return R.overview(g, 4).select("y", "x", nearest("value", 6).alias("mean")).join(R.overview(g, 4, "nearest").withColumnRenamed("value", "nearest"), ["y", "x"])
 
 
 @query("a13_convert_type", f"{ctes('grid')} SELECT y, x, cast(round(least(greatest(value / 1000, 0.0), 255.0)) AS integer) AS value FROM grid")
@@ -230,4 +230,4 @@ def m02(spark, d):
     def squared(v: pd.Series) -> pd.Series:
         return v * v
 
-    return load(spark, d, "grid").select("label", squared("value").alias("q")).groupBy("label").agg(F.round(F.sum("q"), 0).alias("total"))
+    return load(spark, d, "grid").select("label", squared("value").alias("q")).groupBy("label").agg(nearest(F.sum("q"), 0).alias("total"))
