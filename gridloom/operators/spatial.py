@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import _written
+
 
 def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
     """Cells that a box touches, as an array of (cy, cx)."""
@@ -71,20 +73,20 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, cell: float = 10.0, limit: f
     """``(aid, bid, distance, rank)``: the k nearest points of ``b`` (ties: smaller id), within ``limit`` if it is over 0.
 
     The searched square around each point doubles until it surely holds the k
-    nearest; only points that are not settled go on.
+    nearest; only points that are not settled go on, and every round is written.
     """
     out, left, r, n = None, a, cell, b.count()
     for _ in range(most):
         got = within_radius(left, b, r if not limit else min(r, limit))
         w = Window.partitionBy("aid").orderBy("distance", "bid")
-        got = got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        got = _written(got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
         full = got.groupBy("aid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(k, n)).select(F.col("aid").alias("id"))
         last = bool(limit) and r >= limit
         done = got if last else got.join(full, F.col("aid") == F.col("id"), "left_semi")
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        left = left.join(full, "id", "left_anti")
+        left = _written(left.join(full, "id", "left_anti"))
         if left.isEmpty():
             return out
         r *= 2

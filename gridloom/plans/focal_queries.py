@@ -13,9 +13,9 @@ from .stats_queries import rounded
 
 def around(table: str, r: int, cols: str = "value", clamp: bool = True, extra: str = "") -> str:
     """CTE ``n(y, x, dy, dx, cols)`` of neighbours in DuckDB."""
-    at = "v.y = least(greatest(t.y + dy, 0), my) AND v.x = least(greatest(t.x + dx, 0), mx)" if clamp else "v.y = t.y + dy AND v.x = t.x + dx"
+    at = ("least(greatest(t.y + dy, 0), my)", "least(greatest(t.x + dx, 0), mx)") if clamp else ("t.y + dy", "t.x + dx")
     pick = ", ".join(f"v.{c}" for c in cols.split(", "))
-    return f"{ctes(table)}, e AS (SELECT max(y) AS my, max(x) AS mx FROM {table}), o AS (SELECT dy, dx FROM range({-r}, {r + 1}) a(dy), range({-r}, {r + 1}) b(dx) {extra}), n AS (SELECT t.y, t.x, dy, dx, {pick} FROM {table} t CROSS JOIN o CROSS JOIN e JOIN {table} v ON {at})"
+    return f"{ctes(table)}, e AS (SELECT max(y) AS my, max(x) AS mx FROM {table}), o AS (SELECT dy, dx FROM range({-r}, {r + 1}) a(dy), range({-r}, {r + 1}) b(dx) {extra}), nq AS MATERIALIZED (SELECT t.y, t.x, dy, dx, cast({at[0]} AS bigint) AS ty, cast({at[1]} AS bigint) AS tx FROM {table} t CROSS JOIN o CROSS JOIN e), n AS (SELECT t.y, t.x, dy, dx, {pick} FROM nq t JOIN {table} v ON v.y = t.ty AND v.x = t.tx)"
 
 
 def _kernel(k):
@@ -85,7 +85,7 @@ def e05m(spark, d):
     return rounded(O.speckle(load(spark, d, "dem"), "gamma_map", looks=4), "value")
 
 
-@query("e06_open", "WITH RECURSIVE " + around("dem", 1)[5:] + ", er AS (SELECT y, x, min(value) AS value FROM n GROUP BY y, x) SELECT t.y, t.x, max(v.value) AS value FROM er t CROSS JOIN o CROSS JOIN e JOIN er v ON v.y = least(greatest(t.y + dy, 0), my) AND v.x = least(greatest(t.x + dx, 0), mx) GROUP BY t.y, t.x")
+@query("e06_open", "WITH RECURSIVE " + around("dem", 1)[5:] + ", er AS (SELECT y, x, min(value) AS value FROM n GROUP BY y, x) SELECT nq.y, nq.x, max(v.value) AS value FROM nq JOIN er v ON v.y = nq.ty AND v.x = nq.tx GROUP BY nq.y, nq.x")
 def e06(spark, d):
     return O.morphology(load(spark, d, "dem"), "open")
 
@@ -143,7 +143,7 @@ def e13(spark, d):
     return rounded(O.proximity(load(spark, d, "dem"), "value >= 48", 4), "distance")
 
 
-@query("e14_mean_shift", around("dem", 1) + ", r1 AS (SELECT n.y, n.x, avg(n.value) AS value FROM n JOIN dem c ON c.y = n.y AND c.x = n.x WHERE abs(n.value - c.value) <= 10 GROUP BY n.y, n.x), n2 AS (SELECT t.y, t.x, v.value, t.value AS c FROM r1 t CROSS JOIN o CROSS JOIN e JOIN r1 v ON v.y = least(greatest(t.y + dy, 0), my) AND v.x = least(greatest(t.x + dx, 0), mx)) SELECT y, x, round(avg(value), 6) AS value FROM n2 WHERE abs(value - c) <= 10 GROUP BY y, x")
+@query("e14_mean_shift", around("dem", 1) + ", r1 AS (SELECT n.y, n.x, avg(n.value) AS value FROM n JOIN dem c ON c.y = n.y AND c.x = n.x WHERE abs(n.value - c.value) <= 10 GROUP BY n.y, n.x), n2 AS (SELECT nq.y, nq.x, v.value, c.value AS c FROM nq JOIN r1 v ON v.y = nq.ty AND v.x = nq.tx JOIN r1 c ON c.y = nq.y AND c.x = nq.x) SELECT y, x, round(avg(value), 6) AS value FROM n2 WHERE abs(value - c) <= 10 GROUP BY y, x")
 def e14(spark, d):
     return rounded(O.mean_shift(load(spark, d, "dem"), 1, 10.0, 2), "value")
 

@@ -218,7 +218,7 @@ def _register():
 _register()
 
 
-@query("m03_chain", f"{ctes('dem')}, e AS (SELECT max(y) AS my, max(x) AS mx FROM dem), n AS (SELECT t.y, t.x, v.value FROM dem t CROSS JOIN e CROSS JOIN range(-1, 2) a(dy) CROSS JOIN range(-1, 2) b(dx) JOIN dem v ON v.y = least(greatest(t.y + dy, 0), my) AND v.x = least(greatest(t.x + dx, 0), mx)) SELECT y, x, round(avg(value), 6) AS value, cast(avg(value) >= 25.05 AS integer) AS mask FROM n GROUP BY y, x")
+@query("m03_chain", f"{ctes('dem')}, e AS (SELECT max(y) AS my, max(x) AS mx FROM dem), q AS MATERIALIZED (SELECT t.y, t.x, cast(least(greatest(t.y + dy, 0), my) AS bigint) AS ty, cast(least(greatest(t.x + dx, 0), mx) AS bigint) AS tx FROM dem t CROSS JOIN e CROSS JOIN range(-1, 2) a(dy) CROSS JOIN range(-1, 2) b(dx)), n AS (SELECT q.y, q.x, v.value FROM q JOIN dem v ON v.y = q.ty AND v.x = q.tx) SELECT y, x, round(avg(value), 6) AS value, cast(avg(value) >= 25.05 AS integer) AS mask FROM n GROUP BY y, x")
 def m03(spark, d):
     out = K.chain({"dem": load(spark, d, "dem")}, [{"id": "smooth", "operator": "mean", "params": {"input": "$dem.output", "k": 3}}, {"id": "mask", "operator": "threshold", "params": {"input": "$smooth.output", "t": 25.05}}])
     return out["mask"].select("y", "x", clean(F.col("value")).alias("value"), "mask")
