@@ -145,6 +145,18 @@ def blocks(text: str, size: int = 1 << 20):
     yield text[start:]
 
 
+#: White space other than space and newline, to Python or to the pattern.
+ODD_SPACES = [chr(c) for c in [*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
+PAIRS = ["  ", "\n\n", " \n", "\n "]
+
+
+def plain_spaced(text: str) -> bool:
+    """Words apart by one space or one newline each, none at the ends."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any(p in text for p in PAIRS) and not any(c in text for c in ODD_SPACES)
+
+
 class Units:
     """Values of texts as lists of memoised values of their units.
 
@@ -155,7 +167,7 @@ class Units:
     values never depend on it).
     """
 
-    def __init__(self, solve, special: list[str], most: int = 600_000):
+    def __init__(self, solve, special: list[str], most: int = 450_000):
         self.solve, self.special, self.most = solve, special, most
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.spaced: dict = {}  # word -> value of " word"; "\nword" -> value of itself
@@ -163,41 +175,43 @@ class Units:
 
     def batch(self, texts: list[str]) -> list[list]:
         """For each text its units' values in order; special strings give the value None."""
-        plans, new_spaced, new_bare = [], set(), set()
         if len(self.spaced) + len(self.bare) > self.most:
             self.spaced.clear()
             self.bare.clear()
+        out, late = [], {True: [], False: []}  # late: (list of values, place, unit) to be filled in
         for text in texts:
-            plan = []
+            values: list = []
             parts = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
             for k, part in enumerate(parts):
                 if k % 2:
-                    plan.append((None, None))
+                    values.append(None)
                     continue
                 for block in blocks(part):
                     lead = block[:1] == " "
                     body = block[1:] if lead else block
-                    if body and " ".join(body.split()) == body.replace("\n", " "):
+                    if plain_spaced(body):
                         units = body.replace("\n", " \n").split(" ")
                         if not lead:
-                            plan.append((self.bare, units[:1]))
+                            self._look(False, units[:1], values, late)
                             del units[0]
-                        plan.append((self.spaced, units))
+                        self._look(True, units, values, late)
                     else:
-                        plan.append((self.bare, PRETOKENS.findall(block)))
-            for memo, units in plan:
-                if memo is self.spaced:
-                    new_spaced.update([u for u in units if u not in memo])
-                elif memo is not None:
-                    new_bare.update([u for u in units if u not in memo])
-            plans.append(plan)
-        if new_spaced:
-            new = list(new_spaced)
-            self.spaced.update(zip(new, self.solve([u if u[0] == "\n" else " " + u for u in new])))
-        if new_bare:
-            new = list(new_bare)
-            self.bare.update(zip(new, self.solve(new)))
-        return [[None if memo is None else memo[u] for memo, units in plan for u in (units if memo is not None else (0,))] for plan in plans]
+                        self._look(False, PRETOKENS.findall(block), values, late)
+            out.append(values)
+        for spaced, memo in ((True, self.spaced), (False, self.bare)):
+            new = list({u for _, _, u in late[spaced]})
+            if new:
+                memo.update(zip(new, self.solve([u if not spaced or u[0] == "\n" else " " + u for u in new])))
+                for values, at, u in late[spaced]:
+                    values[at] = memo[u]
+        return out
+
+    def _look(self, spaced: bool, units: list[str], values: list, late: dict) -> None:
+        found = list(map((self.spaced if spaced else self.bare).get, units))
+        if None in found:
+            base = len(values)
+            late[spaced] += [(values, base + k, units[k]) for k, v in enumerate(found) if v is None]
+        values += found
 
 
 def groups(texts: list, size: int = 1 << 22):
