@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import small, written
 
 #: ASCII white space between words, and the counted symbols.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -30,6 +30,8 @@ SYMBOLS = b"#*$%&|<>"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals"]
 SPAN = 8
+#: Tables of one row a group are broadcast up to this many groups (a few MB), shuffled beyond it.
+MOST_GROUPS = 20_000
 
 #: The vector's parts and the least scale each is given: a scatter smaller than
 #: this says that the group hardly varies, not that a small step is an outlier.
@@ -160,7 +162,7 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, block: int = 1500, le
     long = rows.select(level.alias("g"), "x", "salt").select("g.*", "x", "salt")
     sizes = rows.groupBy("lang", "source").count()
     sizes = sizes.select(F.explode(F.array(F.struct(F.col("lang").alias("g1"), F.col("source").alias("g2"), F.lit(2).alias("level")), F.struct(F.col("lang").alias("g1"), F.lit("").alias("g2"), F.lit(1).alias("level")), F.struct(F.lit("").alias("g1"), F.lit("").alias("g2"), F.lit(0).alias("level")))).alias("g"), "count").groupBy("g").agg(F.sum("count").alias("n")).select("g.*", "n").filter(F.col("n") >= least)
-    sizes = written(sizes, "group-sizes")
+    sizes = small(written(sizes, "group-sizes"), MOST_GROUPS)
     key = ["g1", "g2", "level"]
 
     def starting(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -172,13 +174,14 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, block: int = 1500, le
     dealt = long.join(sizes, key).withColumn("block", F.pmod(F.col("salt"), F.greatest(F.floor(F.col("n") / block), F.lit(1))))
     first = dealt.groupBy(*key, "block").applyInPandas(starting, "g1 string, g2 string, level int, n_rows long, det double, mean array<double>, cov array<double>")
     est = first.filter(F.col("n_rows") > 2 * DIM).groupBy(*key).agg(F.min_by(F.struct("mean", "cov"), F.struct("det", "mean")).alias("s")).select(*key, "s.mean", "s.cov")
-    est = written(_inverted(est, floor), "starting-estimates")
+    est = small(written(_inverted(est, floor), "starting-estimates"), MOST_GROUPS)
     for k in range(steps):
         last = k == steps - 1
         d2 = long.join(est.drop("cov"), key).withColumn("d2", _distance("mean", "inverse"))
         bins = d2.groupBy(*key, F.floor(F.log1p("d2") * 64).cast("int").alias("bin")).count()
         w = Window.partitionBy(*key).orderBy("bin")
         cut = bins.withColumn("upto", F.sum("count").over(w)).join(sizes, key).groupBy(*key).agg(F.min(F.when(F.col("upto") >= F.col("n") * share, F.col("bin"))).alias("cut"))
+        cut = small(written(cut, "cuts"), MOST_GROUPS)
         inside = d2.join(cut, key).filter(F.floor(F.log1p("d2") * 64).cast("int") <= F.col("cut"))
         y = [F.col("x")[i] - F.col("mean")[i] for i in range(DIM)]
         sums = inside.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.first("mean").alias("mean"), *[F.sum(y[i]).alias(f"s{i}") for i in range(DIM)], *[F.sum(y[i] * y[j]).alias(f"q{i}_{j}") for i in range(DIM) for j in range(i, DIM)])
@@ -186,7 +189,7 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, block: int = 1500, le
         # the last step scales the scatter of the inner share to that of a whole normal sample
         grow = F.lit(_consistency(share) if last else 1.0)
         cov = F.array(*[(F.col(f"q{min(i, j)}_{max(i, j)}") / F.col("m") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("m") * F.col("m"))) * grow + F.lit(float(floor[i, j])) for i in range(DIM) for j in range(DIM)])
-        est = written(_inverted(sums.select(*key, mean.alias("mean"), cov.alias("cov")), floor), "estimates")
+        est = small(written(_inverted(sums.select(*key, mean.alias("mean"), cov.alias("cov")), floor), "estimates"), MOST_GROUPS)
     return est.select(*key, "mean", "inverse")
 
 
@@ -217,10 +220,11 @@ def robust_outliers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = counted.select("_kept.*", *COUNTS, base.alias("base_failed"), F.array(*vector(*[F.col(c) for c in COUNTS])).alias("x"))
     salt = F.abs(F.xxhash64("x", *COUNTS, F.monotonically_increasing_id()))
     est = robust_estimates(rows.filter(~F.col("base_failed")).select("lang", "source", "x", salt.alias("salt")))
+    est = written(est, "final-estimates")
     two = est.filter("level = 2").select(F.col("g1").alias("lang"), F.col("g2").alias("source"), F.struct("mean", "inverse").alias("e2"))
     one = est.filter("level = 1").select(F.col("g1").alias("lang"), F.struct("mean", "inverse").alias("e1"))
     all_ = est.filter("level = 0").select(F.struct("mean", "inverse").alias("e0"), F.lit(0).alias("z"))
-    judged = rows.join(two, ["lang", "source"], "left").join(one, "lang", "left").withColumn("z", F.lit(0)).join(F.broadcast(all_), "z", "left").withColumn("e", F.coalesce("e2", "e1", "e0"))
+    judged = rows.join(small(two, MOST_GROUPS), ["lang", "source"], "left").join(small(one, MOST_GROUPS), "lang", "left").withColumn("z", F.lit(0)).join(F.broadcast(all_), "z", "left").withColumn("e", F.coalesce("e2", "e1", "e0"))
     # rates count upwards only
     x = F.array(F.col("x")[0], *[F.greatest(F.col("x")[i], F.col("e.mean")[i]) for i in range(1, DIM)])
     judged = judged.withColumn("x", F.coalesce(F.when(F.col("e").isNotNull(), x), F.col("x"))).withColumn("mean", F.col("e.mean")).withColumn("inverse", F.col("e.inverse"))
