@@ -8,7 +8,7 @@ from . import chat_rotation, decontamination, token_store, unigram
 from .quality_classifier import quality
 from .quality_rules import robust_outliers
 from .simhash import near_duplicates
-from .tables import new_folder, table
+from .tables import new_folder, table, text_batches
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .url_filters import rule_table, url_filter
@@ -19,7 +19,11 @@ ORACLES: dict = {}
 
 def query(name, sql=None):
     def keep(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            text_batches(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

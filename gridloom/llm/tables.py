@@ -57,3 +57,11 @@ def without(docs: DataFrame, rows: DataFrame, most: int = 1_000_000) -> DataFram
     """``docs`` without the rows numbered in ``rows`` (one column, ``ROW``); up to ``most`` numbers are broadcast."""
     gone = written(rows.select(ROW).distinct(), "rows-to-go")
     return numbered(docs).join(small(gone, most), ROW, "left_anti").drop(ROW)
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows for this session: documents are
+    long, and a worker holds a few batches of texts and ids at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)

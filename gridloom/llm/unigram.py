@@ -169,7 +169,7 @@ def viterbi(model: Model, units: list[bytes]) -> list[bytes]:
     while k < len(order):
         j = k + 1
         longest = max(len(units[order[k]]) * 5 // 4, 12)
-        while j < len(order) and j - k < 40_000 and len(units[order[j]]) <= longest:
+        while j < len(order) and j - k < 10_000 and len(units[order[j]]) <= longest:
             j += 1
         part = order[k:j]
         for i, ids in zip(part, _viterbi([units[i] for i in part], model)):
@@ -242,7 +242,7 @@ def _viterbi(units: list[bytes], model: Model) -> list[bytes]:
 class Encoder:
     """Ids of texts by a bounded memo of units; a full memo starts again."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most, self.memo = model, most, {}
 
     def units(self, text: str) -> list[str]:
