@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from . import chat_rotation, decontamination, token_store, unigram
 from .quality_classifier import quality
 from .quality_rules import robust_outliers
@@ -102,10 +100,8 @@ def op1(spark, sf_dir):
 def op7(spark, sf_dir):
     """Every whole document encoded by piece_bpe_32k.model's pieces and decoded again."""
     file = tokenizer_file("piece_bpe_32k.model")
-    coded = unigram.encode(table(spark, sf_dir, "documents"), file, keep=["doc_id", "text"])
-    back = unigram.decode(coded, file, keep=["doc_id", "n_pieces", "ids_crc32", "text"])
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), unigram.MARK, " ")
-    return back.select("doc_id", "n_pieces", "ids_crc32", F.length("decoded").cast("bigint").alias("n_chars"), same.alias("round_trip"))
+    coded = unigram.encode(table(spark, sf_dir, "documents"), file, keep=["doc_id"], decoded=True)
+    return coded.select("doc_id", "n_pieces", "ids_crc32", "n_chars", "round_trip")
 
 
 @query("op5_token_store")

@@ -289,9 +289,13 @@ def _chunks(array: pa.Array, size: int = 1 << 22):
         at += len(held)
 
 
-def encode(df: DataFrame, model_file: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, model_file: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
     """Kept columns and ``ids array<int>, n_pieces bigint, ids_crc32 bigint`` of every whole text.
 
+    With ``decoded`` the ids are decoded again in the same task:
+    ``n_chars bigint`` of the decoded text, and ``round_trip``, whether it is
+    the text (marks as spaces).
+
     ``ids_crc32`` is the unsigned crc32 of the ids as little-endian 32-bit
     integers.  A null text is an empty one (no ids); repeated rows are kept; a
     mark in a text reads as a space; an empty table gives an empty result.
@@ -301,16 +305,21 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", keep: list[st
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("kept"))
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder, table = Encoder(shared.value), _table(shared.value)
         for batch in batches:
             for at, held in _chunks(batch.column(0)):
                 raw = encoder.batch(held)
                 n = np.array([len(r) // 4 for r in raw], dtype=np.int64)
                 ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(held)), ids, pa.array(n), pa.array([zlib.crc32(r) for r in raw], pa.int64())], names=["kept", "ids", "n_pieces", "ids_crc32"])
-
-    out = rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, ids array<int>, n_pieces bigint, ids_crc32 bigint")
-    return out.select(*[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)], "ids", "n_pieces", "ids_crc32")
+                cols = [batch.column(1).slice(at, len(held)), ids, pa.array(n), pa.array([zlib.crc32(r) for r in raw], pa.int64())]
+                if decoded:
+                    back = [decode_ids(shared.value, table, np.frombuffer(r, dtype="<i4").tolist()) for r in raw]
+                    cols += [pa.array([len(b) for b in back], pa.int64()), pa.array([b == t.replace(MARK, " ") for b, t in zip(back, held)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, names=["kept", "ids", "n_pieces", "ids_crc32", "n_chars", "round_trip"][: len(cols)])
+
+    extra = ["n_chars", "round_trip"] if decoded else []
+    out = rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, ids array<int>, n_pieces bigint, ids_crc32 bigint" + (", n_chars bigint, round_trip boolean" if decoded else ""))
+    return out.select(*[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)], "ids", "n_pieces", "ids_crc32", *extra)
 
 
 def decode(df: DataFrame, model_file: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
