@@ -1,0 +1,156 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filtered self-join.
+
+Two sets of ``n`` shingles at similarity 0.8 or more share one among their first
+``n - ceil(0.8 n) + 1`` in any order that is common to all sets.  Rare shingles
+come first, so that few sets meet; frequencies are estimated on a sample, which
+changes the work and never the result.  Sets that meet are compared in full.
+
+A large group of near copies meets on each of its shingles.  Sets are therefore
+first compared with one centre a shingle; those linked already are not compared
+with each other again, as only components are asked for.  What still meets
+across components is compared pair by pair at the end, all of it.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import components
+from .tables import small, written
+
+#: Similarity is NUM / DEN or more; whole numbers, so that the bound is exact.
+NUM, DEN = 4, 5
+#: Sets whose shingles are counted for the order, and shingles that are kept as frequent.
+SAMPLE, FREQUENT = 16_384, 65_536
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Distinct XXH64 (seed 42) of the text's shingles, ascending; words as in `simhash.fingerprint`, short texts one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)[: max(1, len(words) - size + 1)].tolist()
+    ends = ends[size - 1 :].tolist() or [len(joined)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(starts)).view(np.int64))
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(id, key, n, shingles)`` per row; ``key`` names the set."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100)
+                sets = [shingles(t.as_py(), size) for t in part.column(1)]
+                offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(np.diff(offsets).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))],
+                    names=["id", "key", "n", "shingles"],
+                )
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, key binary, n int, shingles array<bigint>")
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that a sample of the sets shares most, and their counts there; bounded in rows."""
+    step = max(1, sets.count() // SAMPLE)
+    seen = sets.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select(F.explode("shingles").alias("token")).groupBy("token").count().filter("count > 1")
+    got = seen.orderBy(F.desc("count"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    return got["token"].to_numpy(np.int64), got["count"].to_numpy(np.int64)
+
+
+def prefixes(sets: DataFrame, tokens: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """``(token, id, n)``: the shingles of each set that a partner must share one of."""
+
+    def run(batches):
+        for batch in batches:
+            n = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            value = batch.column(2).flatten().to_numpy()
+            owner = np.repeat(np.arange(len(n)), n)
+            often = np.zeros(len(value), dtype=np.int64)
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, value), len(tokens) - 1)
+                often = np.where(tokens[at] == value, counts[at], 0)
+            order = np.lexsort((value, often, owner))
+            rank = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)
+            take = rank < np.repeat(n - (NUM * n + DEN - 1) // DEN + 1, n)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(value[order][take]), pa.array(ids[owner[take]]), pa.array(n[owner[take]].astype(np.int32))], names=["token", "id", "n"])
+
+    return sets.select("id", "n", "shingles").mapInArrow(run, "token bigint, id bigint, n int")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose sets are at the similarity or above; written."""
+    pairs = written(pairs.distinct(), "pairs")
+    ids = written(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct(), "pair-ids")
+    used = sets.join(small(ids, 1_000_000), "id", "left_semi")
+    side = lambda k: used.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("shingles").alias(f"s{k}"))
+    both = F.size(F.array_intersect("su", "sv"))
+    found = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
+    return written(found.filter((NUM + DEN) * both >= NUM * (F.col("nu") + F.col("nv"))).select("u", "v"), "alike")
+
+
+def _fit(a: str, b: str) -> F.Column:
+    """Sizes that leave the similarity possible."""
+    return (DEN * F.col(a) >= NUM * F.col(b)) & (DEN * F.col(b) >= NUM * F.col(a))
+
+
+def set_links(sets: DataFrame, entries: DataFrame, rounds: int = 5) -> DataFrame:
+    """``(node, root)`` of the sets that reach another one; ``entries`` are their `prefixes`."""
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+    e = written(entries.join(small(written(shared, "shared-tokens"), 1_000_000), "token").withColumn("comp", F.col("id")), "entries")
+    edges = None
+    roots = components.labels(e.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0))
+    for turn in range(rounds + 1):
+        groups = e.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        met = groups.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+        met = written(met, "met")
+        cross = met.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+        if not cross["rows"]:
+            break
+        e = written(e.join(small(met.select("token"), 1_000_000), "token"), "entries")
+        last = turn == rounds or cross["pairs"] <= 4 * cross["rows"]
+        if last:
+            g = e.groupBy("token", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+            a, b = (g.select("token", F.col("comp").alias(f"c{k}"), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k in "uv")
+            groups = a.join(b, "token").filter((F.col("cu") < F.col("cv")) & (DEN * F.col("hiu") >= NUM * F.col("lov")) & (DEN * F.col("hiv") >= NUM * F.col("lou"))).select("token", "cu", "cv")
+            u, v = (e.select("token", F.col("comp").alias(f"c{k}"), F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "uv")
+            pairs = groups.join(u, ["token", "cu"]).join(v, ["token", "cv"])
+        else:
+            centre = e.groupBy("token").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64("id", F.lit(turn))).alias("c"))
+            pairs = e.join(centre, "token").filter(F.col("comp") != F.col("c.comp")).select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("c.id").alias("v"), F.col("c.n").alias("nv"))
+        pairs = pairs.filter(_fit("nu", "nv")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        new = alike(pairs, sets)
+        edges = new if edges is None else edges.union(new)
+        roots = components.labels(edges)
+        if last:
+            break
+        e = written(e.drop("comp").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "entries")
+    return roots
+
+
+def similar(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5) -> DataFrame:
+    """``(id_col, component_id)`` per row: the smallest id that it reaches over texts
+    at Jaccard similarity 0.8 or more of their shingle sets.
+
+    Ids are bigint, distinct and not null (`tables.numbered`).  Texts without
+    words are copies of each other.
+    """
+    sets = written(shingle_sets(df, id_col, text_col, size), "shingle-sets")
+    least = written(sets.groupBy("key").agg(F.min("id").alias("least")), "distinct-sets")
+    named = written(sets.select("id", "key").join(least, "key").select("id", "least"), "set-names")
+    copies = small(written(named.filter("id <> least").select("id"), "copies"), 1_000_000)
+    distinct = sets.join(copies, "id", "left_anti")
+    tokens, counts = frequent(distinct)
+    entries = written(prefixes(distinct, tokens, counts), "prefixes")
+    roots = set_links(sets, entries).withColumnRenamed("node", "least")
+    return named.join(roots, "least", "left").select(F.col("id").alias(id_col), F.coalesce("root", "least").alias("component_id"))

@@ -1,0 +1,77 @@
+import random
+
+import corpus_pipeline
+from gridloom.llm.shingle_join import similar
+from gridloom.llm.simhash import fingerprint
+
+D = "/root/testdata/sf0.001"
+
+
+def sets_of(text, size=5):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def brute(items, size=5):
+    """(id, text) -> id -> smallest id reached over pairs at exact Jaccard 0.8 or more."""
+    sets = [(i, sets_of(t, size)) for i, t in items]
+    root = {i: i for i, _ in items}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if (not a and not b) or 9 * len(a & b) >= 4 * (len(a) + len(b)) > 0:
+                u, v = sorted((find(i), find(j)))
+                root[v] = u
+    return {i: find(i) for i, _ in items}
+
+
+def edited():
+    """Texts in bands of similarity around 0.8, short and long, and a large group of near copies."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([5, 8, 12, 60, 200]))]
+        for n in (0, 1, 2, 3, 4):
+            w = list(base)
+            for p in rng.sample(range(len(w)), min(n, len(w))):
+                w[p] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    base = [f"hot{k}" for k in range(120)]
+    for k in range(150):
+        w = list(base)
+        for p in rng.sample(range(120), k % 4):
+            w[p] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += ["", None, " ", "one two", "One  TWO"]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_every_pair_at_the_similarity(spark):
+    items = edited()
+    got = similar(spark.createDataFrame(items, "id long, text string"), "id").collect()
+    assert {r.id: r.component_id for r in got} == brute(items) and len(got) == len(items)
+
+
+def test_given_documents(spark):
+    items = [(r.doc_id, r.text) for r in spark.read.parquet(f"{D}/documents.parquet").collect()]
+    got = similar(spark.createDataFrame(items, "id long, text string"), "id").collect()
+    assert {r.id: r.component_id for r in got} == brute(items)
+
+
+def test_stage_links_what_fingerprints_miss(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(20):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        copy = [*w[:50], "new", *w[51:150], "other", *w[151:]]  # 186 of 206 shingles
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(copy))]
+    far = sum(bin(fingerprint(a[1], 5) ^ fingerprint(b[1], 5)).count("1") > 4 for a, b in zip(rows[::2], rows[1::2]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, D).collect())
+    assert far and kept == list(range(0, 40, 2))
