@@ -14,7 +14,8 @@ from .stats_queries import rounded
 MS = ["b1", "b2", "b3", "b4"]
 
 
-def spectra(spark, d, n=8, plus=0.0):
+def spectra(spark, d, n=64, plus=0.0):
+    """The first ``n`` of 64 bands; all of them unless the query's SQL states fewer or it estimates a covariance a class."""
     s = load(spark, d, "spectra")
     return s.select("y", "x", "label", F.transform(F.slice("spectrum", 1, n), lambda v: v + plus).alias("spectrum"))
 
@@ -119,13 +120,13 @@ def h15(spark, d):
     return out.select("y", "x", *[clean(F.col("scores")[k], 5).alias(f"c{k + 1}") for k in range(2)])
 
 
-def _refs(spark, d, n=8, plus=0.0):
+def _refs(spark, d, n=64, plus=0.0):
     """Mean spectrum per class: one aggregate, a row a class."""
     s = spectra(spark, d, n, plus)
     return s.groupBy("label").agg(*[F.avg(F.col("spectrum")[k]).alias(f"m{k}") for k in range(n)])
 
 
-def _ref_list(spark, d, n=8, plus=0.0):
+def _ref_list(spark, d, n=64, plus=0.0):
     return [(r["label"], [r[f"m{k}"] for k in range(n)]) for r in _refs(spark, d, n, plus).orderBy("label").collect()]
 
 
@@ -134,19 +135,19 @@ _SP = f"{ctes('spectra')}, s AS (SELECT y, x, label, spectrum[1:8] AS v FROM spe
 
 @query("h16_sam", _SP + ", a AS (SELECT y, x, class, acos(least(greatest(list_dot_product(v, m) / sqrt(list_dot_product(v, v) * list_dot_product(m, m)), -1.0), 1.0)) AS angle FROM s, r) SELECT y, x, arg_min(class, angle) AS class, round(min(angle), 6) AS angle FROM a GROUP BY y, x")
 def h16(spark, d):
-    return rounded(S.classify_sam(spectra(spark, d), _ref_list(spark, d)), "angle").select("y", "x", "class", "angle")
+    return rounded(S.classify_sam(spectra(spark, d, 8), _ref_list(spark, d, 8)), "angle").select("y", "x", "class", "angle")
 
 
 @query("h17_sid", _SP + ", p AS (SELECT y, x, list_transform(v, lambda q: q + 1.0) AS v FROM s), b AS (SELECT list_transform(m, lambda q: q + 1.0) AS m FROM r WHERE class = 0), u AS (SELECT y, x, list_transform(v, lambda q: q / list_sum(v)) AS a, list_transform(m, lambda q: q / list_sum(m)) AS b FROM p, b) SELECT y, x, round(list_sum(list_transform(range(1, 9), lambda k: (a[k] - b[k]) * (ln(a[k]) - ln(b[k])))), 6) AS sid FROM u")
 def h17(spark, d):
-    ref = [v + 1.0 for v in dict(_ref_list(spark, d))[0]]
-    return spectra(spark, d, plus=1.0).select("y", "x", clean(S.sid(F.col("spectrum"), S.array(ref))).alias("sid"))
+    ref = [v + 1.0 for v in dict(_ref_list(spark, d, 8))[0]]
+    return spectra(spark, d, 8, plus=1.0).select("y", "x", clean(S.sid(F.col("spectrum"), S.array(ref))).alias("sid"))
 
 
 @query("c11_library_match", _SP + ", a AS (SELECT y, x, class, acos(least(greatest(list_dot_product(v, m) / sqrt(list_dot_product(v, v) * list_dot_product(m, m)), -1.0), 1.0)) AS angle FROM s, r), k AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY angle, class) AS rank FROM a) SELECT y, x, class AS name, round(angle, 6) AS angle, cast(rank AS integer) AS rank FROM k WHERE rank <= 3")
 def c11(spark, d):
-    lib = _refs(spark, d).select(F.col("label").alias("name"), F.array(*[F.col(f"m{k}") for k in range(8)]).alias("reference"))
-    return rounded(S.match(spectra(spark, d), lib, ["y", "x"], 3), "angle").select("y", "x", "name", "angle", "rank")
+    lib = _refs(spark, d, 8).select(F.col("label").alias("name"), F.array(*[F.col(f"m{k}") for k in range(8)]).alias("reference"))
+    return rounded(S.match(spectra(spark, d, 8), lib, ["y", "x"], 3), "angle").select("y", "x", "name", "angle", "rank")
 
 
 @query("h18_continuum")
@@ -177,14 +178,14 @@ def h20(spark, d):
 
 @query("h21_endmembers")
 def h21(spark, d):
-    return S.endmembers(spectra(spark, d), 8, 5, 100)
+    return S.endmembers(spectra(spark, d), 64, 5, 100)
 
 
 @query("h22_rx_anomaly")
 def h22(spark, d):
-    return rounded(S.rx(spectra(spark, d), 8), "score", digits=5).select("y", "x", "score")
+    return rounded(S.rx(spectra(spark, d), 64), "score", digits=5).select("y", "x", "score")
 
 
 @query("h22_rx_mean", f"{ctes('spectra')} SELECT 8.0 AS mean_score, count(*) AS n FROM spectra")
 def h22m(spark, d):
-    return S.rx(spectra(spark, d), 8).agg(nearest(F.avg("score"), 4).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+    return S.rx(spectra(spark, d, 8), 8).agg(nearest(F.avg("score"), 4).alias("mean_score"), F.count(F.lit(1)).alias("n"))

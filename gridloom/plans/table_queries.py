@@ -99,7 +99,7 @@ def i01(spark, d):
 
 def _fitted(spark, d, kind):
     s = ml.featured(spectra(spark, d)).withColumn("label", F.col("label").cast("double"))
-    model = ml.classifier(kind, 8, 10).fit(s)
+    model = ml.classifier(kind, 64, 10).fit(s)
     return model.transform(s).select("y", "x", F.col("prediction").cast("int").alias("class"))
 
 
@@ -110,7 +110,7 @@ def i02(spark, d):
 
 @query("i03_normal_bayes")
 def i03(spark, d):
-    s = spectra(spark, d)
+    s = spectra(spark, d, 8)
     return rounded(ml.normal_bayes(s, 8)(s), "probability").select("y", "x", "class", "probability")
 
 
@@ -145,7 +145,7 @@ def i09(spark, d):
 
 @query("i09_cross_validation")
 def i09c(spark, d):
-    s = spectra(spark, d).withColumn("id", F.col("y") * 25 + F.col("x"))
+    s = spectra(spark, d, 8).withColumn("id", F.col("y") * 25 + F.col("x"))
     return rounded(ml.cross_validate(s, "id", 8, 3), "accuracy")
 
 
