@@ -9,13 +9,27 @@ is a single block.  DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import small, written
+
 #: A block with more messages than this (many rows of one turn number) is split into parts.
 CROWDED = 1024
 
 
+def runs(rows: DataFrame) -> DataFrame:
+    """``rows`` of crowded blocks with ``part``: runs of ``CROWDED`` consecutive messages
+    by turn, role, text.  A sort of all rows by ranges, then a block's counts per range."""
+    by = ["conv", "block", "turn", "role", "say", "at"]  # the last deals equal messages over ranges
+    ranged = written(rows.orderBy(*by).select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("k")), "crowded")
+    counts = ranged.groupBy("conv", "block", "range").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("conv", "block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written(counts.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.col("range").alias("r"), "first", F.coalesce(before, F.lit(0)).alias("before")), "crowded-starts")
+    placed = ranged.join(small(starts, 1_000_000), F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")) & (F.col("range") == F.col("r")))
+    return placed.withColumn("part", F.floor((F.col("before") + F.col("k") - F.col("first")) / CROWDED).cast("bigint"))
+
+
 def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", turns: int = 64, instructions: tuple[str, ...] = ("system",)) -> DataFrame:
     """Rows ``(conv_id, speaker, block, part, n_messages, n_target, text, masks)``.
 
@@ -29,16 +43,20 @@ def rotate(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     Order within a block: turn, role, text.  A null role reads ``unknown``, a
     null text is empty, a null turn comes first (as turn -1); null conversation
     ids are one conversation; repeated rows are repeated messages.  A block of
-    over 1,024 messages (only repeated turn numbers make one) is dealt into
-    parts, each in that order.
+    over 1,024 messages (only repeated turn numbers make one) is cut into runs of
+    1,024 messages in that order: its parts in a row are the whole block.
     """
     turn = F.coalesce(F.col(turn_col).cast("bigint"), F.lit(-1))
     rows = df.select(F.col(conv_col).alias("conv"), turn.alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("say"), F.monotonically_increasing_id().alias("at"))
     rows = rows.withColumn("block", F.floor(F.col("turn") / turns).cast("bigint"))
-    crowded = rows.groupBy("conv", "block").count().filter(F.col("count") > CROWDED).select(F.col("conv").alias("c"), F.col("block").alias("b"), F.ceil(F.col("count") / CROWDED).alias("parts"))
-    rows = rows.join(crowded, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left")
-    rows = rows.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("at"), F.col("parts"))).cast("bigint"))
-    blocks = rows.groupBy("conv", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "say"))).alias("messages"))
+    crowded = rows.groupBy("conv", "block").count().filter(F.col("count") > CROWDED).select(F.col("conv").alias("c"), F.col("block").alias("b"))
+    crowded = written(crowded, "crowded-blocks")
+    hot = F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
+    kept = ["conv", "block", "part", "turn", "role", "say"]
+    placed = rows.join(small(crowded, 1_000_000), hot, "left_anti").withColumn("part", F.lit(0).cast("bigint")).select(kept)
+    if not crowded.isEmpty():
+        placed = placed.union(runs(rows.join(small(crowded, 1_000_000), hot, "left_semi")).select(kept))
+    blocks = placed.groupBy("conv", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "say"))).alias("messages"))
     speakers = rows.filter(~F.col("role").isin(*instructions)).select(F.col("conv").alias("c2"), F.col("role").alias("speaker")).distinct()
     each = blocks.join(speakers, F.col("conv").eqNullSafe(F.col("c2")))
 

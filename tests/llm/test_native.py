@@ -66,6 +66,30 @@ def test_rotation_crowded(spark):
     assert sum(r.n_messages for r in got) == 3001 and max(r.n_messages for r in got) < 1500
 
 
+def test_rotation_crowded_keeps_the_order(spark):
+    """Parts in a row are the whole block in its stated order: what the SQL gives as one text."""
+    import duckdb
+
+    from gridloom.llm.chat_rotation import SQL
+
+    rng = random.Random(6)
+    rows = [(1, rng.choice([None, 0, 1, 2]), rng.choice(["ann", "bob", None, "system"]), f"m{rng.randrange(2000)}") for _ in range(6000)]
+    rows += [(None, None, "ann", f"n{k}") for k in range(2500)] + [(2, 0, "bob", "y"), (2, 1, "ann", None)]
+    got = {}
+    for r in rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect():
+        assert r.n_messages <= 1024 and [r.text[int(a) : int(b)] for a, b in (s.split("-") for s in r.masks.split(",") if s)] == [m for m in [x + "<|im_end|>\n" for x in r.text.split("<|im_end|>\n")[:-1]] for head in [m.split("\n", 1)] if head[0] == "<|im_start|>assistant" for m in [head[1]]]
+        got.setdefault((r.conv_id, r.speaker, r.block), []).append((r.part, r.text, r.n_messages, r.n_target))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn INT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = {(c, s, b): (t, n, k) for c, s, b, _, n, k, t, _ in con.execute(SQL).fetchall()}
+    assert set(got) == set(want)
+    for key, parts in got.items():
+        parts.sort()
+        assert [p[0] for p in parts] == list(range(len(parts)))
+        assert ("".join(p[1] for p in parts), sum(p[2] for p in parts), sum(p[3] for p in parts)) == want[key]
+
+
 def test_url_rules(spark):
     rules = rule_table(spark, [("com/a", "block"), ("x.com/a", "allow"), ("x.com", "block"), ("com", "allow"), ("x.com/a", "block")])
     urls = [(1, "http://Y.x.COM/ab?q"), (1, "http://Y.x.COM/ab?q"), (2, None), (3, "no url"), (None, "ftp://com#z"), (4, "a://b://c/d"), (5, "://x.com"), (6, "http://notx.com/a"), (7, "http://" + "a." * 3000 + "x.com/" + "p" * 5000)]
