@@ -5,7 +5,8 @@ and ignore the others; equal hashes of the picked words join a place in a
 document with a place in a benchmark item; the words that each hit lines up
 are compared, and a stretch of up to 20 words with at most 3 substitutions is
 an overlap.  The masks leave no such stretch unhit (every choice of 3 of 20
-positions is avoided by one of them at some offset).
+positions is avoided by one of them at some offset); items of 11, 12 and 14
+words have too few offsets for that and get one shorter mask more.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .tables import written
 #: 1 is a position that counts.  Span 11, weight 6.
 MASKS = ["11001000111", "11000101011", "11001100011"]
 SPAN, WINDOW, WRONG = 11, 20, 3
+#: Item lengths at which ``MASKS`` leave some stretch unhit, and the mask that closes them.
+TIGHT, TIGHT_MASK = (11, 12, 14), "111111"
 #: A benchmark with up to this many windows is broadcast; a larger one is shuffled.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -43,14 +46,19 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     """``(key, item, place, passage)`` rows of all items, their number, and the masks in use.
 
     Items shorter than the span are one window of all their words; each such
-    length adds a mask of that many ones.
+    length adds a mask of that many ones.  Items of a ``TIGHT`` length are keyed
+    by ``TIGHT_MASK`` as well.
     """
     items = benchmark.select(F.col(item_col).alias("item"), hashed(F.col(text_col).cast("string")).alias("passage")).filter(F.size("passage") > 0)
-    short = [r[0] for r in items.filter(F.size("passage") < SPAN).select(F.size("passage")).distinct().collect()]  # at most SPAN - 1 numbers
-    masks = MASKS + ["1" * n for n in sorted(short)]
+    size = F.size("passage")
+    lengths = [r[0] for r in items.filter((size < SPAN) | size.isin(*TIGHT)).select(size).distinct().collect()]  # a few numbers
+    only = {"1" * n: [n] for n in sorted(lengths) if n < SPAN}  # masks for items of some lengths
+    if tight := [n for n in lengths if n in TIGHT]:
+        only[TIGHT_MASK] = only.get(TIGHT_MASK, []) + tight
+    masks = MASKS + list(only)
     sides = []
     for m in masks:
-        fit = items.filter(F.size("passage") >= SPAN) if len(m) == SPAN else items.filter(F.size("passage") == len(m))
+        fit = items.filter(size.isin(*only[m])) if m in only else items.filter(size >= SPAN)
         placed = fit.select("item", "passage", F.explode(F.sequence(F.lit(0), F.size("passage") - len(m))).alias("place"))
         sides.append(placed.select(key(F.col("passage"), F.col("place"), m).alias("key"), "item", "place", "passage"))
     all_ = written(reduce(DataFrame.unionByName, sides).distinct(), "benchmark-windows")

@@ -46,6 +46,25 @@ def test_substitutions(spark):
     assert got == {(k, 7) for k in want} | {(101, 8), (None, 7)}
 
 
+def test_short_items_lose_no_alignment(spark):
+    """Items of 11 to 20 words with every allowed choice of substitutions, against what alignment by hand says."""
+    from itertools import combinations
+
+    docs, bench, want = [], [], set()
+    for size in range(11, 21):
+        item = [f"s{size}w{k}" for k in range(size)]
+        bench.append((size, " ".join(item)))
+        allowed = size * 3 // 20
+        for wrong in (allowed, allowed + 1):
+            for miss in list(combinations(range(size), wrong))[:: 1 if wrong == allowed and size < 20 else 7]:
+                words = ["zz" if k in miss else w for k, w in enumerate(item)]
+                docs.append((len(docs), " ".join(["pre", *words, "post"])))
+                if wrong == allowed:
+                    want.add((len(docs) - 1, size))
+    got = {(r.doc_id, r.item_id) for r in overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_decontamination_empty(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert overlaps(docs.limit(0), bench).count() == 0 and overlaps(docs, bench.limit(0)).count() == 0 and overlaps(docs, bench).count() == 1
