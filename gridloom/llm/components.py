@@ -20,7 +20,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def labels(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """``edges(u, v)`` of bigint, no nulls -> ``(node, root)``: each node that has
+    """``edges(u, v)`` of one orderable type, no nulls -> ``(node, root)``: each node that has
     an edge to another, and the smallest node that it reaches."""
     e = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(e)

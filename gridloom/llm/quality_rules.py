@@ -4,12 +4,18 @@ Statistics of every document are vectors; per (language, source) the
 minimum-covariance-determinant (MCD) location and scatter are estimated and
 documents beyond a chi-square radius are rejected.
 
-How it runs: one narrow pass gives the counts, written once.  Starting
-estimates come from disjoint blocks of a group (group rows dealt by hash into
-blocks of about ``block`` rows), so a group with a third of all rows is many
-tasks; the block estimate with the least determinant per group starts
-concentration steps over the *whole* group, each a histogram of distances and
-a sum of products with map-side combine.  No group meets in one task.
+How it runs: one narrow pass gives the counts, written once.  Starts are
+deterministic and see every row: medians and quartile widths from histograms,
+then three shapes around them (none, spatial signs, squashed scores).
+Concentration steps follow over the whole group.  One step is one aggregation:
+rows fall into bins of their distance, each bin holds counts, sums and
+products, and a unit's bins (some hundreds of rows, whatever its size) tell the
+inner share's mean and scatter, the last bin in part.  After two steps the
+start of least determinant goes on alone until the determinant rests.  Sums
+combine in the tasks, so a group with a third of all rows is no hot key.
+
+The scatter is regularised: a fixed diagonal (``TARGET``) is added, as most
+rates are 0 in most texts and the plain determinant would be 0 as well.
 """
 
 from __future__ import annotations
@@ -19,10 +25,10 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small, written
+from .tables import small, texts_of, with_text, written
 
 #: ASCII white space between words, and the counted symbols.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -33,10 +39,16 @@ SPAN = 8
 #: Tables of one row a group are broadcast up to this many groups (a few MB), shuffled beyond it.
 MOST_GROUPS = 20_000
 
-#: The vector's parts and the least scale each is given: a scatter smaller than
-#: this says that the group hardly varies, not that a small step is an outlier.
-FLOORS = {"word_length": 0.12, "symbols": 0.055, "dup_lines": 0.12, "repeats": 0.08, "capitals": 0.08}
-DIM = len(FLOORS)
+#: The vector's parts and the root of what is added to each one's variance: a
+#: scatter below it says that the group hardly varies, not that a small step is an outlier.
+TARGET = {"word_length": 0.12, "symbols": 0.055, "dup_lines": 0.12, "repeats": 0.08, "capitals": 0.08}
+DIM = len(TARGET)
+RIDGE = np.diag([v * v for v in TARGET.values()])
+PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+#: A unit is what shares an estimate: a (language, source), or what pooled small ones.
+UNIT = ["g1", "g2", "level"]
+EDGES = 64  # bins of distance per factor e
+CELLS = 512  # bins of a statistic per unit
 
 
 def repeated(words: list[bytes], span: int = SPAN) -> int:
@@ -71,14 +83,13 @@ def counts_of(text: str | None) -> tuple[int, ...]:
 
 
 def count_table(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns and the counts of each whole text; a null text has none of anything."""
-    keep = df.columns if keep is None else keep
-    rows = df.select(F.col(text_col).cast("string").alias("_text"), F.struct(*[F.col(c) for c in keep]).alias("_kept"))
+    """``_kept`` (a struct of columns ``keep``) and the counts of each whole text; a null text has none of anything."""
+    rows, path = with_text(df, text_col, df.columns if keep is None else keep)
 
     def run(batches):
         for batch in batches:
-            got = np.array([counts_of(t.as_py()) for t in batch.column(0)], dtype=np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(got[:, k]) for k in range(len(COUNTS))]], names=["_kept", *COUNTS])
+            got = np.array([counts_of(t.as_py()) for t in texts_of(batch, path)], dtype=np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([batch.column("_kept"), *[pa.array(got[:, k]) for k in range(len(COUNTS))]], names=["_kept", *COUNTS])
 
     return rows.mapInArrow(run, f"_kept {rows.schema['_kept'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
@@ -89,35 +100,6 @@ def vector(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capita
     return [F.log1p(word_chars / n), F.log1p(n_symbols / n), F.log1p(n_dup_lines / F.sqrt(n)), F.log1p(n_repeat_words / n), F.log1p(n_capitals / F.greatest(word_chars, F.lit(1)))]
 
 
-def mcd_block(x: np.ndarray, floor: np.ndarray, share: float, starts: int = 8, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """FastMCD on one block: seeded starts, two steps each, the best to convergence."""
-    n, p = x.shape
-    h = min(n, max(int(np.ceil(share * n)), p + 1))
-    rng = np.random.default_rng(seed)
-
-    def step(mean, cov):
-        d = x - mean
-        near = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), kind="stable")[:h]
-        return x[near].mean(0), np.cov(x[near].T, bias=True).reshape(p, p) + floor
-
-    best = None
-    firsts = [np.median(x, axis=0)] + [x[rng.permutation(n)[: p + 1]].mean(0) for _ in range(starts)]
-    for mean in firsts:
-        cov = floor + np.diag(np.median(np.abs(x - np.median(x, axis=0)), axis=0) ** 2)
-        for _ in range(2):
-            mean, cov = step(mean, cov)
-        det = np.linalg.slogdet(cov)[1]
-        if best is None or det < best[0] - 1e-12:
-            best = (det, mean, cov)
-    _, mean, cov = best
-    for _ in range(20):
-        m2, c2 = step(mean, cov)
-        if np.allclose(m2, mean, atol=1e-9) and np.allclose(c2, cov, atol=1e-9):
-            break
-        mean, cov = m2, c2
-    return mean, cov
-
-
 def chi2_quantile(p: float, k: int) -> float:
     """Wilson-Hilferty's approximation."""
     from statistics import NormalDist
@@ -126,71 +108,140 @@ def chi2_quantile(p: float, k: int) -> float:
     return k * (1 - 2 / (9 * k) + z * (2 / (9 * k)) ** 0.5) ** 3
 
 
-def _distance(mean, inverse):
-    """Squared Mahalanobis distance of column ``x`` as one column expression."""
-    d = [F.col("x")[i] - F.col(mean)[i] for i in range(DIM)]
-    terms = [d[i] * d[j] * F.col(inverse)[i * DIM + j] for i in range(DIM) for j in range(DIM)]
+def _total(terms: list[Column]) -> Column:
     out = terms[0]
     for t in terms[1:]:
         out = out + t
     return out
 
 
-def _inverted(df: DataFrame, floor: np.ndarray) -> DataFrame:
-    """Adds ``inverse`` to rows (mean, cov) of groups; p x p algebra on one row a group."""
+def _distance(d: list[Column]) -> Column:
+    """Squared Mahalanobis distance; ``d`` are the differences from the mean, the inverse stands in ``v*``."""
+    return _total([(1 if i == j else 2) * d[i] * d[j] * F.col(f"v{i}_{j}") for i, j in PAIRS])
 
-    def run(it):
-        for pdf in it:
-            inv = [np.linalg.inv(np.array(c, dtype=float).reshape(DIM, DIM)).ravel().tolist() for c in pdf["cov"]]
-            yield pdf.assign(inverse=inv)
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{fields}, inverse array<double>")
+MEANS, INVERSE = [f"m{i}" for i in range(DIM)], [f"v{i}_{j}" for i, j in PAIRS]
+ESTIMATE = ", ".join(["g1 string", "g2 string", "level int", "start int", "n bigint", "logdet double", "fell double", *[f"{c} double" for c in MEANS + INVERSE]])
+
+
+def _estimate(key: tuple, start: int, n: float, mean: np.ndarray, cov: np.ndarray, before: float) -> tuple:
+    cov = cov + RIDGE
+    inv, logdet = np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+    return (*key, start, int(n), logdet, before - logdet, *mean.tolist(), *[float(inv[i, j]) for i, j in PAIRS])
+
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[*UNIT, "start", "n", "logdet", "fell", *MEANS, *INVERSE])
 
-def robust_estimates(rows: DataFrame, share: float = 0.75, block: int = 1500, least: int = 60, steps: int = 3) -> DataFrame:
-    """MCD location and inverse scatter per (lang, source): rows ``(lang, source, mean, inverse)``.
 
-    ``rows`` has lang, source (no nulls), x array<double> and a salt.  Groups
-    with fewer than ``least`` rows take their language's estimate, languages
-    with fewer take that of all rows; those are built the same way as pooled
-    groups.  ``share`` of a group's rows carry the estimate.
+def _key(pdf: pd.DataFrame) -> tuple:
+    return pdf["g1"].iloc[0], pdf["g2"].iloc[0], int(pdf["level"].iloc[0])
+
+
+def units(rows: DataFrame, least: int) -> DataFrame:
+    """``(lang, source, g1, g2, level)`` of each group: level 2 is a group of its own;
+    groups under ``least`` rows pool by language (1); what is under ``least`` even so
+    pools as one (0), and where that is too few rows it has no unit.  Every row counts in one unit.
     """
-    floor = np.diag([v * v for v in FLOORS.values()])
-    # three levels of groups: (lang, source), (lang), all
-    level = F.explode(F.array(F.struct(F.col("lang").alias("g1"), F.col("source").alias("g2"), F.lit(2).alias("level")), F.struct(F.col("lang").alias("g1"), F.lit("").alias("g2"), F.lit(1).alias("level")), F.struct(F.lit("").alias("g1"), F.lit("").alias("g2"), F.lit(0).alias("level"))))
-    long = rows.select(level.alias("g"), "x", "salt").select("g.*", "x", "salt")
     sizes = rows.groupBy("lang", "source").count()
-    sizes = sizes.select(F.explode(F.array(F.struct(F.col("lang").alias("g1"), F.col("source").alias("g2"), F.lit(2).alias("level")), F.struct(F.col("lang").alias("g1"), F.lit("").alias("g2"), F.lit(1).alias("level")), F.struct(F.lit("").alias("g1"), F.lit("").alias("g2"), F.lit(0).alias("level")))).alias("g"), "count").groupBy("g").agg(F.sum("count").alias("n")).select("g.*", "n").filter(F.col("n") >= least)
-    sizes = small(written(sizes, "group-sizes"), MOST_GROUPS)
-    key = ["g1", "g2", "level"]
-
-    def starting(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["x"].tolist(), dtype=float)
-        mean, cov = mcd_block(x, floor, share)
-        return pd.DataFrame({"g1": [pdf["g1"].iloc[0]], "g2": [pdf["g2"].iloc[0]], "level": [pdf["level"].iloc[0]], "n_rows": [len(pdf)], "det": [float(np.linalg.slogdet(cov)[1])], "mean": [mean.tolist()], "cov": [cov.ravel().tolist()]})
-
-    # block number from the row's own salt; only blocks that are full enough can start a group
-    dealt = long.join(sizes, key).withColumn("block", F.pmod(F.col("salt"), F.greatest(F.floor(F.col("n") / block), F.lit(1))))
-    first = dealt.groupBy(*key, "block").applyInPandas(starting, "g1 string, g2 string, level int, n_rows long, det double, mean array<double>, cov array<double>")
-    est = first.filter(F.col("n_rows") > 2 * DIM).groupBy(*key).agg(F.min_by(F.struct("mean", "cov"), F.struct("det", "mean")).alias("s")).select(*key, "s.mean", "s.cov")
-    est = small(written(_inverted(est, floor), "starting-estimates"), MOST_GROUPS)
-    for k in range(steps):
-        last = k == steps - 1
-        d2 = long.join(est.drop("cov"), key).withColumn("d2", _distance("mean", "inverse"))
-        bins = d2.groupBy(*key, F.floor(F.log1p("d2") * 64).cast("int").alias("bin")).count()
-        w = Window.partitionBy(*key).orderBy("bin")
-        cut = bins.withColumn("upto", F.sum("count").over(w)).join(sizes, key).groupBy(*key).agg(F.min(F.when(F.col("upto") >= F.col("n") * share, F.col("bin"))).alias("cut"))
-        cut = small(written(cut, "cuts"), MOST_GROUPS)
-        inside = d2.join(cut, key).filter(F.floor(F.log1p("d2") * 64).cast("int") <= F.col("cut"))
-        y = [F.col("x")[i] - F.col("mean")[i] for i in range(DIM)]
-        sums = inside.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.first("mean").alias("mean"), *[F.sum(y[i]).alias(f"s{i}") for i in range(DIM)], *[F.sum(y[i] * y[j]).alias(f"q{i}_{j}") for i in range(DIM) for j in range(i, DIM)])
-        mean = F.array(*[F.col("mean")[i] + F.col(f"s{i}") / F.col("m") for i in range(DIM)])
-        # the last step scales the scatter of the inner share to that of a whole normal sample
-        grow = F.lit(_consistency(share) if last else 1.0)
-        cov = F.array(*[(F.col(f"q{min(i, j)}_{max(i, j)}") / F.col("m") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("m") * F.col("m"))) * grow + F.lit(float(floor[i, j])) for i in range(DIM) for j in range(DIM)])
-        est = small(written(_inverted(sums.select(*key, mean.alias("mean"), cov.alias("cov")), floor), "estimates"), MOST_GROUPS)
-    return est.select(*key, "mean", "inverse")
+    rest = sizes.filter(F.col("count") < least).groupBy(F.col("lang").alias("of")).agg(F.sum("count").alias("rest"))
+    placed = sizes.join(rest, F.col("lang") == F.col("of"), "left")
+    level = F.when(F.col("count") >= least, 2).when(F.col("rest") >= least, 1).otherwise(0).cast("int").alias("level")
+    placed = written(placed.select("lang", "source", "count", level), "groups")
+    lowest = placed.filter("level = 0").agg(F.sum("count").alias("n")).first()["n"] or 0
+    if lowest < least:
+        placed = placed.filter("level > 0")
+    return placed.select("lang", "source", F.when(F.col("level") > 0, F.col("lang")).otherwise("").alias("g1"), F.when(F.col("level") > 1, F.col("source")).otherwise("").alias("g2"), "level")
+
+
+def scales(rows: DataFrame) -> DataFrame:
+    """Medians and quartile widths (as a normal's deviation) per unit, from histograms of every row."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(f"x{i}") * CELLS).cast("int").alias("cell")) for i in range(DIM)])).alias("c")
+    counts = rows.select(*UNIT, cells).groupBy(*UNIT, "c.i", "c.cell").count()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = []
+        for _, part in pdf.sort_values("cell").groupby("i", sort=True):
+            upto, cell = part["count"].cumsum().to_numpy(), part["cell"].to_numpy() / CELLS
+            low, mid, high = (cell[np.searchsorted(upto, q * upto[-1])] for q in (0.25, 0.5, 0.75))
+            got += [mid, (high - low) / 1.349]
+        return pd.DataFrame([(*_key(pdf), *got[::2], *got[1::2])], columns=[*UNIT, *MEANS, *[f"s{i}" for i in range(DIM)]])
+
+    return counts.groupBy(*UNIT).applyInPandas(run, ", ".join(["g1 string", "g2 string", "level int", *[f"{c} double" for c in MEANS], *[f"s{i} double" for i in range(DIM)]]))
+
+
+def starts(rows: DataFrame, scale: DataFrame) -> DataFrame:
+    """Three estimates per unit around its medians: no correlation, that of spatial signs, that of squashed scores."""
+    at = rows.join(scale, UNIT)
+    for i in range(DIM):
+        at = at.withColumn(f"z{i}", (F.col(f"x{i}") - F.col(f"m{i}")) / F.sqrt(F.col(f"s{i}") * F.col(f"s{i}") + float(RIDGE[i, i])))
+    length = _total([F.col(f"z{i}") * F.col(f"z{i}") for i in range(DIM)]) + 1e-12
+    sums = [F.sum(F.col(f"z{i}") * F.col(f"z{j}") / F.col("len")).alias(f"a{i}_{j}") for i, j in PAIRS] + [F.sum(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"b{i}_{j}") for i, j in PAIRS]
+    held = [F.first(c).alias(c) for c in MEANS + [f"s{i}" for i in range(DIM)]]
+    got = at.withColumn("len", length).groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"), *held, *sums)
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for r in pdf.to_dict("records"):
+                key, mean, s = (r["g1"], r["g2"], r["level"]), np.array([r[c] for c in MEANS]), np.array([r[f"s{i}"] for i in range(DIM)])
+                for k, side in enumerate(["", "a", "b"]):
+                    shape = np.eye(DIM)
+                    if side:
+                        for i, j in PAIRS:
+                            shape[i, j] = shape[j, i] = r[f"{side}{i}_{j}"]
+                        d = np.sqrt(np.maximum(np.diag(shape), 1e-12))
+                        shape = shape / np.outer(d, d)
+                    rows.append(_estimate(key, k, r["n"], mean, shape * np.outer(s, s), np.inf))
+            yield _frame(rows)
+
+    return got.mapInPandas(run, ESTIMATE)
+
+
+def concentrated(rows: DataFrame, est: DataFrame, share: float, choose: bool, grow: float = 1.0) -> DataFrame:
+    """One concentration step of every unit and start; ``choose`` keeps the start of least determinant."""
+    at = rows.join(est.withColumnRenamed("n", "n_unit"), UNIT)
+    for i in range(DIM):
+        at = at.withColumn(f"y{i}", F.col(f"x{i}") - F.col(f"m{i}"))
+    at = at.withColumn("bin", F.floor(F.log1p(F.greatest(_distance([F.col(f"y{i}") for i in range(DIM)]), F.lit(0.0))) * EDGES).cast("int"))
+    sums = [F.sum(f"y{i}").alias(f"s{i}") for i in range(DIM)] + [F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"q{i}_{j}") for i, j in PAIRS]
+    bins = at.groupBy(*UNIT, "start", "bin").agg(F.count(F.lit(1)).alias("n"), F.first("logdet").alias("logdet"), *[F.first(c).alias(c) for c in MEANS], *sums)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for start, part in pdf.groupby("start", sort=True):
+            part = part.sort_values("bin")
+            n = part["n"].to_numpy(float)
+            weight = np.clip((share * n.sum() - (n.cumsum() - n)) / n, 0, 1)  # whole bins, and a part of the last
+            m = weight @ n
+            s = weight @ part[[f"s{i}" for i in range(DIM)]].to_numpy() / m
+            q = weight @ part[[f"q{i}_{j}" for i, j in PAIRS]].to_numpy() / m
+            cov = np.zeros((DIM, DIM))
+            for (i, j), v in zip(PAIRS, q):
+                cov[i, j] = cov[j, i] = v - s[i] * s[j]
+            out.append(_estimate(_key(pdf), int(start), n.sum(), part[MEANS].iloc[0].to_numpy(float) + s, cov * grow, float(part["logdet"].iloc[0])))
+        return _frame([min(out, key=lambda r: (r[5], r[3]))] if choose else out)
+
+    return bins.groupBy(*UNIT).applyInPandas(run, ESTIMATE)
+
+
+def robust_estimates(rows: DataFrame, share: float = 0.75, rest: float = 1e-3, most_steps: int = 60) -> DataFrame:
+    """MCD location and inverse scatter per unit: ``(g1, g2, level, n, m*, v*)`` and the steps' ``logdet``.
+
+    ``rows`` has the unit's columns (no nulls) and ``x0..x4``.  ``share`` of a
+    unit's rows carry the estimate.  Steps go on until no unit's log determinant
+    falls by more than ``rest``; not settling within ``most_steps`` raises.  The
+    last step scales the scatter of the inner share to that of a whole normal
+    sample.  No rows give no estimates.
+    """
+    est = small(written(starts(rows, small(written(scales(rows), "scales"), MOST_GROUPS)), "starts"), 3 * MOST_GROUPS)
+    for k in range(most_steps):
+        est = written(concentrated(rows, est, share, choose=k > 0), "estimates")
+        fell = est.agg(F.max(F.abs("fell"))).first()[0]
+        est = small(est, 3 * MOST_GROUPS)
+        if k > 0 and (fell is None or fell <= rest):
+            return written(concentrated(rows, est, share, choose=True, grow=_consistency(share)), "estimates")
+    raise RuntimeError(f"the estimates did not settle in {most_steps} steps")
 
 
 def _consistency(share: float) -> float:
@@ -200,33 +251,31 @@ def _consistency(share: float) -> float:
     return float(1 / x[d <= np.quantile(d, share)].var())
 
 
-def robust_outliers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", quantile: float = 0.9999, keep: list[str] | None = None) -> DataFrame:
+def robust_outliers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", quantile: float = 0.9999, keep: list[str] | None = None, least: int = 60) -> DataFrame:
     """One row per input row: kept columns (``id_col`` by default), the counts, ``base_failed``, ``distance2``, ``kept``.
 
     ``base_failed``: under 20 words, or over 30 % of words in repeated 8-word
     windows.  ``kept`` is false for those, and for vectors whose squared robust
     distance from their (language, source) exceeds the chi-square ``quantile``.
-    Only deviation to the side of junk counts for rates that are 0 in clean
-    text: a rate below its group's mean is not an outlier.  Estimates are taken
-    from rows that pass the base rules.  Null language or source is a group of
-    its own; null text has no words (fails); null ids and repeated rows are
-    kept as rows; an empty table gives an empty result.
+    Estimates are taken from rows that pass the base rules.  Groups under
+    ``least`` rows share the estimate of their language's small groups, or of all
+    small ones; under ``least`` rows even so, ``distance2`` is 0.  Null language
+    or source is a group of its own; null text has no words (fails); null ids
+    and repeated rows are kept as rows; an empty table gives an empty result.
     """
     keep = [id_col] if keep is None else keep
-    slim = df.select(F.struct(*[F.col(c) for c in keep]).alias("k"), F.coalesce(F.col(lang_col).cast("string"), F.lit("?")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("?")).alias("source"), F.col(text_col).cast("string").alias("text"))
-    counted = written(count_table(slim, "text", ["k", "lang", "source"]), "counts")
+    named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(n) for c, n in ((lang_col, "_lang"), (source_col, "_source"))]
+    held = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("k")
+    at = text_col if text_col.split(".")[0] in keep else "_t"
+    slim = df.select(held, *named, *([F.col(text_col).cast("string").alias("_t")] if at == "_t" else []))
+    counted = written(count_table(slim, "_t" if at == "_t" else f"k.{text_col}", ["k", "_lang", "_source"]), "counts")
     n = F.col("n_words")
     base = (n < 20) | (F.col("n_repeat_words") * 100 > n * 30)
-    rows = counted.select("_kept.*", *COUNTS, base.alias("base_failed"), F.array(*vector(*[F.col(c) for c in COUNTS])).alias("x"))
-    salt = F.abs(F.xxhash64("x", *COUNTS, F.monotonically_increasing_id()))
-    est = robust_estimates(rows.filter(~F.col("base_failed")).select("lang", "source", "x", salt.alias("salt")))
-    est = written(est, "final-estimates")
-    two = est.filter("level = 2").select(F.col("g1").alias("lang"), F.col("g2").alias("source"), F.struct("mean", "inverse").alias("e2"))
-    one = est.filter("level = 1").select(F.col("g1").alias("lang"), F.struct("mean", "inverse").alias("e1"))
-    all_ = est.filter("level = 0").select(F.struct("mean", "inverse").alias("e0"), F.lit(0).alias("z"))
-    judged = rows.join(small(two, MOST_GROUPS), ["lang", "source"], "left").join(small(one, MOST_GROUPS), "lang", "left").withColumn("z", F.lit(0)).join(F.broadcast(all_), "z", "left").withColumn("e", F.coalesce("e2", "e1", "e0"))
-    # rates count upwards only
-    x = F.array(F.col("x")[0], *[F.greatest(F.col("x")[i], F.col("e.mean")[i]) for i in range(1, DIM)])
-    judged = judged.withColumn("x", F.coalesce(F.when(F.col("e").isNotNull(), x), F.col("x"))).withColumn("mean", F.col("e.mean")).withColumn("inverse", F.col("e.inverse"))
-    d2 = F.coalesce(_distance("mean", "inverse"), F.lit(0.0))
+    x = vector(*[F.col(c) for c in COUNTS])
+    rows = counted.select("_kept.k", F.col("_kept._lang").alias("lang"), F.col("_kept._source").alias("source"), *COUNTS, base.alias("base_failed"), *[v.alias(f"x{i}") for i, v in enumerate(x)])
+    sound = rows.filter(~F.col("base_failed")).select("lang", "source", *[f"x{i}" for i in range(DIM)])
+    groups = written(units(sound, least), "units")
+    est = robust_estimates(sound.join(small(groups, MOST_GROUPS), ["lang", "source"]))
+    judged = rows.join(small(written(groups.join(est, UNIT).select("lang", "source", *MEANS, *INVERSE), "judges"), MOST_GROUPS), ["lang", "source"], "left")
+    d2 = F.greatest(F.coalesce(_distance([F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIM)]), F.lit(0.0)), F.lit(0.0))
     return judged.withColumn("distance2", d2).select("k.*", *COUNTS, "base_failed", "distance2", (~F.col("base_failed") & (F.col("distance2") <= chi2_quantile(quantile, DIM))).alias("kept"))

@@ -71,7 +71,7 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return majority(np.concatenate(parts))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=4)
 def columns(bits: int) -> np.ndarray:
     """A column of the bucket function for each of the 64 bits."""
     return np.random.default_rng(64 + bits).integers(1, 1 << bits, 64, dtype=np.int64)
@@ -91,25 +91,29 @@ def bucket_of(x: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-@functools.lru_cache(maxsize=2)
-def flips(bits: int) -> dict[int, np.ndarray]:
-    """All masks of at most two bits, by the bucket step they make."""
-    one = [np.uint64(1) << np.uint64(k) for k in range(64)]
-    masks = np.array([np.uint64(0), *one, *[one[a] | one[b] for a in range(64) for b in range(a)]], dtype=np.uint64)
+@functools.lru_cache(maxsize=4)
+def flips(bits: int, width: int = 64) -> dict[int, np.ndarray]:
+    """All masks of at most two of the low ``width`` bits, by the bucket step they make."""
+    one = [np.uint64(1) << np.uint64(k) for k in range(width)]
+    masks = np.array([np.uint64(0), *one, *[one[a] | one[b] for a in range(width) for b in range(a)]], dtype=np.uint64)
     step = bucket_of(masks, bits)
     order = np.argsort(step, kind="stable")
     cut = np.flatnonzero(np.diff(step[order])) + 1
     return {int(step[g[0]]): masks[g] for g in np.split(order, cut)}
 
 
-def met(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges among distinct ``fps`` (uint64) whose balls meet in ``bucket``."""
+def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, centres: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges among distinct ``fps`` (uint64) whose balls meet in ``bucket``.
+
+    A shared value links its owners to the least of them; with more ``centres``
+    also to the first of them in as many other, seeded orders.
+    """
     step = bucket_of(fps, bits) ^ bucket
     order = np.argsort(step, kind="stable")
     cut = np.flatnonzero(np.diff(step[order])) + 1
     keys, owner = [], []
     for g in np.split(order, cut):
-        masks = flips(bits).get(int(step[g[0]])) if len(g) else None
+        masks = flips(bits, width).get(int(step[g[0]])) if len(g) else None
         if masks is not None:
             keys.append((fps[g][:, None] ^ masks[None, :]).ravel())
             owner.append(np.repeat(g.astype(np.int32), len(masks)))
@@ -130,21 +134,36 @@ def met(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray
     place = np.minimum(np.searchsorted(twice, keys[at]), len(twice) - 1)
     ok = twice[place] == keys[at]
     place, members = place[ok], fps[owner[at[ok]]]
-    order = np.lexsort((members, place))
-    place, members = place[order], members[order]
-    first = np.append(True, place[1:] != place[:-1])
-    least = members[np.flatnonzero(first)][np.cumsum(first) - 1]
-    pairs = np.unique(np.stack([least[~first], members[~first]], axis=1), axis=0)
+    pairs = []
+    for turn in range(centres):
+        rank = members if turn == 0 else spread(members + np.uint64(turn))
+        order = np.lexsort((rank, place))
+        p, m = place[order], members[order]
+        first = np.append(True, p[1:] != p[:-1])
+        centre = m[np.flatnonzero(first)][np.cumsum(first) - 1]
+        pairs.append(np.stack([centre[~first], m[~first]], axis=1))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
     pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 4]
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64) -> DataFrame:
-    """``fps(fp bigint)``, distinct -> star edges ``(u, v)`` that connect exactly
-    what pairs within 4 bits connect; written in the shared folder."""
+def spread(x: np.ndarray) -> np.ndarray:
+    """A fixed one-to-one scattering of 64-bit numbers (SplitMix64's finalizer)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width: int = 64, least_bits: int = 6, centres: int = 1) -> DataFrame:
+    """``fps(family int, fp bigint)``, distinct -> star edges ``(family, u, v)`` within
+    each family that connect exactly what pairs within 4 bits connect; written in
+    the shared folder.  Fingerprints have ``width`` bits; ``centres`` as in `met`.
+    No fingerprints give no edges; nulls are not expected.
+    """
     spark = fps.sparkSession
-    n = fps.count()
-    bits = max(6, int(np.ceil(np.log2(max(1.0, n * 2081 / per_bucket)))))
+    n = fps.groupBy("family").count().agg(F.max("count")).first()[0] or 0
+    variants = 1 + width + width * (width - 1) // 2
+    bits = max(least_bits, int(np.ceil(np.log2(max(1.0, n * variants / per_bucket)))))
     path, total = new_folder(spark, "links"), 1 << bits
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     was = spark.conf.get(cleanup, None)
@@ -153,28 +172,29 @@ def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64) -> Da
             these = range(start, min(start + per_pass, total))
 
             def send(batches, these=these):
+                reach = np.zeros(1 << bits, dtype=bool)
+                reach[list(flips(bits, width))] = True
                 for batch in batches:
-                    x = batch.column(0).to_numpy().view(np.uint64)
-                    home = bucket_of(x, bits)
-                    reach = np.zeros(1 << bits, dtype=bool)
-                    reach[list(flips(bits))] = True
-                    to = [(b, x[reach[home ^ b]]) for b in these]
-                    to = [(b, y) for b, y in to if len(y)]
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in to], pa.int32()), pa.array([y.tobytes() for _, y in to], pa.binary())], names=["bucket", "fps"])
+                    family, fp, out = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), []
+                    for f in np.unique(family):
+                        x = fp[family == f]
+                        home = bucket_of(x, bits)
+                        out += [(f, b, y.tobytes()) for b in these if len(y := x[reach[home ^ b]])]
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int32()), pa.array([k[1] for k in out], pa.int32()), pa.array([k[2] for k in out], pa.binary())], names=["family", "bucket", "fps"])
 
             def collide(pdf: pd.DataFrame) -> pd.DataFrame:
                 x = np.unique(np.frombuffer(b"".join(pdf["fps"]), dtype=np.uint64))
-                u, v = met(x, int(pdf["bucket"].iloc[0]), bits)
-                return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+                u, v = met(x, int(pdf["bucket"].iloc[0]), bits, width, centres)
+                return pd.DataFrame({"family": np.full(len(u), pdf["family"].iloc[0], dtype=np.int32), "u": u.view(np.int64), "v": v.view(np.int64)})
 
             if total > per_pass:  # a pass's shuffle files go when the pass is written
                 spark.conf.set(cleanup, "true")
-            sent = fps.select("fp").mapInArrow(send, "bucket int, fps binary")
-            sent.groupBy("bucket").applyInPandas(collide, "u bigint, v bigint").write.mode("append").parquet(path)
+            sent = fps.select("family", "fp").mapInArrow(send, "family int, bucket int, fps binary")
+            sent.groupBy("family", "bucket").applyInPandas(collide, "family int, u bigint, v bigint").write.mode("append").parquet(path)
     finally:
         if total > per_pass:
             spark.conf.set(cleanup, was) if was is not None else spark.conf.unset(cleanup)
-    return spark.read.schema("u bigint, v bigint").parquet(path)
+    return spark.read.schema("family int, u bigint, v bigint").parquet(path)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
@@ -201,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = written(fingerprints(df, id_col, text_col, size), "fingerprints")
     distinct = written(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = components.labels(links(distinct.select("fp")))
+    roots = components.labels(links(distinct.select(F.lit(0).alias("family"), "fp")).select("u", "v"))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.select("fp", "root").join(ids, "root"), "components")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import first_rows, fold, one_label
+from .tables import texts_of, with_text
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PREFIXES = range(3, 9)
@@ -152,17 +153,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null text scores as an empty one; null ids and repeated rows are kept.
     """
-    keep = [id_col] if keep is None else keep
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c) for c in keep]).alias("kept"))
+    rows, path = with_text(docs, text_col, [id_col] if keep is None else keep)
 
     def run(batches):
         of = model.scorer()
         for batch in batches:
-            f = np.array([of(t.as_py()) for t in batch.column(0)], dtype=float)
+            f = np.array([of(t.as_py()) for t in texts_of(batch, path)], dtype=float)
             s = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["kept", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("_kept"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["_kept", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, score double, predicted int").select("kept.*", "score", "predicted")
+    return rows.mapInArrow(run, f"_kept {rows.schema['_kept'].dataType.simpleString()}, score double, predicted int").select("_kept.*", "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **sizes) -> DataFrame:
