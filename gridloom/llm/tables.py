@@ -40,7 +40,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return placed_at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def placed_at(df: DataFrame, path: str) -> DataFrame:
+    """``df``, which reads the files at ``path``, marked so that `drop` finds them."""
+    df._gridloom_path = path
+    return df
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables from `written` (or marked by `placed_at`); nothing that still reads them may be used again."""
+    for df in tables:
+        if path := getattr(df, "_gridloom_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def small(df: DataFrame, most: int) -> DataFrame:

@@ -3,23 +3,23 @@
 Confirmed toxic documents are the positives, other documents are unlabelled.
 A linear numpy classifier over words and word prefixes minimises
 ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with the sigmoid loss, where
-``pi`` is the class prior.  Training happens on a bounded sample; every
-document is then scored in one narrow pass.
+``pi`` is the class prior, from zero weights; no feature is chosen by how it
+parts the two sets.  Training happens on a bounded sample; every document is
+then scored in one narrow pass.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .labelled import first_rows, fold, one_label
-from .tables import texts_of, with_text
+from .labelled import dealt, first_rows, fold, one_label
+from .tables import drop, texts_of, with_text, written
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PREFIXES = range(3, 9)
@@ -58,66 +58,81 @@ class Model:
         return of
 
 
-def train_nnpu(positive: list[list[str]], unlabelled: list[list[str]], prior: float, least: int = 4, most: int = 6000, steps: int = 600, rate: float = 0.05, decay: float = 2e-5, init: float = 0.5, present: float = 0.6, pure: float = 0.7) -> Model:
-    """``positive`` and ``unlabelled`` are lists of feature lists (one per document).
+@dataclass
+class Rows:
+    """Documents as the indices of their features, one after the other; ``ends`` are their ends."""
+
+    columns: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, lists: list) -> Rows:
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        flat = np.concatenate(lists) if len(lists) else np.zeros(0)
+        return cls(flat.astype(np.int64), np.cumsum(sizes))
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    Features: those in at least ``least`` positives whose share among positives
-    times the prior is at least ``pure`` of their share among the unlabelled
-    (1: only toxic documents have it), the strongest ``most`` of them.  Where the non-negative part is below zero, the step goes
-    against it, as the estimator prescribes.  Each step sees a seeded share
-    ``present`` of the occurrences, so that every word learns to carry a
-    document alone.
-    """
-    n_p, n_u = len(positive), len(unlabelled)
-    if not n_p or not n_u or not 0 < prior < 1:
-        return Model({}, -20.0)
-    df_p, df_u = Counter(f for d in positive for f in set(d)), Counter(f for d in unlabelled for f in set(d))
-    gain = {f: (c / n_p) / ((df_u[f] + 1) / n_u) for f, c in df_p.items() if c >= least}
-    chosen = sorted((f for f, g in gain.items() if g * prior >= pure), key=lambda f: (-df_p[f] * np.log(gain[f]), f))[:most]
-    if not chosen:
-        return Model({}, -20.0)
-    index = {f: k for k, f in enumerate(chosen)}
 
-    def matrix(docs):
-        rows = [[index[f] for f in d if f in index] for d in docs]
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        return owner, np.array([k for r in rows for k in r], dtype=np.int64), len(rows)
+def logits(rows: Rows, weights: np.ndarray, bias: float, live: np.ndarray | float = 1.0) -> np.ndarray:
+    return np.bincount(rows.owners(), weights=weights[rows.columns] * live, minlength=len(rows)) + bias
 
-    def apply(m, w, live):
-        return np.bincount(m[0], weights=w[m[1]] * live, minlength=m[2])
 
-    def back(m, g, live):
-        return np.bincount(m[1], weights=g[m[0]] * live, minlength=len(chosen))
+def risk_parts(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """``pi * R_p(+)`` and ``R_u(-) - pi * R_p(-)`` under the sigmoid loss."""
+    return prior * float((1 - fp).mean()), float(fu.mean()) - prior * float(fp.mean())
 
-    xp, xu = matrix(positive), matrix(unlabelled)
-    w, b = init * np.log([gain[f] for f in chosen]), -2.0
-    m1, m2 = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    rng = np.random.default_rng(23)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+def slopes(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """How the step's objective changes with the logits of positives and unlabelled:
+    the whole risk's slopes, or minus the negative part's where that is below zero."""
+    sp, su = fp * (1 - fp), fu * (1 - fu)
+    if risk_parts(fp, fu, prior)[1] < 0:
+        return prior * sp / len(fp), -su / len(fu)
+    return -2 * prior * sp / len(fp), su / len(fu)
+
+
+def train_nnpu(positive: Rows, unlabelled: Rows, features: int, prior: float, steps: int = 300, rate: float = 0.02, decay: float = 2e-5, present: float = 0.6, bias: float = -2.0, seed: int = 23) -> tuple[np.ndarray, float, list[float]]:
+    """``(weights, bias, risks)``: Adam from zero weights on the non-negative risk.
+
+    Every step sees a seeded share ``present`` of the features' occurrences, so
+    that every feature learns to carry a document alone; where the negative part
+    of its risk is below zero the step goes against it, as the estimator
+    prescribes.  ``risks`` has each step's non-negative risk.
+    """
+    w, b, risks = np.zeros(features), float(bias), []
+    rng, m1, m2 = np.random.default_rng(seed), np.zeros(features + 1), np.zeros(features + 1)
+    sides = [(rows.columns, rows.owners(), len(rows)) for rows in (positive, unlabelled)]
     for step in range(1, steps + 1):
-        live_p, live_u = rng.random(len(xp[1])) < present, rng.random(len(xu[1])) < present
-        fp, fu = sig(apply(xp, w, live_p) + b), sig(apply(xu, w, live_u) + b)
-        # sigmoid loss: positive side 1 - s, negative side s
-        sp, su = fp * (1 - fp), fu * (1 - fu)
-        negative = fu.mean() - prior * fp.mean()
-        gp, gu = -prior * sp / n_p, np.zeros(n_u)
-        if negative >= 0:
-            gp, gu = gp - prior * sp / n_p, su / n_u
-        else:
-            gp, gu = prior * sp / n_p, -su / n_u
-        grad = np.append(back(xp, gp, live_p) + back(xu, gu, live_u) + decay * np.sign(w), gp.sum() + gu.sum())
+        live = [(rng.random(len(columns)) < present).astype(float) for columns, _, _ in sides]
+        fp, fu = (sigmoid(np.bincount(owners, weights=w[columns] * on, minlength=n) + b) for (columns, owners, n), on in zip(sides, live))
+        one, two = risk_parts(fp, fu, prior)
+        risks.append(one + max(0.0, two))
+        both = slopes(fp, fu, prior)
+        back = sum(np.bincount(columns, weights=g[owners] * on, minlength=features) for (columns, owners, _), g, on in zip(sides, both, live))
+        grad = np.append(back + decay * np.sign(w), both[0].sum() + both[1].sum())
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    keep = np.abs(w) > 0.02
-    return Model({f: float(x) for f, x, k in zip(chosen, w, keep) if k}, float(b))
+    return w, b, risks
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0, positives: int = 2000, unlabelled: int = 6000, prior: float | None = None) -> Model:
-    """Train on at most ``positives`` toxic and ``unlabelled`` other rows (the documented bounds).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0, positives: int = 2000, unlabelled: int = 6000, characters: int = 64_000_000, least: int = 4, common: float = 0.2, prior: float | None = None, steps: int = 300) -> Model:
+    """Train on at most ``positives`` toxic and ``unlabelled`` other rows, and on no
+    more of them than ``characters`` in all: the documented bounds of the sample.
 
-    Only rows outside fold ``held`` lend their labels; the prior defaults to
-    the share of toxic rows among all of those labelled rows.
+    Features are those of ``least`` sampled positives or more that are in no more
+    than the share ``common`` of the sampled unlabelled.  Only rows outside fold
+    ``held`` lend their labels; ``prior`` defaults to the share of toxic rows
+    among all of those labelled rows, the one use of labels 0.
     """
     known = one_label(labels, id_col, label_col).filter(fold("id", folds) != held)
     if prior is None:
@@ -128,24 +143,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     other = first_rows(ids, 11, unlabelled).distinct().withColumn("positive", F.lit(0))
     wanted = F.broadcast(pos.unionByName(other))  # at most positives + unlabelled ids
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id")
+    upto = F.sum(F.length("text")).over(Window.orderBy(dealt("id", 7), "positive", "text"))  # over the sample
+    sample = written(rows.withColumn("upto", F.coalesce(upto, F.lit(0))).filter(F.col("upto") <= characters).select("positive", "text"), "sample")
 
-    def run(batches):
+    def words(batches):
         for batch in batches:
-            lists = [sorted({f for t in tokens(x.as_py()) for f in features(t)}) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(["\n".join(x) for x in lists])], names=["positive", "features"])
-
-    table = rows.select("text", "positive").mapInArrow(run, "positive int, features string").toArrow()
-    rows = list(zip(table.column("positive").to_pylist(), table.column("features").to_pylist()))
-    del table
-    # only features of several positives can be chosen: the driver keeps one string for each of those
-    seen = Counter()
-    for flag, x in rows:
-        if flag:
-            seen.update(x.split("\n"))
-    may = {f: f for f, c in seen.items() if c >= 4}
-    del seen
-    lists = {flag: sorted([may[f] for f in x.split("\n") if f in may] for g, x in rows if g == flag) for flag in (1, 0)}
-    return train_nnpu(lists[1], lists[0], prior, least=4)
+            for flag, x in zip(batch.column(0), batch.column(1)):
+                found = sorted({f for t in tokens(x.as_py()) for f in features(t)})
+                yield pa.RecordBatch.from_arrays([pa.array([flag.as_py()] * len(found), pa.int32()), pa.array(found, pa.string())], names=["positive", "feature"])
+
+    counts = sample.repartition(8).mapInArrow(words, "positive int, feature string").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
+    most = common * sample.filter("positive = 0").count()
+    chosen = sorted(r[0] for r in counts.filter((F.col("p") >= least) & (F.col("u") <= most)).select("feature").collect())
+    index = {f: k for k, f in enumerate(chosen)}
+
+    def indices(batches):
+        for batch in batches:
+            lists = [sorted({index[f] for t in tokens(x.as_py()) for f in features(t) if f in index}) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(v, dtype="<i4").tobytes() for v in lists], pa.binary())], names=["positive", "indices"])
+
+    got = sample.repartition(8).mapInArrow(indices, "positive int, indices binary").toArrow()
+    flags = got.column("positive").to_pylist()
+    rows = sorted(zip(flags, got.column("indices").to_pylist()))
+    drop(sample)
+    lists = {flag: Rows.of([np.frombuffer(x, dtype="<i4") for g, x in rows if g == flag]) for flag in (1, 0)}
+    if not chosen or not 0 < prior < 1 or not len(lists[1]) or not len(lists[0]):
+        return Model({}, -20.0)
+    w, b, _ = train_nnpu(lists[1], lists[0], len(chosen), prior, steps)
+    return Model({f: float(x) for f, x in zip(chosen, w) if abs(x) > 0.02}, float(b))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 
 from gridloom.llm.quality_classifier import DIM, ROWS, neighbour_sums, index_vectors, pooled, quality, train_network, word_rows
-from gridloom.llm.toxicity import features, toxicity, train_nnpu
+from gridloom.llm.toxicity import Rows, features, fit, logits, risk_parts, sigmoid, slopes, toxicity, train_nnpu
 
 D = "/root/testdata/sf0.01"
 
@@ -26,15 +26,60 @@ def test_quality_held_out(spark):
     assert n == 1000 and accuracy > 0.93
 
 
+def test_risk_slopes_against_finite_differences():
+    """Of the whole risk where the negative part is above zero, of minus that part where it is below."""
+    rng = np.random.default_rng(1)
+    seen = set()
+    for prior, shift in ((0.1, 0.0), (0.3, 0.5), (0.6, -3.0), (0.8, -4.0)):
+        zp, zu = rng.normal(0, 1, 7), rng.normal(shift, 1, 11)
+
+        def target(zp, zu):
+            one, two = risk_parts(sigmoid(zp), sigmoid(zu), prior)
+            return (one + two) if below is False else -two
+
+        below = risk_parts(sigmoid(zp), sigmoid(zu), prior)[1] < 0
+        seen.add(below)
+        gp, gu = slopes(sigmoid(zp), sigmoid(zu), prior)
+        for g, z, other in ((gp, zp, False), (gu, zu, True)):
+            for k in range(len(z)):
+                up, down = z.copy(), z.copy()
+                up[k] += 1e-5
+                down[k] -= 1e-5
+                slope = (target(zp, up) - target(zp, down)) if other else (target(up, zu) - target(down, zu))
+                assert abs(slope / 2e-5 - g[k]) < 1e-8
+    assert seen == {True, False}
+
+
 def test_nnpu_beats_plain_positive_negative():
+    """Where a third of the unlabelled are toxic, taking them all as negatives loses toxic documents that the risk estimator finds."""
     rng = np.random.default_rng(0)
-    bad, plain = [f"b{k}" for k in range(5)], [f"w{k}" for k in range(200)]
-    doc = lambda toxic: [*rng.choice(plain, 20), *(rng.choice(bad, 2) if toxic else [])]
-    model = train_nnpu([doc(True) for _ in range(150)], [doc(k % 5 == 0) for k in range(1000)], 0.2)
-    of = lambda d: model.bias + sum(model.weights.get(f, 0.0) for f in set(d))
-    assert np.mean([of(doc(True)) > 0 for _ in range(200)]) > 0.95
-    assert np.mean([of(doc(False)) > 0 for _ in range(200)]) < 0.03
+    draw = lambda toxic: np.array(sorted({*rng.choice(200, 20).tolist(), *((200 + rng.choice(5, 2)).tolist() if toxic else [])}))
+    positive, unlabelled = Rows.of([draw(True) for _ in range(150)]), Rows.of([draw(k % 3 == 0) for k in range(1000)])
+    test = {flag: Rows.of([draw(flag) for _ in range(400)]) for flag in (True, False)}
+    w, b, risks = train_nnpu(positive, unlabelled, 205, 1 / 3, steps=1500)
+    caught, wrong = (float(np.mean(logits(test[flag], w, b) > 0)) for flag in (True, False))
+    assert caught > 0.85 and wrong < 0.1 and risks[-1] < 0.3 * risks[0]
+    # logistic regression of confirmed against all others, to convergence
+    w2, b2 = np.zeros(205), 0.0
+    for _ in range(3000):
+        fp, fu = sigmoid(logits(positive, w2, b2)), sigmoid(logits(unlabelled, w2, b2))
+        g = [(fp - 1) / 1150, fu / 1150]
+        w2 -= 3 * sum(np.bincount(r.columns, weights=x[r.owners()], minlength=205) for r, x in zip((positive, unlabelled), g))
+        b2 -= 3 * (g[0].sum() + g[1].sum())
+    assert np.mean(logits(test[True], w2, b2) > 0) < caught - 0.4
     assert features("!!clown,") == ["=clown", "clo", "clow"] and features("!!") == []
+    assert not train_nnpu(positive, unlabelled, 205, 1 / 3, steps=0)[0].any()
+
+
+def test_sample_is_bounded_by_characters(spark):
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    assert not fit(docs, labels, characters=0).weights and len(fit(docs, labels, characters=200_000, steps=5).weights) < len(fit(docs, labels, steps=5).weights)
+
+
+def test_very_long_text_scores(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, "word other, " * 400_000)], "doc_id long, text string"))
+    for op in (toxicity, quality):
+        assert 0 <= op(docs, spark.read.parquet(f"{D}/labels.parquet")).filter("doc_id = -1").first().score <= 1
 
 
 def test_random_indexing_against_loops():
