@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the folder that the cluster shares (a temporary one only where none is set)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the session's ``spark.checkpoint.dir``.  Where that is unset, local
+    mode takes a temporary folder and a cluster is refused: its executors would not see one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_gridloom_cut", None)
     if root is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         root = spark._gridloom_cut = tempfile.mkdtemp(prefix="spark-gridloom-")
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the folder that the cluster shares."""
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,9 @@ def kmeans(df: DataFrame, k: int = 3, sample: int = 100_000, seed: int = 42) ->
 
 
 def classifier(kind: str, bands: int = 0, classes: int = 0, seed: int = 42):
-    """svm (linear, one against the rest), forest or mlp."""
+    """svm (linear, one against the rest), forest, bayes (independent normal attributes) or mlp."""
+    if kind == "bayes":
+        return NaiveBayes(modelType="gaussian", labelCol="label")
     if kind == "svm":
         return OneVsRest(classifier=LinearSVC(maxIter=30, regParam=0.01), labelCol="label")
     if kind == "forest":
@@ -41,6 +45,31 @@ def classifier(kind: str, bands: int = 0, classes: int = 0, seed: int = 42):
     return MultilayerPerceptronClassifier(layers=[bands, 16, classes], seed=seed, maxIter=60, labelCol="label")
 
 
+def train_table(df: DataFrame, attributes: list[str], label: str, kind: str = "forest") -> PipelineModel:
+    """A model from an attribute table: rows without a value in any attribute or the label are left out."""
+    index = StringIndexer(inputCol="_label", outputCol="label", stringOrderType="alphabetAsc")
+    rows = df.dropna(subset=[*attributes, label]).select(*attributes, F.col(label).cast("string").alias("_label"))
+    indexed = index.fit(rows)
+    features = VectorAssembler(inputCols=attributes, outputCol="features")
+    model = classifier(kind, len(attributes), len(indexed.labels)).fit(features.transform(indexed.transform(rows)))
+    return PipelineModel(stages=[features, model, IndexToString(inputCol="prediction", outputCol="_class", labels=indexed.labels)])
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """``path`` is in a folder that driver and executors share."""
+    model.write().overwrite().save(path)
+
+
+def apply_model(df: DataFrame, path: str, attributes: list[str]) -> DataFrame:
+    """``df`` with ``class`` (a string) by a saved model, without training; rows without a value in any attribute get none."""
+    slim = df.select("*", *[F.coalesce(F.nanvl(F.col(a).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias(f"_{a}") for a in attributes])
+    known = F.lit(True)
+    for a in attributes:
+        known = known & F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double"))
+    kept = slim.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), known.alias("_known"), *[F.col(f"_{a}").alias(a) for a in attributes])
+    return PipelineModel.load(path).transform(kept).select("_row.*", F.when(F.col("_known"), F.col("_class")).alias("class"))
+
+
 def normal_bayes(train: DataFrame, size: int, label: str = "label", ridge: float = 1e-6) -> Callable[[DataFrame], DataFrame]:
     """Gaussian per class with full covariance: one aggregate, then column log-densities.  Returns the predictor."""
     rows = sorted(covariance(train, "spectrum", size, [label]).collect(), key=lambda r: r[label])  # a row a class

@@ -146,6 +146,15 @@ def clip(df: DataFrame, x0: float, y0: float, x1: float, y1: float, crop: bool =
     return out.withColumns({"x": F.col("x") - F.lit(int(x0)), "y": F.col("y") - F.lit(int(y0))}) if crop else out
 
 
+def cutline(df: DataFrame, ring: Column, crop: bool = False) -> DataFrame:
+    """Pixels whose centre lies inside a polygon (``array<struct<x, y>>``, even-odd); ``crop`` moves the origin to its box."""
+    from .spatial import in_polygon
+
+    out = df.filter(in_polygon(F.col("x") + 0.5, F.col("y") + 0.5, ring))
+    low = lambda c: F.floor(F.array_min(F.transform(ring, lambda p: p[c])))
+    return out.withColumns({"x": F.col("x") - low("x"), "y": F.col("y") - low("y")}) if crop else out
+
+
 def ignore(df: DataFrame, bands: list[str], value: float | None = None, tolerance: float = 1e-9, mode: str = "any") -> DataFrame:
     """Drop pixels with no value, or the ignore value, in any or all bands."""
     bad = [known(F.col(b)).isNull() | (F.lit(False) if value is None else F.coalesce(F.abs(F.col(b) - value) <= tolerance, F.lit(False))) for b in bands]

@@ -20,10 +20,11 @@ def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column
 
 
 def boxes_meet(a: DataFrame, b: DataFrame, size: float, predicate: str = "intersects") -> DataFrame:
-    """Pairs of boxes ``(aid, bid)`` under a predicate: intersects, contains, within, touches, overlaps, crosses, equals.
+    """Pairs of boxes ``(aid, bid)`` under a predicate: intersects, contains, within, touches, overlaps, equals.
 
     Both tables have ``id, x0, y0, x1, y1``.  A pair is reported from the cell
     that holds the lower corner of the boxes' common part, so none repeats.
+    Two areas never cross; `rings` has polygons, lines and ``disjoint``.
     """
     ca = a.select(F.col("id").alias("aid"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")], F.explode(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)).alias("c"))
     cb = b.select(F.col("id").alias("bid"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")], F.explode(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)).alias("c"))
@@ -33,15 +34,28 @@ def boxes_meet(a: DataFrame, b: DataFrame, size: float, predicate: str = "inters
     inside = (F.col("ax0") < F.col("bx1")) & (F.col("bx0") < F.col("ax1")) & (F.col("ay0") < F.col("by1")) & (F.col("by0") < F.col("ay1"))
     within = (F.col("ax0") >= F.col("bx0")) & (F.col("ax1") <= F.col("bx1")) & (F.col("ay0") >= F.col("by0")) & (F.col("ay1") <= F.col("by1"))
     contains = (F.col("bx0") >= F.col("ax0")) & (F.col("bx1") <= F.col("ax1")) & (F.col("by0") >= F.col("ay0")) & (F.col("by1") <= F.col("ay1"))
-    test = {"intersects": meet, "contains": contains, "within": within, "touches": meet & ~inside, "overlaps": inside & ~within & ~contains, "crosses": F.lit(False), "equals": within & contains}[predicate]
+    test = {"intersects": meet, "contains": contains, "within": within, "touches": meet & ~inside, "overlaps": inside & ~within & ~contains, "equals": within & contains}[predicate]
     return p.filter(test).select("aid", "bid")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """Points joined to the half-open boxes [x0, x1) x [y0, y1) that hold them; columns of both."""
+def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, closed: bool = False) -> DataFrame:
+    """Points joined to the boxes that hold them, [x0, x1) x [y0, y1), or with both ends if ``closed``; columns of both."""
     p = points.withColumn("_c", F.struct(F.floor(F.col("py") / size).alias("cy"), F.floor(F.col("px") / size).alias("cx")))
     b = boxes.withColumn("_c", F.explode(cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)))
-    return p.join(b, "_c").filter((F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1"))).drop("_c")
+    upto = (F.col("px") <= F.col("x1")) & (F.col("py") <= F.col("y1")) if closed else (F.col("px") < F.col("x1")) & (F.col("py") < F.col("y1"))
+    return p.join(b, "_c").filter((F.col("px") >= F.col("x0")) & (F.col("py") >= F.col("y0")) & upto).drop("_c")
+
+
+def profile(pixels: DataFrame, lines: DataFrame, step: float) -> DataFrame:
+    """``(line, k, distance, value)``: pixels (y, x, value) under points every ``step`` along ``lines(line, x0, y0, x1, y1)``.
+
+    A point off the pixels has no value; a line shorter than a step has its first point.
+    """
+    length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)
+    at = lines.withColumn("_n", length).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / step + 1e-9).cast("int"))))
+    t = F.when(F.col("_n") > 0, F.col("k") * step / F.col("_n")).otherwise(0.0)
+    at = at.select("line", "k", (F.col("k") * F.lit(float(step))).alias("distance"), F.floor(F.col("y0") + (F.col("y1") - F.col("y0")) * t).alias("y"), F.floor(F.col("x0") + (F.col("x1") - F.col("x0")) * t).alias("x"))
+    return at.join(pixels.select("y", "x", "value"), ["y", "x"], "left").select("line", "k", "distance", "value")
 
 
 def in_polygon(x: Column, y: Column, ring: Column) -> Column:
@@ -129,8 +143,16 @@ def sample_training(pixels: DataFrame, boxes: DataFrame, cls: str, cap: int, see
 # --- resampling to a target grid
 
 
-def resample(df: DataFrame, target: DataFrame, scale: float, offset: float = 0.0, method: str = "nearest") -> DataFrame:
-    """Values of ``df`` at the target's pixel centres: source coordinate = (pixel + 0.5) * scale + offset - 0.5.
+def fusion_pixels(ms: DataFrame, pan: DataFrame, bands: list[str], scale: float, offset: float = 0.0, method: str = "bilinear") -> DataFrame:
+    """``(y, x, pan, bands..)`` on the grid of ``pan(y, x, value)``: coarser ``ms(y, x, bands..)`` resampled there, then an equi join.
+
+    ``scale`` is a pan pixel's size in ms pixels; pan pixels without ms, or the reverse, go.
+    """
+    return pan.select("y", "x", F.col("value").alias("pan")).join(resample(ms, pan, scale, offset, method, bands), ["y", "x"])
+
+
+def resample(df: DataFrame, target: DataFrame, scale: float, offset: float = 0.0, method: str = "nearest", cols: list[str] | None = None) -> DataFrame:
+    """Columns ``cols`` (``value``) of ``df`` at the target's pixel centres: source coordinate = (pixel + 0.5) * scale + offset - 0.5.
 
     nearest (1 tap), bilinear (4) or cubic (16, a = -0.5); missing taps are
     skipped and weights renormalised.
@@ -144,9 +166,12 @@ def resample(df: DataFrame, target: DataFrame, scale: float, offset: float = 0.0
         o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in r for b in r])).alias("o")
         taps = t.select("*", o).withColumns({"ty": F.floor("sy") + F.col("o.a"), "tx": F.floor("sx") + F.col("o.b")})
         taps = taps.withColumn("w", _tap(F.abs(F.col("sy") - F.col("ty")), method) * _tap(F.abs(F.col("sx") - F.col("tx")), method))
-    src = df.select(F.col("y").alias("ty"), F.col("x").alias("tx"), "value")
-    got = taps.join(src, ["ty", "tx"]).filter(F.col("value").isNotNull())
-    return got.groupBy("y", "x").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    cols = cols or ["value"]
+    src = df.select(F.col("y").alias("ty"), F.col("x").alias("tx"), *cols)
+    got = taps.join(src, ["ty", "tx"])
+    if len(cols) == 1:
+        got = got.filter(F.col(cols[0]).isNotNull())
+    return got.groupBy("y", "x").agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c) for c in cols])
 
 
 def _tap(d, method):

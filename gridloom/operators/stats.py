@@ -40,22 +40,26 @@ def segment_stats(df: DataFrame, label: str, bands: list[str]) -> DataFrame:
 def segment_features(df: DataFrame, label: str, band: str, levels: int = 8, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Per segment: spectral statistics, shape, and co-occurrence texture of right and lower neighbours.
 
-    One neighbour self-join gives perimeter and co-occurrence; rows are
-    ``(y, x, label, band)``.
+    ``perimeter`` counts pixels with a side on another segment or the edge,
+    ``compactness`` is its square over 4 pi areas, ``correlation`` that of
+    co-occurring levels (null where they do not vary).  One neighbour self-join
+    gives perimeter and co-occurrence; rows are ``(y, x, label, band)``.
     """
     px = df.filter(F.col(label) > 0).select("y", "x", F.col(label).alias("seg"), F.col(band).cast("double").alias("v"))
     base = px.groupBy("seg").agg(F.count(F.lit(1)).alias("area"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), F.min("v").alias("min"), F.max("v").alias("max"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
     q = F.least(F.greatest(F.floor((F.col("v") - low) / (high - low) * levels), F.lit(0)), F.lit(levels - 1))
     px = px.withColumn("q", q)
     steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0))]))
-    pairs = px.withColumn("o", steps).select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "seg", F.col("q").alias("qa"))
+    pairs = px.withColumn("o", steps).select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "seg", F.col("q").alias("qa"), "o")
     inner = pairs.join(px.select("y", "x", "seg", F.col("q").alias("qb")), ["y", "x", "seg"])
     d, p = F.col("qa") - F.col("qb"), F.count(F.lit(1))
-    texture = inner.groupBy("seg").agg(p.alias("pairs"), F.avg(d * d).alias("contrast"), F.avg(1 / (1 + F.abs(d))).alias("homogeneity"))
+    texture = inner.groupBy("seg").agg(p.alias("pairs"), F.avg(d * d).alias("contrast"), F.avg(1 / (1 + F.abs(d))).alias("homogeneity"), F.corr(F.col("qa").cast("double"), F.col("qb").cast("double")).alias("correlation"))
     energy = inner.groupBy("seg", "qa", "qb").count().groupBy("seg").agg((F.sum(F.col("count") * F.col("count")) / (F.sum("count") * F.sum("count"))).alias("energy"))
-    out = base.join(texture, "seg", "left").join(energy, "seg", "left")
-    perimeter = 4 * F.col("area") - 2 * F.coalesce("pairs", F.lit(0))
-    return out.select(F.col("seg").alias("segment_id"), "area", "mean", "stddev", "min", "max", perimeter.alias("perimeter"), (perimeter / (4 * F.sqrt("area"))).alias("shape_index"), (4 * 3.141592653589793 * F.col("area") / (perimeter * perimeter)).alias("compactness"), (F.col("area") / (F.col("w") * F.col("h"))).alias("rectangularity"), (F.greatest("w", "h") / F.least("w", "h")).alias("aspect_ratio"), "contrast", "homogeneity", "energy")
+    ends = F.explode(F.array(F.struct("y", "x"), F.struct((F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x")))).alias("p")
+    inside = inner.select("seg", ends).groupBy("seg", "p").count().filter("count = 4").groupBy("seg").agg(F.count(F.lit(1)).alias("inside"))
+    out = base.join(texture, "seg", "left").join(energy, "seg", "left").join(inside, "seg", "left")
+    perimeter = F.col("area") - F.coalesce("inside", F.lit(0))
+    return out.select(F.col("seg").alias("segment_id"), "area", "mean", "stddev", "min", "max", perimeter.alias("perimeter"), (perimeter / (4 * F.sqrt("area"))).alias("shape_index"), (perimeter * perimeter / (4 * 3.141592653589793 * F.col("area"))).alias("compactness"), (F.col("area") / (F.col("w") * F.col("h"))).alias("rectangularity"), (F.greatest("w", "h") / F.least("w", "h")).alias("aspect_ratio"), "contrast", "correlation", "homogeneity", "energy")
 
 
 def transitions(df: DataFrame, before: str, after: str, classes: int) -> DataFrame:
@@ -216,6 +220,61 @@ def jm_separability(stats: DataFrame, size: int, key: str = "label") -> list[tup
     return out
 
 
+def linear_fit(df: DataFrame, px: str, py: str, mx: str, my: str) -> DataFrame:
+    """Origin and signed scales per axis of control points, by least squares: one row ``(x0, y0, sx, sy, rmse)``; nulls where an axis does not vary."""
+    r = df.agg(F.regr_slope(mx, px).alias("sx"), F.regr_slope(my, py).alias("sy"), F.regr_intercept(mx, px).alias("x0"), F.regr_intercept(my, py).alias("y0"))
+    both = df.crossJoin(F.broadcast(r))
+    ex, ey = F.col(mx) - F.col("x0") - F.col("sx") * F.col(px), F.col(my) - F.col("y0") - F.col("sy") * F.col(py)
+    return both.groupBy("x0", "y0", "sx", "sy").agg(F.sqrt(F.avg(ex * ex + ey * ey)).alias("rmse"))
+
+
+def helmert_fit(df: DataFrame, px: str, py: str, mx: str, my: str) -> DataFrame:
+    """Rotation, one scale and shift of control points, by least squares: one row ``(x0, y0, scale, rotation, rmse)``.
+
+    ``X = a x - b y + x0``, ``Y = b x + a y + y0`` with ``a, b`` the scale times
+    the rotation's cosine and sine; nulls where all source points are one.
+    """
+    spread = F.var_pop(px) + F.var_pop(py)
+    a = (F.covar_pop(px, mx) + F.covar_pop(py, my)) / F.nullif(spread, F.lit(0.0))
+    b = (F.covar_pop(px, my) - F.covar_pop(py, mx)) / F.nullif(spread, F.lit(0.0))
+    r = df.agg(a.alias("a"), b.alias("b"), *[F.avg(c).alias(f"_m{k}") for k, c in enumerate((px, py, mx, my))])
+    r = r.select("a", "b", (F.col("_m2") - F.col("a") * F.col("_m0") + F.col("b") * F.col("_m1")).alias("x0"), (F.col("_m3") - F.col("b") * F.col("_m0") - F.col("a") * F.col("_m1")).alias("y0"))
+    ex = F.col(mx) - (F.col("a") * F.col(px) - F.col("b") * F.col(py) + F.col("x0"))
+    ey = F.col(my) - (F.col("b") * F.col(px) + F.col("a") * F.col(py) + F.col("y0"))
+    got = df.crossJoin(F.broadcast(r)).groupBy("a", "b", "x0", "y0").agg(F.sqrt(F.avg(ex * ex + ey * ey)).alias("rmse"))
+    return got.select("x0", "y0", F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("scale"), F.atan2("b", "a").alias("rotation"), "rmse")
+
+
+def projective_fit(df: DataFrame, px: str, py: str, mx: str, my: str) -> list[float]:
+    """The nine numbers, row by row, of the homography of control points (the last is 1), by normalised direct linear transformation.
+
+    Two aggregates: means and mean distances, then the 9 x 9 sums of products of
+    the scaled equations, whose least eigenvector is the answer.  Points that do
+    not spread raise.
+    """
+    m = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate((px, py, mx, my))]).first()
+    far = lambda x, y, i, j: F.avg(F.sqrt((F.col(x) - m[i]) ** 2 + (F.col(y) - m[j]) ** 2))
+    d = df.agg(far(px, py, "m0", "m1").alias("s"), far(mx, my, "m2", "m3").alias("t")).first() if m["m0"] is not None else None
+    if d is None or not d["s"] or not d["t"]:
+        raise ValueError("control points do not spread")
+    s, t = 2**0.5 / d["s"], 2**0.5 / d["t"]
+    u, v, x, y = ((F.col(c) - m[f"m{k}"]) * (s if k < 2 else t) for k, c in enumerate((px, py, mx, my)))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rows = [[-u, -v, -one, zero, zero, zero, x * u, x * v, x], [zero, zero, zero, -u, -v, -one, y * u, y * v, y]]
+    sums = df.agg(*[F.sum(rows[0][i] * rows[0][j] + rows[1][i] * rows[1][j]).alias(f"n{i}{j}") for i in range(9) for j in range(i, 9)]).first()
+    normal = np.array([[sums[f"n{min(i, j)}{max(i, j)}"] for j in range(9)] for i in range(9)])
+    h = np.linalg.eigh(normal)[1][:, 0].reshape(3, 3)
+    source = np.array([[s, 0, -s * m["m0"]], [0, s, -s * m["m1"]], [0, 0, 1]])
+    target = np.array([[t, 0, -t * m["m2"]], [0, t, -t * m["m3"]], [0, 0, 1]])
+    h = np.linalg.solve(target, h @ source)
+    return [float(k) for k in (h / h[2, 2]).ravel()]
+
+
+def projected(x: Column, y: Column, h: list[float]) -> tuple[Column, Column]:
+    z = x * h[6] + y * h[7] + h[8]
+    return (x * h[0] + y * h[1] + h[2]) / z, (x * h[3] + y * h[4] + h[5]) / z
+
+
 def affine_fit(df: DataFrame, px: str, py: str, mx: str, my: str) -> DataFrame:
     """Least-squares affine map of control points: one row ``(a0, a1, a2, b0, b1, b2, rmse)``; six sums, a 3 x 3 solve."""
     p = [F.lit(1.0), F.col(px), F.col(py)]

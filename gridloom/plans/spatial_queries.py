@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import clean
 from ..operators import components as C
 from ..operators import focal as O
+from ..operators import pixel, rings
 from ..operators import spatial as S
 from .fixtures import ctes, load
 from .registry import query
@@ -72,9 +73,9 @@ def c04(spark, d):
     return rounded(S.nearest(load(spark, d, "pts"), load(spark, d, "pts2"), 3), "distance")
 
 
-@query("c05_distance_matrix", _NEAR + " SELECT aid, bid, round(distance, 6) AS distance FROM r WHERE bid % 10 = 0")
+@query("c05_distance_matrix", _NEAR + " SELECT aid, bid, round(distance, 6) AS distance FROM r WHERE bid % 20 = 0")
 def c05(spark, d):
-    return rounded(S.distance_matrix(load(spark, d, "pts"), load(spark, d, "pts2").filter("id % 10 = 0")), "distance")
+    return rounded(S.distance_matrix(load(spark, d, "pts"), load(spark, d, "pts2").filter("id % 20 = 0")), "distance")
 
 
 @query("c06_radius_search", _NEAR + " SELECT aid, bid, round(distance, 6) AS distance FROM r WHERE distance <= 7")
@@ -263,3 +264,79 @@ def k04(spark, d):
 @query("k05_buffer_cells", f"{ctes('grid')} SELECT DISTINCT t.y, t.x FROM grid t JOIN grid s ON s.value >= 450000 AND abs(s.y - t.y) <= 3 AND abs(s.x - t.x) <= 3 AND pow(s.y - t.y, 2) + pow(s.x - t.x, 2) <= 9")
 def k05(spark, d):
     return O.proximity(load(spark, d, "grid"), "value >= 450000", 3).filter("distance IS NOT NULL").select("y", "x")
+
+
+# --- polygons as diamonds |x - cx| + |y - cy| <= r on a half-unit lattice: SQL states their relations by the turned boxes x + y, x - y
+
+
+_DIA = f"{ctes('pts', 'pts2')}, a AS (SELECT id, floor(px) AS cx, floor(py) AS cy, cast(2 + id % 4 AS double) AS r FROM pts), b AS (SELECT id, floor(px) + 0.5 AS cx, floor(py) + 0.5 AS cy, cast(4 + id % 6 AS double) AS r FROM pts2), p AS (SELECT a.id AS aid, b.id AS bid, abs(a.cx + a.cy - b.cx - b.cy) AS u, abs(a.cx - a.cy - b.cx + b.cy) AS v, a.r + b.r AS far, b.r - a.r AS more FROM a, b)"
+_TESTS = {"intersects": "u <= far AND v <= far", "touches": "u <= far AND v <= far AND NOT (u < far AND v < far)", "within": "u <= more AND v <= more", "contains": "u <= -more AND v <= -more", "overlaps": "u < far AND v < far AND NOT (u <= more AND v <= more) AND NOT (u <= -more AND v <= -more)", "equals": "u = 0 AND v = 0 AND more = 0"}
+
+
+def _diamonds(df, radius, half):
+    x, y, r = F.floor("px") + half, F.floor("py") + half, radius.cast("double")
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    return df.select("id", F.array(corner(x + r, y), corner(x, y + r), corner(x - r, y), corner(x, y - r)).alias("ring"))
+
+
+def _related(how, sql):
+    @query(f"c03_polygons_{how}", f"{_DIA} SELECT aid, bid FROM p WHERE {sql}")
+    def run(spark, d):
+        a = _diamonds(load(spark, d, "pts"), 2 + F.col("id") % 4, 0.0)
+        return rings.rings_meet(a, _diamonds(load(spark, d, "pts2"), 4 + F.col("id") % 6, 0.5), 16.0, how)
+
+
+for _how, _sql in _TESTS.items():
+    if _how != "equals":
+        _related(_how, _sql)
+
+
+@query("c03_polygons_equal", f"{ctes('pts')}, a AS (SELECT id, floor(px) AS cx, floor(py) AS cy, cast(2 + id % 4 AS double) AS r FROM pts) SELECT a.id AS aid, b.id AS bid FROM a JOIN a b ON a.cx = b.cx AND a.cy = b.cy AND a.r = b.r")
+def c03q(spark, d):
+    a = _diamonds(load(spark, d, "pts"), 2 + F.col("id") % 4, 0.0)
+    return rings.rings_meet(a, a, 16.0, "equals")
+
+
+@query("c03_polygons_disjoint", f"{_DIA} SELECT aid, bid FROM p WHERE bid % 20 = 0 AND NOT (u <= far AND v <= far)")
+def c03d(spark, d):
+    """The stated set of ids divisible by 20 against all."""
+    a = _diamonds(load(spark, d, "pts"), 2 + F.col("id") % 4, 0.0)
+    b = _diamonds(load(spark, d, "pts2").filter("id % 20 = 0"), 4 + F.col("id") % 6, 0.5)
+    return rings.rings_meet(a, b, 16.0, "disjoint")
+
+
+@query("c03_lines_cross", f"{ctes('pts', 'pts2')}, a AS (SELECT id, floor(px) AS x, floor(py) AS y, cast(1 + id % 9 AS double) AS n FROM pts), b AS (SELECT id, floor(px) + 0.5 AS cx, floor(py) + 0.5 AS cy, cast(4 + id % 6 AS double) AS r FROM pts2), p AS (SELECT a.id AS aid, b.id AS bid, x AS lo, x + n AS hi, cx - (r - abs(y - cy)) AS f, cx + (r - abs(y - cy)) AS t, abs(y - cy) < r AS met FROM a, b) SELECT aid, bid FROM p WHERE met AND greatest(lo, f) < least(hi, t) AND NOT (lo >= f AND hi <= t)")
+def c03l(spark, d):
+    """Level lines that lie partly inside and partly outside of diamonds."""
+    end = lambda x: F.struct(x.cast("double").alias("x"), F.floor("py").cast("double").alias("y"))
+    a = load(spark, d, "pts").select("id", F.array(end(F.floor("px")), end(F.floor("px") + 1 + F.col("id") % 9)).alias("ring"))
+    return rings.rings_meet(a, _diamonds(load(spark, d, "pts2"), 4 + F.col("id") % 6, 0.5), 16.0, "crosses", line=True)
+
+
+@query("c06_rectangle_search", f"{ctes('pts', 'pts2')}, q AS (SELECT id AS box, floor(px) AS x0, floor(py) AS y0, floor(px) + 15 AS x1, floor(py) + 10 AS y1 FROM pts2 WHERE id % 20 = 0) SELECT box, id FROM q JOIN pts ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1")
+def c06r(spark, d):
+    q = load(spark, d, "pts2").filter("id % 20 = 0").select(F.col("id").alias("box"), F.floor("px").cast("double").alias("x0"), F.floor("py").cast("double").alias("y0"), (F.floor("px") + 15).cast("double").alias("x1"), (F.floor("py") + 10).cast("double").alias("y1"))
+    return S.points_in_boxes(load(spark, d, "pts"), q, 16.0, closed=True).select("box", "id")
+
+
+@query("c07_profile", f"{ctes('grid', 'pts2')}, l AS (SELECT id AS line, px AS x0, py AS y0, px + 12 AS x1, py + 9 AS y1 FROM pts2), k AS (SELECT line, cast(k AS integer) AS k, k * 2.5 AS distance, cast(floor(y0 + 9 * k * 2.5 / 15) AS bigint) AS y, cast(floor(x0 + 12 * k * 2.5 / 15) AS bigint) AS x FROM l, range(0, 7) r(k)) SELECT line, k, cast(distance AS double) AS distance, value FROM k LEFT JOIN grid USING (y, x)")
+def c07p(spark, d):
+    lines = load(spark, d, "pts2").select(F.col("id").alias("line"), F.col("px").alias("x0"), F.col("py").alias("y0"), (F.col("px") + 12).alias("x1"), (F.col("py") + 9).alias("y1"))
+    return S.profile(load(spark, d, "grid"), lines, 2.5)
+
+
+@query("c13_fusion_join", f"{ctes('grid', 'ms')}, t AS (SELECT y, x, value AS pan, floor((y + 0.5) * 0.5) AS ty, floor((x + 0.5) * 0.5) AS tx FROM grid) SELECT t.y, t.x, pan, b1, b2 FROM t JOIN ms s ON s.y = ty AND s.x = tx")
+def c13(spark, d):
+    """Multispectral pixels of twice the size brought to the panchromatic grid."""
+    return S.fusion_pixels(load(spark, d, "ms").select("y", "x", "b1", "b2"), load(spark, d, "grid"), ["b1", "b2"], 0.5, method="nearest")
+
+
+@query("c13_fusion_bilinear", f"{ctes('grid', 'ms')}, t AS (SELECT y, x, value AS pan, (y + 0.5) * 0.5 - 0.5 AS sy, (x + 0.5) * 0.5 - 0.5 AS sx FROM grid), w AS (SELECT t.y, t.x, pan, greatest(1 - abs(sy - s.y), 0) * greatest(1 - abs(sx - s.x), 0) AS w, s.b1, s.b2 FROM t JOIN ms s ON s.y BETWEEN floor(sy) AND floor(sy) + 1 AND s.x BETWEEN floor(sx) AND floor(sx) + 1) SELECT y, x, any_value(pan) AS pan, round(sum(w * b1) / sum(w) FILTER (WHERE b1 IS NOT NULL), 6) AS b1, round(sum(w * b2) / sum(w) FILTER (WHERE b2 IS NOT NULL), 6) AS b2 FROM w GROUP BY y, x")
+def c13b(spark, d):
+    return rounded(S.fusion_pixels(load(spark, d, "ms").select("y", "x", "b1", "b2"), load(spark, d, "grid"), ["b1", "b2"], 0.5), "b1", "b2")
+
+
+@query("b18_cutline", f"{ctes('grid')} SELECT y, x, value FROM grid WHERE y + 0.5 > 5 AND x + 0.5 - 8 > (y + 0.5 - 5) / 2 AND 93 - x - 0.5 > (y + 0.5 - 5) / 2")
+def b18p(spark, d):
+    ring = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((8.0, 5.0), (93.0, 5.0), (50.5, 90.0))])
+    return pixel.cutline(load(spark, d, "grid"), ring).select("y", "x", "value")

@@ -34,17 +34,18 @@ def d03(spark, d):
 
 _D4 = f"""{ctes('grid')}, p AS (SELECT y, x, label AS seg, value AS v, cast(least(greatest(floor(value / 500000.0 * 8), 0), 7) AS bigint) AS q FROM grid),
  b AS (SELECT seg, count(*) AS area, avg(v) AS mean, stddev_pop(v) AS stddev, min(v) AS min, max(v) AS max, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM p GROUP BY seg),
- i AS (SELECT a.seg, a.q AS qa, c.q AS qb FROM p a JOIN p c ON a.seg = c.seg AND ((c.y = a.y AND c.x = a.x + 1) OR (c.y = a.y + 1 AND c.x = a.x))),
- t AS (SELECT seg, count(*) AS pairs, avg((qa - qb) * (qa - qb)) AS contrast, avg(1.0 / (1 + abs(qa - qb))) AS homogeneity FROM i GROUP BY seg),
+ i AS (SELECT a.seg, a.q AS qa, c.q AS qb, a.y AS y1, a.x AS x1, c.y AS y2, c.x AS x2 FROM p a JOIN p c ON a.seg = c.seg AND ((c.y = a.y AND c.x = a.x + 1) OR (c.y = a.y + 1 AND c.x = a.x))),
+ t AS (SELECT seg, count(*) AS pairs, avg((qa - qb) * (qa - qb)) AS contrast, avg(1.0 / (1 + abs(qa - qb))) AS homogeneity, corr(qa, qb) AS correlation FROM i GROUP BY seg),
+ s AS (SELECT seg, count(*) AS inside FROM (SELECT seg, y, x FROM (SELECT seg, y1 AS y, x1 AS x FROM i UNION ALL SELECT seg, y2, x2 FROM i) GROUP BY seg, y, x HAVING count(*) = 4) GROUP BY seg),
  e AS (SELECT seg, sum(n * n) / (sum(n) * sum(n)) AS energy FROM (SELECT seg, qa, qb, cast(count(*) AS double) AS n FROM i GROUP BY ALL) GROUP BY seg)
-SELECT b.seg AS segment_id, area, round(mean, 4) AS mean, round(stddev, 3) AS stddev, min, max, 4 * area - 2 * coalesce(pairs, 0) AS perimeter, round((4 * area - 2 * pairs) / (4 * sqrt(area)), 6) AS shape_index, round(4 * pi() * area / ((4 * area - 2 * pairs) * (4 * area - 2 * pairs)), 6) AS compactness, round(area / (w * h), 6) AS rectangularity, round(greatest(w, h) / least(w, h), 6) AS aspect_ratio, round(contrast, 6) AS contrast, round(homogeneity, 6) AS homogeneity, round(energy, 6) AS energy
-FROM b LEFT JOIN t USING (seg) LEFT JOIN e ON e.seg = b.seg"""
+SELECT b.seg AS segment_id, area, round(mean, 4) AS mean, round(stddev, 3) AS stddev, min, max, area - coalesce(inside, 0) AS perimeter, round((area - coalesce(inside, 0)) / (4 * sqrt(area)), 6) AS shape_index, round(pow(area - coalesce(inside, 0), 2) / (4 * pi() * area), 6) AS compactness, round(area / (w * h), 6) AS rectangularity, round(greatest(w, h) / least(w, h), 6) AS aspect_ratio, round(contrast, 6) AS contrast, round(correlation, 6) AS correlation, round(homogeneity, 6) AS homogeneity, round(energy, 6) AS energy
+FROM b LEFT JOIN t USING (seg) LEFT JOIN e ON e.seg = b.seg LEFT JOIN s ON s.seg = b.seg"""
 
 
 @query("d04_segment_features", _D4)
 def d04(spark, d):
     out = S.segment_features(load(spark, d, "grid"), "label", "value", 8, 0.0, 500000.0)
-    out = rounded(rounded(rounded(out, "mean", digits=4), "stddev", digits=3), "shape_index", "compactness", "rectangularity", "aspect_ratio", "contrast", "homogeneity", "energy")
+    out = rounded(rounded(rounded(out, "mean", digits=4), "stddev", digits=3), "shape_index", "compactness", "rectangularity", "aspect_ratio", "contrast", "correlation", "homogeneity", "energy")
     return out
 
 
@@ -174,3 +175,36 @@ def d21(spark, d):
     for t in ("part", "nation"):
         spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql("SELECT n_regionkey, p_type, count(*) AS n FROM part JOIN nation ON p_size % 25 = n_nationkey GROUP BY CUBE (n_regionkey, p_type)")
+
+
+#: Control points: a known map of the points, and what is left over.
+_GCP = f"{ctes('pts')}, g AS (SELECT id, px, py, 3 * px - 7 + (id % 7 - 3) * 0.01 AS lx, -2 * py + 40 + (id % 5 - 2) * 0.02 AS ly, 1.6 * px - 1.2 * py + 5 + (id % 7 - 3) * 0.01 AS hx, 1.2 * px + 1.6 * py - 9 + (id % 5 - 2) * 0.02 AS hy FROM pts)"
+
+
+def _control_points(spark, d):
+    x, y, k = F.col("px"), F.col("py"), F.col("id")
+    a, b = (k % 7 - 3) * 0.01, (k % 5 - 2) * 0.02
+    return load(spark, d, "pts").withColumns({"lx": 3 * x - 7 + a, "ly": -2 * y + 40 + b, "hx": 1.6 * x - 1.2 * y + 5 + a, "hy": 1.2 * x + 1.6 * y - 9 + b})
+
+
+@query("d19_linear_fit", _GCP + ", f AS (SELECT regr_intercept(lx, px) AS x0, regr_intercept(ly, py) AS y0, regr_slope(lx, px) AS sx, regr_slope(ly, py) AS sy FROM g) SELECT round(any_value(x0), 6) AS x0, round(any_value(y0), 6) AS y0, round(any_value(sx), 6) AS sx, round(any_value(sy), 6) AS sy, round(sqrt(avg(pow(lx - x0 - sx * px, 2) + pow(ly - y0 - sy * py, 2))), 6) AS rmse FROM g, f")
+def d19l(spark, d):
+    return rounded(S.linear_fit(_control_points(spark, d), "px", "py", "lx", "ly"), "x0", "y0", "sx", "sy", "rmse")
+
+
+_CENTRED = "m AS (SELECT avg(px) AS cx, avg(py) AS cy, avg(hx) AS dx, avg(hy) AS dy FROM g), c AS (SELECT px, py, hx, hy, px - cx AS u, py - cy AS v, hx - dx AS p, hy - dy AS q FROM g, m), k AS (SELECT sum(u * p + v * q) / sum(u * u + v * v) AS a, sum(u * q - v * p) / sum(u * u + v * v) AS b FROM c), o AS (SELECT a, b, dx - a * cx + b * cy AS x0, dy - b * cx - a * cy AS y0 FROM k, m)"
+
+
+@query("d19_helmert_fit", _GCP + f", {_CENTRED} SELECT round(any_value(x0), 6) AS x0, round(any_value(y0), 6) AS y0, round(any_value(sqrt(a * a + b * b)), 6) AS scale, round(any_value(atan2(b, a)), 6) AS rotation, round(sqrt(avg(pow(hx - (a * px - b * py + x0), 2) + pow(hy - (b * px + a * py + y0), 2))), 6) AS rmse FROM c, o")
+def d19h(spark, d):
+    return rounded(S.helmert_fit(_control_points(spark, d), "px", "py", "hx", "hy"), "x0", "y0", "scale", "rotation", "rmse")
+
+
+@query("d19_projective_fit", f"{ctes('pts')} SELECT id, round((1.5 * px + 0.2 * py + 40) / (0.002 * px + 0.001 * py + 1), 5) AS mx, round((0.1 * px + 1.2 * py - 30) / (0.002 * px + 0.001 * py + 1), 5) AS my FROM pts")
+def d19p(spark, d):
+    """The fit finds the homography that made the control points (those with ids divisible by 3), and maps all points with it."""
+    p = load(spark, d, "pts")
+    x, y = S.projected(F.col("px"), F.col("py"), [1.5, 0.2, 40.0, 0.1, 1.2, -30.0, 0.002, 0.001, 1.0])
+    h = S.projective_fit(p.filter("id % 3 = 0").withColumns({"mx": x, "my": y}), "px", "py", "mx", "my")
+    x, y = S.projected(F.col("px"), F.col("py"), h)
+    return p.select("id", clean(x, 5).alias("mx"), clean(y, 5).alias("my"))

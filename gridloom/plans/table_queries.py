@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import clean, nearest
 from ..operators import chain as K
 from ..operators import focal, ml, pixel, provenance, stats
-from ..operators.components import _written
+from ..operators.components import shared_path
 from ..sources import rasters as R
 from .fixtures import ctes, load
 from .registry import query
@@ -21,7 +23,62 @@ MS = ["b1", "b2", "b3", "b4"]
 
 @query("a01_round_trip", f"{ctes('ms')} SELECT y, x, b1 FROM ms")
 def a01(spark, d):
-    return _written(load(spark, d, "ms").select("y", "x", "b1"))
+    path = shared_path(spark, "pixels")
+    R.write_pixels(load(spark, d, "ms").select("y", "x", "b1"), path)
+    return R.read_pixels(spark, path).select("y", "x", "b1")
+
+
+@query("a02_features", "SELECT s_suppkey AS id, s_name AS name, round(s_acctbal, 2) AS balance FROM supplier")
+def a02(spark, d):
+    """Features written as GeoJSON collections and read back."""
+    path = shared_path(spark, "features")
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("s_suppkey") % 360 - 180.0, F.lit(0.0)).alias("coordinates"))
+    R.convert_features(s.select(point.alias("geometry"), F.struct("s_suppkey", "s_name", "s_acctbal").alias("properties")), path, "geojson")
+    p = F.col("properties")
+    return R.read_features(spark, path, "geojson").select(p["s_suppkey"].alias("id"), p["s_name"].alias("name"), F.round(p["s_acctbal"], 2).alias("balance"))
+
+
+@query("a03_key_values", "SELECT s_suppkey AS id, s_name AS scene, round(s_acctbal, 2) AS sun FROM supplier")
+def a03(spark, d):
+    """Metadata text files, one a supplier group, parsed into one row a file."""
+    path = shared_path(spark, "metadata")
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    text = F.format_string('GROUP = META\n  ID = %d\n  SCENE_ID = "%s"\n  SUN_ELEVATION = %.2f\nEND', "s_suppkey", "s_name", "s_acctbal")
+    s.select(text.alias("value"), F.col("s_suppkey").alias("k")).write.partitionBy("k").text(path)
+    got = R.key_values(spark, path + "/*", ["ID", "SCENE_ID", "SUN_ELEVATION"])
+    return got.select(F.col("ID").cast("bigint").alias("id"), F.col("SCENE_ID").alias("scene"), F.round(F.col("SUN_ELEVATION").cast("double"), 2).alias("sun"))
+
+
+@query("a04_xml", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def a04(spark, d):
+    path = shared_path(spark, "xml")
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    row = F.concat(F.lit("<product><scene><id>"), F.col("s_suppkey").cast("string"), F.lit("</id><name>"), F.col("s_name"), F.lit("</name></scene></product>"))
+    s.select(row.alias("value"), F.col("s_suppkey").alias("k")).write.partitionBy("k").text(path)
+    return R.xml_rows(spark, path + "/*", "scene").select(F.col("id").cast("bigint").alias("id"), "name")
+
+
+@query("a14_convert", "SELECT p_partkey AS id, p_brand AS brand FROM part")
+def a14(spark, d):
+    """The same features as csv, parquet and GeoJSON: rows that all three hold."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
+    found = None
+    for fmt in ("csv", "parquet", "geojson"):
+        path = shared_path(spark, fmt)
+        R.convert_features(p.select(F.lit(None).cast("string").alias("geometry"), F.struct("id", "brand").alias("properties")) if fmt == "geojson" else p, path, fmt)
+        rows = R.read_features(spark, path, fmt)
+        rows = rows.select("properties.*") if fmt == "geojson" else rows
+        rows = rows.select(F.col("id").cast("bigint").alias("id"), "brand")
+        found = rows if found is None else found.join(rows, ["id", "brand"])
+    return found
+
+
+@query("a05_discover_others", "SELECT 'sentinel2' AS sensor, 'T' || lpad(cast(10 + c_custkey % 50 AS varchar), 2, '0') || 'ABC_' || lpad(cast(20240000 + c_custkey AS varchar), 8, '0') || 'T101010' AS product, 'B08' AS band, 'nir' AS role FROM customer UNION ALL SELECT 'modis', 'MOD09GA.A' || lpad(cast(2024000 + c_custkey % 366 AS varchar), 7, '0') || '.h12v' || lpad(cast(c_custkey % 18 AS varchar), 2, '0'), 'b02', 'nir' FROM customer")
+def a05o(spark, d):
+    c, k = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey")
+    files = c.select(F.explode(F.array(F.format_string("T%02dABC_%08dT101010_B08.jp2", 10 + k % 50, 20240000 + k), F.format_string("MOD09GA.A%07d.h%02dv%02d.061_b02.tif", 2024000 + k % 366, F.lit(12), k % 18))).alias("name"))
+    return R.discover(files).select("sensor", "product", "band", "role")
 
 
 @query("a05_discover", "SELECT 'LC08_' || lpad(cast(c_custkey AS varchar), 6, '0') AS product, 'B4' AS band, 'red' AS role, 654.5 AS wavelength FROM customer")
@@ -67,6 +124,11 @@ def a12(spark, d):
     return R.overview(g, 4).select("y", "x", nearest("value", 6).alias("mean")).join(R.overview(g, 4, "nearest").withColumnRenamed("value", "nearest"), ["y", "x"])
 
 
+@query("a12_overview_gaussian", f"{ctes('grid')}, w AS (SELECT cast(floor(y / 4) AS bigint) AS y, cast(floor(x / 4) AS bigint) AS x, value, exp(-(pow(y % 4 - 1.5, 2) + pow(x % 4 - 1.5, 2)) / 8.0) AS w FROM grid) SELECT y, x, round(sum(w * value) / sum(w), 6) AS value FROM w GROUP BY y, x")
+def a12g(spark, d):
+    return R.overview(load(spark, d, "grid"), 4, "gaussian").select("y", "x", nearest("value", 6).alias("value"))
+
+
 @query("a13_convert_type", f"{ctes('grid')} SELECT y, x, cast(round(least(greatest(value / 1000, 0.0), 255.0)) AS integer) AS value FROM grid")
 def a13(spark, d):
     return load(spark, d, "grid").select("y", "x", pixel.convert_type(F.col("value") / 1000, 0.0, 255.0, "int").alias("value"))
@@ -85,10 +147,14 @@ def a16(spark, d):
     return R.remap_fields(spark.read.parquet(f"{d}/part.parquet"), {"code": ("p_partkey", "string"), "size": ("p_size * 1.5D", "double")})
 
 
-@query("c10_grid_report", "SELECT 0 AS a, n_nationkey AS b, CASE WHEN n_nationkey % 5 = 1 THEN 'crs' WHEN n_nationkey % 3 = 1 THEN 'pixel_size' WHEN n_nationkey % 7 = 2 THEN 'size' WHEN n_nationkey % 2 = 1 THEN 'nodata_warning' ELSE 'ok' END AS verdict FROM nation WHERE n_nationkey > 0")
+@query("c10_grid_report", "SELECT 0 AS a, p_partkey AS b, CASE p_partkey % 12 WHEN 1 THEN 'missing_crs' WHEN 2 THEN 'crs' WHEN 3 THEN 'axis' WHEN 4 THEN 'rotation' WHEN 5 THEN 'pixel_size' WHEN 6 THEN 'origin' WHEN 7 THEN 'extent' WHEN 8 THEN 'extent' WHEN 9 THEN 'nodata_warning' WHEN 10 THEN 'crs' WHEN 11 THEN 'axis' ELSE 'ok' END AS verdict FROM part WHERE p_partkey > 0")
 def c10(spark, d):
-    n, k = spark.read.parquet(f"{d}/nation.parquet"), F.col("n_nationkey")
-    grids = n.select(k.alias("id"), F.when(k % 5 == 1, "EPSG:3857").otherwise("EPSG:4326").alias("crs"), F.when(k % 3 == 1, 60.0).otherwise(30.0).alias("pw"), F.lit(-30.0).alias("ph"), F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.when(k % 7 == 2, 10).otherwise(20).alias("width"), F.lit(20).alias("height"), F.when(k % 2 == 1, 0.0).otherwise(-9999.0).alias("nodata"), (k == 0).alias("reference"))
+    """Grids with one fault each (10: also a pixel size, 11: also a rotation), and one sound reference."""
+    key = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey > 0").select(F.col("p_partkey").alias("id"), F.lit(False).alias("reference"))
+    rows = key.union(spark.createDataFrame([(0, True)], "id bigint, reference boolean"))
+    k = F.when(F.col("reference"), 0).otherwise(F.col("id") % 12)
+    pick = lambda usual, **odd: reduce(lambda c, o: F.when(k == int(o[0][1:]), F.lit(o[1])).otherwise(c), odd.items(), F.lit(usual))
+    grids = rows.select("id", "reference", pick("EPSG:32648", k1=None, k2="EPSG:4326", k10="EPSG:4326").alias("crs"), pick(30.0, k5=60.0, k10=60.0).alias("pw"), pick(-30.0, k3=30.0, k11=30.0).alias("ph"), pick(0.0, k4=0.001, k11=0.001).alias("rx"), F.lit(0.0).alias("ry"), pick(0.0, k6=12.0, k7=90.0).alias("ox"), F.lit(0.0).alias("oy"), pick(20, k8=10).alias("width"), F.lit(20).alias("height"), pick(-9999.0, k9=0.0).alias("nodata"))
     return R.grid_report(grids)
 
 
@@ -124,6 +190,17 @@ def i05(spark, d):
     return _fitted(spark, d, "mlp")
 
 
+_NB = f"{ctes('ms')}, t AS (SELECT * FROM ms WHERE b1 IS NOT NULL AND b2 IS NOT NULL AND b3 IS NOT NULL AND b4 IS NOT NULL), n AS (SELECT count(*) AS n FROM t), k AS (SELECT label, ln(count(*) / any_value(n.n)) AS p, " + ", ".join(f"avg({b}) AS m{b}, var_pop({b}) AS v{b}" for b in MS) + " FROM t, n GROUP BY label), s AS (SELECT y, x, k.label, p - " + " - ".join(f"(ln(2 * pi() * v{b}) + pow({b} - m{b}, 2) / v{b}) / 2" for b in MS) + " AS s FROM t, k)"
+
+
+@query("i06_saved_model", _NB + " SELECT y, x, cast(max_by(label, s) AS integer) AS class FROM s GROUP BY y, x UNION ALL SELECT y, x, NULL FROM ms WHERE b1 IS NULL OR b2 IS NULL OR b3 IS NULL OR b4 IS NULL")
+def i06(spark, d):
+    """A model trained on an attribute table, saved, and loaded to predict only."""
+    ms, path = load(spark, d, "ms"), shared_path(spark, "model")
+    ml.save_model(ml.train_table(ms, MS, "label", "bayes"), path)
+    return ml.apply_model(ms, path, MS).select("y", "x", F.col("class").cast("int").alias("class"))
+
+
 @query("i07_scaler", f"{ctes('ms')}, r AS (SELECT avg(b1) AS m, greatest(stddev_pop(b1), 1e-6) AS s, min(b2) AS lo, max(b2) AS hi FROM ms) SELECT y, x, round((b1 - m) / s, 6) AS b1, round((b2 - lo) / (hi - lo), 6) AS b2 FROM ms, r WHERE b1 IS NOT NULL")
 def i07(spark, d):
     ms = load(spark, d, "ms").filter("b1 IS NOT NULL")
@@ -149,9 +226,13 @@ def i09c(spark, d):
     return rounded(ml.cross_validate(s, "id", 8, 3), "accuracy")
 
 
-@query("i10_remap_clusters", f"{ctes('truth')} SELECT id, cast(truth AS integer) AS mapped FROM truth")
+_PERMS = "RECURSIVE w AS (SELECT DISTINCT cluster FROM g), o AS (SELECT cluster, row_number() OVER (ORDER BY cluster) AS k FROM w), c AS (SELECT cluster, truth, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT 0::bigint AS k, []::bigint[] AS used, 0::bigint AS total UNION ALL SELECT p.k + 1, list_append(used, t.truth), total + coalesce(c.n, 0) FROM p JOIN o ON o.k = p.k + 1 CROSS JOIN (SELECT DISTINCT truth FROM g) t LEFT JOIN c ON c.cluster = o.cluster AND c.truth = t.truth WHERE NOT list_contains(used, t.truth)), b AS (SELECT max_by(used, total) AS used FROM p WHERE k = (SELECT count(*) FROM w))"
+
+
+@query("i10_remap_clusters", f"{ctes('truth')}, g AS (SELECT id, truth, (pred * 3 + 1) % 5 AS cluster FROM truth), {_PERMS[10:]} SELECT id, cast(b.used[o.k] AS integer) AS mapped FROM g JOIN o USING (cluster), b".replace("WITH ", "WITH RECURSIVE ", 1))
 def i10(spark, d):
-    t = load(spark, d, "truth").withColumn("cluster", (F.col("truth") * 3 + 1) % 5)
+    """Clusters made from the predictions; SQL tries every assignment."""
+    t = load(spark, d, "truth").withColumn("cluster", (F.col("pred") * 3 + 1) % 5)
     return ml.remap_clusters(t, "cluster", "truth").select("id", "mapped")
 
 

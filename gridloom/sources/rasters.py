@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,21 @@ def read_features(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 
 def convert_features(df: DataFrame, path: str, fmt: str) -> None:
+    """parquet, csv, or geojson: one FeatureCollection a file of ``type, geometry, properties`` rows."""
+    if fmt == "geojson":
+        one = F.to_json(F.struct(F.lit("Feature").alias("type"), "geometry", "properties"))
+
+        def lines(batches):
+            comma = ""
+            for pdf in batches:
+                for v in pdf["value"]:
+                    yield pd.DataFrame({"value": [(comma or '{"type":"FeatureCollection","features":[\n') + v]})
+                    comma = ","
+            if comma:
+                yield pd.DataFrame({"value": ["]}"]})
+
+        df.select(one.alias("value")).mapInPandas(lines, "value string").write.text(path)
+        return
     df.write.format({"geojson": "json"}.get(fmt, fmt)).option("header", True).save(path)
 
 
@@ -103,12 +119,35 @@ def overview(df: DataFrame, factor: int, method: str = "mean") -> DataFrame:
 
 
 def grid_report(grids: DataFrame) -> DataFrame:
-    """``(a, b, verdict)`` of pairs of a small grid table against a reference row: the first that blocks, or ok."""
-    ref = grids.filter("reference").select(*[F.col(c).alias("r_" + c) for c in ("id", "crs", "pw", "ph", "ox", "oy", "width", "height", "nodata")])
+    """``(a, b, verdict)`` of grids against the one reference row: the first issue that blocks, or ``nodata_warning``, or ``ok``.
+
+    ``grids(id, crs, pw, ph, rx, ry, ox, oy, width, height, nodata, reference)``
+    with signed pixel sizes and rotation terms.  In order: missing_crs (one has
+    none), crs, axis (an axis runs the other way), rotation, pixel_size, origin
+    (off by part of a pixel), extent (the same lattice, another extent).  Two
+    grids without a CRS are not comparable and pass; unknown nodata never warns.
+    """
+    names = ("id", "crs", "pw", "ph", "rx", "ry", "ox", "oy", "width", "height", "nodata")
+    ref = grids.filter("reference").select(*[F.col(c).alias("r_" + c) for c in names])
     both = grids.filter("NOT reference").crossJoin(F.broadcast(ref.limit(1)))
-    checks = [("crs", F.col("crs") != F.col("r_crs")), ("pixel_size", (F.abs(F.col("pw") - F.col("r_pw")) > 1e-9) | (F.abs(F.col("ph") - F.col("r_ph")) > 1e-9)), ("origin", (F.abs(F.col("ox") - F.col("r_ox")) > 1e-9) | (F.abs(F.col("oy") - F.col("r_oy")) > 1e-9)), ("size", (F.col("width") != F.col("r_width")) | (F.col("height") != F.col("r_height")))]
+    pair = lambda c: (F.col(c), F.col("r_" + c))
+    differ = lambda c, tiny: F.abs(F.col(c) - F.col("r_" + c)) > tiny
+    none = [c.isNull() | (c == "") for c in pair("crs")]
+    lone = none[0] != none[1]
+    part = lambda o, p: (lambda k: F.abs(k - F.round(k)) > 1e-6)((F.col(o) - F.col("r_" + o)) / F.col("r_" + p))
+    checks = [
+        ("missing_crs", lone),
+        ("crs", ~lone & (F.col("crs") != F.col("r_crs"))),
+        ("axis", (F.signum("pw") != F.signum("r_pw")) | (F.signum("ph") != F.signum("r_ph"))),
+        ("rotation", (F.abs("rx") > 1e-12) | (F.abs("ry") > 1e-12) | (F.abs("r_rx") > 1e-12) | (F.abs("r_ry") > 1e-12)),
+        ("pixel_size", differ("pw", 1e-9) | differ("ph", 1e-9)),
+        ("origin", part("ox", "pw") | part("oy", "ph")),
+        ("extent", differ("ox", 1e-9) | differ("oy", 1e-9) | (F.col("width") != F.col("r_width")) | (F.col("height") != F.col("r_height"))),
+    ]
     found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks]))
-    return both.select(F.col("r_id").alias("a"), F.col("id").alias("b"), F.coalesce(F.get(found, F.lit(0)), F.when(~F.col("nodata").eqNullSafe(F.col("r_nodata")), F.lit("nodata_warning")).otherwise(F.lit("ok"))).alias("verdict"))
+    warned = F.when(F.col("nodata") != F.col("r_nodata"), F.lit("nodata_warning")).otherwise(F.lit("ok"))
+    verdict = F.when(none[0] & none[1], F.lit("ok")).otherwise(F.coalesce(F.get(found, F.lit(0)), warned))
+    return both.select(F.col("r_id").alias("a"), F.col("id").alias("b"), verdict.alias("verdict"))
 
 
 ITEM = "id string, bbox array<double>, collection string, properties map<string,string>, assets map<string,struct<href:string,type:string>>"
