@@ -1,17 +1,23 @@
 """Neighbourhood operators.
 
-Every pixel is sent once to each window that it belongs to and windows are
-aggregated by their centre: one shuffle with map-side combine, no join.
+Convolutions, medians, filling, proximity and mean shift work on tiles with a
+halo (`tiles`).  The small windows of the others send every pixel once to each
+window that it belongs to and aggregate by centre: one shuffle, no join.
 Borders clamp to the edge: a border pixel also stands for the positions
 beyond it.
 """
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import known, ratio
+from .components import _written
+from .tiles import by_tiles, shifted, strips
 
 
 def extent(df: DataFrame) -> DataFrame:
@@ -50,11 +56,21 @@ def weight(kernel: list[list[float]]):
 def convolve(df: DataFrame, kernel: list[list[float]]) -> DataFrame:
     """Weighted sums.  A centre without a value keeps none; missing neighbours are
     skipped, and averaging kernels are renormalised over the rest."""
-    total = sum(map(sum, kernel))
-    w, v = weight(kernel), F.col("value")
-    got = windows(df.withColumn("value", known(F.col("value"))), len(kernel) // 2).groupBy("y", "x").agg(_centre().alias("c"), F.sum(w * v).alias("s"), F.sum(F.when(v.isNotNull(), w)).alias("w"))
-    out = F.col("s") if abs(total) < 1e-12 else ratio(F.col("s") * total, F.col("w"))
-    return got.select("y", "x", F.when(F.col("c").isNotNull(), out).alias("value"))
+    total, r = sum(map(sum, kernel)), len(kernel) // 2
+
+    def run(arrays, radius):
+        v = arrays["value"]
+        there, zero = ~np.isnan(v), np.nan_to_num(v)
+        s, w = (np.zeros((v.shape[0] - 2 * r, v.shape[1] - 2 * r)) for _ in range(2))
+        for dy, line in enumerate(kernel):
+            for dx, k in enumerate(line):
+                s += k * shifted(zero, r, dy - r, dx - r)
+                w += k * shifted(there, r, dy - r, dx - r)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = s if abs(total) < 1e-12 else np.where(w == 0, np.nan, s * total / w)
+        return [np.where(shifted(there, r, 0, 0), out, np.nan)]
+
+    return by_tiles(df.withColumn("value", known(F.col("value"))), ["value"], r, run, ["value"], every=True)
 
 
 def mean_filter(df: DataFrame, k: int = 3) -> DataFrame:
@@ -71,8 +87,14 @@ def gaussian_kernel(k: int, sigma: float) -> list[list[float]]:
 
 
 def median_filter(df: DataFrame, k: int = 3) -> DataFrame:
-    got = windows(df.withColumn("value", known(F.col("value"))), k // 2).groupBy("y", "x").agg(_centre().alias("c"), F.percentile("value", 0.5).alias("m"))
-    return got.select("y", "x", F.when(F.col("c").isNotNull(), F.col("m")).alias("value"))
+    def run(arrays, radius):
+        v = arrays["value"]
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # windows without a value
+            middle = strips(v, radius, lambda w: np.nanmedian(w, axis=2))
+        return [np.where(np.isnan(shifted(v, radius, 0, 0)), np.nan, middle)]
+
+    return by_tiles(df.withColumn("value", known(F.col("value"))), ["value"], k // 2, run, ["value"], every=True)
 
 
 SOBEL_X = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
@@ -194,28 +216,59 @@ def _disc(radius: int):
 
 def fill_nodata(df: DataFrame, distance: int) -> DataFrame:
     """Missing cells by inverse distance from valid ones within ``distance``; valid cells stay."""
-    got = windows(df, distance, border="none", offsets=_disc(distance))
-    d = F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))
-    w = F.when(F.col("value").isNotNull() & (d > 0), 1 / d)
-    out = got.groupBy("y", "x").agg(_centre().alias("c"), F.sum(w * F.col("value")).alias("s"), F.sum(w).alias("w"))
-    return out.select("y", "x", F.coalesce("c", F.col("s") / F.col("w")).alias("value"))
+    def run(arrays, radius):
+        v = arrays["value"]
+        there, zero = ~np.isnan(v), np.nan_to_num(v)
+        s, w = (np.zeros((v.shape[0] - 2 * radius, v.shape[1] - 2 * radius)) for _ in range(2))
+        for dy, dx in _disc(distance):
+            if dy or dx:
+                k = 1 / np.hypot(dy, dx)
+                s += k * shifted(zero, radius, dy, dx)
+                w += k * shifted(there, radius, dy, dx)
+        own = shifted(v, radius, 0, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [np.where(np.isnan(own), np.where(w == 0, np.nan, s / w), own)]
+
+    return by_tiles(df, ["value"], distance, run, ["value"], border="none", every=True)
 
 
 def proximity(df: DataFrame, target: str, distance: int) -> DataFrame:
     """Distance to the nearest pixel that passes ``target``; none beyond ``distance``.  Only targets are spread."""
-    spread = windows(df.withColumn("hit", F.expr(target)), distance, ["hit"], border="none", offsets=_disc(distance)).filter("hit")
-    near = spread.groupBy("y", "x").agg(F.min(F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx"))).alias("distance"))
-    return df.select("y", "x").join(near, ["y", "x"], "left")
+    def run(arrays, radius):
+        hit = arrays["hit"] == 1
+        # along rows first, then the least over rows of both parts: 2 x (2 distance + 1) passes
+        along = np.full((hit.shape[0], hit.shape[1] - 2 * radius), np.inf)
+        for dx in range(-distance, distance + 1):
+            part = hit[:, radius + dx : hit.shape[1] - radius + dx]
+            along = np.where(part, np.minimum(along, dx * dx), along)
+        best = np.full((hit.shape[0] - 2 * radius, along.shape[1]), np.inf)
+        for dy in range(-distance, distance + 1):
+            best = np.minimum(best, along[radius + dy : along.shape[0] - radius + dy] + dy * dy)
+        return [np.where(best <= distance * distance, np.sqrt(best), np.nan)]
+
+    hit = df.withColumn("hit", F.expr(target).cast("double"))
+    return by_tiles(hit, ["hit"], distance, run, ["distance"], border="none")
 
 
 def mean_shift(df: DataFrame, radius: int, span: float, rounds: int = 3) -> DataFrame:
-    """Each round: mean of window values within ``span`` of the centre's; lineage is cut by the caller's writes."""
+    """Each round: mean of window values within ``span`` of the centre's; every round is written."""
+
+    def run(arrays, r):
+        v = arrays["value"]
+        own = shifted(v, r, 0, 0)
+        s, n = np.zeros_like(own), np.zeros_like(own)
+        for dy in range(-r, r + 1):
+            for dx in range(-r, r + 1):
+                w = shifted(v, r, dy, dx)
+                near = np.abs(w - own) <= span
+                s += np.where(near, w, 0.0)
+                n += near
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [s / n]
+
     out = df.select("y", "x", "value")
     for _ in range(rounds):
-        got = windows(out, radius)
-        centre = out.select("y", "x", F.col("value").alias("c"))
-        near = got.join(centre, ["y", "x"]).filter(F.abs(F.col("value") - F.col("c")) <= span)
-        out = near.groupBy("y", "x").agg(F.avg("value").alias("value"))
+        out = _written(by_tiles(out, ["value"], radius, run, ["value"]).filter("value IS NOT NULL"))
     return out
 
 
