@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import _written
 from .spectral import array, dot
 from .stats import covariance
 
@@ -102,17 +103,39 @@ def scaled(df: DataFrame, cols: list[str], how: str = "zscore") -> DataFrame:
     return df.crossJoin(F.broadcast(s)).withColumns(out).drop(*s.columns)
 
 
-def stratified_split(df: DataFrame, key: str, label: str, ratio: float = 0.7, seed: int = 42, least: int = 7) -> DataFrame:
-    """``train``: the first ``ratio`` of each class in a seeded order; classes under ``least`` rows stay whole."""
-    w, all_ = Window.partitionBy(label).orderBy(hashed(F.col(key), seed), key), Window.partitionBy(label)
-    n = F.count(F.lit(1)).over(all_)
-    return df.withColumn("train", (n < least) | (F.row_number().over(w) <= F.floor(n * ratio + 0.5)))
+def ranked(df: DataFrame, by: str, order: list) -> DataFrame:
+    """``df`` with ``_rank``, the row's place from 0 among those of its ``by``, and ``_many``, their number.
+
+    One sort of all rows by ranges, and the counts of each group per range: no
+    group, however large, is sorted in one task.
+    """
+    part = df.orderBy(F.asc_nulls_first(by), *order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    rows = _written(part)
+    counts = rows.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_k"), F.min("_at").alias("_first"))
+    upto = Window.partitionBy("_by").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row a group and range
+    starts = _written(counts.withColumns({"_before": F.coalesce(F.sum("_k").over(upto), F.lit(0)), "_many": F.sum("_k").over(Window.partitionBy("_by"))}))
+    found = rows.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_of")))
+    return found.withColumn("_rank", F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_by", "_of", "_k", "_first", "_before")
+
+
+def stratified_split(df: DataFrame, key: str, label: str, ratio: float = 0.7, seed: int = 42, least: int = 7, group: str | None = None) -> DataFrame:
+    """``train``: the first ``ratio`` of each class in a seeded order; classes under ``least`` rows stay whole.
+
+    With ``group`` (a region of interest) groups are dealt instead of rows, by
+    the class that most of their rows have, so that none is on both sides.
+    """
+    if group is not None:
+        votes = df.groupBy(F.col(group).alias("_g"), F.col(label).alias("_l")).count()
+        groups = votes.groupBy("_g").agg(F.min_by("_l", F.struct(-F.col("count"), F.col("_l"))).alias("_l"))
+        dealt = stratified_split(groups, "_g", "_l", ratio, seed, min(least, 2))
+        return df.join(dealt.select("_g", "train"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    got = ranked(df, label, [hashed(F.col(key), seed), key])
+    return got.withColumn("train", (F.col("_many") < least) | (F.col("_rank") < F.floor(F.col("_many") * ratio + 0.5))).drop("_rank", "_many")
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """``fold`` 0..k-1, dealt in turn within each class in a seeded order."""
-    w = Window.partitionBy(label).orderBy(hashed(F.col(key), seed), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return ranked(df, label, [hashed(F.col(key), seed), key]).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_many")
 
 
 def cross_validate(df: DataFrame, key: str, size: int, k: int = 5) -> DataFrame:

@@ -5,13 +5,15 @@ Matrices of band count size are solved on the driver from one aggregate; pixels
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio
-from .stats import covariance
+from .stats import covariance, order_statistics, quantiles
 
 
 def array(values) -> Column:
@@ -53,14 +55,16 @@ def dos2(df: DataFrame, path: float, airmass: float, col: str = "value") -> Data
 
 def quac(df: DataFrame, bands: list[str]) -> DataFrame:
     """Each band less its first percentile, over the reach to the 99th, so that the mean bright end is 0.5; clipped to [0, 1]."""
-    s = with_scalars(df, *[F.percentile(b, F.array(F.lit(0.01), F.lit(0.99))).alias(f"_{b}") for b in bands])
-    out = {b: F.least(F.greatest(ratio(F.col(b) - F.col(f"_{b}")[0], F.col(f"_{b}")[1] - F.col(f"_{b}")[0]) * 0.5, F.lit(0.0)), F.lit(1.0)) for b in bands}
-    return s.withColumns(out).drop(*[f"_{b}" for b in bands])
+    out = {}
+    for b in bands:
+        low, high = (F.lit(v).cast("double") for v in quantiles(df, b, [0.01, 0.99]))
+        out[b] = F.least(F.greatest(ratio(F.col(b) - low, high - low) * 0.5, F.lit(0.0)), F.lit(1.0))
+    return df.withColumns(out)
 
 
 def percent_clip(df: DataFrame, col: str, percent: float = 2.0) -> DataFrame:
-    s = with_scalars(df, F.percentile(col, F.array(F.lit(percent / 100), F.lit(1 - percent / 100))).alias("_p"))
-    return s.withColumn(col, F.least(F.greatest((F.col(col) - F.col("_p")[0]) / (F.col("_p")[1] - F.col("_p")[0]), F.lit(0.0)), F.lit(1.0)) * 255).drop("_p")
+    low, high = (F.lit(v).cast("double") for v in quantiles(df, col, [percent / 100, 1 - percent / 100]))
+    return df.withColumn(col, F.least(F.greatest((F.col(col) - low) / (high - low), F.lit(0.0)), F.lit(1.0)) * 255)
 
 
 def stddev_stretch(df: DataFrame, col: str, k: float = 2.0) -> DataFrame:
@@ -106,8 +110,9 @@ def otsu(df: DataFrame, col: str, bins: int = 256) -> DataFrame:
 
 def rank_percentile(df: DataFrame, col: str, p: float) -> DataFrame:
     """One row ``threshold`` by nearest rank: the value at ceil(p / 100 * n), from counts of distinct values."""
-    c = df.filter(F.col(col).isNotNull()).agg(F.percentile_disc(col, p / 100).alias("threshold") if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {col})").alias("threshold"))
-    return c
+    n = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
+    value = order_statistics(df, col, [max(math.ceil(p / 100 * n) - 1, 0)])[0] if n else None
+    return df.sparkSession.range(1).select(F.lit(value).cast("double").alias("threshold"))
 
 
 def over(df: DataFrame, col: str, threshold: DataFrame) -> DataFrame:

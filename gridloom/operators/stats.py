@@ -95,10 +95,62 @@ def histogram(df: DataFrame, col: str, bins: int, low: float, high: float) -> Da
     return got.select("bin", (F.lit(low) + F.col("bin") * ((high - low) / bins)).alias("edge"), "n")
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int], most: int = 100_000, bins: int = 2048) -> list[float]:
+    """Exact values at 0-based ``ranks`` among the column's known values in ascending order.
+
+    Each pass counts the rows of the intervals that hold a rank in ``bins`` equal
+    parts, so that no task ever holds all distinct values; an interval of ``most``
+    rows or fewer is sorted as it is.  The driver sees counts only, and such intervals.
+    """
+    v = F.col(col).cast("double")
+    rows = df.select(v.alias("v")).filter(v.isNotNull() & ~F.isnan(v))
+    ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
+    held = {r: (ends["lo"], ends["hi"], 0, ends["n"]) for r in set(ranks)}  # rank -> ends, rows before, rows within
+    out: dict[int, float] = {}
+    while len(out) < len(held):
+        for r, (lo, hi, _, _) in held.items():
+            if lo == hi:
+                out[r] = lo
+        open_ = sorted({w for r, w in held.items() if r not in out})
+        small = [w for w in open_ if w[3] <= most]
+        for lo, hi, before, _ in small:
+            got = sorted(x[0] for x in rows.filter((F.col("v") >= lo) & (F.col("v") <= hi)).collect())
+            out.update({r: got[r - before] for r, w in held.items() if w[:3] == (lo, hi, before)})
+        wide = [w for w in open_ if w[3] > most]
+        if not wide:
+            continue
+        which = F.lit(None).cast("int")
+        for k, (lo, hi, _, _) in enumerate(wide):
+            which = F.when((F.col("v") >= lo) & (F.col("v") <= hi), k).otherwise(which)
+        lo, step = (F.array(*[F.lit(float(x)) for x in side]) for side in ([w[0] for w in wide], [(w[1] - w[0]) / bins for w in wide]))
+        part = F.least(F.floor((F.col("v") - F.get(lo, "k")) / F.get(step, "k")), F.lit(bins - 1))
+        counts = rows.withColumn("k", which).filter("k IS NOT NULL").groupBy("k", part.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "bin").collect()
+        for k, w in enumerate(wide):
+            before, found = w[2], []
+            for c in (c for c in counts if c["k"] == k):
+                found.append((c["lo"], c["hi"], before, c["n"]))
+                before += c["n"]
+            for r in [r for r, x in held.items() if x == w]:
+                held[r] = next(x for x in found if x[2] <= r < x[2] + x[3])
+    return [out[r] for r in ranks]
+
+
+def quantiles(df: DataFrame, col: str, fractions: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation; none for a column without values."""
+    v = F.col(col).cast("double")
+    n = df.filter(v.isNotNull() & ~F.isnan(v)).count()
+    if not n:
+        return [None] * len(fractions)
+    at = [f * (n - 1) for f in fractions]
+    low = order_statistics(df, col, [int(k) for k in at] + [min(int(k) + 1, n - 1) for k in at])
+    return [a + (b - a) * (k - int(k)) for k, a, b in zip(at, low, low[len(at) :])]
+
+
 def freedman_diaconis(df: DataFrame, col: str) -> DataFrame:
     """One row ``(width, bins)``: 2 IQR n^(-1/3) and the range in such widths."""
-    r = df.agg(F.percentile(col, 0.25).alias("a"), F.percentile(col, 0.75).alias("b"), F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-    width = 2 * (F.col("b") - F.col("a")) * F.pow("n", F.lit(-1.0 / 3))
+    low, high = quantiles(df, col, [0.25, 0.75])
+    r = df.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
+    width = 2 * F.lit(None if low is None else high - low).cast("double") * F.pow("n", F.lit(-1.0 / 3))
     return r.select(width.alias("width"), F.ceil((F.col("hi") - F.col("lo")) / width).cast("bigint").alias("bins"))
 
 
@@ -111,7 +163,7 @@ def _ends(df, col):
 
 
 def breaks(df: DataFrame, col: str, method: str, classes: int = 5, **o) -> list[float]:
-    """Upper class ends by ``equal``, ``quantile``, ``pretty``, ``stddev``, ``log``, ``fixed`` (interval=), ``jenks`` (sample=)."""
+    """Upper class ends by ``equal``, ``quantile``, ``pretty``, ``stddev``, ``log``, ``fixed`` (interval=), ``custom`` (ends=), ``jenks``."""
     lo, hi, mean, sd = _ends(df, col)
     if method == "equal":
         if "symmetric" in o:  # both sides of the point get the same reach
@@ -119,7 +171,7 @@ def breaks(df: DataFrame, col: str, method: str, classes: int = 5, **o) -> list[
             lo, hi = o["symmetric"] - reach, o["symmetric"] + reach
         return [lo + (hi - lo) * k / classes for k in range(1, classes + 1)]
     if method == "quantile":
-        return [float(v) for v in df.agg(F.percentile(col, F.array(*[F.lit(k / classes) for k in range(1, classes + 1)])).alias("p")).first()["p"]]
+        return quantiles(df, col, [k / classes for k in range(1, classes + 1)])
     if method == "pretty":
         step = (hi - lo) / classes
         unit = 10.0 ** np.floor(np.log10(step))
@@ -133,27 +185,38 @@ def breaks(df: DataFrame, col: str, method: str, classes: int = 5, **o) -> list[
         return [10.0**k for k in range(p0 + 1, p1 + 1)]
     if method == "fixed":
         return [float(v) for v in np.arange(lo + o["interval"], hi + o["interval"], o["interval"])]
+    if method == "custom":
+        return [float(v) for v in o["ends"]]
     if method == "jenks":
-        return jenks(df, col, classes, o.get("sample", 2000))
+        return jenks(df, col, classes)
     raise ValueError(method)
 
 
-def jenks(df: DataFrame, col: str, classes: int, sample: int = 2000) -> list[float]:
-    """Natural breaks by dynamic programming on at most ``sample`` values in a hashed order (a documented bound)."""
-    v = df.select(F.col(col).cast("double").alias("v")).filter("v IS NOT NULL").orderBy(F.xxhash64("v", F.lit(42)), "v").limit(sample).toPandas()["v"].to_numpy()
-    v = np.sort(v)
-    n = len(v)
-    s, q = np.append(0, np.cumsum(v)), np.append(0, np.cumsum(v * v))
-    cost = lambda i, j: q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i)
-    best, cut = np.array([0] + [cost(0, j) for j in range(1, n + 1)]), []
+def jenks(df: DataFrame, col: str, classes: int, bins: int = 2048) -> list[float]:
+    """Natural breaks by dynamic programming over all values: exact for up to ``bins``
+    distinct ones, else over the counts, sums and squares of ``bins`` equal parts of
+    their range, so that classes end between parts (a break is a value that occurs)."""
+    rows = df.select(F.col(col).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    r = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    part, distinct = F.col("v"), rows.select("v").distinct().limit(bins + 1).count() if r["lo"] is not None else 0
+    if distinct > bins:
+        part = F.least(F.floor((F.col("v") - r["lo"]) / ((r["hi"] - r["lo"]) / bins)), F.lit(bins - 1)).cast("double")
+    shift = r["lo"] or 0.0
+    y = F.col("v") - shift
+    got = rows.groupBy(part.alias("k")).agg(F.count(F.lit(1)).alias("m"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.max("v").alias("v")).orderBy("k").collect()
+    v, m, s, q = (np.array([g[c] for g in got], dtype=float) for c in ("v", "m", "s", "q"))
+    n, classes = len(v), min(classes, len(v))
+    if not n:
+        return []
+    m, s, q = (np.append(0, np.cumsum(x)) for x in (m, s, q))
+    best, cut = np.append(0, q[1:] - s[1:] ** 2 / m[1:]), []
     for _ in range(1, classes):
         new, where = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range(1, n + 1):
+        for j in range(2, n + 1):
             i = np.arange(1, j)
-            if len(i):
-                c = best[i] + q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i)
-                k = int(np.argmin(c))
-                new[j], where[j] = c[k], i[k]
+            c = best[i] + q[j] - q[i] - (s[j] - s[i]) ** 2 / (m[j] - m[i])
+            k = int(np.argmin(c))
+            new[j], where[j] = c[k], i[k]
         best, cut = new, [*cut, where]
     out, j = [float(v[-1])], n
     for where in reversed(cut):

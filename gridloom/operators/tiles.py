@@ -33,7 +33,7 @@ def by_tiles(df: DataFrame, cols: list[str], radius: int, kernel: Callable, outp
     span = lambda c: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - radius) / size), F.lit(0)), F.floor((F.col(c) + radius) / size)))
     placed = sized.withColumn("_ty", span("y")).withColumn("_tx", span("x")).filter((F.col("_ty") * size <= F.col("_my")) & (F.col("_tx") * size <= F.col("_mx")))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ty, tx = (int(k) for k in key)
         last = int(pdf["_my"].iloc[0]), int(pdf["_mx"].iloc[0])
         y0, x0 = ty * size, tx * size

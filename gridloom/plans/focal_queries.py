@@ -95,6 +95,16 @@ def e06d(spark, d):
     return O.morphology(load(spark, d, "dem"), "dilate")
 
 
+@query("e06_erode", around("dem", 1) + " SELECT y, x, min(value) AS value FROM n GROUP BY y, x")
+def e06e(spark, d):
+    return O.morphology(load(spark, d, "dem"), "erode")
+
+
+@query("e06_close", "WITH RECURSIVE " + around("dem", 1)[5:] + ", di AS (SELECT y, x, max(value) AS value FROM n GROUP BY y, x) SELECT nq.y, nq.x, min(v.value) AS value FROM nq JOIN di v ON v.y = nq.ty AND v.x = nq.tx GROUP BY nq.y, nq.x")
+def e06c(spark, d):
+    return O.morphology(load(spark, d, "dem"), "close")
+
+
 _T = around("dem", 1, clamp=False) + ", c AS (SELECT y, x, " + ", ".join(f"max(CASE WHEN dy = {a} AND dx = {b} THEN value END) AS z{a + 1}{b + 1}" for a in (-1, 0, 1) for b in (-1, 0, 1)) + " FROM n GROUP BY y, x), f AS (SELECT y, x, z11, " + ", ".join(f"coalesce(z{a}{b}, z11) AS f{a}{b}" for a in (0, 1, 2) for b in (0, 1, 2)) + " FROM c), g AS (SELECT *, ((f02 + 2 * f12 + f22) - (f00 + 2 * f10 + f20)) / 8 AS gx, ((f20 + 2 * f21 + f22) - (f00 + 2 * f01 + f02)) / 8 AS gy FROM f), h AS (SELECT *, atan(sqrt(gx * gx + gy * gy)) AS sl, CASE WHEN gx = 0 AND gy = 0 THEN -1.0 ELSE (degrees(atan2(-gx, gy)) + 360.0) % 360.0 END AS asp FROM g)"
 
 

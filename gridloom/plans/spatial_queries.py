@@ -247,11 +247,11 @@ def k02(spark, d):
     return S.convex_hull(p.select("g", "px", "py"), "g")
 
 
-@query("k03_single_parts", "SELECT n_regionkey, cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS integer) AS part, n_nationkey FROM nation")
+@query("k03_single_parts", "SELECT s_nationkey, cast(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS integer) AS part, s_suppkey FROM supplier")
 def k03(spark, d):
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    multi = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("parts"))
-    return S.single_parts(multi, "parts").withColumnRenamed("ring", "n_nationkey")
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    multi = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("parts"))
+    return S.single_parts(multi, "parts").withColumnRenamed("ring", "s_suppkey")
 
 
 @query("k04_smooth", f"{ctes('zones')} SELECT zone, 8 AS n, round(x0 + (x1 - x0) * 0.25, 6) AS first_x, round((x1 - x0) * (y1 - y0) * 0.875, 6) AS area FROM zones")

@@ -186,6 +186,8 @@ def h22(spark, d):
     return rounded(S.rx(spectra(spark, d), 64), "score", digits=5).select("y", "x", "score")
 
 
-@query("h22_rx_mean", f"{ctes('spectra')} SELECT 8.0 AS mean_score, count(*) AS n FROM spectra")
+@query("h22_rx_mean", f"{ctes('ms')}, t AS (SELECT label, b1, b2 FROM ms WHERE b1 IS NOT NULL AND b2 IS NOT NULL), c AS (SELECT avg(b1) AS m1, avg(b2) AS m2, var_pop(b1) + 1e-9 AS a, var_pop(b2) + 1e-9 AS d, covar_pop(b1, b2) AS b FROM t), s AS (SELECT label, (d * (b1 - m1) * (b1 - m1) - 2 * b * (b1 - m1) * (b2 - m2) + a * (b2 - m2) * (b2 - m2)) / (a * d - b * b) AS score FROM t, c) SELECT label, round(avg(score), 4) AS mean_score, round(max(score), 3) AS top, count(*) AS n FROM s GROUP BY label")
 def h22m(spark, d):
-    return S.rx(spectra(spark, d, 8), 8).agg(nearest(F.avg("score"), 4).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+    """Two bands, where SQL can write the inverse covariance out."""
+    px = load(spark, d, "ms").filter("b1 IS NOT NULL AND b2 IS NOT NULL").withColumn("spectrum", F.array("b1", "b2"))
+    return S.rx(px, 2).groupBy("label").agg(nearest(F.avg("score"), 4).alias("mean_score"), nearest(F.max("score"), 3).alias("top"), F.count(F.lit(1)).alias("n"))

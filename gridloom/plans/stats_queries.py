@@ -113,13 +113,26 @@ _breaks("log", f", r AS (SELECT floor(log10(min(value))) AS p FROM grid), k AS (
 _breaks("fixed", f", r AS (SELECT min(value) AS lo FROM grid), k AS (SELECT value, cast(greatest(ceil((value - lo) / 40000.0) - 1, 0) AS bigint) AS class FROM grid, r) SELECT class, {_AGG}", method="fixed", interval=40000.0)
 
 
+_breaks("custom", f", k AS (SELECT value, cast((value > 50000)::int + (value > 90000.5)::int + (value > 200000)::int AS bigint) AS class FROM grid) SELECT class, {_AGG}", method="custom", ends=[50000.0, 90000.5, 200000.0, 1e9])
+_breaks("symmetric", f", r AS (SELECT greatest(max(value) - 150000, 150000 - min(value)) AS d FROM grid), k AS (SELECT value, cast((value > 150000 - d + 2 * d * 1 / 4)::int + (value > 150000 - d + 2 * d * 2 / 4)::int + (value > 150000 - d + 2 * d * 3 / 4)::int AS bigint) AS class FROM grid, r) SELECT class, {_AGG}", method="equal", classes=4, symmetric=150000.0)
+_breaks("pretty", f", r AS (SELECT min(value) AS lo, (max(value) - min(value)) / 5 AS step, pow(10, floor(log10((max(value) - min(value)) / 5))) AS unit FROM grid), u AS (SELECT lo, min_by(unit * k, abs(unit * k - step)) AS size FROM r, (VALUES (1), (2), (5), (10)) t(k) GROUP BY lo), k AS (SELECT value, cast(ceil(value / size) - floor(lo / size) - 1 AS bigint) AS class FROM grid, u) SELECT class, {_AGG}", method="pretty")
+
+
 @query("d10_breaks_jenks")
 def d10j(spark, d):
     g = load(spark, d, "grid")
-    ends = S.breaks(g, "value", "jenks", 4, sample=1000)
+    ends = S.breaks(g, "value", "jenks", 4)
     return g.groupBy(S.classify(F.col("value"), ends).cast("bigint").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("d10_breaks_jenks_exact", f"{ctes('dem')}, v AS (SELECT value, count(*) AS m, sum(value) AS s, sum(value * value) AS q FROM dem GROUP BY value), c AS (SELECT value, sum(m) OVER w AS m, sum(s) OVER w AS s, sum(q) OVER w AS q FROM v WINDOW w AS (ORDER BY value)), t AS (SELECT max(m) AS m, max(s) AS s, max(q) AS q FROM c), p AS (SELECT a.value AS a, b.value AS b, a.q - a.s * a.s / a.m + (b.q - a.q) - pow(b.s - a.s, 2) / (b.m - a.m) + (t.q - b.q) - pow(t.s - b.s, 2) / (t.m - b.m) AS cost FROM c a JOIN c b ON a.value < b.value JOIN t ON b.m < t.m), o AS (SELECT arg_min(a, cost) AS a, arg_min(b, cost) AS b FROM p) SELECT cast((value > a)::int + (value > b)::int AS bigint) AS class, count(*) AS n, min(value) AS low, max(value) AS high FROM dem, o GROUP BY 1")
+def d10je(spark, d):
+    """Three classes of few distinct values; SQL tries every pair of breaks."""
+    g = load(spark, d, "dem")
+    ends = S.breaks(g, "value", "jenks", 3)
+    return g.groupBy(S.classify(F.col("value"), ends).cast("bigint").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 @query("d11_string_summary", "WITH c AS (SELECT p_brand AS v, count(*) AS n FROM part GROUP BY 1) SELECT cast(sum(n) AS bigint) AS n, count(v) AS n_distinct, cast(0 AS bigint) AS missing, min(v) AS min_value, max(v) AS max_value, min(length(v)) AS min_length, max(length(v)) AS max_length, round(sum(length(v) * n) / sum(n), 6) AS mean_length, (SELECT v FROM c ORDER BY n, v LIMIT 1) AS minority, (SELECT v FROM c ORDER BY n DESC, v LIMIT 1) AS majority FROM c")
 def d11(spark, d):
     return rounded(S.string_summary(spark.read.parquet(f"{d}/part.parquet"), "p_brand"), "mean_length")
@@ -130,9 +143,10 @@ def d12(spark, d):
     return S.datetime_summary(spark.read.parquet(f"{d}/events.parquet"), "ts")
 
 
-@query("d13_concatenate", "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_nationkey) FILTER (WHERE n_nationkey > 3) AS joined FROM nation GROUP BY n_regionkey")
+@query("d13_concatenate", "SELECT s_nationkey, string_agg(s_name, '; ' ORDER BY s_suppkey) FILTER (WHERE s_suppkey > 3) AS joined FROM supplier GROUP BY s_nationkey")
 def d13(spark, d):
-    return S.concatenate(spark.read.parquet(f"{d}/nation.parquet"), ["n_regionkey"], "n_name", "n_nationkey", "; ", "n_nationkey > 3")
+    joined = S.concatenate(spark.read.parquet(f"{d}/supplier.parquet"), ["s_nationkey"], "s_name", "s_suppkey", "; ", "s_suppkey > 3")
+    return joined.select("s_nationkey", F.nullif("joined", F.lit("")).alias("joined"))
 
 
 @query("d14_category_counts", "SELECT p_type AS category, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY p_type")

@@ -215,6 +215,12 @@ def i08(spark, d):
     return ml.stratified_split(load(spark, d, "truth"), "id", "truth").select("id", "train")
 
 
+@query("i08_split_groups", f"{ctes('truth')}, t AS (SELECT id, truth, id // 5 AS roi FROM truth), v AS (SELECT roi, truth, count(*) AS n FROM t GROUP BY ALL), g AS (SELECT roi AS id, arg_min(truth, truth - n * 1000) AS truth FROM v GROUP BY roi), r AS (SELECT id, count(*) OVER (PARTITION BY truth) AS n, row_number() OVER (PARTITION BY truth ORDER BY {_HASH}, id) AS k FROM g) SELECT t.id, r.n < 2 OR k <= floor(r.n * 0.7 + 0.5) AS train FROM t JOIN r ON r.id = roi")
+def i08g(spark, d):
+    t = load(spark, d, "truth").withColumn("roi", F.floor(F.col("id") / 5))
+    return ml.stratified_split(t, "id", "truth", group="roi").select("id", "train")
+
+
 @query("i09_folds", f"{ctes('truth')} SELECT id, cast((row_number() OVER (PARTITION BY truth ORDER BY {_HASH}, id) - 1) % 5 AS integer) AS fold FROM truth")
 def i09(spark, d):
     return ml.folds(load(spark, d, "truth"), "id", "truth").select("id", "fold")
@@ -268,11 +274,11 @@ def i14(spark, d):
     return ml.consolidate(kids).select("child", "parent", "class", "area", "parent_class")
 
 
-@query("l01_fingerprints", "SELECT n_nationkey, sha256('ndvi|1.0|a=' || n_name || ';b=2|in' || cast(n_nationkey AS varchar) || '@' || cast(n_regionkey AS varchar)) AS fingerprint FROM nation")
+@query("l01_fingerprints", "SELECT p_partkey, sha256('ndvi|1.0|a=' || p_brand || ';b=2|in' || cast(p_partkey AS varchar) || '@' || cast(p_size AS varchar)) AS fingerprint FROM part")
 def l01(spark, d):
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    f = provenance.fingerprint(F.lit("ndvi"), F.lit("1.0"), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.col("n_name")), F.array(F.struct(F.concat(F.lit("in"), F.col("n_nationkey")).alias("asset"), F.col("n_regionkey").alias("revision"))))
-    return n.select("n_nationkey", f.alias("fingerprint"))
+    p = spark.read.parquet(f"{d}/part.parquet")
+    f = provenance.fingerprint(F.lit("ndvi"), F.lit("1.0"), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.col("p_brand")), F.array(F.struct(F.concat(F.lit("in"), F.col("p_partkey")).alias("asset"), F.col("p_size").alias("revision"))))
+    return p.select("p_partkey", f.alias("fingerprint"))
 
 
 @query("l02_lineage", "WITH RECURSIVE e AS (SELECT p_partkey AS o, cast(floor(p_partkey / 2) AS bigint) AS i FROM part WHERE p_partkey > 0), w AS (SELECT cast(199 AS bigint) AS asset, 0 AS depth UNION SELECT i, depth + 1 FROM w JOIN e ON o = asset) SELECT asset, min(depth) AS depth FROM w GROUP BY asset")
@@ -282,10 +288,10 @@ def l02(spark, d):
     return provenance.upstream(edges, p.filter("p_partkey = 199").select(F.col("p_partkey").alias("asset")))
 
 
-@query("l03_collections", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS assets FROM nation GROUP BY n_regionkey")
+@query("l03_collections", "SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_suppkey) AS assets FROM supplier GROUP BY s_nationkey")
 def l03(spark, d):
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    return provenance.collections(n, "n_regionkey", "n_name", "n_nationkey").select("n_regionkey", F.array_join("assets", ",").alias("assets"))
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    return provenance.collections(s, "s_nationkey", "s_name", "s_suppkey").select("s_nationkey", F.array_join("assets", ",").alias("assets"))
 
 
 def _register():
