@@ -1,15 +1,18 @@
 """Quality scores: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Word vectors come from all documents: every word (hashed into a fixed number
-of rows) adds up the sparse ternary index vectors of its neighbours.  Tasks
-send integer sums per row, Spark adds them up, and the fixed-size matrix is
-shared with all tasks.  The network is trained on a bounded sample of labelled
+Word vectors come from all documents: every word adds up the sparse ternary
+index vectors of its neighbours.  A word that makes up ``SHARE`` of all words or
+more has a row of its own, so the vocabulary has 1 / SHARE words at most,
+however large the corpus; rarer words are hashed into ``REST`` rows.  Tasks send
+integer sums per row, Spark adds them up, and the bounded matrix is shared with
+all tasks.  The network is trained on a bounded sample of labelled
 documents; its probabilities are calibrated by one temperature on held-back
 rows of that sample.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -19,74 +22,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import first_rows, fold, one_label
+from .tables import drop, written
 
 #: Fixed value: marks that stand as words of their own.
 MARKS = [bytes([c]) for c in b"#*$%&|<>!?"]
-ROWS, DIM, REACH = 1 << 14, 32, 2
+DIM, REACH = 32, 2
+#: Least share and count of a word with a row of its own; rows for the others.
+SHARE, LEAST, REST = 1e-5, 5, 8192
 
 
-def word_rows(text: str | None) -> np.ndarray:
-    """The text's words as row numbers; case matters, marks are words."""
+def words_of(text: str | None) -> list[bytes]:
+    """The text's words; case matters, marks are words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     for m in MARKS:
         raw = raw.replace(m, b" " + m + b" ")
-    words = raw.split()
-    return (np.fromiter(map(crc32, words), dtype=np.uint32, count=len(words)) & np.uint32(ROWS - 1)).astype(np.int64)
+    return raw.split()
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+class Vocabulary(dict):
+    """Row numbers of words; what has no row of its own falls into one of the last ``REST``."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__({w: k for k, w in enumerate(words)})
+        self.own = len(words)
+        self.rows = self.own + REST
+
+    def __missing__(self, word: bytes) -> int:
+        return self.own + crc32(word) % REST
+
+    def __reduce__(self):
+        return Vocabulary, (sorted(self, key=self.get),)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """Words of all documents with a row of their own, in byte order."""
+
+    def run(batches):
+        held: Counter = Counter()
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                held.update(words_of(t.as_py()))
+                if len(held) > 200_000:
+                    yield rows()
+                    held.clear()
+        yield rows()
+
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = written(counts, "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.filter((F.col("n") >= LEAST) & (F.col("n") >= SHARE * total)).select("word").collect()  # 1 / SHARE at most
+    drop(counts)
+    return Vocabulary(sorted(bytes(r["word"]) for r in often))
+
+
+def index_vectors(rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's index vector: +1 at one place, -1 at another; the row after the last is the gap between texts (0)."""
     rng = np.random.default_rng(17)
-    plus = rng.integers(0, DIM, ROWS + 1)
-    minus = (plus + rng.integers(1, DIM, ROWS + 1)) % DIM
-    plus[ROWS] = minus[ROWS] = 0
+    plus = rng.integers(0, DIM, rows + 1)
+    minus = (plus + rng.integers(1, DIM, rows + 1)) % DIM
+    plus[rows] = minus[rows] = 0
     return plus, minus
 
 
-def neighbour_sums(ids: np.ndarray) -> np.ndarray:
-    """Sums of neighbours' index vectors, (ROWS + 1) x DIM, for ids with gaps between texts."""
-    plus, minus = index_vectors()
-    size = (ROWS + 1) * DIM
+def neighbour_sums(ids: np.ndarray, rows: int) -> np.ndarray:
+    """Sums of neighbours' index vectors, (rows + 1) x DIM, for ids with gaps (``rows``) between texts."""
+    plus, minus = index_vectors(rows)
+    size = (rows + 1) * DIM
     total = np.zeros(size, dtype=np.int64)
     for far in range(1, REACH + 1):
         for word, other in ((ids[:-far], ids[far:]), (ids[far:], ids[:-far])):
             base = word * DIM
             total += np.bincount(base + plus[other], minlength=size)
             total -= np.bincount(base + minus[other], minlength=size)
-    return total.reshape(ROWS + 1, DIM)
+    return total.reshape(rows + 1, DIM)
 
 
-def random_indexing(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Unit word vectors over all documents, ROWS x DIM; rows of words never seen are 0."""
+def random_indexing(docs: DataFrame, shared, text_col: str = "text") -> np.ndarray:
+    """Unit word vectors over all documents, a row per row of the broadcast vocabulary ``shared``; rows of words never seen are 0."""
+    size_ = shared.value.rows
 
     def run(batches):
-        gap = np.full(REACH, ROWS, dtype=np.int64)
-        total, held, size = np.zeros((ROWS + 1, DIM), dtype=np.int64), [], 0
+        words, rows = shared.value, size_
+        gap = np.full(REACH, rows, dtype=np.int64)
+        total, held, size = np.zeros((rows + 1, DIM), dtype=np.int64), [], 0
         for batch in batches:
             for t in batch.column(0):
-                ids = word_rows(t.as_py())
+                ids = words.ids(t.as_py())
                 held += [ids, gap]
                 size += len(ids)
-                if size > 500_000:
-                    total += neighbour_sums(np.concatenate(held))
+                if size > 1_000_000:
+                    total += neighbour_sums(np.concatenate(held), rows)
                     held, size = [], 0
         if held:
-            total += neighbour_sums(np.concatenate(held))
-        rows = np.flatnonzero(np.any(total[:ROWS] != 0, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(total[rows, k]) for k in range(DIM)]], names=["row", *[f"d{k}" for k in range(DIM)]])
+            total += neighbour_sums(np.concatenate(held), rows)
+        some = np.flatnonzero(np.any(total[:rows] != 0, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, k]) for k in range(DIM)]], names=["row", *[f"d{k}" for k in range(DIM)]])
 
     sums = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "row bigint, " + ", ".join(f"d{k} bigint" for k in range(DIM)))
-    got = sums.groupBy("row").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(DIM)]).toArrow()  # ROWS rows at most
-    out = np.zeros((ROWS, DIM))
+    got = sums.groupBy("row").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(DIM)]).toArrow()  # the vocabulary's rows at most
+    out = np.zeros((size_, DIM))
     if len(got):
         out[got.column("row").to_numpy()] = np.stack([got.column(f"d{k}").to_numpy() for k in range(DIM)], axis=1)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 
 
-def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
+def pooled(text: str | None, words: Vocabulary, vectors: np.ndarray) -> np.ndarray:
     """Mean of the words' vectors, spread around it, and log length; an empty text is all 0."""
-    ids = word_rows(text)
+    ids = words.ids(text)
     if not len(ids):
         return np.zeros(2 * DIM + 1)
     s, q = np.zeros(DIM), np.zeros(DIM)
@@ -156,13 +207,14 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, t
     labels of both classes every score is the share of label 1 (0 without any).
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(random_indexing(docs, text_col))  # ROWS x DIM floats: 2 MB at any size
+    words = spark.sparkContext.broadcast(vocabulary(docs, text_col))
+    shared = spark.sparkContext.broadcast(random_indexing(docs, words, text_col))  # rows x DIM floats: under 14 MB at any size
     known = first_rows(one_label(labels, id_col, label_col).filter(fold("id", folds) != held), 5, sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "label")
 
     def pool(batches):
         for batch in batches:
-            x = np.array([pooled(t.as_py(), shared.value) for t in batch.column(0)]).reshape(-1, 2 * DIM + 1)
+            x = np.array([pooled(t.as_py(), words.value, shared.value) for t in batch.column(0)]).reshape(-1, 2 * DIM + 1)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in x])], names=["label", "x"])
 
     got = rows.mapInArrow(pool, "label int, x binary").toArrow()
@@ -172,7 +224,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, t
 
     def run(batches):
         for batch in batches:
-            x = np.array([pooled(t.as_py(), shared.value) for t in batch.column(1)]).reshape(-1, 2 * DIM + 1)
+            x = np.array([pooled(t.as_py(), words.value, shared.value) for t in batch.column(1)]).reshape(-1, 2 * DIM + 1)
             s = net.probability(x) if net is not None else np.full(len(x), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 

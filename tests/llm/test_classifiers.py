@@ -1,6 +1,8 @@
+import pickle
+
 import numpy as np
 
-from gridloom.llm.quality_classifier import DIM, ROWS, neighbour_sums, index_vectors, pooled, quality, train_network, word_rows
+from gridloom.llm.quality_classifier import DIM, REST, Vocabulary, index_vectors, neighbour_sums, pooled, quality, train_network, vocabulary, words_of
 from gridloom.llm.toxicity import Rows, features, fit, logits, risk_parts, sigmoid, slopes, toxicity, train_nnpu
 
 D = "/root/testdata/sf0.01"
@@ -83,18 +85,38 @@ def test_very_long_text_scores(spark):
 
 
 def test_random_indexing_against_loops():
-    rng = np.random.default_rng(2)
-    ids = np.append(rng.integers(0, 50, 40), [ROWS, ROWS])
+    rng, rows = np.random.default_rng(2), 60
+    ids = np.append(rng.integers(0, 50, 40), [rows, rows])
     ids = np.append(ids, rng.integers(0, 50, 30))
-    plus, minus = index_vectors()
-    want = np.zeros((ROWS + 1, DIM), dtype=int)
+    plus, minus = index_vectors(rows)
+    want = np.zeros((rows + 1, DIM), dtype=int)
     for i in range(len(ids)):
         for j in range(max(0, i - 2), min(len(ids), i + 3)):
-            if i != j and ids[j] != ROWS:
+            if i != j and ids[j] != rows:
                 want[ids[i], plus[ids[j]]] += 1
                 want[ids[i], minus[ids[j]]] -= 1
-    assert (neighbour_sums(ids)[:ROWS] == want[:ROWS]).all()
-    assert len(word_rows("a!! b#c")) == 6 and not pooled("", np.zeros((ROWS, DIM))).any()
+    assert (neighbour_sums(ids, rows)[:rows] == want[:rows]).all()
+    words = Vocabulary([b"a", b"b"])
+    assert len(words_of("a!! b#c")) == 6 and not pooled("", words, np.zeros((words.rows, DIM))).any()
+    ids = words.ids("b a other").tolist()
+    assert ids[:2] == [1, 0] and 2 <= ids[2] < 2 + REST and pickle.loads(pickle.dumps(words)).ids("b a other").tolist() == ids
+
+
+def test_vocabulary_counts_all_texts(spark):
+    docs = spark.createDataFrame([(f"often often! w{k % 40}",) for k in range(400)] + [("rare",), (None,)], "text string").repartition(5)
+    assert list(vocabulary(docs)) == sorted([b"often", b"!", *[f"w{k}".encode() for k in range(40)]])
+    assert vocabulary(docs.limit(0)).own == 0
+
+
+def test_temperature_fits_the_held_back_rows():
+    """A network with logits that are three times too large is cooled by about three; calibration lowers the log loss."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (6000, 3))
+    y = (rng.random(6000) < 1 / (1 + np.exp(-(x[:, 0] - x[:, 1])))).astype(float)
+    net = train_network(x, y)
+    assert 0.7 < net.temperature < 1.5
+    p = net.probability(x)
+    assert abs(p.mean() - y.mean()) < 0.03 and max(abs(p[b].mean() - y[b].mean()) for b in [(p > a) & (p <= a + 0.2) for a in (0.1, 0.3, 0.5, 0.7)]) < 0.07
 
 
 def test_network_needs_both_classes():
