@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +41,12 @@ def _spread(df: DataFrame, steps) -> DataFrame:
     return df.withColumn("_o", o).withColumns({"y": F.col("y") + F.col("_o.dy"), "x": F.col("x") + F.col("_o.dx")}).drop("_o")
 
 
-def reach(cells: DataFrame, seeds: DataFrame, diagonal: bool = False, most: int = 10_000) -> DataFrame:
-    """Cells that seeds reach through neighbouring cells: a frontier loop until nothing is new."""
-    cells, got = _written(cells.select("y", "x").distinct()), _written(seeds.select("y", "x").distinct())
-    frontier = got
-    for _ in range(most):
-        new = _written(_spread(frontier, _steps(diagonal)).distinct().join(cells, ["y", "x"], "left_semi").join(got, ["y", "x"], "left_anti"))
-        if new.isEmpty():
-            return got
-        got, frontier = _written(got.unionByName(new)), new
-    raise RuntimeError("the frontier did not settle")
+def reach(cells: DataFrame, seeds: DataFrame, diagonal: bool = False) -> DataFrame:
+    """Cells that seeds reach through neighbouring cells, seeds included: the regions of all cells that hold a seed."""
+    seeds = seeds.select("y", "x")
+    lab = _written(labels(cells.select("y", "x").union(seeds).distinct().withColumn("label", F.lit(1)), "label", diagonal))
+    hit = lab.join(seeds, ["y", "x"], "left_semi").select("region").distinct()
+    return lab.join(hit, "region", "left_semi").select("y", "x")
 
 
 def flood_fill(df: DataFrame, y: int, x: int, tolerance: float, diagonal: bool = False) -> DataFrame:
@@ -58,30 +56,70 @@ def flood_fill(df: DataFrame, y: int, x: int, tolerance: float, diagonal: bool =
     return reach(near, seed, diagonal)
 
 
+#: Side of the tiles that are labelled on their own first.
+TILE = 512
+
+
+def _joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least that edges (u, v) connect it to."""
+    parent = np.arange(n)
+    while True:
+        a, b = parent[u], parent[v]
+        apart = a != b
+        if not apart.any():
+            return parent
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
 def labels(df: DataFrame, cls: str = "label", diagonal: bool = False, width: int = 1 << 31, most: int = 200) -> DataFrame:
     """``(y, x, cls, region)``: connected equal-class pixels; a region's id is its least ``y * width + x``.
 
-    Alternating large and small stars over the edge table, written each round.
+    Tiles are labelled on their own, one shuffle; alternating large and small
+    stars then join regions over the tiles' borders only, written each round.  A
+    pixel without a class is a region of its own.
     """
-    nodes = df.select("y", "x", F.col(cls).alias("k"), (F.col("y") * width + F.col("x")).alias("id"))
     half = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    there = _spread(nodes.select("y", "x", "k", F.col("id").alias("u")), half)
-    edges = there.join(nodes, ["y", "x", "k"]).select(F.greatest("u", "id").alias("u"), F.least("u", "id").alias("v"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
+        y, x = pdf["y"].to_numpy() - key[0] * TILE, pdf["x"].to_numpy() - key[1] * TILE
+        kind = pd.factorize(pdf["k"])[0]
+        at = np.full((TILE + 2, TILE + 2), -1)
+        at[y + 1, x + 1] = np.arange(len(pdf))
+        sides = []
+        for dy, dx in half:
+            other = at[y + 1 + dy, x + 1 + dx]
+            same = (other >= 0) & (kind >= 0) & (kind == kind[other])
+            sides.append((np.flatnonzero(same), other[same]))
+        root = _joined(len(pdf), *(np.concatenate(s) for s in zip(*sides)))
+        ids = pdf["y"].to_numpy() * width + pdf["x"].to_numpy()
+        return pdf[["y", "x", "k"]].assign(part=ids[root])
+
+    nodes = df.select(F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col(cls).alias("k"))
+    tile = [F.floor(F.col(c) / TILE).alias(f"t{c}") for c in "yx"]
+    local = nodes.select("*", *tile).groupBy("ty", "tx").applyInPandas(run, f"y bigint, x bigint, k {nodes.schema['k'].dataType.simpleString()}, part bigint")
+    local = _written(local)
+    edge = local.filter(" OR ".join(f"{c} % {TILE} IN (0, {TILE - 1})" for c in "yx"))
+    there = _spread(edge.select("y", "x", "k", F.col("part").alias("u")), half)
+    edges = there.join(edge, ["y", "x", "k"]).filter("u <> part").select(F.greatest("u", "part").alias("u"), F.least("u", "part").alias("v"))
     e, before = _written(edges.distinct()), None
-    for _ in range(most):
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        e = _written(big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("regions did not settle")
-    root = e.select(F.col("u").alias("id"), F.col("v").alias("r"))
-    return nodes.join(root, "id", "left").select("y", "x", F.col("k").alias(cls), F.coalesce("r", "id").alias("region"))
+    if not e.isEmpty():
+        for _ in range(most):
+            both = e.union(e.select("v", "u"))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            big = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+            low = big.groupBy("u").agg(F.min("v").alias("m"))
+            e = _written(big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low).distinct())
+            now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError("regions did not settle")
+    root = e.select(F.col("u").alias("part"), F.col("v").alias("r"))
+    return local.join(root, "part", "left").select("y", "x", F.col("k").alias(cls), F.coalesce("r", "part").alias("region"))
 
 
 def border_votes(lab: DataFrame, cls: str) -> DataFrame:

@@ -111,3 +111,34 @@ def test_fits(spark):
     assert stats.helmert_fit(flat, "px", "py", "mx", "my").first().scale is None and stats.linear_fit(flat, "px", "py", "mx", "my").first().sx is None
     with pytest.raises(ValueError):
         stats.projective_fit(flat, "px", "py", "mx", "my")
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_labels_over_tiles(spark, monkeypatch, diagonal):
+    """Regions over tiles of 8 pixels, holes and missing classes included, against a plain flood."""
+    from gridloom.operators import components
+
+    rng = random.Random(13)
+    cells = {(y, x): rng.choice([1, 1, 2, None]) for y in range(40) for x in range(33) if rng.random() < 0.95}
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
+    want, width = {}, 1000
+    for at in sorted(cells):
+        if at in want:
+            continue
+        want[at], todo = at[0] * width + at[1], [at]
+        while todo and cells[at] is not None:
+            y, x = todo.pop()
+            for a, b in steps:
+                n = (y + a, x + b)
+                if n not in want and cells.get(n) == cells[at]:
+                    want[n] = want[at]
+                    todo.append(n)
+    monkeypatch.setattr(components, "TILE", 8)
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "y long, x long, label int")
+    got = {(r.y, r.x): r.region for r in components.labels(df, "label", diagonal, width).collect()}
+    assert got == want
+    seeds = df.filter("y = 20 AND label = 1").select("y", "x")
+    ones = df.filter("label = 1")
+    hit = {want[k] for k in cells if k[0] == 20 and cells[k] == 1}
+    assert {(r.y, r.x) for r in components.reach(ones, seeds, diagonal).collect()} == {k for k in cells if cells[k] == 1 and want[k] in hit}
+    assert components.labels(df.limit(0)).count() == 0
