@@ -3,14 +3,17 @@
 Texts become id streams; a rolling hash over the last ids cuts each stream
 into chunks where its content says so, so equal passages give equal chunks.
 A chunk is kept once under the digest of its ids; a document is a recipe of
-chunk digests; digests are folded pairwise (Merkle) into a root per document,
-per part and for the whole store.
+chunk digests, folded pairwise (Merkle) into the document's root.  A document's
+leaf binds its root to its id, size and start; leaves in document order are
+folded in runs of ``RUN``, those again, up to one root for the whole store.
+Its shape depends on the documents alone, not on partitions or batches.
 
 Files (Parquet, one folder each under the store's path):
 
 ``objects/kind=chunk``   ``key`` digest, ``n`` ids, ``data`` the ids (16 or 32 bits, zstd)
 ``recipes/kind=recipe``  in ascending id order: ``part, place, doc_id, start`` (ids before it in its part), ``n, root, refs`` (digests, 16 bytes each), ``sizes``
-``recipes/kind=part``    per part: ``n`` ids and the part's root
+``recipes/kind=part``    per part: ``place`` documents and ``n`` ids
+``manifest/level=k``     ``run, root, docs, ids`` of each run of level k; the last level has one row, the store's root
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 import zlib
 from array import array
 
@@ -28,11 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytebpe import PRETOKENS, Units, byte_symbols, groups, ranks
+from .bytebpe import PRETOKENS, blocks, byte_symbols, groups, plain_spaced, ranks
+from .tables import written
 
 #: Chunk sizes in ids: none below ``LEAST`` (but a document's last) or above ``MOST``; about ``LEAST + MEAN`` in between.
 LEAST, MEAN, MOST, REACH = 256, 1024, 8192, 24
 DIGEST = 16
+#: Digests folded into one of the next level.
+RUN = 4096
 
 
 def digest(raw: bytes) -> bytes:
@@ -108,55 +115,79 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u2" if data[:1] == b"\2" else "<u4").astype("<u4")
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[Units, dict]:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class Words(dict):
+    """Ids (little-endian 32-bit) of units that no pre-token crosses, asked of ``solve`` once.
 
-    lib = Tokenizer.from_file(path)
-    special = {t.content: k for k, t in lib.get_added_tokens_decoder().items()}
+    Full, the memo becomes the old one, which is looked up before asking again:
+    what is in use stays, and ids never depend on it.
+    """
 
-    symbols = {k: c for k, c in enumerate(byte_symbols())}
-    tokenize, known, space = lib.model.tokenize, {}, byte_symbols()[32]
+    def __init__(self, solve, lead: str, most: int = 260_000):
+        self.solve, self.lead, self.most, self.old = solve, lead, most, {}
 
-    def of(t: str) -> bytes:
-        ids = known.get(t)
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.pop(unit, None)
         if ids is None:
-            text = (space + t[1:] if t[0] == " " else t) if t.isascii() and t.isprintable() and " " not in t[1:] else t.encode().decode("latin-1").translate(symbols)
-            ids = known[t] = array("I", [x.id for x in tokenize(text)]).tobytes()
+            # a word and its full stop or comma are two pre-tokens
+            ids = self[unit[:-1]] + self.solve(unit[-1]) if unit[-1:] in (".", ",") and unit[:-1].isalpha() else self.solve(self.lead + unit)
+        self[unit] = ids
         return ids
 
-    def solve(units: list[str]) -> list[bytes]:
-        """The library's model on each pre-token (its `encode` costs three times as much on short strings).
 
-        Words of letters, alone or before one full stop or comma, are cut without the pattern.
-        """
-        if len(known) > 120_000:
-            known.clear()
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> tuple[Words, Words, dict, re.Pattern | None]:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    ranks(path)  # checks that the file is a plain byte-level one
+    lib = Tokenizer.from_file(path)
+    special = {t.content: np.uint32(k).astype("<u4").tobytes() for k, t in lib.get_added_tokens_decoder().items()}
+    symbols = {k: c for k, c in enumerate(byte_symbols())}
+    tokenize, space = lib.model.tokenize, byte_symbols()[32]
+
+    def solve(unit: str) -> bytes:
+        """The library's model on each pre-token (its `encode` costs several times as much on short strings)."""
         out = []
-        for u in units:
-            if u[1:].isalpha() and u[0] == " ":
-                out.append(of(u))
-            elif u[-1] in ".," and u[0] == " " and u[1:-1].isalpha():
-                out.append(of(u[:-1]) + of(u[-1]))
-            else:
-                out.append(b"".join([of(t) for t in PRETOKENS.findall(u)]))
-        return out
+        for t in [unit] if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else PRETOKENS.findall(unit):
+            text = (space + t[1:] if t[0] == " " else t) if t.isascii() and t.isprintable() and " " not in t[1:] else t.encode().decode("latin-1").translate(symbols)
+            out += [x.id for x in tokenize(text)]
+        return array("I", out).tobytes()
 
-    # the units' memo is right for byte-level files only; `ranks` checks that this is one
-    ranks(path)
-    return Units(solve, list(special)), special
+    split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+    return Words(solve, " "), Words(solve, "", most=60_000), special, split
 
 
 def ids_of(texts: list[str], tokenizer: str) -> list[bytes]:
-    """Ids of texts by the tokenizers library, as little-endian 32-bit integers."""
-    memo, special = _encoder(tokenizer)
-    if not special or not any(s in t for t in texts for s in special):
-        return [b"".join(v) for v in memo.batch(texts)]
-    split, out = memo.split, []
-    for t, values in zip(texts, memo.batch(texts)):
-        marks = iter([p for k, p in enumerate(split.split(t)) if k % 2])
-        out.append(b"".join([np.uint32(special[next(marks)]).astype("<u4").tobytes() if v is None else v for v in values]))
+    """Ids of texts by the tokenizers library, as little-endian 32-bit integers.
+
+    A text is cut into words with the one space before them; a word with a
+    newline before it, the first word and texts with other white space stand as they are.
+    """
+    spaced, bare, special, split = _encoder(tokenizer)
+    out = []
+    for text in texts:
+        ids = []
+        for k, part in enumerate(split.split(text) if split and any(s in text for s in special) else [text]):
+            if k % 2:
+                ids.append(special[part])
+                continue
+            for block in blocks(part):
+                lead = block[:1] == " "
+                body = block[1:] if lead else block
+                if plain_spaced(body):
+                    lines = body.split("\n")
+                    for j, line in enumerate(lines):
+                        units = line.split(" ")
+                        if j or not lead:
+                            ids.append(bare["\n" + units[0] if j else units[0]])
+                            del units[0]
+                        ids += map(spaced.__getitem__, units)
+                else:
+                    ids += [bare[t] for t in PRETOKENS.findall(block)]
+        out.append(b"".join(ids))
     return out
 
 
@@ -204,25 +235,67 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int | None = N
     ordered = recipes.select("doc_id", "key", "n", F.col("data").alias("refs"), "sizes").repartitionByRange(F.asc_nulls_first("doc_id"), F.col("key")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "key")
 
     def place(batches):
-        part, at, start, roots = TaskContext.get().partitionId(), 0, 0, []
+        part, at, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             refs = batch.column(3).to_pylist()
-            root = [merkle([r[k : k + DIGEST] for k in range(0, len(r), DIGEST)]) for r in refs]
             n = batch.column(2).to_numpy()
             starts = start + np.cumsum(n) - n
             m = len(refs)
-            yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * m), pa.array([part] * m, pa.int32()), pa.array(np.arange(at, at + m)), batch.column(0), pa.array(starts), batch.column(2), pa.array(root, pa.binary()), batch.column(3), batch.column(4)], names=names)
-            roots.append(merkle(root))
+            yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * m), pa.array([part] * m, pa.int32()), pa.array(np.arange(at, at + m)), batch.column(0), pa.array(starts), batch.column(2), pa.array([root_of(r) for r in refs], pa.binary()), batch.column(3), batch.column(4)], names=names)
             at, start = at + m, start + int(n.sum())
-        if roots:
-            # roots of runs of documents, folded: the part's root
-            yield pa.RecordBatch.from_arrays([pa.array(["part"]), pa.array([part], pa.int32()), pa.array([at]), pa.array([None], pa.int64()), pa.array([0]), pa.array([start]), pa.array([merkle(roots)], pa.binary()), pa.array([b""]), pa.array([[]], pa.list_(pa.int32()))], names=names)
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array(["part"]), pa.array([part], pa.int32()), pa.array([at]), pa.array([None], pa.int64()), pa.array([0]), pa.array([start]), pa.array([b""]), pa.array([b""]), pa.array([[]], pa.list_(pa.int32()))], names=names)
 
     names = ["kind", "part", "place", "doc_id", "start", "n", "root", "refs", "sizes"]
     ordered.mapInArrow(place, RECIPES).write.partitionBy("kind").parquet(f"{path}/recipes")
+    level, runs = 0, _leaves(_placed(spark, path))
+    while True:
+        level += 1
+        runs = _runs(runs)
+        runs.write.parquet(f"{path}/manifest/level={level}")
+        runs = spark.read.schema(MANIFEST).parquet(f"{path}/manifest/level={level}")
+        if runs.limit(2).count() < 2:
+            break
 
 
 RECIPES = "kind string, part int, place bigint, doc_id bigint, start bigint, n bigint, root binary, refs binary, sizes array<int>"
+MANIFEST = "run bigint, root binary, docs bigint, ids bigint"
+
+
+def root_of(refs: bytes) -> bytes:
+    """A document's root from its references."""
+    return merkle([refs[k : k + DIGEST] for k in range(0, len(refs), DIGEST)])
+
+
+def _leaves(documents: DataFrame) -> DataFrame:
+    """A run of level 0 per document: the digest of its root, id, size and start."""
+
+    def run(batches):
+        for b in batches:
+            cols = zip(*(b.column(k).to_pylist() for k in range(5)))
+            leaf = [digest(b"\0" + root + b"".join((-1 << 63 if v is None else v).to_bytes(8, "big", signed=True) for v in (i, start, n))) for _, i, start, n, root in cols]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(leaf, pa.binary()), pa.array([1] * len(leaf), pa.int64()), b.column(3)], names=["run", "root", "docs", "ids"])
+
+    return documents.select("position", "doc_id", "start", "n", "root").mapInArrow(run, MANIFEST)
+
+
+def _runs(below: DataFrame) -> DataFrame:
+    """Runs of the next level: ``RUN`` digests in order folded into one."""
+    held = F.array_sort(F.collect_list(F.struct("run", "root")))
+    many = below.groupBy(F.floor(F.col("run") / RUN).cast("bigint").alias("run")).agg(held.alias("held"), F.sum("docs").alias("docs"), F.sum("ids").alias("ids"))
+
+    def fold(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merkle([x["root"] for x in h]) for h in b.column(1).to_pylist()], pa.binary()), b.column(2), b.column(3)], names=["run", "root", "docs", "ids"])
+
+    return many.mapInArrow(fold, MANIFEST)
+
+
+def store_root(spark: SparkSession, path: str) -> tuple[bytes, int, int]:
+    """``(root, documents, ids)`` of the store as its manifest has it."""
+    levels = spark.read.schema(MANIFEST + ", level int").parquet(f"{path}/manifest")
+    top = levels.orderBy(F.desc("level"), "run").first()
+    return (bytes(top["root"]), top["docs"], top["ids"]) if top else (merkle([]), 0, 0)
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -231,7 +304,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """``(part, place, doc_id, start, n, root, ids array<int>)``: every document
-    rebuilt from its chunks; ``start`` counts the ids of all documents before it."""
+    rebuilt from its chunks; ``start`` counts the ids of all documents before it.
+    A missing chunk, or one of another size than the recipe says, raises."""
     return _documents(spark, path).drop("pieces").withColumn("ids", _joined(F.col("ids")))
 
 
@@ -240,11 +314,14 @@ def _joined(pieces):
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Recipes with their ``position`` and ``start`` in the whole store."""
     table = _read(spark, f"{path}/recipes", RECIPES)
-    parts = table.filter("kind = 'part'").select("part", "n")  # one row a part
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    parts = table.filter("kind = 'part'").select("part", "place", "n")  # one row a part
+    upto = Window.orderBy("part")
+    before = parts.select("part", (F.sum("n").over(upto) - F.col("n")).alias("ids"), (F.sum("place").over(upto) - F.col("place")).alias("docs"))
     recipes = table.filter("kind = 'recipe'").drop("kind")
-    return recipes.join(F.broadcast(before), "part").withColumn("start", F.col("start") + F.col("before")).drop("before")
+    placed = recipes.join(F.broadcast(before), "part", "left").withColumn("start", F.col("start") + F.coalesce("ids", F.lit(0)))
+    return placed.withColumn("position", F.col("place") + F.coalesce("docs", F.lit(0))).drop("ids", "docs")
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
@@ -261,9 +338,11 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
 
     opened = chunks.mapInArrow(open_, "key binary, piece array<int>")
     refs = recipes.select("part", "place", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("sizes") - 1), lambda k: F.substring("refs", k * DIGEST + 1, F.lit(DIGEST)))).alias("k", "key")).filter(F.length("key") > 0)
-    rebuilt = refs.join(opened, "key").groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("pieces"))
+    rebuilt = refs.join(opened, "key", "left").groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("pieces"))
     out = recipes.join(rebuilt, ["part", "place"], "left")
-    return out.withColumn("ids", F.coalesce(F.transform("pieces", lambda p: p["piece"]), F.array().cast("array<array<int>>")))
+    whole = F.transform(F.coalesce("pieces", F.array().cast("array<struct<k:int,piece:array<int>>>")), lambda p: F.coalesce(F.size(p["piece"]), F.lit(-1))) == F.coalesce("sizes", F.array().cast("array<int>"))
+    pieces = F.coalesce(F.transform("pieces", lambda p: p["piece"]), F.array().cast("array<array<int>>"))
+    return out.withColumn("ids", F.when(whole, pieces).otherwise(F.raise_error(F.lit("a chunk is missing or has another size than its recipe says")).cast("array<array<int>>")))
 
 
 # --- documents' digests from the files without moving their ids
@@ -307,8 +386,9 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     Every chunk is read, checked against its name, and its crc32 and size
     taken; a document's crc32 follows from its chunks' in recipe order, its
     root from its references.  Ids never leave the task that reads them: only
-    names, sizes and checksums shuffle.  A wrong chunk, a missing chunk, or a
-    recipe that does not add up to its root or size raises.
+    names, sizes and checksums shuffle.  A wrong chunk, a missing chunk, a
+    recipe that does not add up to its root or size, or documents that do not
+    fold to the manifest's root (one lost, doubled, moved or changed) raise.
     """
     recipes = _placed(spark, path)
     chunks = _read(spark, f"{path}/objects", "kind string, key binary, n bigint, data binary").filter("kind = 'chunk'").select("key", "data")
@@ -327,18 +407,29 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     known = chunks.mapInArrow(sums, "key binary, crc bigint, size bigint")
     refs = recipes.filter(F.size("sizes") > 0).select("part", "place", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("sizes") - 1), lambda k: F.substring("refs", k * DIGEST + 1, F.lit(DIGEST)))).alias("k", "key"))
     found = refs.join(known, "key", "left").groupBy("part", "place").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("crc", F.lit(-1)).alias("crc"), F.coalesce("size", F.lit(-1)).alias("size")))).alias("got"))
-    both = recipes.join(found, ["part", "place"], "left").select("doc_id", "start", "n", "root", "refs", F.coalesce(F.transform("got", lambda g: g["crc"]), F.array().cast("array<bigint>")).alias("crcs"), F.coalesce(F.transform("got", lambda g: g["size"]), F.array().cast("array<bigint>")).alias("sizes"))
+    both = recipes.join(found, ["part", "place"], "left").select("doc_id", "start", "n", "root", "refs", "position", F.coalesce(F.transform("got", lambda g: g["crc"]), F.array().cast("array<bigint>")).alias("crcs"), F.coalesce(F.transform("got", lambda g: g["size"]), F.array().cast("array<bigint>")).alias("sizes"))
 
     def fold(batches):
         for batch in batches:
-            refs, crcs, sizes, n, roots = (batch.column(k).to_pylist() for k in (4, 5, 6, 2, 3))
+            refs, crcs, sizes, n, roots = (batch.column(k).to_pylist() for k in (4, 6, 7, 2, 3))
             for r, c, s, m, root in zip(refs, crcs, sizes, n, roots):
-                if len(c) * DIGEST != len(r) or -1 in c or sum(s) != m or merkle([r[k : k + DIGEST] for k in range(0, len(r), DIGEST)]) != root:
+                if len(c) * DIGEST != len(r) or -1 in c or sum(s) != m or root_of(r) != root:
                     raise ValueError("a recipe does not add up to its document")
             crc = np.zeros(len(refs), dtype=np.uint32)
             for k in range(max(map(len, crcs), default=0)):  # the k-th chunk of all documents at once
                 at = np.array([i for i, c in enumerate(crcs) if len(c) > k])
                 crc[at] = crc_join(crc[at], np.array([crcs[i][k] for i in at]), np.array([4 * sizes[i][k] for i in at]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc.astype(np.int64)), batch.column(3)], names=["doc_id", "start", "n_tokens", "ids_crc32", "root"])
-
-    return both.mapInArrow(fold, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, root binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc.astype(np.int64)), batch.column(3), batch.column(5)], names=["doc_id", "start", "n", "ids_crc32", "root", "position"])
+
+    checked = written(both.mapInArrow(fold, "doc_id bigint, start bigint, n bigint, ids_crc32 bigint, root binary, position bigint"), "verified")
+    want, runs = store_root(spark, path), _runs(_leaves(checked))
+    while True:
+        runs = written(runs, "runs")
+        if runs.limit(2).count() < 2:
+            break
+        runs = _runs(runs)
+    got = runs.first()
+    parts = _read(spark, f"{path}/recipes", RECIPES).filter("kind = 'part'").agg(F.sum("place").alias("docs"), F.sum("n").alias("ids")).first()
+    if (parts["docs"] or 0, parts["ids"] or 0) != want[1:] or (bytes(got["root"]), got["docs"], got["ids"]) != want if got else want[1]:
+        raise ValueError("the documents do not fold to the store's root")
+    return checked.select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32", "root")

@@ -1,13 +1,15 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm.queries import QUERIES
 from gridloom.llm.tables import new_folder
-from gridloom.llm.token_store import LEAST, MOST, crc_join, cuts, digest, ids_of, merkle, pack, read_store, unpack, verify_store, write_store
+from gridloom.llm.token_store import LEAST, MOST, Words, crc_join, cuts, digest, ids_of, merkle, pack, read_store, store_root, unpack, verify_store, write_store
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,6 +49,25 @@ def test_parts():
     assert [np.frombuffer(r, "<u4").tolist() for r in ids_of(texts, PATH)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_ids_of_odd_strings():
+    """Against the library on texts of odd characters, spaces, marks and special strings."""
+    rng = random.Random(4)
+    alphabet = [*"abcxyzABÉéßжд中文かな١٢३🙂é'.,;:!?-_#*0123456789", "\u0301", "\u200d", " ", " ", " ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\r", "  ", "\n\n", " \n", "<|endoftext|>", "'s", "n't ", "word", "Word. ", "and, "]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(1, 40))) for _ in range(20_000)]
+    texts += [" ".join(rng.choices(["the", "cat.", "sat,", "don't", "x1", "naïve.", "É,", "\nnew", "a.b", "..."], k=rng.randrange(1, 12))) for _ in range(12_000)]
+    lib = Tokenizer.from_file(PATH)
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(r, "<u4").tolist() for r in ids_of(texts, PATH)] == want
+
+
+def test_words_memo_turns_over():
+    asked = []
+    memo = Words(lambda t: asked.append(t) or t.encode(), " ", most=5)
+    for k in range(40):
+        assert memo["often"] == b" often" and memo[f"w{k}."] == f" w{k}.".encode()
+    assert asked.count(" often") == 1
+
+
 @pytest.mark.parametrize("sf", ["0.001"])
 def test_documents(spark, sf):
     d = f"/root/testdata/sf{sf}"
@@ -71,6 +92,55 @@ def test_round_trip_and_tampering(spark):
     chunks.filter(chunks.key != some).write.partitionBy("kind").parquet(f"{other}/objects")
     with pytest.raises(Exception, match="does not add up"):
         verify_store(spark, other).collect()
+    with pytest.raises(Exception, match="missing"):
+        read_store(spark, other).collect()
+
+
+@pytest.fixture(scope="module")
+def store(spark):
+    path = new_folder(spark, "store")
+    rows = [(k, " ".join(f"t{k * j % 89}" for j in range(5 + k))) for k in range(40)]
+    write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, PATH, end_id=2)
+    return path
+
+
+@pytest.mark.parametrize("change", ["lost", "swapped", "doubled", "renamed", "part"])
+def test_changed_recipes(spark, store, change):
+    recipes, other = spark.read.parquet(f"{store}/recipes"), new_folder(spark, "store")
+    one, two = (F.col("kind") == "recipe") & (F.col("doc_id") == 7), (F.col("kind") == "recipe") & (F.col("doc_id") == 8)
+    if change == "lost":
+        recipes = recipes.filter(~one)
+    elif change == "doubled":
+        recipes = recipes.union(recipes.filter(one))
+    elif change == "swapped":
+        recipes = recipes.withColumn("doc_id", F.when(one, 8).when(two, 7).otherwise(F.col("doc_id")))
+    elif change == "renamed":
+        recipes = recipes.withColumn("doc_id", F.when(one, 700).otherwise(F.col("doc_id")))
+    else:
+        recipes = recipes.filter("kind = 'recipe' or part > 0")
+    recipes.write.partitionBy("kind").parquet(f"{other}/recipes")
+    for folder in ("objects", "manifest"):
+        kept = spark.read.parquet(f"{store}/{folder}")
+        kept.write.partitionBy("kind" if folder == "objects" else "level").parquet(f"{other}/{folder}")
+    with pytest.raises(Exception, match="store's root|add up"):
+        verify_store(spark, other).collect()
+
+
+def test_root_does_not_depend_on_batches_or_partitions(spark, store):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, got = spark.conf.get(key), {store_root(spark, store)}
+    try:
+        for batch, parts in ((3, 1), (10_000, 7)):
+            spark.conf.set(key, batch)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            path = new_folder(spark, "store")
+            rows = [(k, " ".join(f"t{k * j % 89}" for j in range(5 + k))) for k in range(40)]
+            write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), path, PATH, end_id=2)
+            got.add(store_root(spark, path))
+    finally:
+        spark.conf.set(key, was)
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(got) == 1 and next(iter(got))[1] == 40
 
 
 def test_empty(spark):
