@@ -213,7 +213,10 @@ def _chain(pdf: pd.DataFrame, by: str) -> pd.DataFrame:
     def half(seq):
         out = []
         for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+            while len(out) > 1:
+                one, two = (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]), (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0])
+                if one - two > 1e-10 * (abs(one) + abs(two)):  # what is within rounding of a line goes
+                    break
                 out.pop()
             out.append(p)
         return out

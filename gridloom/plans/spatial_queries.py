@@ -229,7 +229,10 @@ def j02(spark, d):
     return seg.groupBy("segment_id").agg(F.count(F.lit(1)).alias("area"))
 
 
-@query("j03_sieve")
+_SIEVE = ", q AS (SELECT y, x, label, region FROM p JOIN l USING (id)), s AS (SELECT region FROM q GROUP BY region HAVING count(*) < 8), v AS (SELECT a.region, b.label, count(*) AS n FROM q a JOIN s USING (region) JOIN q b ON abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.region <> b.region GROUP BY ALL), r AS (SELECT region, label AS vote, row_number() OVER (PARTITION BY region ORDER BY n DESC, label) AS k FROM v) SELECT y, x, coalesce(vote, label) AS label FROM q LEFT JOIN r ON r.region = q.region AND k = 1"
+
+
+@query("j03_sieve", _components(False) + _SIEVE)
 def j03(spark, d):
     return C.sieve(load(spark, d, "grid"), "label", 8)
 
@@ -241,7 +244,11 @@ def k01(spark, d):
     return z.select("zone", c.alias("c")).select("zone", clean(F.col("c.x")).alias("cx"), clean(F.col("c.y")).alias("cy"), clean(F.col("c.area")).alias("area"))
 
 
-@query("k02_convex_hull")
+#: A point is a corner of the hull where all others leave a gap of over half a turn around it.
+_HULL = f"{ctes('pts')}, p AS (SELECT DISTINCT id % 3 AS g, px, py FROM pts), a AS (SELECT a.g, a.px, a.py, atan2(b.py - a.py, b.px - a.px) AS t FROM p a JOIN p b ON a.g = b.g AND (a.px <> b.px OR a.py <> b.py)), n AS (SELECT g, px, py, coalesce(lead(t) OVER w, min(t) OVER (PARTITION BY g, px, py) + 2 * pi()) - t AS gap FROM a WINDOW w AS (PARTITION BY g, px, py ORDER BY t)) SELECT g, px, py FROM n GROUP BY g, px, py HAVING max(gap) > pi() + 1e-12"
+
+
+@query("k02_convex_hull", _HULL)
 def k02(spark, d):
     p = load(spark, d, "pts").withColumn("g", F.col("id") % 3)
     return S.convex_hull(p.select("g", "px", "py"), "g")

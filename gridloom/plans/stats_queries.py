@@ -166,6 +166,17 @@ def d17(spark, d):
     return spark.createDataFrame(S.jm_separability(S.covariance(s, "s", 8, ["label"]), 8), "a int, b int, jm double")
 
 
+_JM = f"{ctes('ms')}, t AS (SELECT label, b1, b2 FROM ms WHERE b1 IS NOT NULL AND b2 IS NOT NULL), c AS (SELECT label, avg(b1) AS m, avg(b2) AS n, var_samp(b1) AS a, var_samp(b2) AS d, covar_samp(b1, b2) AS b FROM t GROUP BY label), p AS (SELECT x.label AS k, y.label AS l, x.m - y.m AS u, x.n - y.n AS v, (x.a + y.a) / 2 AS a, (x.b + y.b) / 2 AS b, (x.d + y.d) / 2 AS d, x.a * x.d - x.b * x.b AS dx, y.a * y.d - y.b * y.b AS dy FROM c x JOIN c y ON x.label < y.label)"
+
+
+@query("d17_jm_two_bands", _JM + " SELECT k AS a, l AS b, round(2 * (1 - exp(-((d * u * u - 2 * b * u * v + a * v * v) / (a * d - b * b) / 8 + ln((a * d - b * b) / sqrt(dx * dy)) / 2))), 6) AS jm FROM p")
+def d17t(spark, d):
+    """Two bands, where SQL can write the matrices out."""
+    s = load(spark, d, "ms").filter("b1 IS NOT NULL AND b2 IS NOT NULL").select("label", F.array("b1", "b2").alias("s"))
+    rows = S.jm_separability(S.covariance(s, "s", 2, ["label"]), 2)
+    return rounded(spark.createDataFrame(rows, "a int, b int, jm double"), "jm")
+
+
 @query("d17_class_means", f"{ctes('spectra')} SELECT label, count(*) AS n, round(avg(spectrum[1]), 6) AS m0, round(var_pop(spectrum[1]), 6) AS v0, round(covar_pop(spectrum[1], spectrum[2]), 6) AS c01 FROM spectra GROUP BY label")
 def d17m(spark, d):
     s = load(spark, d, "spectra").select("label", F.slice("spectrum", 1, 2).alias("s"))

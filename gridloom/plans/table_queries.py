@@ -180,6 +180,16 @@ def i03(spark, d):
     return rounded(ml.normal_bayes(s, 8)(s), "probability").select("y", "x", "class", "probability")
 
 
+_GAUSS = f"{ctes('ms')}, t AS (SELECT * FROM ms WHERE b1 IS NOT NULL AND b2 IS NOT NULL), c AS (SELECT label, count(*) AS n, avg(b1) AS m1, avg(b2) AS m2, var_pop(b1) + 1e-6 AS a, var_pop(b2) + 1e-6 AS d, covar_pop(b1, b2) AS b FROM t GROUP BY label), s AS (SELECT y, x, c.label, ln(c.n / (SELECT count(*) FROM t)) - ln(a * d - b * b) / 2 - (d * (b1 - m1) * (b1 - m1) - 2 * b * (b1 - m1) * (b2 - m2) + a * (b2 - m2) * (b2 - m2)) / (a * d - b * b) / 2 AS l FROM t, c)"
+
+
+@query("i03_normal_bayes_two_bands", _GAUSS + " SELECT y, x, arg_max(label, l) AS class, round(1 / sum(exp(l - top)), 6) AS probability FROM (SELECT *, max(l) OVER (PARTITION BY y, x) AS top FROM s) GROUP BY y, x")
+def i03t(spark, d):
+    """Two bands, where SQL can write the matrices out."""
+    s = load(spark, d, "ms").filter("b1 IS NOT NULL AND b2 IS NOT NULL").withColumn("spectrum", F.array("b1", "b2"))
+    return rounded(ml.normal_bayes(s, 2)(s), "probability").select("y", "x", "class", "probability")
+
+
 @query("i04_random_forest")
 def i04(spark, d):
     return _fitted(spark, d, "forest")
