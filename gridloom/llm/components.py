@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import drop, placed_at, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,11 +34,12 @@ def labels(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         # small star: neighbours at or below u go to the least of them
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = written(small, "edges")
+        old, e = e, written(small, "edges")
         now = _state(e)
+        drop(old)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return placed_at(e.select(F.col("u").alias("node"), F.col("v").alias("root")), e._gridloom_path)

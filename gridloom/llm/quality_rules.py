@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small, texts_of, with_text, written
+from .tables import drop, small, texts_of, tidy, with_text, written
 
 #: ASCII white space between words, and the counted symbols.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -234,11 +234,13 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, rest: float = 1e-3, m
     last step scales the scatter of the inner share to that of a whole normal
     sample.  No rows give no estimates.
     """
-    est = small(written(starts(rows, small(written(scales(rows), "scales"), MOST_GROUPS)), "starts"), 3 * MOST_GROUPS)
+    old = written(starts(rows, small(written(scales(rows), "scales"), MOST_GROUPS)), "starts")
+    est = small(old, 3 * MOST_GROUPS)
     for k in range(most_steps):
-        est = written(concentrated(rows, est, share, choose=k > 0), "estimates")
-        fell = est.agg(F.max(F.abs("fell"))).first()[0]
-        est = small(est, 3 * MOST_GROUPS)
+        table = written(concentrated(rows, est, share, choose=k > 0), "estimates")
+        drop(old)
+        old, fell = table, table.agg(F.max(F.abs("fell"))).first()[0]
+        est = small(table, 3 * MOST_GROUPS)
         if k > 0 and (fell is None or fell <= rest):
             return written(concentrated(rows, est, share, choose=True, grow=_consistency(share)), "estimates")
     raise RuntimeError(f"the estimates did not settle in {most_steps} steps")
@@ -276,6 +278,7 @@ def robust_outliers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sound = rows.filter(~F.col("base_failed")).select("lang", "source", *[f"x{i}" for i in range(DIM)])
     groups = written(units(sound, least), "units")
     est = robust_estimates(sound.join(small(groups, MOST_GROUPS), ["lang", "source"]))
+    tidy(df.sparkSession)
     judged = rows.join(small(written(groups.join(est, UNIT).select("lang", "source", *MEANS, *INVERSE), "judges"), MOST_GROUPS), ["lang", "source"], "left")
     d2 = F.greatest(F.coalesce(_distance([F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIM)]), F.lit(0.0)), F.lit(0.0))
     return judged.withColumn("distance2", d2).select("k.*", *COUNTS, "base_failed", "distance2", (~F.col("base_failed") & (F.col("distance2") <= chi2_quantile(quantile, DIM))).alias("kept"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components
-from .tables import new_folder, written
+from .tables import drop, new_folder, placed_at, written
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -102,11 +102,15 @@ def flips(bits: int, width: int = 64) -> dict[int, np.ndarray]:
     return {int(step[g[0]]): masks[g] for g in np.split(order, cut)}
 
 
-def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, centres: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges among distinct ``fps`` (uint64) whose balls meet in ``bucket``.
+def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, picks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges ``(u, v, turn, rank)`` among distinct ``fps`` (uint64) whose balls meet in ``bucket``.
 
-    A shared value links its owners to the least of them; with more ``centres``
-    also to the first of them in as many other, seeded orders.
+    Without ``picks``, a shared value links its owners to the least of them: a
+    star, which connects all that meet (turn 0).  With ``picks``, every
+    fingerprint gets three partners at most, however many it meets: the first
+    of them in a seeded order that holds for all values (turn 0), the one that
+    shares most values with others, the middle of a group (1), and the nearest
+    of these and of its neighbours in order (2).  The least ``rank`` is the pick.
     """
     step = bucket_of(fps, bits) ^ bucket
     order = np.argsort(step, kind="stable")
@@ -117,15 +121,15 @@ def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, centres: int =
         if masks is not None:
             keys.append((fps[g][:, None] ^ masks[None, :]).ravel())
             owner.append(np.repeat(g.astype(np.int32), len(masks)))
-    none = np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
     if not keys:
-        return none, none
+        return none
     keys, owner = np.concatenate(keys), np.concatenate(owner)
     ordered = np.sort(keys)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     del ordered
     if not len(twice):
-        return none, none
+        return none
     # which variants are among the shared ones: a bit table first, then exactly
     mix = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     seen = np.zeros(1 << 24, dtype=bool)
@@ -134,17 +138,40 @@ def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, centres: int =
     place = np.minimum(np.searchsorted(twice, keys[at]), len(twice) - 1)
     ok = twice[place] == keys[at]
     place, members = place[ok], fps[owner[at[ok]]]
-    pairs = []
-    for turn in range(centres):
-        rank = members if turn == 0 else spread(members + np.uint64(turn))
-        order = np.lexsort((rank, place))
+
+    def stars(rank):
+        order = np.lexsort((members, rank, place))
         p, m = place[order], members[order]
         first = np.append(True, p[1:] != p[:-1])
-        centre = m[np.flatnonzero(first)][np.cumsum(first) - 1]
-        pairs.append(np.stack([centre[~first], m[~first]], axis=1))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 4]
-    return pairs[:, 0], pairs[:, 1]
+        centre = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+        return members[centre[~first]], m[~first], rank[centre[~first]]
+
+    if not picks:
+        u, v, _ = stars(members)
+        pairs = np.unique(np.stack([u, v], axis=1), axis=0)
+        pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= 4]
+        return pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), dtype=np.int32), np.zeros(len(pairs), dtype=np.int64)
+    hashed = (spread(members) >> np.uint64(8)).astype(np.int64)
+    _, of, many = np.unique(members, return_inverse=True, return_counts=True)
+    sides = [stars(hashed), stars(-many[of])]
+    order = np.lexsort((members, place))
+    p, m = place[order], members[order]
+    beside = p[1:] == p[:-1]
+    u, v = (np.concatenate([*x, *[side[k] for side in sides]]) for k, x in enumerate(((m[:-1][beside], m[1:][beside]), (m[1:][beside], m[:-1][beside]))))
+    sides.append((u, v, (np.bitwise_count(u ^ v).astype(np.int64) << 56) | (spread(u) >> np.uint64(8)).astype(np.int64)))
+    found = [(*_one_each(*side), turn) for turn, side in enumerate(sides)]
+    u, v, rank = (np.concatenate([x[k] for x in found]) for k in range(3))
+    turn = np.concatenate([np.full(len(x[0]), x[3], dtype=np.int32) for x in found])
+    near = np.bitwise_count(u ^ v) <= 4
+    return u[near], v[near], turn[near], rank[near]
+
+
+def _one_each(u: np.ndarray, v: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each ``v`` its ``u`` of least rank."""
+    order = np.lexsort((u, rank, v))
+    u, v, rank = u[order], v[order], rank[order]
+    first = np.append(True, v[1:] != v[:-1])[: len(v)]
+    return u[first], v[first], rank[first]
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -154,11 +181,12 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width: int = 64, least_bits: int = 6, centres: int = 1) -> DataFrame:
-    """``fps(family int, fp bigint)``, distinct -> star edges ``(family, u, v)`` within
-    each family that connect exactly what pairs within 4 bits connect; written in
-    the shared folder.  Fingerprints have ``width`` bits; ``centres`` as in `met`.
-    No fingerprints give no edges; nulls are not expected.
+def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width: int = 64, least_bits: int = 6, picks: bool = False) -> DataFrame:
+    """``fps(family int, fp bigint)``, distinct -> edges ``(family, u, v, turn, rank)`` within
+    each family; written in the shared folder.  Without ``picks`` they connect
+    exactly what pairs within 4 bits connect; with it they are a few partners of
+    every fingerprint (`met`).  Fingerprints have ``width`` bits.  No fingerprints
+    give no edges; nulls are not expected.
     """
     spark = fps.sparkSession
     n = fps.groupBy("family").count().agg(F.max("count")).first()[0] or 0
@@ -184,17 +212,17 @@ def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width
 
             def collide(pdf: pd.DataFrame) -> pd.DataFrame:
                 x = np.unique(np.frombuffer(b"".join(pdf["fps"]), dtype=np.uint64))
-                u, v = met(x, int(pdf["bucket"].iloc[0]), bits, width, centres)
-                return pd.DataFrame({"family": np.full(len(u), pdf["family"].iloc[0], dtype=np.int32), "u": u.view(np.int64), "v": v.view(np.int64)})
+                u, v, turn, rank = met(x, int(pdf["bucket"].iloc[0]), bits, width, picks)
+                return pd.DataFrame({"family": np.full(len(u), pdf["family"].iloc[0], dtype=np.int32), "u": u.view(np.int64), "v": v.view(np.int64), "turn": turn, "rank": rank})
 
             if total > per_pass:  # a pass's shuffle files go when the pass is written
                 spark.conf.set(cleanup, "true")
             sent = fps.select("family", "fp").mapInArrow(send, "family int, bucket int, fps binary")
-            sent.groupBy("family", "bucket").applyInPandas(collide, "family int, u bigint, v bigint").write.mode("append").parquet(path)
+            sent.groupBy("family", "bucket").applyInPandas(collide, "family int, u bigint, v bigint, turn int, rank bigint").write.mode("append").parquet(path)
     finally:
         if total > per_pass:
             spark.conf.set(cleanup, was) if was is not None else spark.conf.unset(cleanup)
-    return spark.read.schema("family int, u bigint, v bigint").parquet(path)
+    return placed_at(spark.read.schema("family int, u bigint, v bigint, turn int, rank bigint").parquet(path), path)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
@@ -221,8 +249,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = written(fingerprints(df, id_col, text_col, size), "fingerprints")
     distinct = written(docs.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = components.labels(links(distinct.select(F.lit(0).alias("family"), "fp")).select("u", "v"))
+    edges = links(distinct.select(F.lit(0).alias("family"), "fp"))
+    roots = components.labels(edges.select("u", "v"))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.select("fp", "root").join(ids, "root"), "components")
+    drop(distinct, edges, roots)
     return docs.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -58,6 +59,13 @@ def drop(*tables: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver forget what no frame refers to any more: shuffle files and broadcasts
+    of finished steps go with it, and a long job's driver stays small."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """``df`` (a written table) marked for broadcast if it has ``most`` rows at most; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

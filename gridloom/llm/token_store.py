@@ -122,7 +122,7 @@ class Words(dict):
     what is in use stays, and ids never depend on it.
     """
 
-    def __init__(self, solve, lead: str, most: int = 260_000):
+    def __init__(self, solve, lead: str, most: int = 480_000):
         self.solve, self.lead, self.most, self.old = solve, lead, most, {}
 
     def __missing__(self, unit: str) -> bytes:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labelled import dealt, first_rows, fold, one_label
-from .tables import drop, texts_of, with_text, written
+from .tables import drop, texts_of, tidy, with_text, written
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PREFIXES = range(3, 9)
@@ -69,13 +69,19 @@ class Rows:
     def of(cls, lists: list) -> Rows:
         sizes = np.array([len(x) for x in lists], dtype=np.int64)
         flat = np.concatenate(lists) if len(lists) else np.zeros(0)
-        return cls(flat.astype(np.int64), np.cumsum(sizes))
+        return cls(flat.astype(np.int32), np.cumsum(sizes))
 
     def __len__(self) -> int:
         return len(self.ends)
 
     def owners(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
+        return np.repeat(np.arange(len(self.ends), dtype=np.int32), np.diff(self.ends, prepend=0))
+
+    def parts(self, most: int = 1_000_000) -> list[tuple[slice, slice]]:
+        """Runs of documents of about ``most`` features each, as slices of documents and of columns."""
+        cut = [0, *np.unique(np.searchsorted(self.ends, np.arange(most, self.ends[-1] if len(self) else 0, most)) + 1).tolist(), len(self)]
+        at = np.append(0, self.ends)
+        return [(slice(a, b), slice(int(at[a]), int(at[b]))) for a, b in zip(cut, cut[1:]) if a < b]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -110,15 +116,22 @@ def train_nnpu(positive: Rows, unlabelled: Rows, features: int, prior: float, st
     """
     w, b, risks = np.zeros(features), float(bias), []
     rng, m1, m2 = np.random.default_rng(seed), np.zeros(features + 1), np.zeros(features + 1)
-    sides = [(rows.columns, rows.owners(), len(rows)) for rows in (positive, unlabelled)]
+    sides = [(rows.columns, rows.owners(), len(rows), rows.parts()) for rows in (positive, unlabelled)]  # worked through in parts: few and small temporaries
     for step in range(1, steps + 1):
-        live = [(rng.random(len(columns)) < present).astype(float) for columns, _, _ in sides]
-        fp, fu = (sigmoid(np.bincount(owners, weights=w[columns] * on, minlength=n) + b) for (columns, owners, n), on in zip(sides, live))
-        one, two = risk_parts(fp, fu, prior)
+        live, scores = [], []
+        for columns, owners, n, parts in sides:
+            z = np.zeros(n)
+            for docs, at in parts:
+                live.append(rng.random(at.stop - at.start, dtype=np.float32) < present)
+                z[docs] = np.bincount(owners[at] - docs.start, weights=w[columns[at]] * live[-1], minlength=docs.stop - docs.start)
+            scores.append(sigmoid(z + b))
+        one, two = risk_parts(*scores, prior)
         risks.append(one + max(0.0, two))
-        both = slopes(fp, fu, prior)
-        back = sum(np.bincount(columns, weights=g[owners] * on, minlength=features) for (columns, owners, _), g, on in zip(sides, both, live))
-        grad = np.append(back + decay * np.sign(w), both[0].sum() + both[1].sum())
+        both = slopes(*scores, prior)
+        grad, kept = np.append(decay * np.sign(w), both[0].sum() + both[1].sum()), iter(live)
+        for (columns, owners, _, parts), g in zip(sides, both):
+            for _, at in parts:
+                grad[:-1] += np.bincount(columns[at], weights=g[owners[at]] * next(kept), minlength=features)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -163,10 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(v, dtype="<i4").tobytes() for v in lists], pa.binary())], names=["positive", "indices"])
 
     got = sample.repartition(8).mapInArrow(indices, "positive int, indices binary").toArrow()
-    flags = got.column("positive").to_pylist()
-    rows = sorted(zip(flags, got.column("indices").to_pylist()))
+    rows = sorted(zip(got.column("positive").to_pylist(), got.column("indices").to_pylist()))
+    del got
+    tidy(docs.sparkSession)
     drop(sample)
     lists = {flag: Rows.of([np.frombuffer(x, dtype="<i4") for g, x in rows if g == flag]) for flag in (1, 0)}
+    del rows
     if not chosen or not 0 < prior < 1 or not len(lists[1]) or not len(lists[0]):
         return Model({}, -20.0)
     w, b, _ = train_nnpu(lists[1], lists[0], len(chosen), prior, steps)
