@@ -3,9 +3,9 @@
 Confirmed toxic documents are the positives, other documents are unlabelled.
 A linear numpy classifier over words and word prefixes minimises
 ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))`` with the sigmoid loss, where
-``pi`` is the class prior, from zero weights; no feature is chosen by how it
-parts the two sets.  Training happens on a bounded sample; every document is
-then scored in one narrow pass.
+``pi`` is the class prior, from zero weights over features that few texts but
+toxic ones have.  Training happens on a bounded sample; every document is then
+scored in one narrow pass.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def slopes(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[np.ndarray, np
     return -2 * prior * sp / len(fp), su / len(fu)
 
 
-def train_nnpu(positive: Rows, unlabelled: Rows, features: int, prior: float, steps: int = 300, rate: float = 0.02, decay: float = 2e-5, present: float = 0.6, bias: float = -2.0, seed: int = 23) -> tuple[np.ndarray, float, list[float]]:
+def train_nnpu(positive: Rows, unlabelled: Rows, features: int, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 2e-5, present: float = 0.6, bias: float = -2.0, seed: int = 23) -> tuple[np.ndarray, float, list[float]]:
     """``(weights, bias, risks)``: Adam from zero weights on the non-negative risk.
 
     Every step sees a seeded share ``present`` of the features' occurrences, so
@@ -138,12 +138,13 @@ def train_nnpu(positive: Rows, unlabelled: Rows, features: int, prior: float, st
     return w, b, risks
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0, positives: int = 2000, unlabelled: int = 6000, characters: int = 64_000_000, least: int = 4, common: float = 0.2, prior: float | None = None, steps: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0, positives: int = 2000, unlabelled: int = 6000, characters: int = 64_000_000, least: int = 4, pure: float = 0.7, prior: float | None = None, steps: int = 600) -> Model:
     """Train on at most ``positives`` toxic and ``unlabelled`` other rows, and on no
     more of them than ``characters`` in all: the documented bounds of the sample.
 
-    Features are those of ``least`` sampled positives or more that are in no more
-    than the share ``common`` of the sampled unlabelled.  Only rows outside fold
+    Features are those of ``least`` sampled positives or more whose share among
+    positives times the prior is at least ``pure`` of their share among the
+    unlabelled (1: only toxic documents have it); all of them.  Only rows outside fold
     ``held`` lend their labels; ``prior`` defaults to the share of toxic rows
     among all of those labelled rows, the one use of labels 0.
     """
@@ -166,8 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([flag.as_py()] * len(found), pa.int32()), pa.array(found, pa.string())], names=["positive", "feature"])
 
     counts = sample.repartition(8).mapInArrow(words, "positive int, feature string").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
-    most = common * sample.filter("positive = 0").count()
-    chosen = sorted(r[0] for r in counts.filter((F.col("p") >= least) & (F.col("u") <= most)).select("feature").collect())
+    sizes = sample.groupBy("positive").count().collect()
+    n_p, n_u = (next((r["count"] for r in sizes if r["positive"] == flag), 0) for flag in (1, 0))
+    often = (F.col("p") >= least) & (F.col("p") * (prior * n_u) >= (F.col("u") + 1) * (pure * n_p))
+    chosen = sorted(r[0] for r in counts.filter(often).select("feature").collect())
     index = {f: k for k, f in enumerate(chosen)}
 
     def indices(batches):

@@ -75,7 +75,7 @@ def test_nnpu_beats_plain_positive_negative():
 
 def test_sample_is_bounded_by_characters(spark):
     docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
-    assert not fit(docs, labels, characters=0).weights and len(fit(docs, labels, characters=200_000, steps=5).weights) < len(fit(docs, labels, steps=5).weights)
+    assert not fit(docs, labels, characters=0).weights and len(fit(docs, labels, characters=400_000, steps=20).weights) < len(fit(docs, labels, steps=20).weights)
 
 
 def test_very_long_text_scores(spark):
