@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, decontamination, token_store, unigram
+from pyspark.sql import functions as F
+
+from . import chat_rotation, decontamination, line_dedup, merkle, token_store, unigram
+from .periodic_runs import periodic_runs
 from .quality_classifier import quality
 from .quality_rules import robust_outliers
 from .simhash import near_duplicates
@@ -110,3 +113,29 @@ def op5(spark, sf_dir):
     path = new_folder(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
     return token_store.verify_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op11_line_dedup", line_dedup.SQL)
+def op11(spark, sf_dir):
+    """Lines of 20 code points or more that three documents hold stay in the largest document only."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least=20)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12(spark, sf_dir):
+    """Every document's leaf, proof and the root that its row, altered where 3 divides the id's crc32, folds to."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": merkle.tampered("doc_id", F.col("text"))})
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    """Runs of repeated words of every whole document, the longest one, and the text without repetitions."""
+    found = periodic_runs(table(spark, sf_dir, "documents"), echo=True)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    top = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("top"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"), "collapsed")
+    return top.select(
+        "doc_id", "n_runs", F.col("top.s").alias("start"), (-F.col("top.l")).alias("length"), F.col("top.p").alias("period"), F.floor(-1000 * F.col("top.l") / F.col("top.p")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
