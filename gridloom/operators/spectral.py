@@ -9,6 +9,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,6 +219,31 @@ def fuse(df: DataFrame, bands: list[str], pan: str, how: str, weights: list[floa
     raise ValueError(how)
 
 
+# --- matrices of a batch
+
+
+def by_rows(fn, returns: str):
+    """A column function from ``fn(matrix) -> rows``: arrays of a batch stand as rows of one matrix; null arrays and arrays with a missing value give null."""
+
+    @F.arrow_udf(returns)
+    def run(spectra: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(spectra), 0).to_numpy(zero_copy_only=False)
+        size = int(lengths.max(initial=0))
+        whole = lengths == size
+        flat = np.full((len(spectra), size), np.nan)
+        flat[whole] = spectra.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        ok = ~np.isnan(flat).any(axis=1) & (lengths > 0)
+        found = fn(flat[ok]) if ok.any() else np.empty((0, 1))
+        if returns == "double":
+            values = np.zeros(len(ok))
+            values[ok] = found.reshape(-1)
+            return pa.array(values, mask=~ok)
+        ends = np.concatenate([[0], np.cumsum(ok * found.shape[1])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()), mask=pa.array(~ok))
+
+    return run
+
+
 # --- spectra against references
 
 
@@ -235,19 +262,40 @@ def _unit(a):
     return F.transform(a, lambda v: v / total(a))
 
 
+def angles_to(references: np.ndarray):
+    """A column function: spectral angles to every row of ``references``, one matrix product a batch."""
+    unit = references / np.maximum(np.linalg.norm(references, axis=1, keepdims=True), 1e-300)
+
+    def run(x):
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        cos = np.divide(x @ unit.T, size, out=np.full((len(x), len(unit)), np.nan), where=size > 0)
+        return np.arccos(np.clip(cos, -1, 1))
+
+    return by_rows(run, "array<double>")
+
+
 def match(df: DataFrame, library: DataFrame, key: list[str], k: int = 1) -> DataFrame:
-    """Every spectrum against a small library ``(name, reference)`` (class spectra): rank by SAM, SID beside it, ties by name."""
-    both = df.crossJoin(F.broadcast(library)).withColumns({"angle": sam(F.col("spectrum"), F.col("reference"))})
-    w = Window.partitionBy(*key).orderBy("angle", "name")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*key, "name", "angle", "rank", "spectrum", "reference")
+    """The ``k`` nearest entries of a small library ``(name, reference)`` (class spectra, collected) for every spectrum: rank by SAM, ties by name.
+
+    ``sid`` stands beside the angle, null where a value is not positive; a spectrum with a missing value has no rows.  Nothing is shuffled.
+    """
+    entries = library.select("name", F.col("reference").cast("array<double>")).orderBy("name").collect()  # a small library
+    angles = angles_to(np.array([r["reference"] for r in entries]))
+    ranked = F.array_sort(F.transform(angles(F.col("spectrum").cast("array<double>")), lambda a, i: F.struct(a.alias("angle"), i.alias("i"))))
+    best = df.select(*key, "spectrum", F.posexplode(F.slice(ranked, 1, k)).alias("rank", "_b"))
+    pick = lambda values: F.get(F.array(*values), F.col("_b.i"))
+    out = best.select(*key, "spectrum", (F.col("rank") + 1).alias("rank"), F.col("_b.angle").alias("angle"), pick([F.lit(r["name"]) for r in entries]).alias("name"), pick([array(r["reference"]) for r in entries]).alias("reference"))
+    divergence = F.when(F.forall("spectrum", lambda v: v > 0) & F.forall("reference", lambda v: v > 0), sid(F.col("spectrum"), F.col("reference")))
+    return out.select(*key, "name", "angle", divergence.alias("sid"), "rank", "spectrum", "reference")
 
 
 def classify_sam(df: DataFrame, references: list[tuple[int, list[float]]], limit: float | None = None) -> DataFrame:
     """Class of the smallest angle (ties to the first), -1 for spectra without a value or beyond ``limit``."""
-    best = F.least(*[F.struct(sam(F.col("spectrum"), array(r)).alias("angle"), F.lit(c).alias("class")) for c, r in references])
-    out = df.withColumn("_b", F.when(valid(F.col("spectrum")), best))
-    ok = F.col("_b").isNotNull() if limit is None else F.col("_b.angle") <= limit
-    return out.withColumns({"class": F.when(ok, F.col("_b")["class"]).otherwise(-1), "angle": F.col("_b.angle")}).drop("_b")
+    angles = angles_to(np.array([r for _, r in references]))(F.col("spectrum").cast("array<double>"))
+    out = df.withColumn("_a", angles).withColumn("angle", F.array_min("_a"))
+    classes = F.get(F.array(*[F.lit(c) for c, _ in references]), F.array_position("_a", F.col("angle")).cast("int") - 1)
+    ok = F.col("angle").isNotNull() if limit is None else F.col("angle") <= limit
+    return out.withColumn("class", F.when(ok, classes).otherwise(-1)).drop("_a")
 
 
 def continuum(df: DataFrame, key: list[str], positions: list[float] | None = None) -> DataFrame:
@@ -333,9 +381,11 @@ def endmembers(df: DataFrame, size: int, n: int, projections: int = 200, seed: i
 
 
 def rx(df: DataFrame, size: int) -> DataFrame:
-    """Mahalanobis score from the scene mean and biased covariance with ridge 1e-9."""
+    """Mahalanobis score from the scene mean and biased covariance with ridge 1e-9; null for spectra with a missing value.
+
+    Scores are one product with a whitening matrix a batch.
+    """
     _, mean, cov = _moments(df, size)
-    inv = np.linalg.inv(cov + 1e-9 * np.eye(size))
-    c = F.zip_with("spectrum", array(mean), lambda x, m: x - m)
-    out = df.withColumn("_c", F.when(valid(F.col("spectrum")), c))
-    return out.withColumn("score", sum([F.col("_c")[i] * dot(F.col("_c"), array(inv[i])) for i in range(1, size)], F.col("_c")[0] * dot(F.col("_c"), array(inv[0])))).drop("_c")
+    white = np.linalg.inv(np.linalg.cholesky(cov + 1e-9 * np.eye(size)))
+    score = by_rows(lambda x: (((x - mean) @ white.T) ** 2).sum(axis=1), "double")
+    return df.withColumn("score", score(F.col("spectrum").cast("array<double>")))

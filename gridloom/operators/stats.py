@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -253,18 +255,59 @@ def concatenate(df: DataFrame, by: list[str], col: str, order: str, delimiter: s
 
 
 def covariance(df: DataFrame, array: str, size: int, by: list[str] | None = None) -> DataFrame:
-    """Rows ``(by.., n, mean array, cov array)`` (population, row-major) of an array column: one aggregate of sums of products.
+    """Rows ``(by.., n, mean array, cov array)`` (population, row-major) of an array column.
 
-    Sums are taken around the first row's values of the group's minimum, so that large offsets do not cancel.
+    A task sums one matrix product a batch, per group, and gives a row for each
+    group it met; those add up element by element.  Sums are taken around one row
+    of the table, so that large offsets do not cancel.  Rows that are null, of
+    another length or with a missing value are left out; groups without a row
+    are, too.
     """
     by = by or []
-    x = [F.col(array)[k] for k in range(size)]
-    shift = df.groupBy(*by).agg(*[F.avg(x[k]).alias(f"_m{k}") for k in range(size)])
-    wide = df.join(F.broadcast(shift), by) if by else df.crossJoin(F.broadcast(shift))
-    y = [x[k] - F.col(f"_m{k}") for k in range(size)]
-    sums = [F.avg(y[i] * y[j]).alias(f"_c{i}_{j}") for i in range(size) for j in range(i, size)]
-    got = wide.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.first(f"_m{k}").alias(f"_m{k}") for k in range(size)], *sums)
-    return got.select(*by, "n", F.array(*[F.col(f"_m{k}") for k in range(size)]).alias("mean"), F.array(*[F.col(f"_c{min(i, j)}_{max(i, j)}") for i in range(size) for j in range(size)]).alias("cov"))
+    x = F.col(array).cast("array<double>")
+    whole = (F.size(x) == size) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
+    rows = df.filter(whole).select(*by, x.alias("_x"))
+    one = rows.select("_x").first()
+    shift = np.array(one["_x"] if one else [0.0] * size)
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out():
+            keys = list(sums)
+            cols = [pa.array([k[j] for k in keys], t) for j, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=[*by, "_s"])
+
+        types = []
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size) - shift
+            x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+            if by:
+                pdf = pd.DataFrame({c: batch.column(c).to_pandas() for c in by})
+                code, firsts = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy(), ~pdf.duplicated().to_numpy()
+                names = [tuple(batch.column(c)[int(k)].as_py() for c in by) for k in np.flatnonzero(firsts)]
+                parts = [(names[c], x[code == c]) for c in range(len(names))]
+            else:
+                parts = [((), x)]
+            for name, part in parts:
+                sums[name] = sums.get(name, 0) + (part.T @ part).ravel()
+            if len(sums) > 256:
+                yield out()
+                sums = {}
+        if sums:
+            yield out()
+
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by]
+    parts = rows.mapInArrow(run, ", ".join([*fields, "_s array<double>"])).select(*by, F.posexplode("_s").alias("_k", "_v"))
+    added = parts.groupBy(*by, "_k").agg(F.sum("_v").alias("_v")).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_v"))), lambda e: e["_v"]).alias("_s"))
+    width = size + 1  # the Gram matrix of (1, x - shift)
+    added = added.filter(F.size("_s") > 0).withColumn("_n", F.col("_s")[0]).withColumn("_d", F.transform(F.slice("_s", 2, size), lambda v: v / F.col("_n")))
+    at = F.sequence(F.lit(0), F.lit(size * size - 1))
+    row, col = (lambda k: F.floor(k / size).cast("int")), (lambda k: k % size)
+    cov = F.transform(at, lambda k: F.get("_s", (row(k) + 1) * width + col(k) + 1) / F.col("_n") - F.get("_d", row(k)) * F.get("_d", col(k)))
+    mean = F.zip_with("_d", F.array(*[F.lit(float(v)) for v in shift]), lambda a, b: a + b)
+    return added.select(*by, F.col("_n").cast("bigint").alias("n"), mean.alias("mean"), cov.alias("cov"))
 
 
 def jm_separability(stats: DataFrame, size: int, key: str = "label") -> list[tuple]:

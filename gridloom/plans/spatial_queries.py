@@ -276,7 +276,7 @@ def k05(spark, d):
 # --- polygons as diamonds |x - cx| + |y - cy| <= r on a half-unit lattice: SQL states their relations by the turned boxes x + y, x - y
 
 
-_DIA = f"{ctes('pts', 'pts2')}, a AS (SELECT id, floor(px) AS cx, floor(py) AS cy, cast(2 + id % 4 AS double) AS r FROM pts), b AS (SELECT id, floor(px) + 0.5 AS cx, floor(py) + 0.5 AS cy, cast(4 + id % 6 AS double) AS r FROM pts2), p AS (SELECT a.id AS aid, b.id AS bid, abs(a.cx + a.cy - b.cx - b.cy) AS u, abs(a.cx - a.cy - b.cx + b.cy) AS v, a.r + b.r AS far, b.r - a.r AS more FROM a, b)"
+_DIA = f"{ctes('pts', 'pts2')}, a AS (SELECT id, floor(px) AS cx, floor(py) AS cy, cast(2 + id % 16 AS double) AS r FROM pts), b AS (SELECT id, floor(px) + 0.5 AS cx, floor(py) + 0.5 AS cy, cast(4 + id % 6 AS double) AS r FROM pts2), p AS (SELECT a.id AS aid, b.id AS bid, abs(a.cx + a.cy - b.cx - b.cy) AS u, abs(a.cx - a.cy - b.cx + b.cy) AS v, a.r + b.r AS far, b.r - a.r AS more FROM a, b)"
 _TESTS = {"intersects": "u <= far AND v <= far", "touches": "u <= far AND v <= far AND NOT (u < far AND v < far)", "within": "u <= more AND v <= more", "contains": "u <= -more AND v <= -more", "overlaps": "u < far AND v < far AND NOT (u <= more AND v <= more) AND NOT (u <= -more AND v <= -more)", "equals": "u = 0 AND v = 0 AND more = 0"}
 
 
@@ -289,7 +289,7 @@ def _diamonds(df, radius, half):
 def _related(how, sql):
     @query(f"c03_polygons_{how}", f"{_DIA} SELECT aid, bid FROM p WHERE {sql}")
     def run(spark, d):
-        a = _diamonds(load(spark, d, "pts"), 2 + F.col("id") % 4, 0.0)
+        a = _diamonds(load(spark, d, "pts"), 2 + F.col("id") % 16, 0.0)
         return rings.rings_meet(a, _diamonds(load(spark, d, "pts2"), 4 + F.col("id") % 6, 0.5), 16.0, how)
 
 
@@ -298,16 +298,16 @@ for _how, _sql in _TESTS.items():
         _related(_how, _sql)
 
 
-@query("c03_polygons_equal", f"{ctes('pts')}, a AS (SELECT id, floor(px) AS cx, floor(py) AS cy, cast(2 + id % 4 AS double) AS r FROM pts) SELECT a.id AS aid, b.id AS bid FROM a JOIN a b ON a.cx = b.cx AND a.cy = b.cy AND a.r = b.r")
+@query("c03_polygons_equal", f"{ctes('pts')}, a AS (SELECT id, floor(px) AS cx, floor(py) AS cy, cast(2 + id % 16 AS double) AS r FROM pts) SELECT a.id AS aid, b.id AS bid FROM a JOIN a b ON a.cx = b.cx AND a.cy = b.cy AND a.r = b.r")
 def c03q(spark, d):
-    a = _diamonds(load(spark, d, "pts"), 2 + F.col("id") % 4, 0.0)
+    a = _diamonds(load(spark, d, "pts"), 2 + F.col("id") % 16, 0.0)
     return rings.rings_meet(a, a, 16.0, "equals")
 
 
 @query("c03_polygons_disjoint", f"{_DIA} SELECT aid, bid FROM p WHERE bid % 20 = 0 AND NOT (u <= far AND v <= far)")
 def c03d(spark, d):
     """The stated set of ids divisible by 20 against all."""
-    a = _diamonds(load(spark, d, "pts"), 2 + F.col("id") % 4, 0.0)
+    a = _diamonds(load(spark, d, "pts"), 2 + F.col("id") % 16, 0.0)
     b = _diamonds(load(spark, d, "pts2").filter("id % 20 = 0"), 4 + F.col("id") % 6, 0.5)
     return rings.rings_meet(a, b, 16.0, "disjoint")
 

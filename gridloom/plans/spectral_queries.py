@@ -130,24 +130,27 @@ def _ref_list(spark, d, n=64, plus=0.0):
     return [(r["label"], [r[f"m{k}"] for k in range(n)]) for r in _refs(spark, d, n, plus).orderBy("label").collect()]
 
 
-_SP = f"{ctes('spectra')}, s AS (SELECT y, x, label, spectrum[1:8] AS v FROM spectra), r AS (SELECT label AS class, [" + ", ".join(f"avg(spectrum[{k}])" for k in range(1, 9)) + "] AS m FROM spectra GROUP BY label)"
+_SP = f"{ctes('spectra')}, s AS (SELECT y, x, label, spectrum AS v FROM spectra), r AS (SELECT label AS class, [" + ", ".join(f"avg(spectrum[{k}])" for k in range(1, 65)) + "] AS m FROM spectra GROUP BY label)"
 
 
 @query("h16_sam", _SP + ", a AS (SELECT y, x, class, acos(least(greatest(list_dot_product(v, m) / sqrt(list_dot_product(v, v) * list_dot_product(m, m)), -1.0), 1.0)) AS angle FROM s, r) SELECT y, x, arg_min(class, angle) AS class, round(min(angle), 6) AS angle FROM a GROUP BY y, x")
 def h16(spark, d):
-    return rounded(S.classify_sam(spectra(spark, d, 8), _ref_list(spark, d, 8)), "angle").select("y", "x", "class", "angle")
+    return rounded(S.classify_sam(spectra(spark, d), _ref_list(spark, d)), "angle").select("y", "x", "class", "angle")
 
 
-@query("h17_sid", _SP + ", p AS (SELECT y, x, list_transform(v, lambda q: q + 1.0) AS v FROM s), b AS (SELECT list_transform(m, lambda q: q + 1.0) AS m FROM r WHERE class = 0), u AS (SELECT y, x, list_transform(v, lambda q: q / list_sum(v)) AS a, list_transform(m, lambda q: q / list_sum(m)) AS b FROM p, b) SELECT y, x, round(list_sum(list_transform(range(1, 9), lambda k: (a[k] - b[k]) * (ln(a[k]) - ln(b[k])))), 6) AS sid FROM u")
+@query("h17_sid", _SP + ", p AS (SELECT y, x, list_transform(v, lambda q: q + 1.0) AS v FROM s), b AS (SELECT list_transform(m, lambda q: q + 1.0) AS m FROM r WHERE class = 0), u AS (SELECT y, x, list_transform(v, lambda q: q / list_sum(v)) AS a, list_transform(m, lambda q: q / list_sum(m)) AS b FROM p, b) SELECT y, x, round(list_sum(list_transform(range(1, 65), lambda k: (a[k] - b[k]) * (ln(a[k]) - ln(b[k])))), 6) AS sid FROM u")
 def h17(spark, d):
-    ref = [v + 1.0 for v in dict(_ref_list(spark, d, 8))[0]]
-    return spectra(spark, d, 8, plus=1.0).select("y", "x", clean(S.sid(F.col("spectrum"), S.array(ref))).alias("sid"))
+    ref = [v + 1.0 for v in dict(_ref_list(spark, d))[0]]
+    return spectra(spark, d, plus=1.0).select("y", "x", clean(S.sid(F.col("spectrum"), S.array(ref))).alias("sid"))
 
 
-@query("c11_library_match", _SP + ", a AS (SELECT y, x, class, acos(least(greatest(list_dot_product(v, m) / sqrt(list_dot_product(v, v) * list_dot_product(m, m)), -1.0), 1.0)) AS angle FROM s, r), k AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY angle, class) AS rank FROM a) SELECT y, x, class AS name, round(angle, 6) AS angle, cast(rank AS integer) AS rank FROM k WHERE rank <= 3")
+_PLUS = "s AS (SELECT y, x, label, list_transform(spectrum, lambda q: cast(q AS double) + 1.0) AS v FROM spectra), r AS (SELECT label AS class, [" + ", ".join(f"avg(spectrum[{k}] + 1.0)" for k in range(1, 65)) + "] AS m FROM spectra GROUP BY label)"
+
+
+@query("c11_library_match", f"{ctes('spectra')}, {_PLUS}, a AS (SELECT y, x, class, v, m, acos(least(greatest(list_dot_product(v, m) / sqrt(list_dot_product(v, v) * list_dot_product(m, m)), -1.0), 1.0)) AS angle FROM s, r), k AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY angle, class) AS rank FROM a) SELECT y, x, class AS name, round(angle, 6) AS angle, round(list_sum(list_transform(range(1, 65), lambda k: (v[k] / list_sum(v) - m[k] / list_sum(m)) * (ln(v[k] / list_sum(v)) - ln(m[k] / list_sum(m))))), 6) AS sid, cast(rank AS integer) AS rank FROM k WHERE rank <= 3")
 def c11(spark, d):
-    lib = _refs(spark, d, 8).select(F.col("label").alias("name"), F.array(*[F.col(f"m{k}") for k in range(8)]).alias("reference"))
-    return rounded(S.match(spectra(spark, d, 8), lib, ["y", "x"], 3), "angle").select("y", "x", "name", "angle", "rank")
+    lib = _refs(spark, d, 64, 1.0).select(F.col("label").alias("name"), F.array(*[F.col(f"m{k}") for k in range(64)]).alias("reference"))
+    return rounded(S.match(spectra(spark, d, 64, 1.0), lib, ["y", "x"], 3), "angle", "sid").select("y", "x", "name", "angle", "sid", "rank")
 
 
 @query("h18_continuum")
