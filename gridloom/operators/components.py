@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,18 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gridloom_path = path
+    return out
+
+
+def _drop(*tables: DataFrame) -> None:
+    """Delete the files of tables from `_written`; nothing that still reads them may be used again."""
+    for df in tables:
+        if path := getattr(df, "_gridloom_path", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def _steps(diagonal: bool) -> list[tuple[int, int]]:
@@ -73,53 +86,72 @@ def _joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             parent = parent[parent]
 
 
-def labels(df: DataFrame, cls: str = "label", diagonal: bool = False, width: int = 1 << 31, most: int = 200) -> DataFrame:
-    """``(y, x, cls, region)``: connected equal-class pixels; a region's id is its least ``y * width + x``.
+def settled(edges: DataFrame) -> DataFrame:
+    """``(u, r)`` from ``edges(u, v)``: the least node that each node is connected to, for nodes other than that one.
 
-    Tiles are labelled on their own, one shuffle; alternating large and small
-    stars then join regions over the tiles' borders only, written each round.  A
-    pixel without a class is a region of its own.
+    Alternating large and small stars, each round a written table and the one before deleted.  A round leaves a
+    forest of stars as it is and brings any other nearer to one, so rounds end.
+    """
+    e, before = _written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()), None
+    while True:
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before or not now[0]:
+            return e.select("u", F.col("v").alias("r"))
+        both = e.union(e.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        big = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        old, e = e, _written(big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low).distinct())
+        before = now
+        _drop(old)
+
+
+def labels(df: DataFrame, cls: str = "label", diagonal: bool = False, width: int = 1 << 31) -> DataFrame:
+    """``(y, x, cls, region)``: connected equal-class pixels; a region's id is its least ``y * width + x``.  A pixel without a class is a region of its own."""
+    return grown(df.select("y", "x", cls), [cls], lambda a, b: a[cls] == b[cls], diagonal, width)
+
+
+def grown(df: DataFrame, cols: list[str], alike: Callable, diagonal: bool = False, width: int = 1 << 31) -> DataFrame:
+    """``(y, x, cols.., region)``: pixels connected through neighbours that are ``alike``; a region's id is its least ``y * width + x``.
+
+    ``alike(a, b)`` compares two pixels given as mappings from name to value; it is
+    asked with arrays inside a tile and with columns over tile borders, so it is
+    written in operators that both have.  Nulls and NaN are alike to nothing.
+    Tiles are labelled on their own, one shuffle; `settled` then joins regions
+    over the tiles' borders only.
     """
-    half = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+    size, half = TILE, [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+    kinds = {c: df.schema[c].dataType.simpleString() for c in cols}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
-        y, x = pdf["y"].to_numpy() - key[0] * TILE, pdf["x"].to_numpy() - key[1] * TILE
-        kind = pd.factorize(pdf["k"])[0]
-        at = np.full((TILE + 2, TILE + 2), -1)
+        y, x = pdf["y"].to_numpy() - key[0] * size, pdf["x"].to_numpy() - key[1] * size
+        whole = pdf[cols].notna().all(axis=1).to_numpy()
+        values = {c: pdf[c].to_numpy() for c in cols}
+        at = np.full((size + 2, size + 2), -1)
         at[y + 1, x + 1] = np.arange(len(pdf))
         sides = []
         for dy, dx in half:
             other = at[y + 1 + dy, x + 1 + dx]
-            same = (other >= 0) & (kind >= 0) & (kind == kind[other])
-            sides.append((np.flatnonzero(same), other[same]))
+            one = np.flatnonzero((other >= 0) & whole & whole[other])
+            other = other[one]
+            same = np.asarray(alike({c: v[one] for c, v in values.items()}, {c: v[other] for c, v in values.items()}), dtype=bool)
+            sides.append((one[same], other[same]))
         root = _joined(len(pdf), *(np.concatenate(s) for s in zip(*sides)))
         ids = pdf["y"].to_numpy() * width + pdf["x"].to_numpy()
-        return pdf[["y", "x", "k"]].assign(part=ids[root])
+        return pdf[["y", "x", *cols]].assign(part=ids[root])
 
-    nodes = df.select(F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col(cls).alias("k"))
-    tile = [F.floor(F.col(c) / TILE).alias(f"t{c}") for c in "yx"]
-    local = nodes.select("*", *tile).groupBy("ty", "tx").applyInPandas(run, f"y bigint, x bigint, k {nodes.schema['k'].dataType.simpleString()}, part bigint")
+    nodes = df.select(F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), *cols)
+    tile = [F.floor(F.col(c) / size).alias(f"t{c}") for c in "yx"]
+    local = nodes.select("*", *tile).groupBy("ty", "tx").applyInPandas(run, "y bigint, x bigint, " + "".join(f"`{c}` {k}, " for c, k in kinds.items()) + "part bigint")
     local = _written(local)
-    edge = local.filter(" OR ".join(f"{c} % {TILE} IN (0, {TILE - 1})" for c in "yx"))
-    there = _spread(edge.select("y", "x", "k", F.col("part").alias("u")), half)
-    edges = there.join(edge, ["y", "x", "k"]).filter("u <> part").select(F.greatest("u", "part").alias("u"), F.least("u", "part").alias("v"))
-    e, before = _written(edges.distinct()), None
-    if not e.isEmpty():
-        for _ in range(most):
-            both = e.union(e.select("v", "u"))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            big = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-            low = big.groupBy("u").agg(F.min("v").alias("m"))
-            e = _written(big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low).distinct())
-            now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-            if now == before:
-                break
-            before = now
-        else:
-            raise RuntimeError("regions did not settle")
-    root = e.select(F.col("u").alias("part"), F.col("v").alias("r"))
-    return local.join(root, "part", "left").select("y", "x", F.col("k").alias(cls), F.coalesce("r", "part").alias("region"))
+    edge = local.filter(" OR ".join(f"{c} % {size} IN (0, {size - 1})" for c in "yx"))
+    there = _spread(edge.select("y", "x", F.struct(*cols).alias("_a"), F.col("part").alias("u")), half)
+    here = edge.select("y", "x", F.struct(*cols).alias("_b"), F.col("part").alias("v"))
+    whole = [F.nanvl(F.col(f"{s}.{c}").cast("double"), F.lit(None).cast("double")).isNotNull() if kinds[c] in ("double", "float") else F.col(f"{s}.{c}").isNotNull() for s in ("_a", "_b") for c in cols]
+    pairs = there.join(here, ["y", "x"]).filter(reduce(lambda a, b: a & b, whole) & alike(*({c: F.col(f"{s}.{c}") for c in cols} for s in ("_a", "_b"))))
+    root = settled(pairs.select("u", "v"))
+    return local.join(root.withColumnRenamed("u", "part"), "part", "left").select("y", "x", *cols, F.coalesce("r", "part").alias("region"))
 
 
 def border_votes(lab: DataFrame, cls: str) -> DataFrame:

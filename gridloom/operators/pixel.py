@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import known, ratio
+from ..functions.projections import SINUSOID
 
 KEY = ["y", "x"]
 
@@ -185,36 +186,7 @@ def constraint_report(df: DataFrame, not_null: list[str] = (), unique: list[str]
     return one.unpivot([], one.columns, "constraint_name", "violations")
 
 
-# --- closed-form map projections
-
-EARTH = 6378137.0
-SINUSOID = 6371007.181
-
-
-def to_web_mercator(lon: Column, lat: Column) -> list[Column]:
-    return [F.radians(lon) * EARTH, F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2)) * EARTH]
-
-
-def from_web_mercator(mx: Column, my: Column) -> list[Column]:
-    return [F.degrees(mx / EARTH), F.degrees(2 * F.atan(F.exp(my / EARTH)) - F.lit(1.5707963267948966))]
-
-
-def to_sinusoidal(lon: Column, lat: Column) -> list[Column]:
-    return [F.radians(lon) * F.cos(F.radians(lat)) * SINUSOID, F.radians(lat) * SINUSOID]
-
-
-def to_utm(lon: Column, lat: Column, zone: int) -> list[Column]:
-    """Transverse Mercator on WGS84 by the usual series (northern false northing 0)."""
-    a, f, k0 = EARTH, 1 / 298.257223563, 0.9996
-    e2 = f * (2 - f)
-    ep = e2 / (1 - e2)
-    phi, lam = F.radians(lat), F.radians(lon - F.lit(float(zone * 6 - 183)))
-    n = F.lit(a) / F.sqrt(1 - e2 * F.sin(phi) ** 2)
-    t, c, aa = F.tan(phi) ** 2, ep * F.cos(phi) ** 2, F.cos(phi) * lam
-    m = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi) - (35 * e2**3 / 3072) * F.sin(6 * phi))
-    east = k0 * n * (aa + (1 - t + c) * aa**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * ep) * aa**5 / 120) + 500000.0
-    north = k0 * (m + n * F.tan(phi) * (aa**2 / 2 + (5 - t + 9 * c + 4 * c**2) * aa**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * ep) * aa**6 / 720))
-    return [east, north]
+# --- tiles of the sinusoidal grid
 
 
 def modis_origin(name: Column) -> list[Column]:

@@ -161,3 +161,23 @@ def e14(spark, d):
 @query("e15_contours", f"{ctes('dem')}, c AS (SELECT a.y, a.x, a.value AS a, b.value AS b, c.value AS c, d.value AS d FROM dem a JOIN dem b ON b.y = a.y AND b.x = a.x + 1 JOIN dem c ON c.y = a.y + 1 AND c.x = a.x + 1 JOIN dem d ON d.y = a.y + 1 AND d.x = a.x), l AS (SELECT cast(k * 10.0 AS double) AS level, * FROM c, range(1, 20) r(k) WHERE k * 10.0 > least(a, b, c, d) AND k * 10.0 <= greatest(a, b, c, d)), q AS (SELECT level, y, x, (a >= level)::int + 2 * (b >= level)::int + 4 * (c >= level)::int + 8 * (d >= level)::int AS code FROM l) SELECT level, y, x, code FROM q WHERE code NOT IN (0, 15)")
 def e15(spark, d):
     return O.contours(load(spark, d, "dem"), 10.0)
+
+
+def _seek(a: str, b: str) -> str:
+    return f"{b} AS (SELECT m.y, m.x, coalesce(avg(q.y), any_value(m.my)) AS my, coalesce(avg(q.x), any_value(m.mx)) AS mx, coalesce(avg(q.value), any_value(m.v)) AS v FROM {a} m LEFT JOIN dem q ON q.y BETWEEN m.my - 1.618 AND m.my + 1.618 AND pow(q.y - m.my, 2) + pow(q.x - m.mx, 2) <= 1.618 * 1.618 AND abs(q.value - m.v) <= 10.237 GROUP BY m.y, m.x)"
+
+
+@query("e14_mode_seeking", f"{ctes('dem')}, m0 AS (SELECT y, x, y::double AS my, x::double AS mx, value AS v FROM dem), {_seek('m0', 'm1')}, {_seek('m1', 'm2')}, {_seek('m2', 'm3')} SELECT y, x, round(v, 5) AS value, round(my, 5) AS my, round(mx, 5) AS mx FROM m3")
+def e14m(spark, d):
+    """Windows that follow their modes in place and value, three steps."""
+    from ..operators.segmentation import modes
+
+    return rounded(modes(load(spark, d, "dem"), ["value"], 1.618, 10.237, 3, 0.0), "value", "my", "mx", digits=5).select("y", "x", "value", "my", "mx")
+
+
+@query("e13_distance_transform", f"{ctes('dem')} SELECT t.y, t.x, round(sqrt(min(pow(t.y - s.y, 2) + pow(t.x - s.x, 2))), 6) AS distance FROM dem t, dem s WHERE s.value = 50 GROUP BY t.y, t.x")
+def e13d(spark, d):
+    """Distance to the nearest of few targets, however far."""
+    from ..operators.distance import distance_transform
+
+    return rounded(distance_transform(load(spark, d, "dem"), "value = 50"), "distance")

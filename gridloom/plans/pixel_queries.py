@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import projections as J
 from ..functions.expressions import band_math, clean, nearest, ratio, referenced_bands
 from ..operators import pixel as P
 from .fixtures import ctes, load
@@ -145,10 +146,10 @@ def b23(spark, d):
 @query("b24_projections", f"{ctes('pts')}, g AS (SELECT id, px / 100 * 6 + 6 AS lon, py / 2 AS lat FROM pts) SELECT id, round(radians(lon) * 6378137.0, 4) AS mx, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0, 4) AS my, round(lon, 6) AS lon, round(lat, 6) AS lat, round(radians(lon) * cos(radians(lat)) * 6371007.181, 4) AS sx, round(radians(lat) * 6371007.181, 4) AS sy FROM g")
 def b24(spark, d):
     g = load(spark, d, "pts").select("id", (F.col("px") / 100 * 6 + 6).alias("lon"), (F.col("py") / 2).alias("lat"))
-    mx, my = P.to_web_mercator(F.col("lon"), F.col("lat"))
+    mx, my = J.to_web_mercator(F.col("lon"), F.col("lat"))
     g = g.withColumns({"mx": mx, "my": my})
-    lon, lat = P.from_web_mercator(F.col("mx"), F.col("my"))
-    sx, sy = P.to_sinusoidal(F.col("lon"), F.col("lat"))
+    lon, lat = J.from_web_mercator(F.col("mx"), F.col("my"))
+    sx, sy = J.to_sinusoidal(F.col("lon"), F.col("lat"))
     return g.select("id", clean(F.col("mx"), 4).alias("mx"), clean(F.col("my"), 4).alias("my"), clean(lon).alias("lon"), clean(lat).alias("lat"), clean(sx, 4).alias("sx"), clean(sy, 4).alias("sy"))
 
 

@@ -9,8 +9,10 @@ from ..functions.expressions import clean
 from ..operators import components as C
 from ..operators import focal as O
 from ..operators import pixel, rings
+from ..operators import segmentation as G
 from ..operators import spatial as S
 from .fixtures import ctes, load
+from .focal_queries import around
 from .registry import query
 from .stats_queries import rounded
 
@@ -347,3 +349,22 @@ def c13b(spark, d):
 def b18p(spark, d):
     ring = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((8.0, 5.0), (93.0, 5.0), (50.5, 90.0))])
     return pixel.cutline(load(spark, d, "grid"), ring).select("y", "x", "value")
+
+
+@query("j02_watershed_basins", around("dem", 1, clamp=False).replace("SELECT t.y, t.x, dy, dx, v.value", "SELECT t.y, t.x, dy, dx, v.y AS vy, v.x AS vx, v.value").replace("WITH ", "WITH RECURSIVE ", 1) + ", p AS (SELECT y, x, min({'v': value, 'a': vy, 'b': vx}) AS low FROM n GROUP BY y, x), r(y, x, a, b) AS (SELECT y, x, low.a, low.b FROM p UNION SELECT r.y, r.x, p.low.a, p.low.b FROM r JOIN p ON p.y = r.a AND p.x = r.b WHERE p.low.a <> r.a OR p.low.b <> r.b), fin AS (SELECT r.* FROM r JOIN p ON p.y = r.a AND p.x = r.b AND p.low.a = r.a AND p.low.b = r.b) SELECT fin.y, fin.x, value, a * 2147483648 + b AS region FROM fin JOIN dem USING (y, x)")
+def j02b(spark, d):
+    """Where water runs to from every pixel."""
+    return G.basins(load(spark, d, "dem"))
+
+
+@query("j02_watershed")
+def j02w(spark, d):
+    """Basins deeper than 8, shallower ones joined over their passes."""
+    return G.watershed(load(spark, d, "dem"), 8.0)
+
+
+@query("j02_lsms")
+def j02l(spark, d):
+    """Mean-shift segments of 6 pixels or more over two bands."""
+    px = load(spark, d, "ms").filter("b1 IS NOT NULL").select("y", "x", "b1", "b2")
+    return G.lsms(px, ["b1", "b2"], 2, 12.0, 3, 6)
