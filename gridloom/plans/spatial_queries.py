@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import clean
 from ..operators import components as C
 from ..operators import focal as O
-from ..operators import pixel, rings
+from ..operators import lines, pixel, rings
 from ..operators import segmentation as G
 from ..operators import spatial as S
 from .fixtures import ctes, load
@@ -368,3 +368,35 @@ def j02l(spark, d):
     """Mean-shift segments of 6 pixels or more over two bands."""
     px = load(spark, d, "ms").filter("b1 IS NOT NULL").select("y", "x", "b1", "b2")
     return G.lsms(px, ["b1", "b2"], 2, 12.0, 3, 6)
+
+
+@query("j05_region_rings")
+def j05r(spark, d):
+    """Boundary rings of the classes' regions."""
+    found = lines.region_rings(C.labels(load(spark, d, "grid")))
+    return found.select("region", "ring", "hole", "area", F.size("points").alias("n_corners"))
+
+
+@query("j05_ring_areas", f"{ctes('grid')} SELECT label, cast(count(*) AS double) AS area FROM grid GROUP BY label")
+def j05a(spark, d):
+    """Signed ring areas of a class add up to its pixels."""
+    lab = C._written(C.labels(load(spark, d, "grid")))
+    of = lab.select("region", "label").distinct()
+    return lines.region_rings(lab).join(of, "region").groupBy("label").agg(F.sum("area").alias("area"))
+
+
+_SIDES = f"{ctes('dem')}, s AS (SELECT a.y, a.x, 0 AS dy, 1 AS dx, a.value AS p, b.value AS q FROM dem a JOIN dem b ON b.y = a.y AND b.x = a.x + 1 WHERE EXISTS (SELECT 1 FROM dem c JOIN dem d ON d.y = c.y AND d.x = c.x + 1 WHERE c.x = a.x AND abs(c.y - a.y) = 1) UNION ALL SELECT a.y, a.x, 1, 0, a.value, b.value FROM dem a JOIN dem b ON b.x = a.x AND b.y = a.y + 1 WHERE EXISTS (SELECT 1 FROM dem c JOIN dem d ON d.x = c.x AND d.y = c.y + 1 WHERE c.y = a.y AND abs(c.x - a.x) = 1)), l AS (SELECT s.*, k * 10.0 + 0.5 AS level FROM s, range(0, 6) r(k) WHERE (p >= k * 10.0 + 0.5) <> (q >= k * 10.0 + 0.5))"
+
+
+@query("e15_contour_points", _SIDES + " SELECT DISTINCT level::double AS level, round(x + 0.5 + dx * (level - p) / (q - p), 6) AS px, round(y + 0.5 + dy * (level - p) / (q - p), 6) AS py FROM l")
+def e15p(spark, d):
+    """Every interpolated crossing of a cell side lies on a line."""
+    found = lines.contour_lines(load(spark, d, "dem"), 10.0, 0.5, simplify=False)
+    return found.select("level", F.explode("points").alias("p")).select("level", clean(F.col("p.x")).alias("px"), clean(F.col("p.y")).alias("py")).distinct()
+
+
+@query("e15_contour_lines")
+def e15l(spark, d):
+    """Lines with their points in order."""
+    found = lines.contour_lines(load(spark, d, "dem"), 10.0, 0.5)
+    return found.select("level", "line", "closed", F.size("points").alias("n_points"), "points")
