@@ -54,12 +54,13 @@ def _chains(seg: pd.DataFrame, simplify: bool = True) -> pd.DataFrame:
             k = follows[k]
         closed = k == start
         c = np.array(chain)
-        dx, dy = bx[c] - ax[c], by[c] - ay[c]
-        before = np.concatenate([[-1 if closed else 0], np.arange(len(c) - 1)])
-        turn = dx[before] * dy != dy[before] * dx
-        turn[0] |= not closed
-        turn |= not simplify
-        p = c[turn]
+        p = c if not simplify else c[(ax[c] != bx[c]) | (ay[c] != by[c])]  # a crossing at a pixel's centre has no length
+        if simplify and len(p):
+            dx, dy = bx[p] - ax[p], by[p] - ay[p]
+            turn = np.roll(dx, 1) * dy != np.roll(dy, 1) * dx
+            turn[0] |= not closed
+            p = p[turn]
+        p = p if len(p) else c[:1]
         points = [{"x": float(x), "y": float(y)} for x, y in zip(ax[p], ay[p])]
         last = c[-1]
         out.append((seg["grp"].iat[start], seg["id"].iat[start], seg["a"].iat[start], seg["b"].iat[last], closed, points, bx[last], by[last], float(swept[c].sum())))
@@ -86,15 +87,22 @@ def _placed(chains: DataFrame) -> DataFrame:
 
 
 def _corners(points: Column, ring: Column) -> Column:
-    """Points at which a line turns: joints of chains on straight stretches go; an open line keeps its ends."""
-    n = F.size(points)
+    """Points at which a line turns: joints of chains on straight stretches and repeated points go; an open line keeps its ends, a ring of one place that place."""
+
+    def moved(p: Column, k: Column) -> Column:
+        before = F.get(points, F.when(k > 0, k - 1).otherwise(F.size(points) - 1))
+        return (p["x"] != before["x"]) | (p["y"] != before["y"]) | (~ring & (k == 0))
+
+    apart = F.filter(points, moved)
+    n = F.size(apart)
 
     def turns(p: Column, k: Column) -> Column:
-        before, after = F.get(points, (k - 1 + n) % n), F.get(points, (k + 1) % n)
+        before, after = F.get(apart, (k - 1 + n) % n), F.get(apart, (k + 1) % n)
         bent = (p["x"] - before["x"]) * (after["y"] - p["y"]) != (p["y"] - before["y"]) * (after["x"] - p["x"])
         return bent | (~ring & ((k == 0) | (k == n - 1)))
 
-    return F.filter(points, turns)
+    out = F.filter(apart, turns)
+    return F.when(F.size(out) > 0, out).otherwise(F.slice(points, 1, 1))
 
 
 def _assembled(chains: DataFrame, simplify: bool = True) -> DataFrame:

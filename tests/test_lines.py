@@ -79,7 +79,7 @@ def test_contours(spark, tile):
     assert seen == ends, "open lines end where cells do, and only there"
     on = {k[0] for k in crossed}
     for r in got:
-        assert len(r.points) >= 2
+        assert len(r.points) >= 2 or r.closed or len({(p.x, p.y) for p in r.points}) == 1  # a peak of the level itself is one place
         for p in r.points:
             assert (r.level, round(p.x, 9), round(p.y, 9)) in on
 
