@@ -181,3 +181,30 @@ def e13d(spark, d):
     from ..operators.distance import distance_transform
 
     return rounded(distance_transform(load(spark, d, "dem"), "value = 50"), "distance")
+
+
+_BALL = around("dem", 2, extra="WHERE dy * dy + dx * dx <= 4")
+
+
+@query("e06_ball_erode", _BALL + " SELECT y, x, min(value) AS value FROM n GROUP BY y, x")
+def e06ball(spark, d):
+    """Erosion by a ball of radius 2."""
+    from ..operators.morphology import shaped
+
+    return shaped(load(spark, d, "dem"), "erode", 2, "ball")
+
+
+@query("e06_open_by_reconstruction", "WITH RECURSIVE " + _BALL[5:] + ", er AS (SELECT y, x, min(value) AS value FROM n GROUP BY y, x), nb AS MATERIALIZED (SELECT a.y, a.x, a.value AS m, b.y AS vy, b.x AS vx FROM dem a JOIN dem b ON abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1), re(k, y, x, v) AS (SELECT 0, y, x, value FROM er UNION ALL SELECT k + 1, nb.y, nb.x, least(max(v), any_value(m)) FROM re JOIN nb ON nb.vy = re.y AND nb.vx = re.x WHERE k < 120 GROUP BY k, nb.y, nb.x) SELECT y, x, v AS value FROM re WHERE k = 120")
+def e06r(spark, d):
+    """What a ball of radius 2 leaves, grown back under the picture; the SQL dilates 120 times."""
+    from ..operators.morphology import by_reconstruction
+
+    return by_reconstruction(load(spark, d, "dem"), "open", 2)
+
+
+@query("e06_morphological_profile")
+def e06p(spark, d):
+    """Openings by reconstruction at radii 1 and 2, and what each takes away."""
+    from ..operators.morphology import profile
+
+    return profile(load(spark, d, "dem"), [1, 2])
