@@ -199,7 +199,7 @@ def local_statistics(df: DataFrame, radius: int = 1) -> DataFrame:
 
 
 def glcm(df: DataFrame, radius: int, levels: int, low: float, high: float, offset: tuple[int, int] = (0, 1)) -> DataFrame:
-    """Windowed co-occurrence of quantised levels at one offset: energy, entropy, correlation-free features."""
+    """Windowed co-occurrence of quantised levels at one offset: energy, entropy, contrast and homogeneity."""
     q = F.least(F.greatest(F.floor((F.col("value") - low) / (high - low) * levels), F.lit(0)), F.lit(levels - 1))
     px = df.select("y", "x", q.alias("q"))
     other = px.select((F.col("y") - offset[0]).alias("y"), (F.col("x") - offset[1]).alias("x"), F.col("q").alias("q2"))
@@ -233,7 +233,7 @@ def fill_nodata(df: DataFrame, distance: int) -> DataFrame:
 
 
 def proximity(df: DataFrame, target: str, distance: int) -> DataFrame:
-    """Distance to the nearest pixel that passes ``target``; none beyond ``distance``.  Only targets are spread."""
+    """Distance to the nearest pixel that passes ``target``; none beyond ``distance``; `distance.distance_transform` has no such bound."""
     def run(arrays, radius):
         hit = arrays["hit"] == 1
         # along rows first, then the least over rows of both parts: 2 x (2 distance + 1) passes

@@ -149,32 +149,32 @@ def cross_validate(df: DataFrame, key: str, size: int, k: int = 5) -> DataFrame:
 
 
 def assign(counts: np.ndarray) -> list[int]:
-    """Column for each row of a square table that makes the sum of counts largest (Kuhn's method with potentials)."""
-    cost = counts.max() - counts.astype(float)
-    n = len(cost)
-    u, v, owner = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int)
-    for i in range(1, n + 1):
-        owner[0], col = i, 0
-        slack, way, used = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=bool)
-        while owner[col]:
-            used[col] = True
-            row = owner[col]
-            free = np.flatnonzero(~used[1:]) + 1
-            reach = cost[row - 1, free - 1] - u[row] - v[free]
-            better = reach < slack[free]
-            slack[free[better]], way[free[better]] = reach[better], col
-            nxt = free[int(np.argmin(slack[free]))]
-            d = slack[nxt]
-            u[owner[used]] += d
-            v[used] -= d
-            slack[free] -= d
-            col = nxt
-        while col:
-            owner[col], col = owner[way[col]], way[col]
-    out = [0] * n
-    for c in range(1, n + 1):
-        out[owner[c] - 1] = c - 1
-    return out
+    """Column for each row of a square table of whole counts that makes their sum largest, by auction.
+
+    A row without a column bids for the one that is worth most to it after
+    prices, as much as it gains over the second best and a margin.  Margins
+    shrink from auction to auction, prices stay; in units of 1 / (n + 1) the last
+    margin of 1 adds up to less than one count, so the sum is the largest.
+    """
+    n = len(counts)
+    worth = np.rint(counts).astype(np.int64) * (n + 1)
+    price, margin = np.zeros(n, dtype=np.int64), max(1, int(worth.max(initial=0)) // 2)
+    while True:
+        holder, held = [-1] * n, [-1] * n
+        waiting = list(range(n))
+        while waiting:
+            r = waiting.pop()
+            gain = worth[r] - price
+            c = int(gain.argmax())
+            rest = np.delete(gain, c).max() if n > 1 else gain[c]
+            price[c] += gain[c] - rest + margin
+            if holder[c] >= 0:
+                held[holder[c]] = -1
+                waiting.append(holder[c])
+            holder[c], held[r] = r, c
+        if margin == 1:
+            return held
+        margin = max(1, margin // 4)
 
 
 def remap_clusters(df: DataFrame, cluster: str, label: str) -> DataFrame:
