@@ -328,3 +328,25 @@ def m02(spark, d):
         return v * v
 
     return load(spark, d, "grid").select("label", squared("value").alias("q")).groupBy("label").agg(nearest(F.sum("q"), 0).alias("total"))
+
+
+@query("m02_table_function", "WITH e AS (SELECT event_id, user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e) SELECT user_id, cast(session AS bigint) AS session, arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session")
+def m02t(spark, d):
+    """Sessions of a user, events no more than six hours apart, by a table function over ordered partitions."""
+    from datetime import timedelta
+
+    from ..operators.functions import table_function
+
+    def step(state, row):
+        user, last, session, first, n, total = state
+        if last is not None and row.ts - last <= timedelta(hours=6):
+            return (user, row.ts, session, first, n + 1, total + row.value), []
+        return (row.user_id, row.ts, session + 1, row.event_id, 1, row.value), closed(state)
+
+    def closed(state):
+        user, last, session, first, n, total = state
+        return [(user, session, first, n, total)] if n else []
+
+    sessions = table_function(step, "user_id bigint, session bigint, first_event bigint, n bigint, total double", (None, None, 0, None, 0, 0.0), closed)
+    out = sessions(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"])
+    return out.withColumn("total", clean(F.col("total"), 4))
