@@ -1,9 +1,11 @@
 """Exact relations of polygons and lines, on candidate pairs from a cell join.
 
 Geometries are rings ``array<struct<x, y>>`` (simple, not closed by a repeated
-point) or open lines of the same type.  A boundary is cut where it meets the
-other one; each piece lies inside, outside or on it, and these few facts decide
-every predicate.
+point) or open lines of the same type, or ``array`` of those: a polygon's shells
+and holes in any order and direction, insides by the even-odd rule, or the parts
+of a line.  A boundary is cut where it meets the other one; each piece lies
+inside, outside or on it, and where it lies on it, the two sides of the piece
+tell which insides meet there.  These few facts decide every predicate.
 """
 
 from __future__ import annotations
@@ -12,97 +14,155 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .spatial import cells
 
 PREDICATES = ("intersects", "disjoint", "contains", "within", "touches", "overlaps", "equals", "crosses")
 
 
-def _segments(points: np.ndarray, closed: bool) -> tuple[np.ndarray, np.ndarray]:
-    return (points, np.roll(points, -1, axis=0)) if closed else (points[:-1], points[1:])
+def _segments(parts: list[np.ndarray], closed: bool) -> tuple[np.ndarray, np.ndarray]:
+    ends = [(p, np.roll(p, -1, axis=0)) if closed else (p[:-1], p[1:]) for p in parts]
+    return np.concatenate([a for a, _ in ends]), np.concatenate([b for _, b in ends])
 
 
-def _side(p: np.ndarray, ring: np.ndarray, tiny: float) -> np.ndarray:
+def _within(p: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
+    """Whether each point, on no boundary, is inside by the even-odd rule over all rings."""
+    a, b = _segments(rings, True)
+    spans = (a[None, :, 1] > p[:, None, 1]) != (b[None, :, 1] > p[:, None, 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = a[None, :, 0] + (p[:, None, 1] - a[None, :, 1]) * (b - a)[None, :, 0] / (b - a)[None, :, 1]
+    return (spans & (p[:, None, 0] < at)).sum(1) % 2 == 1
+
+
+def _side(p: np.ndarray, rings: list[np.ndarray], tiny: float) -> np.ndarray:
     """1 inside, 0 on the boundary, -1 outside, for each point."""
-    a, b = _segments(ring, True)
+    a, b = _segments(rings, True)
     d = b - a
     to = p[:, None, :] - a[None]
     length = np.maximum((d * d).sum(1), 1e-300)
     t = np.clip((to * d[None]).sum(2) / length, 0, 1)
     near = np.hypot(*np.moveaxis(to - t[..., None] * d[None], 2, 0)).min(1) <= tiny
-    spans = (a[None, :, 1] > p[:, None, 1]) != (b[None, :, 1] > p[:, None, 1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = a[None, :, 0] + (p[:, None, 1] - a[None, :, 1]) * d[None, :, 0] / d[None, :, 1]
-    odd = (spans & (p[:, None, 0] < at)).sum(1) % 2 == 1
-    return np.where(near, 0, np.where(odd, 1, -1))
+    return np.where(near, 0, np.where(_within(p, rings), 1, -1))
 
 
-def _pieces(points: np.ndarray, closed: bool, ring: np.ndarray) -> np.ndarray:
-    """Middles of the pieces into which ``ring`` cuts the boundary or line ``points``."""
-    a, b = _segments(points, closed)
-    c, e = _segments(ring, True)
-    out = []
+def _pieces(parts: list[np.ndarray], closed: bool, rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Middles and unit normals of the pieces into which ``rings`` cut the boundary or lines ``parts``."""
+    a, b = _segments(parts, closed)
+    c, e = _segments(rings, True)
+    middles, normals = [], []
     for p, q in zip(a, b):
         u, v, w = q - p, e - c, c - p
+        if not u.any():
+            continue
         cross = u[0] * v[:, 1] - u[1] * v[:, 0]
         with np.errstate(divide="ignore", invalid="ignore"):
             t = (w[:, 0] * v[:, 1] - w[:, 1] * v[:, 0]) / cross
             s = (w[:, 0] * u[1] - w[:, 1] * u[0]) / cross
         hits = t[(np.abs(cross) > 1e-12) & (t >= 0) & (t <= 1) & (s >= -1e-12) & (s <= 1 + 1e-12)]
-        along = ((ring - p) @ u) / max(float(u @ u), 1e-300)  # corners that lie on a parallel piece
+        along = ((c - p) @ u) / float(u @ u)  # corners that lie on a parallel piece
         cut = np.unique(np.concatenate([[0.0, 1.0], hits, along[(along > 0) & (along < 1)]]))
-        out.append(p + ((cut[:-1] + cut[1:]) / 2)[:, None] * u)
-    return np.concatenate(out)
-
-
-def relation(a: np.ndarray, b: np.ndarray, line: bool = False) -> set[str]:
-    """All predicates that hold for polygon (or line) ``a`` and polygon ``b``."""
-    tiny = 1e-9 * max(1.0, float(np.abs(a).max()), float(np.abs(b).max()))
-    of_a = _side(_pieces(a, not line, b), b, tiny)
-    corners = _side(a, b, tiny)
+        middles.append(p + ((cut[:-1] + cut[1:]) / 2)[:, None] * u)
+        normals.append(np.broadcast_to(np.array([-u[1], u[0]]) / np.hypot(*u), middles[-1].shape))
+    return (np.concatenate(middles), np.concatenate(normals)) if middles else (a[:1], np.zeros((1, 2)))
+
+
+def relation(a, b, line: bool = False) -> set[str]:
+    """All predicates that hold for polygon (or line) ``a`` and polygon ``b``, each one ring or a list of rings."""
+    a, b = ([np.asarray(r, dtype=float) for r in (g if isinstance(g, list) else [g])] for g in (a, b))
+    scale = max(1.0, *(float(np.abs(r).max()) for r in [*a, *b]))
+    tiny = 1e-9 * scale
+    middles, normals = _pieces(a, not line, b)
+    of_a = _side(middles, b, tiny)
+    corners = _side(np.concatenate(a), b, tiny)
     if line:
         inside, outside, on = (of_a == 1).any(), (of_a == -1).any(), (of_a == 0).any() or (corners == 0).any()
         met = inside or on
         return {k for k, ok in {"intersects": met, "disjoint": not met, "crosses": inside and outside, "within": inside and not outside, "touches": met and not inside}.items() if ok}
-    of_b = _side(_pieces(b, True, a), a, tiny)
-    touch = (of_a == 0).any() or (corners == 0).any() or (_side(b, a, tiny) == 0).any()
-    same = (of_a == 0).all() and (of_b == 0).all()
-    share = same or (of_a == 1).any() or (of_b == 1).any()
-    within, contains = share and not (of_a == -1).any(), share and not (of_b == -1).any()
+    of_b = _side(_pieces(b, True, a)[0], a, tiny)
+    touch = (of_a == 0).any() or (corners == 0).any() or (_side(np.concatenate(b), a, tiny) == 0).any()
+    m, n = middles[of_a == 0], normals[of_a == 0]
+    beside = np.concatenate([m + 1e-7 * scale * n, m - 1e-7 * scale * n]).reshape(-1, 2)
+    in_a, in_b = _within(beside, a), _within(beside, b)
+    share = (of_a == 1).any() or (of_b == 1).any() or (in_a & in_b).any()
+    a_out = (of_a == -1).any() or (of_b == 1).any() or (in_a & ~in_b).any()
+    b_out = (of_b == -1).any() or (of_a == 1).any() or (in_b & ~in_a).any()
+    within, contains = share and not a_out, share and not b_out
     facts = {"intersects": share or touch, "disjoint": not (share or touch), "within": within, "contains": contains, "equals": within and contains, "touches": touch and not share, "overlaps": share and not within and not contains}
     return {k for k, ok in facts.items() if ok}
 
 
-def _boxed(df: DataFrame, ring: str) -> list:
-    part = lambda c: F.transform(ring, lambda p: p[c])
-    return [F.array_min(part("x")), F.array_min(part("y")), F.array_max(part("x")), F.array_max(part("y"))]
+def _sides(a: DataFrame, b: DataFrame) -> list[DataFrame]:
+    """Both tables with ``ring`` as a list of parts and their boxes; geometries without a part of two points are left out."""
+    out = []
+    for k, df in (("a", a), ("b", b)):
+        parts = F.col("ring") if isinstance(df.schema["ring"].dataType.elementType, ArrayType) else F.when(F.col("ring").isNotNull(), F.array("ring"))
+        rows = df.select(F.col("id").alias(f"{k}id"), F.filter(parts, lambda r: F.size(r) > 1).alias(f"{k}ring")).filter(F.size(f"{k}ring") > 0)
+        points = F.flatten(f"{k}ring")
+        x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        out.append(rows.withColumns({f"{k}x0": F.array_min(x), f"{k}y0": F.array_min(y), f"{k}x1": F.array_max(x), f"{k}y1": F.array_max(y)}))
+    return out
 
 
-def rings_meet(a: DataFrame, b: DataFrame, size: float, predicate: str = "intersects", line: bool = False) -> DataFrame:
-    """``(aid, bid)`` of ``a(id, ring)`` and polygons ``b(id, ring)`` under a predicate of ``PREDICATES``.
+def _candidates(sides: list[DataFrame], size: float, most: int) -> DataFrame:
+    """Pairs whose boxes meet, each once.
 
-    With ``line`` the rings of ``a`` are open lines.  Two polygons never cross
-    (raises).  Cells of side ``size`` bring boxes together, a pair is tested in
-    the cell that holds the lower corner of the boxes' common part, and
-    ``disjoint`` is what the cell join does not find: a stated set ``a`` against
-    all of ``b``, whose output is nearly their product.  Null rings meet nothing.
+    Rows are counted per cell.  A cell with over ``most`` rows of a side is cut
+    into blocks of about ``most``: every block of one side meets every block of
+    the other, so that no task holds a whole crowded cell.
     """
-    if predicate not in PREDICATES or (predicate == "crosses" and not line):
-        raise ValueError(f"{predicate} is not defined for these geometries")
-    sides = [df.filter(F.col("ring").isNotNull() & (F.size("ring") > 1)).select(F.col("id").alias(f"{k}id"), F.col("ring").alias(f"{k}ring"), *[c.alias(f"{k}{n}") for n, c in zip(("x0", "y0", "x1", "y1"), _boxed(df, "ring"))]) for k, df in (("a", a), ("b", b))]
-    met = [s.withColumn("c", F.explode(cells(F.col(f"{k}x0"), F.col(f"{k}y0"), F.col(f"{k}x1"), F.col(f"{k}y1"), size))) for k, s in zip("ab", sides)]
-    pairs = met[0].join(met[1], "c").filter((F.col("c.cx") == F.floor(F.greatest("ax0", "bx0") / size)) & (F.col("c.cy") == F.floor(F.greatest("ay0", "by0") / size)))
-    pairs = pairs.filter((F.col("ax0") <= F.col("bx1")) & (F.col("bx0") <= F.col("ax1")) & (F.col("ay0") <= F.col("by1")) & (F.col("by0") <= F.col("ay1")))
-    wanted = "intersects" if predicate == "disjoint" else predicate
+    met, counts = [], []
+    for k, s in zip("ab", sides):
+        m = s.withColumn("c", F.explode(cells(F.col(f"{k}x0"), F.col(f"{k}y0"), F.col(f"{k}x1"), F.col(f"{k}y1"), size)))
+        met.append(m)
+        counts.append(m.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(f"_{k}")))
+    hot = counts[0].join(counts[1], "c").filter("_a > 1 OR _b > 1")
+    blocks = []
+    for k, other, m in zip("ab", "ba", met):
+        of = m.join(hot, "c", "left").withColumn("_own", F.pmod(F.xxhash64(f"{k}id"), F.coalesce(f"_{k}", F.lit(1))))
+        blocks.append(of.withColumn("_met", F.explode(F.sequence(F.lit(0), F.coalesce(f"_{other}", F.lit(1)) - 1))).drop("_a", "_b"))
+    one = blocks[0].withColumnsRenamed({"_own": "_p", "_met": "_q"})
+    two = blocks[1].withColumnsRenamed({"_own": "_q", "_met": "_p"}).withColumn("_p", F.col("_p").cast("bigint"))
+    pairs = one.withColumn("_q", F.col("_q").cast("bigint")).join(two, ["c", "_p", "_q"])
+    pairs = pairs.filter((F.col("c.cx") == F.floor(F.greatest("ax0", "bx0") / size)) & (F.col("c.cy") == F.floor(F.greatest("ay0", "by0") / size)))
+    return pairs.filter((F.col("ax0") <= F.col("bx1")) & (F.col("bx0") <= F.col("ax1")) & (F.col("ay0") <= F.col("by1")) & (F.col("by0") <= F.col("ay1")))
+
+
+def rings_relate(a: DataFrame, b: DataFrame, size: float, line: bool = False, most: int = 5_000) -> DataFrame:
+    """``(aid, bid, predicates)`` of the pairs of ``a(id, ring)`` and polygons ``b(id, ring)`` that meet: the names that hold, sorted.
+
+    Repeated ids give repeated rows.  Null geometries and those without two
+    points in any part meet nothing.
+    """
+    sides = _sides(a, b)
 
     def run(batches):
         for batch in batches:
-            one, two = (([[(p["x"], p["y"]) for p in r] for r in batch.column(k).to_pylist()]) for k in (2, 3))
-            keep = [wanted in relation(np.array(x, dtype=float), np.array(y, dtype=float), line) for x, y in zip(one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["aid", "bid"])
+            one, two = ([[np.array([(p["x"], p["y"]) for p in r], dtype=float) for r in g] for g in batch.column(k).to_pylist()] for k in (2, 3))
+            facts = [sorted(relation(x, y, line)) for x, y in zip(one, two)]
+            keep = pa.array(["intersects" in f for f in facts], pa.bool_())
+            cols = [batch.column(0), batch.column(1), pa.array(facts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cols], names=["aid", "bid", "predicates"])
 
     kinds = {k: s.schema[f"{k}id"].dataType.simpleString() for k, s in zip("ab", sides)}
-    found = pairs.select("aid", "bid", "aring", "bring").mapInArrow(run, f"aid {kinds['a']}, bid {kinds['b']}")
+    pairs = _candidates(sides, size, most).select("aid", "bid", "aring", "bring")
+    return pairs.mapInArrow(run, f"aid {kinds['a']}, bid {kinds['b']}, predicates array<string>")
+
+
+def rings_meet(a: DataFrame, b: DataFrame, size: float, predicate: str = "intersects", line: bool = False, most: int = 5_000) -> DataFrame:
+    """``(aid, bid)`` of ``a(id, ring)`` and polygons ``b(id, ring)`` under a predicate of ``PREDICATES``.
+
+    With ``line`` the geometries of ``a`` are open lines.  Two polygons never
+    cross (raises).  Cells of side ``size`` bring boxes together, a pair is
+    tested in the cell that holds the lower corner of the boxes' common part,
+    and ``disjoint`` is what the cell join does not find: a stated set ``a``
+    against all of ``b``, whose output is nearly their product.
+    """
+    if predicate not in PREDICATES or (predicate == "crosses" and not line):
+        raise ValueError(f"{predicate} is not defined for these geometries")
+    wanted = "intersects" if predicate == "disjoint" else predicate
+    found = rings_relate(a, b, size, line, most).filter(F.array_contains("predicates", wanted)).select("aid", "bid")
     if predicate != "disjoint":
         return found
+    sides = _sides(a, b)
     return sides[0].select("aid").crossJoin(sides[1].select("bid")).join(found, ["aid", "bid"], "left_anti")

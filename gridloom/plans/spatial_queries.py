@@ -322,6 +322,31 @@ def c03l(spark, d):
     return rings.rings_meet(a, _diamonds(load(spark, d, "pts2"), 4 + F.col("id") % 6, 0.5), 16.0, "crosses", line=True)
 
 
+# --- frames: a square with a square hole (a third of them without) and a square part beside it; SQL compares the unit cells and the lattice points of both
+
+
+def _frame_sql(t: str, k: int) -> str:
+    shape = f"SELECT id, cast(floor(px) AS bigint) AS x, cast(floor(py) AS bigint) AS y, cast({k} + id % 4 AS bigint) AS s, id % 3 AS kind FROM {t}"
+    return f"SELECT id, x + i AS cx, y + j AS cy FROM ({shape}), range(0, 16) a(i), range(0, 16) b(j) WHERE (i < s AND j < s AND (kind = 0 OR i = 0 OR j = 0 OR i = s - 1 OR j = s - 1)) OR (i BETWEEN s + 1 AND s + 2 AND j < 2)"
+
+
+_FRAMES = f"{ctes('pts', 'pts2')}, a AS MATERIALIZED ({_frame_sql('pts', 3)}), b AS MATERIALIZED ({_frame_sql('pts2', 5)}), va AS (SELECT DISTINCT id, cx + i AS vx, cy + j AS vy FROM a, range(0, 2) r(i), range(0, 2) q(j)), vb AS (SELECT DISTINCT id, cx + i AS vx, cy + j AS vy FROM b, range(0, 2) r(i), range(0, 2) q(j)), na AS (SELECT id, count(*) AS n FROM a GROUP BY id), nb AS (SELECT id, count(*) AS n FROM b GROUP BY id), near AS (SELECT DISTINCT va.id AS aid, vb.id AS bid FROM va JOIN vb USING (vx, vy)), same AS (SELECT a.id AS aid, b.id AS bid, count(*) AS k FROM a JOIN b USING (cx, cy) GROUP BY ALL) SELECT aid, bid, k IS NULL AS touches, coalesce(k = na.n, false) AS within, coalesce(k = nb.n, false) AS contains, coalesce(k < na.n AND k < nb.n, false) AS overlaps FROM near LEFT JOIN same USING (aid, bid) JOIN na ON na.id = aid JOIN nb ON nb.id = bid"
+
+
+def _frames(df, k):
+    x, y, s = F.floor("px").cast("double"), F.floor("py").cast("double"), (k + F.col("id") % 4).cast("double")
+    box = lambda x0, y0, w: F.array(*[F.struct((x0 + w * i).alias("x"), (y0 + w * j).alias("y")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    solid = F.array(box(x, y, s), box(x + s + 1, y, F.lit(2.0)))
+    return df.select("id", F.when(F.col("id") % 3 == 0, solid).otherwise(F.concat(solid, F.array(box(x + 1, y + 1, s - 2)))).alias("ring"))
+
+
+@query("c03_multipolygons", _FRAMES)
+def c03m(spark, d):
+    """Polygons of two parts, most with a hole: what holds of every pair that meets."""
+    found = rings.rings_relate(_frames(load(spark, d, "pts"), 3), _frames(load(spark, d, "pts2"), 5), 16.0)
+    return found.select("aid", "bid", *[F.array_contains("predicates", p).alias(p) for p in ("touches", "within", "contains", "overlaps")])
+
+
 @query("c06_rectangle_search", f"{ctes('pts', 'pts2')}, q AS (SELECT id AS box, floor(px) AS x0, floor(py) AS y0, floor(px) + 15 AS x1, floor(py) + 10 AS y1 FROM pts2 WHERE id % 20 = 0) SELECT box, id FROM q JOIN pts ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1")
 def c06r(spark, d):
     q = load(spark, d, "pts2").filter("id % 20 = 0").select(F.col("id").alias("box"), F.floor("px").cast("double").alias("x0"), F.floor("py").cast("double").alias("y0"), (F.floor("px") + 15).cast("double").alias("x1"), (F.floor("py") + 10).cast("double").alias("y1"))
