@@ -138,14 +138,41 @@ def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> Da
     return ranked(df, label, [hashed(F.col(key), seed), key]).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_many")
 
 
-def cross_validate(df: DataFrame, key: str, size: int, k: int = 5) -> DataFrame:
-    """Accuracy of the Gaussian classifier per fold, one row a fold."""
-    dealt, out = folds(df, key, "label", k), None
-    for f in range(k):
-        test = normal_bayes(dealt.filter(F.col("fold") != f), size)(dealt.filter(F.col("fold") == f))
-        row = test.agg(F.lit(f).alias("fold"), F.avg((F.col("class") == F.col("label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+def scaler(train: DataFrame, size: int, spectrum: str = "spectrum") -> Callable[[DataFrame], DataFrame]:
+    """z-scores of an array column by the statistics of ``train`` alone (least deviation 1e-6).  Returns the scaling."""
+    s = covariance(train, spectrum, size).first()
+    if s is None:
+        return lambda df: df
+    mean = array(s["mean"])
+    deviation = array(np.maximum(np.sqrt(np.maximum(np.array(s["cov"]).reshape(size, size).diagonal(), 0)), 1e-6))
+    return lambda df: df.withColumn(spectrum, F.zip_with(F.zip_with(spectrum, mean, lambda v, m: v - m), deviation, lambda v, t: v / t))
+
+
+def cross_validate(df: DataFrame, key: str, size: int, k: int = 5, scale: bool = True, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """``(fold, accuracy, n)``, a row a fold that has rows on both sides; ``fit`` makes a predictor that adds ``class``.
+
+    A fold's scaler and model see the other folds only.  The default model is
+    the Gaussian one with full covariances.
+    """
+    if k < 2:
+        raise ValueError("two folds or more")
+    fit = fit or (lambda train: normal_bayes(train, size))
+    dealt = _written(folds(df, key, "label", k))
+    sizes = {r["fold"]: r["count"] for r in dealt.groupBy("fold").count().collect()}
+    out = None
+    for f in [f for f in sorted(sizes) if len(sizes) > 1]:
+        train, test = dealt.filter(F.col("fold") != f), dealt.filter(F.col("fold") == f)
+        if scale:
+            to = scaler(train, size)
+            train, test = to(train), to(test)
+        row = fit(train)(test).agg(F.lit(f).alias("fold"), F.avg((F.col("class") == F.col("label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
         out = row if out is None else out.unionByName(row)
-    return out
+    return df.sparkSession.createDataFrame([], "fold int, accuracy double, n long") if out is None else out
+
+
+def validation_summary(per_fold: DataFrame) -> DataFrame:
+    """``(folds, mean, std)`` of the folds' accuracies: one row, the deviation over the folds as a population."""
+    return per_fold.agg(F.count("accuracy").alias("folds"), F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))
 
 
 def assign(counts: np.ndarray) -> list[int]:
