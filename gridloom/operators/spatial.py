@@ -107,6 +107,22 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, cell: float = 10.0, limit: f
     raise RuntimeError("nearest neighbours did not settle")
 
 
+def nearest_features(a: DataFrame, b: DataFrame, k: int = 1, cell: float = 10.0, limit: float = 0.0) -> DataFrame:
+    """All columns of ``a`` for each of its k nearest points of ``b``, and ``neighbor_id``, ``neighbor_x``, ``neighbor_y``, ``distance``, ``rank``.
+
+    Rows without a place have no neighbours and are left out, as are those that
+    have none within ``limit``.  ``id`` is unique in each table; columns of ``a``
+    under one of the new names raise.
+    """
+    new = ("neighbor_id", "neighbor_x", "neighbor_y", "distance", "rank")
+    if clash := sorted(set(new) & set(a.columns)):
+        raise ValueError(f"columns {clash} are in the way")
+    placed = [df.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("px", "py"))) for df in (a, b)]
+    found = nearest(*[df.select("id", "px", "py") for df in placed], k, cell, limit)
+    places = placed[1].select(F.col("id").alias("bid"), F.col("px").alias("neighbor_x"), F.col("py").alias("neighbor_y"))
+    return placed[0].join(found.withColumnRenamed("aid", "id"), "id").join(places, "bid").select(*a.columns, F.col("bid").alias("neighbor_id"), *new[1:])
+
+
 def distance_matrix(a: DataFrame, queries: DataFrame) -> DataFrame:
     """``(aid, bid, distance)`` of a stated, bounded query set against all rows of ``a``."""
     q = queries.select(F.col("id").alias("bid"), F.col("px").alias("bx"), F.col("py").alias("by"))

@@ -75,6 +75,13 @@ def c04(spark, d):
     return rounded(S.nearest(load(spark, d, "pts"), load(spark, d, "pts2"), 3), "distance")
 
 
+@query("c04_nearest_features", _NEAR + ", k AS (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY distance, bid) AS rank FROM r WHERE distance <= 4) SELECT a.id, a.z, bid AS neighbor_id, round(b.px, 6) AS neighbor_x, round(b.py, 6) AS neighbor_y, round(distance, 6) AS distance, cast(rank AS integer) AS rank FROM k JOIN pts a ON a.id = aid JOIN pts2 b ON b.id = bid WHERE rank <= 2")
+def c04f(spark, d):
+    """Two neighbours at most, within 4, with their places and the rows' own attributes."""
+    found = S.nearest_features(load(spark, d, "pts"), load(spark, d, "pts2"), 2, 4.0, 4.0)
+    return rounded(found.drop("px", "py"), "neighbor_x", "neighbor_y", "distance")
+
+
 @query("c05_distance_matrix", _NEAR + " SELECT aid, bid, round(distance, 6) AS distance FROM r WHERE bid % 20 = 0")
 def c05(spark, d):
     return rounded(S.distance_matrix(load(spark, d, "pts"), load(spark, d, "pts2").filter("id % 20 = 0")), "distance")

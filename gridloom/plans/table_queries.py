@@ -99,6 +99,16 @@ def a07(spark, d):
     return R.to_xyz(load(spark, d, "grid"), 100.0, 900.0, 30.0, -30.0, 2)
 
 
+_XYZ = f"{ctes('ms')} SELECT 100 + (x + 0.5) * 30.0 AS cx, 900 - (y + 0.5) * 30.0 AS cy, coalesce(round(nullif(floor(b1), 25), 6), -9999.0) AS b1, coalesce(round(b3, 6), -9999.0) AS b3 FROM ms WHERE x BETWEEN 5 AND 84 AND y >= 3 AND (x - 5) % 3 = 0 AND (y - 3) % 3 = 0 AND NOT (nullif(floor(b1), 25) IS NULL AND b3 IS NULL)"
+
+
+@query("a07_xyz_window", _XYZ)
+def a07w(spark, d):
+    """Two bands of a window without its empty pixels; 25 stands for no value."""
+    ms = load(spark, d, "ms").withColumn("b1", F.floor("b1").cast("double"))
+    return rounded(R.to_xyz(ms, 100.0, 900.0, 30.0, -30.0, 3, ["b1", "b3"], (5, 3, 80, 1 << 40), 25.0, -9999.0, True), "b1", "b3")
+
+
 @query("a08_footprints", f"{ctes('grid')} SELECT label, format('POLYGON(({{}} {{}}, {{}} {{}}, {{}} {{}}, {{}} {{}}, {{}} {{}}))', min(x), min(y), max(x) + 1, min(y), max(x) + 1, max(y) + 1, min(x), max(y) + 1, min(x), min(y)) AS wkt FROM grid GROUP BY label")
 def a08(spark, d):
     return R.footprint(load(spark, d, "grid"), "label")
@@ -256,6 +266,17 @@ def i09c(spark, d):
     return rounded(ml.cross_validate(s, "id", 8, 3), "accuracy")
 
 
+_CV = f"{ctes('ms')}, t AS (SELECT y * 100 + x AS id, label, b1, b2 FROM ms WHERE b1 IS NOT NULL AND b2 IS NOT NULL), f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {_HASH}, id) - 1) % 3 AS fold FROM t), z AS (SELECT k AS fold, avg(b1) AS u1, avg(b2) AS u2, greatest(stddev_pop(b1), 1e-6) AS w1, greatest(stddev_pop(b2), 1e-6) AS w2 FROM f, range(0, 3) r(k) WHERE fold <> k GROUP BY k), g AS (SELECT z.fold, f.fold = z.fold AS test, id, label, (b1 - u1) / w1 AS b1, (b2 - u2) / w2 AS b2 FROM f, z), c AS (SELECT fold, label AS class, count(*) AS n, sum(count(*)) OVER (PARTITION BY fold) AS total, avg(b1) AS m1, avg(b2) AS m2, var_pop(b1) + 1e-6 AS a, var_pop(b2) + 1e-6 AS d, covar_pop(b1, b2) AS b FROM g WHERE NOT test GROUP BY fold, label), s AS (SELECT g.fold, id, label, class, ln(n / total) - ln(a * d - b * b) / 2 - (d * (b1 - m1) * (b1 - m1) - 2 * b * (b1 - m1) * (b2 - m2) + a * (b2 - m2) * (b2 - m2)) / (a * d - b * b) / 2 AS l FROM g JOIN c ON c.fold = g.fold WHERE test), p AS (SELECT fold, id, label, arg_max(class, l) AS class FROM s GROUP BY fold, id, label), v AS (SELECT fold, avg(cast(class = label AS integer)) AS accuracy FROM p GROUP BY fold)"
+
+
+@query("i09_validation_summary", _CV + " SELECT count(*) AS folds, round(avg(accuracy), 6) AS mean, round(stddev_pop(accuracy), 6) AS std FROM v")
+def i09s(spark, d):
+    """Three folds over two bands, each scaled by its own training rows."""
+    ms = load(spark, d, "ms").filter("b1 IS NOT NULL AND b2 IS NOT NULL")
+    s = ms.select((F.col("y") * 100 + F.col("x")).alias("id"), "label", F.array("b1", "b2").alias("spectrum"))
+    return rounded(ml.validation_summary(ml.cross_validate(s, "id", 2, 3)), "mean", "std")
+
+
 _PERMS = "RECURSIVE w AS (SELECT DISTINCT cluster FROM g), o AS (SELECT cluster, row_number() OVER (ORDER BY cluster) AS k FROM w), c AS (SELECT cluster, truth, count(*) AS n FROM g GROUP BY ALL), p AS (SELECT 0::bigint AS k, []::bigint[] AS used, 0::bigint AS total UNION ALL SELECT p.k + 1, list_append(used, t.truth), total + coalesce(c.n, 0) FROM p JOIN o ON o.k = p.k + 1 CROSS JOIN (SELECT DISTINCT truth FROM g) t LEFT JOIN c ON c.cluster = o.cluster AND c.truth = t.truth WHERE NOT list_contains(used, t.truth)), b AS (SELECT max_by(used, total) AS used FROM p WHERE k = (SELECT count(*) FROM w))"
 
 
@@ -284,7 +305,10 @@ def i13(spark, d):
     return ml.majority_label(_segments(spark, d), "seg", "label", 2)
 
 
-@query("i12_object_classes")
+_OBJECTS = _SEG + ", o AS (SELECT seg, avg(value) / 1e5 AS b1, stddev_pop(value) / 1e5 AS b2 FROM f GROUP BY seg), n AS (SELECT seg, label, count(*) AS n FROM f GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY n DESC, label) AS k FROM n), t AS (SELECT o.*, label FROM o JOIN r ON r.seg = o.seg AND k = 1), c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total, avg(b1) AS m1, avg(b2) AS m2, var_pop(b1) + 1e-6 AS a, var_pop(b2) + 1e-6 AS d, covar_pop(b1, b2) AS b FROM t GROUP BY label) SELECT seg, arg_max(label, ln(n / total) - ln(a * d - b * b) / 2 - (d * (b1 - m1) * (b1 - m1) - 2 * b * (b1 - m1) * (b2 - m2) + a * (b2 - m2) * (b2 - m2)) / (a * d - b * b) / 2) AS class FROM o, c GROUP BY seg"
+
+
+@query("i12_object_classes", _OBJECTS)
 def i12(spark, d):
     seg = _segments(spark, d)
     feats = seg.groupBy("seg").agg(F.array(F.avg("value") / 1e5, F.stddev_pop("value") / 1e5).alias("spectrum"))

@@ -82,10 +82,27 @@ def unstack(df: DataFrame, names: list[str]) -> DataFrame:
     return df.unpivot(["y", "x"], names, "band", "value")
 
 
-def to_xyz(df: DataFrame, ox: float, oy: float, pw: float, ph: float, skip: int = 1) -> DataFrame:
-    """Pixel centres as coordinates, every ``skip``-th row and column."""
-    px = df.filter((F.col("y") % skip == 0) & (F.col("x") % skip == 0))
-    return px.select((ox + (F.col("x") + 0.5) * pw).alias("cx"), (oy + (F.col("y") + 0.5) * ph).alias("cy"), "value")
+def to_xyz(df: DataFrame, ox: float, oy: float, pw: float, ph: float, skip: int = 1, bands: list[str] | None = None, window: tuple[int, int, int, int] | None = None, nodata: float | None = None, fill: float | None = None, drop: bool = False) -> DataFrame:
+    """Pixel centres as coordinates ``(cx, cy, bands..)``, every ``skip``-th row and column.
+
+    ``window`` is (first column, first row, columns, rows); skipping starts at its
+    corner, and rows outside are pruned at the source.  ``nodata`` in a band and
+    nulls become ``fill`` (null without one); ``drop`` leaves out pixels that
+    have no value in any band.
+    """
+    bands = bands or ["value"]
+    x0, y0 = window[:2] if window else (0, 0)
+    px = df.select("y", "x", *bands)
+    if window:
+        px = px.filter(F.col("x").between(x0, x0 + window[2] - 1) & F.col("y").between(y0, y0 + window[3] - 1))
+    px = px.filter(((F.col("y") - y0) % skip == 0) & ((F.col("x") - x0) % skip == 0))
+    if nodata is not None:
+        px = px.withColumns({c: F.nullif(F.col(c), F.lit(nodata)) for c in bands})
+    if drop:
+        px = px.dropna(how="all", subset=bands)
+    if fill is not None:
+        px = px.fillna(fill, bands)
+    return px.select((ox + (F.col("x") + 0.5) * pw).alias("cx"), (oy + (F.col("y") + 0.5) * ph).alias("cy"), *bands)
 
 
 def footprint(df: DataFrame, by: str) -> DataFrame:
