@@ -14,6 +14,7 @@ from ..operators import chain as K
 from ..operators import focal, kernels, ml, pixel, provenance, stats
 from ..operators.components import _written as written
 from ..operators.components import shared_path
+from ..sources import blocks
 from ..sources import rasters as R
 from .fixtures import ctes, load
 from .registry import query
@@ -30,6 +31,14 @@ def a01(spark, d):
     return R.read_pixels(spark, path).select("y", "x", "b1")
 
 
+@query("a01_raster_blocks", f"{ctes('ms')} SELECT y, x, round(b3, 6) AS b3, round(b1, 6) AS b1 FROM ms WHERE x BETWEEN 10 AND 69 AND y >= 2")
+def a01b(spark, d):
+    """Two of four bands of a window, from block files."""
+    path = shared_path(spark, "blocks")
+    blocks.write_blocks(load(spark, d, "ms"), path, MS, 64)
+    return rounded(blocks.read_blocks(spark, path, ["b3", "b1"], (10, 2, 60, 1 << 40)), "b3", "b1")
+
+
 @query("a02_features", "SELECT s_suppkey AS id, s_name AS name, round(s_acctbal, 2) AS balance FROM supplier")
 def a02(spark, d):
     """Features written as GeoJSON collections and read back."""
