@@ -362,11 +362,16 @@ def unmix(df: DataFrame, endmembers: np.ndarray) -> DataFrame:
     return out.withColumn("rmse", F.sqrt(err / len(e))).drop("_f", "_s")
 
 
+def directions(size: int, n: int, seed: int = 42) -> np.ndarray:
+    """``n`` seeded unit vectors."""
+    v = np.random.default_rng(seed).standard_normal((n, size))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def endmembers(df: DataFrame, size: int, n: int, projections: int = 200, seed: int = 42) -> DataFrame:
     """Pixel purity: pixels counted at both ends of seeded unit projections; the ``n`` most counted, ties by index."""
     _, mean, _ = _moments(df, size)
-    v = np.random.default_rng(seed).standard_normal((projections, size))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = directions(size, projections, seed)
     c = F.zip_with("spectrum", array(mean), lambda x, m: x - m)
     at = F.struct("y", "x")
     px = df.filter(valid(F.col("spectrum"))).select("y", "x", c.alias("c"))

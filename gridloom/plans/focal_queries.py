@@ -48,7 +48,20 @@ def e03l(spark, d):
     return rounded(O.convolve(load(spark, d, "dem"), O.LAPLACIAN), "value")
 
 
-@query("e04_canny")
+_WAYS = [(0, 1), (1, 1), (1, 0), (1, -1)]
+_KEPT = " OR ".join(f"(way = {k} AND value >= n{k}a AND value >= n{k}b)" for k in range(4))
+_AT = ", ".join(f"max(CASE WHEN dy = {s * a} AND dx = {s * b} THEN value END) AS n{k}{t}" for k, (a, b) in enumerate(_WAYS) for s, t in ((1, "a"), (-1, "b")))
+_CANNY = (
+    f"WITH RECURSIVE {around('dem', 1)[5:]}, b AS (SELECT y, x, sum(exp(-(dy * dy + dx * dx) / 2.0) * value) / sum(exp(-(dy * dy + dx * dx) / 2.0)) AS value FROM n GROUP BY y, x), "
+    f"g AS (SELECT nq.y, nq.x, sum(({_kernel(O.SOBEL_X)}) * value) AS gx, sum(({_kernel(O.SOBEL_Y)}) * value) AS gy FROM nq JOIN b ON b.y = ty AND b.x = tx GROUP BY nq.y, nq.x), "
+    "a AS (SELECT y, x, sqrt(gx * gx + gy * gy) AS value, degrees(atan2(gy, gx)) AS turn FROM g), r AS (SELECT y, x, value, CASE WHEN turn < 0 THEN turn + 180 WHEN turn >= 180 THEN turn - 180 ELSE turn END AS turn FROM a), "
+    "m AS (SELECT y, x, value, CASE WHEN turn < 22.5 OR turn >= 157.5 THEN 0 WHEN turn < 67.5 THEN 1 WHEN turn < 112.5 THEN 2 ELSE 3 END AS way FROM r), "
+    f"k AS (SELECT nq.y, nq.x, max(CASE WHEN dy = 0 AND dx = 0 THEN value END) AS value, max(CASE WHEN dy = 0 AND dx = 0 THEN way END) AS way, {_AT} FROM nq JOIN m ON m.y = ty AND m.x = tx GROUP BY nq.y, nq.x), "
+    f"t AS MATERIALIZED (SELECT y, x, value FROM k WHERE value >= 20 AND ({_KEPT})), w(y, x) AS (SELECT y, x FROM t WHERE value >= 60 UNION SELECT t.y, t.x FROM w JOIN t ON abs(t.y - w.y) <= 1 AND abs(t.x - w.x) <= 1) SELECT y, x FROM w"
+)
+
+
+@query("e04_canny", _CANNY)
 def e04(spark, d):
     from ..operators.components import reach
 

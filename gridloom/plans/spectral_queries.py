@@ -153,7 +153,11 @@ def c11(spark, d):
     return rounded(S.match(spectra(spark, d, 64, 1.0), lib, ["y", "x"], 3), "angle", "sid").select("y", "x", "name", "angle", "sid", "rank")
 
 
-@query("h18_continuum")
+# the hull at a band is the highest of all chords over it, and the value itself
+_HULL = f"{ctes('spectra')}, s AS (SELECT y, x, list_transform(spectrum, lambda q: cast(q AS double) + 1.0) AS v FROM spectra), b AS (SELECT a.k AS i, b.k AS j, c.k AS k FROM range(1, 65) a(k) JOIN range(1, 65) b(k) ON a.k < b.k JOIN range(1, 65) c(k) ON c.k > a.k AND c.k < b.k), h AS (SELECT y, x, k, max(v[i] + (v[j] - v[i]) * cast(k - i AS double) / (j - i)) AS chord FROM s, b GROUP BY y, x, k), p AS (SELECT y, x, k, v[k] / greatest(v[k], coalesce(chord, v[k])) AS removed FROM (SELECT y, x, v, k FROM s, range(1, 65) r(k)) LEFT JOIN h USING (y, x, k))"
+
+
+@query("h18_continuum", _HULL + " SELECT y, x, round(min(removed), 6) AS deepest, round(max(removed), 6) AS highest FROM p GROUP BY y, x")
 def h18(spark, d):
     out = S.continuum(spectra(spark, d, 64, 1.0), ["y", "x"])
     return out.select("y", "x", clean(F.array_min("removed")).alias("deepest"), clean(F.array_max("removed")).alias("highest"))
@@ -179,7 +183,11 @@ def h20(spark, d):
     return out.select("y", "x", clean(F.aggregate("fractions", F.lit(0.0), lambda a, v: a + v)).alias("total"), clean(F.col("rmse")).alias("rmse"))
 
 
-@query("h21_endmembers")
+# the same seeded directions, as a table; the mean shifts all of a direction's values alike
+_DIRECTIONS = "p(k, w) AS (VALUES " + ", ".join(f"({k}, {[float(v) for v in w]})" for k, w in enumerate(S.directions(64, 100))) + ")"
+
+
+@query("h21_endmembers", f"{ctes('spectra')}, {_DIRECTIONS}, t AS (SELECT y, x, k, list_dot_product(spectrum, w) AS t FROM spectra, p), e AS (SELECT y, x FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY t, y, x) = 1 UNION ALL SELECT y, x FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC, y, x) = 1) SELECT y, x, count(*) AS purity FROM e GROUP BY y, x ORDER BY purity DESC, y, x LIMIT 5")
 def h21(spark, d):
     return S.endmembers(spectra(spark, d), 64, 5, 100)
 

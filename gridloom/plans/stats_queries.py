@@ -189,9 +189,14 @@ def d18(spark, d):
     return ev.groupBy(F.col("user_id").alias("face")).agg(nearest(F.sum("value"), 4).alias("total"), F.max("value").alias("highest"), F.min("value").alias("lowest"), nearest(F.avg("value"), 6).alias("mean"))
 
 
-@query("d19_affine_fit", f"{ctes('pts')} SELECT 5.0 AS a0, 2.0 AS a1, -1.0 AS a2, 7.0 AS b0, 0.5 AS b1, 3.0 AS b2, 0.0 AS rmse")
+# normal equations of centred points, two unknowns a side
+_AFFINE = f"{ctes('pts')}, g AS (SELECT px, py, 5 + 2 * px - py + z / 1000 AS mx, 7 + 0.5 * px + 3 * py - z / 2000 + id % 7 AS my FROM pts), k AS (SELECT avg(px) AS cx, avg(py) AS cy, avg(mx) AS tx, avg(my) AS ty, var_pop(px) AS a, covar_pop(px, py) AS b, var_pop(py) AS d, covar_pop(px, mx) AS xu, covar_pop(py, mx) AS xv, covar_pop(px, my) AS yu, covar_pop(py, my) AS yv FROM g), s AS (SELECT *, (d * xu - b * xv) / (a * d - b * b) AS a1, (a * xv - b * xu) / (a * d - b * b) AS a2, (d * yu - b * yv) / (a * d - b * b) AS b1, (a * yv - b * yu) / (a * d - b * b) AS b2 FROM k), o AS (SELECT tx - a1 * cx - a2 * cy AS a0, a1, a2, ty - b1 * cx - b2 * cy AS b0, b1, b2 FROM s)"
+
+
+@query("d19_affine_fit", _AFFINE + " SELECT round(a0, 4) AS a0, round(a1, 4) AS a1, round(a2, 4) AS a2, round(b0, 4) AS b0, round(b1, 4) AS b1, round(b2, 4) AS b2, round(sqrt(avg(pow(mx - a0 - a1 * px - a2 * py, 2) + pow(my - b0 - b1 * px - b2 * py, 2))), 4) AS rmse FROM g, o GROUP BY ALL")
 def d19(spark, d):
-    g = load(spark, d, "pts").select("px", "py", (5 + 2 * F.col("px") - F.col("py")).alias("mx"), (7 + 0.5 * F.col("px") + 3 * F.col("py")).alias("my"))
+    """Points with residues that no affine map explains."""
+    g = load(spark, d, "pts").select("px", "py", (5 + 2 * F.col("px") - F.col("py") + F.col("z") / 1000).alias("mx"), (7 + 0.5 * F.col("px") + 3 * F.col("py") - F.col("z") / 2000 + F.col("id") % 7).alias("my"))
     return rounded(S.affine_fit(g, "px", "py", "mx", "my"), "a0", "a1", "a2", "b0", "b1", "b2", "rmse", digits=4)
 
 

@@ -168,7 +168,10 @@ def a16(spark, d):
     return R.remap_fields(spark.read.parquet(f"{d}/part.parquet"), {"code": ("p_partkey", "string"), "size": ("p_size * 1.5D", "double")})
 
 
-@query("c10_grid_report", "SELECT 0 AS a, p_partkey AS b, CASE p_partkey % 12 WHEN 1 THEN 'missing_crs' WHEN 2 THEN 'crs' WHEN 3 THEN 'axis' WHEN 4 THEN 'rotation' WHEN 5 THEN 'pixel_size' WHEN 6 THEN 'origin' WHEN 7 THEN 'extent' WHEN 8 THEN 'extent' WHEN 9 THEN 'nodata_warning' WHEN 10 THEN 'crs' WHEN 11 THEN 'axis' ELSE 'ok' END AS verdict FROM part WHERE p_partkey > 0")
+_GRIDS = "WITH k AS (SELECT p_partkey AS id, p_partkey % 12 AS k FROM part WHERE p_partkey > 0), g AS (SELECT id, CASE WHEN k = 1 THEN NULL WHEN k IN (2, 10) THEN 'EPSG:4326' ELSE 'EPSG:32648' END AS crs, CASE WHEN k IN (5, 10) THEN 60.0 ELSE 30.0 END AS pw, CASE WHEN k IN (3, 11) THEN 30.0 ELSE -30.0 END AS ph, CASE WHEN k IN (4, 11) THEN 0.001 ELSE 0.0 END AS rx, CASE k WHEN 6 THEN 12.0 WHEN 7 THEN 90.0 ELSE 0.0 END AS ox, CASE k WHEN 8 THEN 10 ELSE 20 END AS width, CASE k WHEN 9 THEN 0.0 ELSE -9999.0 END AS nodata FROM k), r AS (SELECT 'EPSG:32648' AS crs, 30.0 AS pw, -30.0 AS ph, 0.0 AS ox, 20 AS width, -9999.0 AS nodata)"
+
+
+@query("c10_grid_report", _GRIDS + " SELECT 0 AS a, g.id AS b, CASE WHEN (g.crs IS NULL) <> (r.crs IS NULL) THEN 'missing_crs' WHEN g.crs <> r.crs THEN 'crs' WHEN sign(g.pw) <> sign(r.pw) OR sign(g.ph) <> sign(r.ph) THEN 'axis' WHEN abs(g.rx) > 1e-12 THEN 'rotation' WHEN abs(g.pw - r.pw) > 1e-9 OR abs(g.ph - r.ph) > 1e-9 THEN 'pixel_size' WHEN abs((g.ox - r.ox) / r.pw - round((g.ox - r.ox) / r.pw)) > 1e-6 THEN 'origin' WHEN g.ox <> r.ox OR g.width <> r.width THEN 'extent' WHEN g.nodata <> r.nodata THEN 'nodata_warning' ELSE 'ok' END AS verdict FROM g, r")
 def c10(spark, d):
     """Grids with one fault each (10: also a pixel size, 11: also a rotation), and one sound reference."""
     key = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey > 0").select(F.col("p_partkey").alias("id"), F.lit(False).alias("reference"))
