@@ -369,20 +369,35 @@ def directions(size: int, n: int, seed: int = 42) -> np.ndarray:
 
 
 def endmembers(df: DataFrame, size: int, n: int, projections: int = 200, seed: int = 42) -> DataFrame:
-    """Pixel purity: pixels counted at both ends of seeded unit projections; the ``n`` most counted, ties by index."""
-    _, mean, _ = _moments(df, size)
+    """Pixel purity: pixels counted at both ends of seeded unit projections; the ``n`` most counted, ties by index.
+
+    A batch is one product with all directions; a task keeps the extreme pixel a
+    direction and end (ties to the first by index), and so does the aggregate of
+    the tasks.  Spectra that are null, of another length or with a missing value
+    are left out.
+    """
     v = directions(size, projections, seed)
-    c = F.zip_with("spectrum", array(mean), lambda x, m: x - m)
-    at = F.struct("y", "x")
-    px = df.filter(valid(F.col("spectrum"))).select("y", "x", c.alias("c"))
-    ends = []
-    for k in range(0, projections, 50):  # a projection is one pair of aggregates; fifty at a time keep plans short
-        part = px.agg(*[f(at, F.struct(dot(F.col("c"), array(w)), s * F.col("y"), s * F.col("x"))).alias(f"{n_}{i}") for i, w in enumerate(v[k : k + 50]) for f, s, n_ in ((F.min_by, 1, "a"), (F.max_by, -1, "b"))])
-        ends.append(part.select(F.explode(F.array(*part.columns)).alias("p")))
-    all_ = ends[0]
-    for e in ends[1:]:
-        all_ = all_.unionByName(e)
-    return all_.groupBy("p.y", "p.x").agg(F.count(F.lit(1)).alias("purity")).orderBy(F.desc("purity"), "y", "x").limit(n)
+    x = F.col("spectrum").cast("array<double>")
+    px = df.filter((F.size(x) == size) & valid(x)).select("y", "x", x.alias("c"))
+
+    def run(batches):
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            at = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1)
+            order = np.lexsort((at[:, 1], at[:, 0]))  # the first of equal values is then the first by index
+            at = at[order]
+            t = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)[order] @ v.T
+            for sign, rows in ((1, t.argmin(axis=0)), (-1, t.argmax(axis=0))):
+                for k, row in enumerate(rows):
+                    found = (sign * float(t[row, k]), *at[row].tolist())
+                    end = k if sign == 1 else k + projections
+                    best[end] = min(best.get(end, found), found)
+        ends = list(best)
+        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), *[pa.array([best[e][j] for e in ends], kind) for j, kind in enumerate((pa.float64(), pa.int64(), pa.int64()))]], names=["end", "t", "y", "x"])
+
+    ends = px.select(F.col("y").cast("bigint"), F.col("x").cast("bigint"), "c").mapInArrow(run, "end bigint, t double, y bigint, x bigint")
+    extreme = ends.groupBy("end").agg(F.min(F.struct("t", "y", "x")).alias("p"))
+    return extreme.groupBy("p.y", "p.x").agg(F.count(F.lit(1)).alias("purity")).orderBy(F.desc("purity"), "y", "x").limit(n)
 
 
 def rx(df: DataFrame, size: int) -> DataFrame:
