@@ -1,10 +1,10 @@
 """Neighbourhood operators.
 
-Convolutions, medians, filling, proximity and mean shift work on tiles with a
-halo (`tiles`).  The small windows of the others send every pixel once to each
-window that it belongs to and aggregate by centre: one shuffle, no join.
-Borders clamp to the edge: a border pixel also stands for the positions
-beyond it.
+They work on tiles with a halo (`tiles`): a pixel is shuffled once, and once
+more near a tile's edge, whatever the window.  Only the 2 x 2 cells of contour
+crossings send every pixel to each cell that it belongs to.  Borders clamp to
+the edge: a border pixel also stands for the positions beyond it.  NaN counts
+as a missing value.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import known, ratio
@@ -43,16 +43,6 @@ def windows(df: DataFrame, radius: int, cols: list[str] = ("value",), border: st
     return out.filter(F.col("y").between(0, F.col("_my")) & F.col("x").between(0, F.col("_mx"))).drop("_my", "_mx")
 
 
-def _centre(col="value"):
-    return F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col(col)))
-
-
-def weight(kernel: list[list[float]]):
-    r = len(kernel) // 2
-    flat = F.array(*[F.lit(float(w)) for row in kernel for w in row])
-    return F.get(flat, (F.col("dy") + r) * len(kernel) + F.col("dx") + r)
-
-
 def convolve(df: DataFrame, kernel: list[list[float]]) -> DataFrame:
     """Weighted sums.  A centre without a value keeps none; missing neighbours are
     skipped, and averaging kernels are renormalised over the rest."""
@@ -103,37 +93,78 @@ LAPLACIAN = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
 
 
 def gradient(df: DataFrame) -> DataFrame:
-    """``(y, x, gx, gy, value)``: Sobel derivatives and their magnitude, in one pass."""
-    v = F.col("value")
-    got = windows(df.withColumn("value", known(v)), 1).groupBy("y", "x").agg(_centre().alias("c"), F.sum(weight(SOBEL_X) * v).alias("gx"), F.sum(weight(SOBEL_Y) * v).alias("gy"))
-    return got.select("y", "x", "gx", "gy", F.when(F.col("c").isNotNull(), F.hypot("gx", "gy")).alias("value"))
+    """``(y, x, gx, gy, value)``: Sobel derivatives and their magnitude, in one pass; missing neighbours add nothing."""
+
+    def run(arrays, r):
+        zero = np.nan_to_num(arrays["value"])
+        gx, gy = (sum(k * shifted(zero, r, dy - 1, dx - 1) for dy, line in enumerate(kernel) for dx, k in enumerate(line) if k) for kernel in (SOBEL_X, SOBEL_Y))
+        return [gx, gy, np.where(np.isnan(shifted(arrays["value"], r, 0, 0)), np.nan, np.hypot(gx, gy))]
+
+    return by_tiles(df.withColumn("value", known(F.col("value"))), ["value"], 1, run, ["gx", "gy", "value"], every=True)
 
 
 def thin_edges(df: DataFrame) -> DataFrame:
     """Gradient magnitudes that are largest along their direction (0, 45, 90, 135 degrees), as ``(y, x, value)``."""
-    g = gradient(df)
     a = F.pmod(F.degrees(F.atan2("gy", "gx")), F.lit(180.0))
     way = F.when((a < 22.5) | (a >= 157.5), 0).when(a < 67.5, 1).when(a < 112.5, 2).otherwise(3)
-    around = windows(g.withColumn("way", way), 1, ["value", "way"])
-    own = around.groupBy("y", "x").agg(_centre().alias("value"), _centre("way").alias("way"), *[F.max(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.col("value"))).alias(f"n{k}{s}") for k, (dy, dx) in enumerate([(0, 1), (1, 1), (1, 0), (1, -1)]) for s, (dy, dx) in (("a", (dy, dx)), ("b", (-dy, -dx)))])
-    keep = F.lit(False)
-    for k in range(4):
-        keep = keep | ((F.col("way") == k) & (F.col("value") >= F.col(f"n{k}a")) & (F.col("value") >= F.col(f"n{k}b")))
-    return own.filter(keep).select("y", "x", "value")
+
+    def run(arrays, r):
+        v, own, to = arrays["value"], shifted(arrays["value"], r, 0, 0), shifted(arrays["way"], r, 0, 0)
+        kept = np.zeros(own.shape, dtype=bool)
+        for k, (dy, dx) in enumerate([(0, 1), (1, 1), (1, 0), (1, -1)]):
+            kept |= (to == k) & (own >= shifted(v, r, dy, dx)) & (own >= shifted(v, r, -dy, -dx))
+        return [np.where(kept, own, np.nan)]
+
+    return by_tiles(gradient(df).withColumn("way", way), ["value", "way"], 1, run, ["value"]).filter("value IS NOT NULL")
+
+
+def _neighbours(a: np.ndarray, r: int):
+    """``(dy, dx, values)`` of all window places."""
+    return ((dy, dx, shifted(a, r, dy, dx)) for dy in range(-r, r + 1) for dx in range(-r, r + 1))
+
+
+def _moments(a: np.ndarray, r: int, orders: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Means of the windows' values and central moments, taken around the centre so that equal values vary by exactly 0."""
+    base = np.nan_to_num(shifted(a, r, 0, 0))
+    n, s = np.zeros_like(base), np.zeros_like(base)
+    for _, _, w in _neighbours(a, r):
+        n += ~np.isnan(w)
+        s += np.nan_to_num(w - base)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = s / n
+        out = [np.zeros_like(base) for _ in orders]
+        for _, _, w in _neighbours(a, r):
+            off = w - base - mean
+            for o, k in zip(out, orders):
+                o += np.nan_to_num(off**k)
+        return base + mean, [o / n for o in out]
 
 
 def speckle(df: DataFrame, kind: str, k: int = 3, looks: float = 1.0, damping: float = 1.0) -> DataFrame:
     """lee, enhanced_lee, kuan, gamma_map (local mean and variance weights) or frost (distance and variation weights)."""
-    got = windows(df, k // 2)
-    local = got.groupBy("y", "x").agg(_centre().alias("c"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+
+    def local_values(arrays, r):
+        a = arrays["value"]
+        mean, (var,) = _moments(a, r, (2,))
+        return [shifted(a, r, 0, 0), mean, var]
+
+    def frost(arrays, r):
+        _, mean, var = local_values(arrays, r)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ci2 = np.where(mean == 0, 0.0, var / (mean * mean))
+            s, total = np.zeros_like(mean), np.zeros_like(mean)
+            for dy, dx, v in _neighbours(arrays["value"], r):
+                w = np.where(np.isnan(v), 0.0, np.exp(-damping * ci2 * np.hypot(dy, dx)))
+                s += w * np.nan_to_num(v)
+                total += w
+            return [s / total]
+
+    if kind == "frost":
+        return by_tiles(df, ["value"], k // 2, frost, ["value"], every=True)
+    local = by_tiles(df, ["value"], k // 2, local_values, ["c", "m", "v"], every=True)
     c, m, v = F.col("c"), F.col("m"), F.col("v")
     cu2 = 1.0 / looks
     ci2 = F.coalesce(ratio(v, m * m), F.lit(0.0))
-    if kind == "frost":
-        stats = local.select("y", "x", ci2.alias("ci2"))
-        w = F.exp(-damping * F.col("ci2") * F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")))
-        both = got.join(stats, ["y", "x"]).groupBy("y", "x").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
-        return both
     if kind == "lee":
         w = F.greatest(F.coalesce(1 - cu2 / F.nullif(ci2, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
         value = m + w * (c - m)
@@ -157,11 +188,23 @@ def speckle(df: DataFrame, kind: str, k: int = 3, looks: float = 1.0, damping: f
 
 def morphology(df: DataFrame, kind: str, radius: int = 1, nodata: int = 255) -> DataFrame:
     """erode, dilate, open or close of a mask or grey band; nodata cells never change nor count."""
-    steps = {"erode": [F.min], "dilate": [F.max], "open": [F.min, F.max], "close": [F.max, F.min]}[kind]
-    for agg in steps:
-        got = windows(df.select("y", "x", "value"), radius).groupBy("y", "x").agg(_centre().alias("c"), agg(F.when(F.col("value") != nodata, F.col("value"))).alias("v"))
-        df = got.select("y", "x", F.when(F.col("c") == nodata, F.col("c")).otherwise(F.col("v")).alias("value"))
-    return df
+    dtype = df.schema["value"].dataType
+
+    def kernel(pick, none):
+        def run(arrays, r):
+            v = arrays["value"]
+            out = np.where(np.isnan(v) | (v == nodata), none, v)
+            for axis in (0, 1):  # the square is two lines
+                out = pick.reduce([out[k : out.shape[0] - 2 * r + k] if axis == 0 else out[:, k : out.shape[1] - 2 * r + k] for k in range(2 * r + 1)])
+            own = shifted(v, r, 0, 0)
+            return [np.where(own == nodata, own, np.where(np.isinf(out), np.nan, out))]
+
+        return run
+
+    erode, dilate = kernel(np.minimum, np.inf), kernel(np.maximum, -np.inf)
+    for run in {"erode": [erode], "dilate": [dilate], "open": [erode, dilate], "close": [dilate, erode]}[kind]:
+        df = by_tiles(df, ["value"], radius, run, ["value"], every=True)
+    return df.select("y", "x", F.col("value").cast(dtype).alias("value"))
 
 
 def terrain(df: DataFrame, cell: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
@@ -170,9 +213,12 @@ def terrain(df: DataFrame, cell: float = 1.0, azimuth: float = 315.0, altitude:
     A missing neighbour counts as the centre; aspect is -1 on the flat, else
     clockwise from north; a centre without a value gives none.
     """
-    got = windows(df.withColumn("value", known(F.col("value"))), 1, border="none")
     names = {(a, b): f"z{a + 1}{b + 1}" for a in (-1, 0, 1) for b in (-1, 0, 1)}
-    z = got.groupBy("y", "x").agg(*[F.max(F.when((F.col("dy") == a) & (F.col("dx") == b), F.col("value"))).alias(n) for (a, b), n in names.items()]).filter("z11 IS NOT NULL")
+
+    def run(arrays, r):
+        return [shifted(arrays["value"], r, a, b) for a, b in names]
+
+    z = by_tiles(df.withColumn("value", known(F.col("value"))), ["value"], 1, run, list(names.values()), border="none").filter("z11 IS NOT NULL")
     at = {k: F.coalesce(n, "z11") for k, n in names.items()}
     gx = ((at[-1, 1] + 2 * at[0, 1] + at[1, 1]) - (at[-1, -1] + 2 * at[0, -1] + at[1, -1])) / (8 * cell)
     gy = ((at[1, -1] + 2 * at[1, 0] + at[1, 1]) - (at[-1, -1] + 2 * at[-1, 0] + at[-1, 1])) / (8 * cell)
@@ -187,27 +233,77 @@ def terrain(df: DataFrame, cell: float = 1.0, azimuth: float = 315.0, altitude:
     return t.select("y", "x", F.degrees(slope).alias("slope"), aspect.alias("aspect"), F.greatest(F.least(shade, F.lit(1.0)), F.lit(0.0)).alias("hillshade"), "roughness", "tri", "tpi")
 
 
+def _running(windows: np.ndarray):
+    """Places of sorted windows one after the other: ``(values, how often the value came so far)``; 0 where missing (they come last)."""
+    w = np.sort(windows, axis=2)
+    run = np.zeros(w.shape[:2], dtype=np.int64)
+    for k in range(w.shape[2]):
+        v = w[:, :, k]
+        run = np.where(np.isnan(v), 0, np.where(v == w[:, :, k - 1], run + 1, 1) if k else 1)
+        yield v, run
+
+
 def majority_filter(df: DataFrame, label: str, k: int = 3) -> DataFrame:
-    """Commonest class of each window, ties to the smaller."""
-    n = windows(df, k // 2, [label]).groupBy("y", "x", label).count()
-    return n.groupBy("y", "x").agg(F.min_by(label, F.struct(-F.col("count"), F.col(label))).alias(label))
+    """Commonest class of each window, ties to the smaller; classes are numbers (whole ones up to 2^53), missing ones do not count."""
+    dtype = df.schema[label].dataType
+
+    def commonest(windows):
+        best, out = np.zeros(windows.shape[:2], dtype=np.int64), np.full(windows.shape[:2], np.nan)
+        for v, run in _running(windows):
+            more = run > best
+            best, out = np.where(more, run, best), np.where(more, v, out)
+        return out
+
+    got = by_tiles(df, [label], k // 2, lambda arrays, r: [strips(arrays[label], r, commonest)], [label], every=True)
+    return got.filter(F.col(label).isNotNull()).select("y", "x", F.col(label).cast(dtype).alias(label))
 
 
 def local_statistics(df: DataFrame, radius: int = 1) -> DataFrame:
-    g = windows(df, radius).groupBy("y", "x")
-    return g.agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"))
+    """Mean, variance, skewness and excess kurtosis of each window; the last two are null where values do not vary."""
+
+    def run(arrays, r):
+        mean, (m2, m3, m4) = _moments(arrays["value"], r, (2, 3, 4))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return [mean, m2, np.where(m2 == 0, np.nan, m3 / m2**1.5), np.where(m2 == 0, np.nan, m4 / m2**2 - 3)]
+
+    return by_tiles(df, ["value"], radius, run, ["mean", "variance", "skewness", "kurtosis"], every=True)
 
 
 def glcm(df: DataFrame, radius: int, levels: int, low: float, high: float, offset: tuple[int, int] = (0, 1)) -> DataFrame:
-    """Windowed co-occurrence of quantised levels at one offset: energy, entropy, contrast and homogeneity."""
-    q = F.least(F.greatest(F.floor((F.col("value") - low) / (high - low) * levels), F.lit(0)), F.lit(levels - 1))
-    px = df.select("y", "x", q.alias("q"))
-    other = px.select((F.col("y") - offset[0]).alias("y"), (F.col("x") - offset[1]).alias("x"), F.col("q").alias("q2"))
-    pairs = px.join(other, ["y", "x"], "left")
-    n = windows(pairs, radius, ["q", "q2"], border="none").filter("q2 IS NOT NULL").groupBy("y", "x", "q", "q2").count()
-    p = F.col("count") / F.sum("count").over(Window.partitionBy("y", "x"))
-    d = F.col("q") - F.col("q2")
-    return n.withColumn("p", p).groupBy("y", "x").agg(F.sum(F.col("p") * F.col("p")).alias("energy"), F.sum(-F.col("p") * F.log("p")).alias("entropy"), F.sum(d * d * F.col("p")).alias("contrast"), F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"))
+    """Windowed co-occurrence of quantised levels at one offset: energy, entropy, contrast, homogeneity, correlation (null where a side does not vary).
+
+    A pair belongs to the window that holds its first pixel; windows without a pair have no row.
+    """
+    far = radius + max(map(abs, offset))
+
+    def disorder(windows):
+        squares, logs, n = (np.zeros(windows.shape[:2]) for _ in range(3))
+        for _, run in _running(windows):
+            there = run > 0
+            squares += np.where(there, 2 * run - 1, 0)
+            logs += np.where(there, run * np.log(np.maximum(run, 1)) - (run - 1) * np.log(np.maximum(run - 1, 1)), 0)
+            n += there
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.stack([squares / n**2, np.log(n) - logs / n], axis=2)
+
+    def run(arrays, r):
+        q = np.clip(np.floor((arrays["value"] - low) / (high - low) * levels), 0, levels - 1)
+        edge = r - radius  # pairs are needed for the windows' pixels only
+        one, two = (q[edge + dy : q.shape[0] - edge + dy, edge + dx : q.shape[1] - edge + dx] for dy, dx in ((0, 0), offset))
+        pair = one * levels + two
+        energy, entropy = np.moveaxis(strips(pair, radius, disorder), 2, 0)
+        there = ~np.isnan(pair)
+
+        def total(a):
+            return sum(w for _, _, w in _neighbours(np.where(there, a, 0.0), radius))
+
+        n, d = total(1.0), one - two
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s1, s2 = total(one), total(two)
+            v1, v2 = n * total(one * one) - s1 * s1, n * total(two * two) - s2 * s2  # whole numbers, so 0 is 0
+            return [energy, entropy, total(d * d) / n, total(1 / (1 + d * d)) / n, np.where(v1 * v2 == 0, np.nan, (n * total(one * two) - s1 * s2) / np.sqrt(v1 * v2))]
+
+    return by_tiles(df, ["value"], far, run, ["energy", "entropy", "contrast", "homogeneity", "correlation"], border="none", every=True).filter("energy IS NOT NULL")
 
 
 def _disc(radius: int):

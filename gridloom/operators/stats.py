@@ -156,17 +156,26 @@ def freedman_diaconis(df: DataFrame, col: str) -> DataFrame:
     return r.select(width.alias("width"), F.ceil((F.col("hi") - F.col("lo")) / width).cast("bigint").alias("bins"))
 
 
-# --- class breaks: a few aggregates, then arithmetic on scalars
+# --- class breaks: a few aggregates, then arithmetic on scalars; columns without values have none
 
 
 def _ends(df, col):
     r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.avg(col).alias("m"), F.stddev_pop(col).alias("s")).first()
-    return float(r["lo"]), float(r["hi"]), float(r["m"]), float(r["s"])
+    return None if r["lo"] is None else (float(r["lo"]), float(r["hi"]), float(r["m"]), float(r["s"]))
 
 
 def breaks(df: DataFrame, col: str, method: str, classes: int = 5, **o) -> list[float]:
-    """Upper class ends by ``equal``, ``quantile``, ``pretty``, ``stddev``, ``log``, ``fixed`` (interval=), ``custom`` (ends=), ``jenks``."""
-    lo, hi, mean, sd = _ends(df, col)
+    """Upper class ends by ``equal``, ``quantile``, ``pretty``, ``stddev``, ``log``, ``fixed`` (interval=), ``custom`` (ends=), ``jenks``.
+
+    A column without values has no breaks; where all values are one, that value is the only end of the ``equal``, ``pretty`` and ``stddev`` methods.
+    """
+    if method == "custom":
+        return [float(v) for v in o["ends"]]
+    if (found := _ends(df, col)) is None:
+        return []
+    lo, hi, mean, sd = found
+    if method in ("equal", "pretty", "stddev") and (lo == hi or sd == 0) and "symmetric" not in o:
+        return [hi]
     if method == "equal":
         if "symmetric" in o:  # both sides of the point get the same reach
             reach = max(hi - o["symmetric"], o["symmetric"] - lo)
@@ -187,44 +196,112 @@ def breaks(df: DataFrame, col: str, method: str, classes: int = 5, **o) -> list[
         return [10.0**k for k in range(p0 + 1, p1 + 1)]
     if method == "fixed":
         return [float(v) for v in np.arange(lo + o["interval"], hi + o["interval"], o["interval"])]
-    if method == "custom":
-        return [float(v) for v in o["ends"]]
     if method == "jenks":
         return jenks(df, col, classes)
     raise ValueError(method)
 
 
-def jenks(df: DataFrame, col: str, classes: int, bins: int = 2048) -> list[float]:
-    """Natural breaks by dynamic programming over all values: exact for up to ``bins``
-    distinct ones, else over the counts, sums and squares of ``bins`` equal parts of
-    their range, so that classes end between parts (a break is a value that occurs)."""
+def _blocks(rows: DataFrame, uppers: np.ndarray, centre: float) -> np.ndarray:
+    """``(m, s, q, lo, hi)`` of the values in each block up to and with its upper end, as rows; empty blocks are left out."""
+
+    def run(batches):
+        n = len(uppers)
+        m, s, q, lo, hi = np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, np.inf), np.full(n, -np.inf)
+        for batch in batches:
+            v = batch.column(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(uppers, v, side="left")
+            y = v - centre
+            m += np.bincount(at, minlength=n)
+            s += np.bincount(at, weights=y, minlength=n)
+            q += np.bincount(at, weights=y * y, minlength=n)
+            np.minimum.at(lo, at, v)
+            np.maximum.at(hi, at, v)
+        some = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x[some]) for x in (m, s, q, lo, hi)]], names=["k", "m", "s", "q", "lo", "hi"])
+
+    got = rows.mapInArrow(run, "k bigint, m double, s double, q double, lo double, hi double").groupBy("k")
+    found = got.agg(F.sum("m"), F.sum("s"), F.sum("q"), F.min("lo"), F.max("hi")).orderBy("k").collect()  # the blocks at most
+    return np.array([r[1:] for r in found], dtype=float)
+
+
+def _spread(blocks: np.ndarray, centre: float, loose: np.ndarray) -> np.ndarray:
+    """Squared deviations of every run of blocks i..j as a class.
+
+    A run's ends that are ``loose`` count with all their values at the side next
+    to the rest: no class that ends inside such a block deviates less.
+    """
+    m, s, q, lo, hi = blocks.T
+    n = len(m)
+    before = [np.append(0, np.cumsum(x)) for x in (m, s, q)]
+    total = [b[None, 1:] - b[:-1, None] for b in before]
+    for inner, axis in ((hi - centre, 0), (lo - centre, 1)):  # the first block's upper side, the last one's lower side
+        for k, own in ((1, m * inner - s), (2, m * inner * inner - q)):
+            total[k] = total[k] + np.expand_dims(np.where(loose, own, 0.0), 1 - axis)
+    out = np.maximum(total[2] - total[1] ** 2 / np.where(total[0] > 0, total[0], 1), 0)
+    out[np.arange(n), np.arange(n)] = np.where(loose, 0.0, np.maximum(q - s * s / m, 0))
+    out[np.tril_indices(n, -1)] = np.inf
+    return out
+
+
+def _cheapest(cost: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(least, cut)``: least cost of the blocks before j in k classes, and where the last of them begins."""
+    n = len(cost)
+    least, cut = np.full((classes + 1, n + 1), np.inf), np.zeros((classes + 1, n + 1), dtype=int)
+    least[0, 0] = 0
+    for k in range(1, classes + 1):
+        all_ = least[k - 1, :n, None] + cost
+        cut[k, 1:] = all_.argmin(axis=0)
+        least[k, 1:] = all_.min(axis=0)
+    return least, cut
+
+
+def jenks(df: DataFrame, col: str, classes: int, bins: int = 1024) -> list[float]:
+    """Natural breaks over all values: the upper ends of the classes with the least sum of squared deviations.
+
+    Values are first counted in ``bins`` equal blocks of their range.  Among classes
+    that end between blocks the best are found by dynamic programming; the same
+    programme over loosened blocks (`_spread`) bounds what any classes with an end
+    at or inside a block could reach.  Blocks whose bound is lower than the best
+    found are counted again in finer parts, others never hold an end and grow
+    together, until no block is left: the result is then exact (to 1e-11 of the whole
+    sum of squares), whatever the number of distinct values.  A pass reads the column
+    once; the driver holds blocks only.  With fewer distinct values than classes each
+    is a class; a column without values has none.
+    """
     rows = df.select(F.col(col).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
-    r = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    part, distinct = F.col("v"), rows.select("v").distinct().limit(bins + 1).count() if r["lo"] is not None else 0
-    if distinct > bins:
-        part = F.least(F.floor((F.col("v") - r["lo"]) / ((r["hi"] - r["lo"]) / bins)), F.lit(bins - 1)).cast("double")
-    shift = r["lo"] or 0.0
-    y = F.col("v") - shift
-    got = rows.groupBy(part.alias("k")).agg(F.count(F.lit(1)).alias("m"), F.sum(y).alias("s"), F.sum(y * y).alias("q"), F.max("v").alias("v")).orderBy("k").collect()
-    v, m, s, q = (np.array([g[c] for g in got], dtype=float) for c in ("v", "m", "s", "q"))
-    n, classes = len(v), min(classes, len(v))
-    if not n:
+    r = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean")).first()
+    if r["lo"] is None:
         return []
-    m, s, q = (np.append(0, np.cumsum(x)) for x in (m, s, q))
-    best, cut = np.append(0, q[1:] - s[1:] ** 2 / m[1:]), []
-    for _ in range(1, classes):
-        new, where = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range(2, n + 1):
-            i = np.arange(1, j)
-            c = best[i] + q[j] - q[i] - (s[j] - s[i]) ** 2 / (m[j] - m[i])
-            k = int(np.argmin(c))
-            new[j], where[j] = c[k], i[k]
-        best, cut = new, [*cut, where]
-    out, j = [float(v[-1])], n
-    for where in reversed(cut):
-        j = where[j]
-        out.append(float(v[j - 1]))
-    return out[::-1]
+    lo, hi, centre = r["lo"], r["hi"], r["mean"]
+    uppers, shut = np.unique(np.append(lo + (hi - lo) * np.arange(bins) / bins, hi)), np.zeros(0)  # shut: upper ends of blocks known to hold no end
+    while True:
+        blocks = _blocks(rows, uppers, centre)
+        n = len(blocks)
+        loose = (blocks[:, 3] < blocks[:, 4]) & ~np.isin(blocks[:, 4], shut)
+        if n < classes and loose.any():
+            open_, held = loose, np.ones(n - 1, dtype=bool)
+        else:
+            k = min(classes, n)
+            least, cut = _cheapest(_spread(blocks, centre, np.zeros(n, dtype=bool)), k)
+            if loose.any():
+                bound = _spread(blocks, centre, loose)
+                ahead = _cheapest(bound, k)[0]
+                behind = _cheapest(bound[::-1, ::-1].T, k)[0][:, ::-1]
+                via = np.min([ahead[i] + behind[k - i] for i in range(1, k)], axis=0) if k > 1 else np.full(n + 1, np.inf)
+                tiny = 1e-11 * blocks[:, 2].sum()
+                better, held = via < least[k, n] - tiny, via[1:-1] <= least[k, n] + tiny
+                open_ = loose & (better[:-1] | better[1:])
+            if not loose.any() or not open_.any():
+                ends, at = [], n
+                for step in range(k, 0, -1):
+                    ends.append(float(blocks[at - 1, 4]))
+                    at = cut[step, at]
+                return ends[::-1]
+        parts = max(2, bins // int(open_.sum()))
+        finer = [np.append(a + (b - a) * np.arange(parts) / parts, b) for a, b in blocks[open_][:, 3:]]
+        keep = np.append(held | open_[:-1] | open_[1:], True)  # sides that may be an end
+        uppers = np.unique(np.concatenate([blocks[keep, 4], *finer]))
+        shut = blocks[keep & ~open_, 4]
 
 
 def classify(v: Column, ends: list[float]) -> Column:

@@ -131,9 +131,9 @@ def e08(spark, d):
     return O.majority_filter(load(spark, d, "grid"), "label")
 
 
-@query("e09_glcm", around("dem", 1, clamp=False).replace("SELECT t.y, t.x, dy, dx, v.value", "SELECT t.y, t.x, dy, dx, v.y AS vy, v.x AS vx, v.value") + ", q AS (SELECT y, x, cast(least(floor(value / 50.0 * 8), 7) AS bigint) AS q FROM dem), p AS (SELECT a.y, a.x, a.q AS q1, b.q AS q2 FROM q a JOIN q b ON b.y = a.y AND b.x = a.x + 1), k AS (SELECT n.y, n.x, q1, q2, count(*) AS c FROM n JOIN p ON p.y = vy AND p.x = vx GROUP BY ALL), f AS (SELECT *, c / sum(c) OVER (PARTITION BY y, x) AS pr FROM k) SELECT y, x, round(sum(pr * pr), 6) AS energy, round(sum(-pr * ln(pr)), 6) AS entropy, round(sum((q1 - q2) * (q1 - q2) * pr), 6) AS contrast, round(sum(pr / (1 + (q1 - q2) * (q1 - q2))), 6) AS homogeneity FROM f GROUP BY y, x")
+@query("e09_glcm", around("dem", 1, clamp=False).replace("SELECT t.y, t.x, dy, dx, v.value", "SELECT t.y, t.x, dy, dx, v.y AS vy, v.x AS vx, v.value") + ", q AS (SELECT y, x, cast(least(floor(value / 50.0 * 8), 7) AS bigint) AS q FROM dem), p AS (SELECT a.y, a.x, a.q AS q1, b.q AS q2 FROM q a JOIN q b ON b.y = a.y AND b.x = a.x + 1), k AS (SELECT n.y, n.x, q1, q2, count(*) AS c FROM n JOIN p ON p.y = vy AND p.x = vx GROUP BY ALL), f AS (SELECT *, c / sum(c) OVER (PARTITION BY y, x) AS pr FROM k) SELECT y, x, round(sum(pr * pr), 6) AS energy, round(sum(-pr * ln(pr)), 6) AS entropy, round(sum((q1 - q2) * (q1 - q2) * pr), 6) AS contrast, round(sum(pr / (1 + (q1 - q2) * (q1 - q2))), 6) AS homogeneity, round((sum(c) * sum(c * q1 * q2) - sum(c * q1) * sum(c * q2)) / nullif(sqrt(cast(sum(c) * sum(c * q1 * q1) - pow(sum(c * q1), 2) AS double) * cast(sum(c) * sum(c * q2 * q2) - pow(sum(c * q2), 2) AS double)), 0), 6) AS correlation FROM f GROUP BY y, x")
 def e09(spark, d):
-    return rounded(O.glcm(load(spark, d, "dem"), 1, 8, 0.0, 50.0), "energy", "entropy", "contrast", "homogeneity")
+    return rounded(O.glcm(load(spark, d, "dem"), 1, 8, 0.0, 50.0), "energy", "entropy", "contrast", "homogeneity", "correlation")
 
 
 @query("e10_local_statistics", around("dem", 1) + ", m AS (SELECT y, x, avg(value) AS mean, var_pop(value) AS variance FROM n GROUP BY y, x) SELECT m.y, m.x, round(any_value(mean), 5) AS mean, round(any_value(variance), 5) AS variance, round(avg(pow(value - mean, 3)) / nullif(pow(any_value(variance), 1.5), 0), 5) AS skewness, round(avg(pow(value - mean, 4)) / nullif(pow(any_value(variance), 2), 0) - 3, 5) AS kurtosis FROM n JOIN m USING (y, x) GROUP BY m.y, m.x")

@@ -125,6 +125,13 @@ def d10j(spark, d):
     return g.groupBy(S.classify(F.col("value"), ends).cast("bigint").alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("d10_breaks_jenks_two", f"{ctes('grid')}, m AS (SELECT avg(value) AS c FROM grid), v AS (SELECT value, count(*) AS m, sum(value - c) AS s, sum(pow(value - c, 2)) AS q FROM grid, m GROUP BY value), c AS (SELECT value, sum(m) OVER w AS m, sum(s) OVER w AS s, sum(q) OVER w AS q FROM v WINDOW w AS (ORDER BY value)), t AS (SELECT max(m) AS m, arg_max(s, value) AS s, max(q) AS q FROM c), b AS (SELECT arg_min(value, c.q - c.s * c.s / c.m + (t.q - c.q) - pow(t.s - c.s, 2) / (t.m - c.m)) AS b FROM c, t WHERE c.m < t.m) SELECT cast(value > b AS integer) AS class, count(*) AS n, min(value) AS low, max(value) AS high FROM grid, b GROUP BY 1")
+def d10j2(spark, d):
+    """Two classes of a column of many distinct values; SQL tries every break."""
+    g = load(spark, d, "grid")
+    return g.groupBy(S.classify(F.col("value"), S.breaks(g, "value", "jenks", 2)).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 @query("d10_breaks_jenks_exact", f"{ctes('dem')}, v AS (SELECT value, count(*) AS m, sum(value) AS s, sum(value * value) AS q FROM dem GROUP BY value), c AS (SELECT value, sum(m) OVER w AS m, sum(s) OVER w AS s, sum(q) OVER w AS q FROM v WINDOW w AS (ORDER BY value)), t AS (SELECT max(m) AS m, max(s) AS s, max(q) AS q FROM c), p AS (SELECT a.value AS a, b.value AS b, a.q - a.s * a.s / a.m + (b.q - a.q) - pow(b.s - a.s, 2) / (b.m - a.m) + (t.q - b.q) - pow(t.s - b.s, 2) / (t.m - b.m) AS cost FROM c a JOIN c b ON a.value < b.value JOIN t ON b.m < t.m), o AS (SELECT arg_min(a, cost) AS a, arg_min(b, cost) AS b FROM p) SELECT cast((value > a)::int + (value > b)::int AS bigint) AS class, count(*) AS n, min(value) AS low, max(value) AS high FROM dem, o GROUP BY 1")
 def d10je(spark, d):
     """Three classes of few distinct values; SQL tries every pair of breaks."""
