@@ -39,29 +39,75 @@ def segment_stats(df: DataFrame, label: str, bands: list[str]) -> DataFrame:
     return df.filter(ok).groupBy(F.col(label).alias("segment_id")).agg(F.count(F.lit(1)).alias("area_pixels"), *[F.avg(b).alias(f"mean_{b}") for b in bands])
 
 
-def segment_features(df: DataFrame, label: str, band: str, levels: int = 8, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Per segment: spectral statistics, shape, and co-occurrence texture of right and lower neighbours.
+def segment_features(df: DataFrame, label: str, bands: str | list[str], levels: int = 8, low: float | list[float] = 0.0, high: float | list[float] = 1.0) -> DataFrame:
+    """Per segment (labels above 0): shape, and per band statistics and co-occurrence texture of right and lower neighbours.
 
     ``perimeter`` counts pixels with a side on another segment or the edge,
     ``compactness`` is its square over 4 pi areas, ``correlation`` that of
-    co-occurring levels (null where they do not vary).  One neighbour self-join
-    gives perimeter and co-occurrence; rows are ``(y, x, label, band)``.
+    co-occurring levels (null where a side does not vary).  Columns of a list of bands
+    end in the band's name, those of a single name do not; ``low`` and ``high`` are
+    the ends of the levels, one for all bands or one a band.  A missing value counts for
+    the shape only.  Neighbours are met on tiles with a halo of one pixel; what follows
+    are aggregates with map-side parts, by segment and by segment, band and levels.
     """
-    px = df.filter(F.col(label) > 0).select("y", "x", F.col(label).alias("seg"), F.col(band).cast("double").alias("v"))
-    base = px.groupBy("seg").agg(F.count(F.lit(1)).alias("area"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), F.min("v").alias("min"), F.max("v").alias("max"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
-    q = F.least(F.greatest(F.floor((F.col("v") - low) / (high - low) * levels), F.lit(0)), F.lit(levels - 1))
-    px = px.withColumn("q", q)
-    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0))]))
-    pairs = px.withColumn("o", steps).select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "seg", F.col("q").alias("qa"), "o")
-    inner = pairs.join(px.select("y", "x", "seg", F.col("q").alias("qb")), ["y", "x", "seg"])
-    d, p = F.col("qa") - F.col("qb"), F.count(F.lit(1))
-    texture = inner.groupBy("seg").agg(p.alias("pairs"), F.avg(d * d).alias("contrast"), F.avg(1 / (1 + F.abs(d))).alias("homogeneity"), F.corr(F.col("qa").cast("double"), F.col("qb").cast("double")).alias("correlation"))
-    energy = inner.groupBy("seg", "qa", "qb").count().groupBy("seg").agg((F.sum(F.col("count") * F.col("count")) / (F.sum("count") * F.sum("count"))).alias("energy"))
-    ends = F.explode(F.array(F.struct("y", "x"), F.struct((F.col("y") - F.col("o.dy")).alias("y"), (F.col("x") - F.col("o.dx")).alias("x")))).alias("p")
-    inside = inner.select("seg", ends).groupBy("seg", "p").count().filter("count = 4").groupBy("seg").agg(F.count(F.lit(1)).alias("inside"))
-    out = base.join(texture, "seg", "left").join(energy, "seg", "left").join(inside, "seg", "left")
-    perimeter = F.col("area") - F.coalesce("inside", F.lit(0))
-    return out.select(F.col("seg").alias("segment_id"), "area", "mean", "stddev", "min", "max", perimeter.alias("perimeter"), (perimeter / (4 * F.sqrt("area"))).alias("shape_index"), (perimeter * perimeter / (4 * 3.141592653589793 * F.col("area"))).alias("compactness"), (F.col("area") / (F.col("w") * F.col("h"))).alias("rectangularity"), (F.greatest("w", "h") / F.least("w", "h")).alias("aspect_ratio"), "contrast", "correlation", "homogeneity", "energy")
+    from .tiles import by_tiles, shifted
+
+    names = [bands] if isinstance(bands, str) else list(bands)
+    suffix = (lambda b: "") if isinstance(bands, str) else (lambda b: f"_{b}")
+    ends = [[e] * len(names) if isinstance(e, (int, float)) else e for e in (low, high)]
+    kept = df.filter(F.col(label) > 0).select("y", "x", F.col(label).alias("seg"), *[known(F.col(b)).alias(f"v{k}") for k, b in enumerate(names)])
+
+    def run(arrays, r):
+        own = shifted(arrays["seg"], r, 0, 0)
+        right, below, *rest = (shifted(arrays["seg"], r, dy, dx) == own for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)))
+        out = [own, right & below & rest[0] & rest[1]]
+        for k in range(len(names)):
+            v = arrays[f"v{k}"]
+            q = np.clip(np.floor((v - ends[0][k]) / (ends[1][k] - ends[0][k]) * levels), 0, levels - 1)
+            out += [shifted(v, r, 0, 0), shifted(q, r, 0, 0), np.where(right, shifted(q, r, 0, 1), np.nan), np.where(below, shifted(q, r, 1, 0), np.nan)]
+        return out
+
+    outputs = ["seg", "inside", *[f"{c}{k}" for k in range(len(names)) for c in ("v", "q", "r", "b")]]
+    px = by_tiles(kept, ["seg", *[f"v{k}" for k in range(len(names))]], 1, run, outputs, border="none")
+    values = [f(F.col(f"v{k}")).alias(f"{n}{suffix(b)}") for k, b in enumerate(names) for n, f in (("mean", F.avg), ("stddev", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    base = px.groupBy("seg").agg(F.count(F.lit(1)).alias("area"), *values, (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.sum("inside").cast("bigint").alias("inside"))
+    pair = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"q{k}").alias("qa"), F.col(f"{c}{k}").alias("qb")) for k in range(len(names)) for c in "rb"])).alias("p")
+    met = px.select("seg", pair).select("seg", "p.*").filter("qa IS NOT NULL AND qb IS NOT NULL").groupBy("seg", "k", "qa", "qb").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    a, b, n, d = F.col("qa"), F.col("qb"), F.col("n"), F.col("qa") - F.col("qb")
+    sums = {"n": n, "nn": n * n, "a": n * a, "b": n * b, "aa": n * a * a, "bb": n * b * b, "ab": n * a * b, "dd": n * d * d, "h": n / (1 + F.abs(d))}
+    each = met.groupBy("seg").agg(*[F.sum(F.when(F.col("k") == k, c)).alias(f"{s}{k}") for k in range(len(names)) for s, c in sums.items()])
+    texture = []
+    for k, name in enumerate(names):
+        t = {s: F.col(f"{s}{k}") for s in sums}
+        spread = (t["n"] * t["aa"] - t["a"] * t["a"]) * (t["n"] * t["bb"] - t["b"] * t["b"])
+        found = {"contrast": t["dd"] / t["n"], "correlation": ratio(t["n"] * t["ab"] - t["a"] * t["b"], F.sqrt(spread)), "homogeneity": t["h"] / t["n"], "energy": t["nn"] / (t["n"] * t["n"])}
+        texture += [c.alias(f"{n}{suffix(name)}") for n, c in found.items()]
+    out = base.join(each, "seg", "left")
+    perimeter = F.col("area") - F.col("inside")
+    shape = [perimeter.alias("perimeter"), (perimeter / (4 * F.sqrt("area"))).alias("shape_index"), (perimeter * perimeter / (4 * 3.141592653589793 * F.col("area"))).alias("compactness"), (F.col("area") / (F.col("w") * F.col("h"))).alias("rectangularity"), (F.greatest("w", "h") / F.least("w", "h")).alias("aspect_ratio")]
+    statistics = [f"{n}{suffix(b)}" for b in names for n in ("mean", "stddev", "min", "max")]
+    return out.select(F.col("seg").cast(df.schema[label].dataType).alias("segment_id"), "area", *statistics, *shape, *texture)
+
+
+def hierarchy_features(features: DataFrame, links: DataFrame, parents: DataFrame, children: DataFrame | None = None) -> DataFrame:
+    """``features(segment_id, area, ..)`` of a level with ``parent_id``, ``child_count`` and ``area_ratio``.
+
+    ``links(segment_id, parent_id)`` lead to the next coarser level, whose areas
+    are in ``parents(segment_id, area)``; ``children(segment_id, parent_id)`` are the links
+    of the next finer level to this one.  Where a segment has no parent, or one
+    without an area, ``parent_id`` and ``area_ratio`` are 0; so is the count of the finest
+    level.  Repeated links count once; the least parent wins.
+    """
+    up = links.filter("parent_id IS NOT NULL").groupBy("segment_id").agg(F.min("parent_id").alias("parent_id"))
+    out = features.join(up, "segment_id", "left").join(parents.select(F.col("segment_id").alias("parent_id"), F.col("area").alias("_pa")), "parent_id", "left")
+    if children is None:
+        out = out.withColumn("child_count", F.lit(0).cast("bigint"))
+    else:
+        n = children.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("segment_id")).agg(F.count_distinct("segment_id").alias("child_count"))
+        out = out.join(n, "segment_id", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
+    lone = F.col("_pa").isNull() | (F.col("_pa") == 0)
+    parent = F.when(lone, 0).otherwise(F.col("parent_id")).alias("parent_id")
+    return out.select(*features.columns, parent, "child_count", F.when(lone, 0.0).otherwise(F.col("area") / F.col("_pa")).alias("area_ratio"))
 
 
 def transitions(df: DataFrame, before: str, after: str, classes: int) -> DataFrame:

@@ -57,6 +57,33 @@ def d05(spark, d):
     return fine.join(up, "parent").select("seg", "parent", "area", clean(F.col("area") / F.col("pa")).alias("area_ratio"), "child_count")
 
 
+_LEVELS = {"fine": "label * 10000 + cast(floor(x / 20) AS bigint) * 100 + cast(floor(y / 5) AS bigint)", "mid": "label * 100 + cast(floor(x / 20) AS bigint)", "top": "cast(label AS bigint)"}
+_RANGES = {"b1": (0.0, 50.0), "b2": (0.0, 60.0)}
+_TEXTURE = ("contrast", "correlation", "homogeneity", "energy")
+_D5 = f"""{ctes('ms')}, p AS (SELECT y, x, {_LEVELS['mid']} AS seg, b1, b2 FROM ms),
+ b AS (SELECT seg, count(*) AS area, {', '.join(f"avg({b}) AS mean_{b}, stddev_pop({b}) AS stddev_{b}, min({b}) AS min_{b}, max({b}) AS max_{b}" for b in _RANGES)}, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM p GROUP BY seg),
+ s AS (SELECT seg, count(*) AS inside FROM (SELECT a.seg, a.y, a.x FROM p a JOIN p c ON a.seg = c.seg AND abs(a.y - c.y) + abs(a.x - c.x) = 1 GROUP BY ALL HAVING count(*) = 4) GROUP BY seg),
+ q AS ({' UNION ALL '.join(f"SELECT y, x, seg, '{b}' AS band, cast(least(greatest(floor(({b} - {lo}) / ({hi} - {lo}) * 8), 0), 7) AS bigint) AS q FROM p WHERE {b} IS NOT NULL" for b, (lo, hi) in _RANGES.items())}),
+ i AS (SELECT a.seg, a.band, a.q AS qa, c.q AS qb FROM q a JOIN q c ON a.seg = c.seg AND a.band = c.band AND ((c.y = a.y AND c.x = a.x + 1) OR (c.y = a.y + 1 AND c.x = a.x))),
+ e AS (SELECT seg, band, sum(n * n) / (sum(n) * sum(n)) AS energy FROM (SELECT seg, band, qa, qb, cast(count(*) AS double) AS n FROM i GROUP BY ALL) GROUP BY ALL),
+ t AS (SELECT seg, band, avg((qa - qb) * (qa - qb)) AS contrast, CASE WHEN min(qa) < max(qa) AND min(qb) < max(qb) THEN corr(qa, qb) END AS correlation, avg(1.0 / (1 + abs(qa - qb))) AS homogeneity FROM i GROUP BY ALL),
+ z AS (SELECT seg, {', '.join(f"max(CASE WHEN band = '{b}' THEN {c} END) AS {c}_{b}" for b in _RANGES for c in _TEXTURE)} FROM t JOIN e USING (seg, band) GROUP BY seg),
+ u AS (SELECT label AS parent_id, count(*) AS pa FROM ms WHERE label <> 3 GROUP BY label), f AS (SELECT {_LEVELS['mid']} AS seg, count(DISTINCT {_LEVELS['fine']}) AS child_count FROM ms GROUP BY 1)
+SELECT b.seg AS segment_id, area, {', '.join(f"round({c}_{b}, 5) AS {c}_{b}" for b in _RANGES for c in ('mean', 'stddev', 'min', 'max', *_TEXTURE))}, area - coalesce(inside, 0) AS perimeter, round((area - coalesce(inside, 0)) / (4 * sqrt(area)), 5) AS shape_index, round(pow(area - coalesce(inside, 0), 2) / (4 * pi() * area), 5) AS compactness, round(area / (w * h), 5) AS rectangularity, round(greatest(w, h) / least(w, h), 5) AS aspect_ratio, coalesce(parent_id, 0) AS parent_id, child_count, round(coalesce(area / pa, 0), 5) AS area_ratio
+FROM b LEFT JOIN s ON s.seg = b.seg LEFT JOIN z ON z.seg = b.seg LEFT JOIN f ON f.seg = b.seg LEFT JOIN u ON u.parent_id = b.seg // 100"""
+
+
+@query("d05_feature_matrix", _D5)
+def d05m(spark, d):
+    """All features of two bands at the middle of three levels; segments of class 3 have no parent."""
+    px = load(spark, d, "ms").select("y", "x", "b1", "b2", "label", *[F.expr(e).alias(n) for n, e in _LEVELS.items()])
+    own = S.segment_features(px, "mid", list(_RANGES), 8, *[[r[k] for r in _RANGES.values()] for k in (0, 1)])
+    up = px.filter("label <> 3").select(F.col("mid").alias("segment_id"), F.col("top").alias("parent_id")).distinct()
+    down = px.select(F.col("fine").alias("segment_id"), F.col("mid").alias("parent_id")).distinct()
+    out = S.hierarchy_features(own, up, px.groupBy(F.col("top").alias("segment_id")).agg(F.count(F.lit(1)).alias("area")), down)
+    return rounded(out, *[c for c in out.columns if c not in ("segment_id", "area", "perimeter", "parent_id", "child_count")], digits=5)
+
+
 @query("d06_post_classification_change", f"{ctes('truth')}, m AS (SELECT truth AS f, pred AS t, count(*) AS n FROM truth GROUP BY ALL), k AS (SELECT f AS class FROM m UNION SELECT t FROM m), s AS (SELECT class, (SELECT coalesce(sum(n), 0) FROM m WHERE f = class) AS before, (SELECT coalesce(sum(n), 0) FROM m WHERE t = class) AS after, (SELECT coalesce(sum(n), 0) FROM m WHERE f = class AND t = class) AS unchanged FROM k) SELECT class, cast(before AS bigint) AS before, cast(after AS bigint) AS after, cast(after - before AS bigint) AS net_change, cast(unchanged AS bigint) AS unchanged, round(100.0 * (before - unchanged) / nullif(before, 0), 6) AS percent_changed FROM s")
 def d06(spark, d):
     return rounded(S.change_report(S.transitions(load(spark, d, "truth"), "truth", "pred", 5)), "percent_changed")
