@@ -4,8 +4,8 @@ Word vectors come from all documents: every word adds up the sparse ternary
 index vectors of its neighbours.  A word that makes up ``SHARE`` of all words or
 more has a row of its own, so the vocabulary has 1 / SHARE words at most,
 however large the corpus; rarer words are hashed into ``REST`` rows.  Tasks send
-integer sums per row, Spark adds them up, and the bounded matrix is shared with
-all tasks.  The network is trained on a bounded sample of labelled
+integer sums per row, Spark adds them up, and the bounded matrix, freed of what
+all words share and evened out along its axes, is shared with all tasks.  The network is trained on a bounded sample of labelled
 documents; its probabilities are calibrated by one temperature on held-back
 rows of that sample.
 """
@@ -29,6 +29,7 @@ MARKS = [bytes([c]) for c in b"#*$%&|<>!?"]
 DIM, REACH = 32, 2
 #: Least share and count of a word with a row of its own; rows for the others.
 SHARE, LEAST, REST = 1e-5, 5, 8192
+SEED = 17
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -83,18 +84,18 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     return Vocabulary(sorted(bytes(r["word"]) for r in often))
 
 
-def index_vectors(rows: int) -> tuple[np.ndarray, np.ndarray]:
+def index_vectors(rows: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Each row's index vector: +1 at one place, -1 at another; the row after the last is the gap between texts (0)."""
-    rng = np.random.default_rng(17)
+    rng = np.random.default_rng(seed)
     plus = rng.integers(0, DIM, rows + 1)
     minus = (plus + rng.integers(1, DIM, rows + 1)) % DIM
     plus[rows] = minus[rows] = 0
     return plus, minus
 
 
-def neighbour_sums(ids: np.ndarray, rows: int) -> np.ndarray:
+def neighbour_sums(ids: np.ndarray, rows: int, seed: int = SEED) -> np.ndarray:
     """Sums of neighbours' index vectors, (rows + 1) x DIM, for ids with gaps (``rows``) between texts."""
-    plus, minus = index_vectors(rows)
+    plus, minus = index_vectors(rows, seed)
     size = (rows + 1) * DIM
     total = np.zeros(size, dtype=np.int64)
     for far in range(1, REACH + 1):
@@ -105,34 +106,63 @@ def neighbour_sums(ids: np.ndarray, rows: int) -> np.ndarray:
     return total.reshape(rows + 1, DIM)
 
 
-def random_indexing(docs: DataFrame, shared, text_col: str = "text") -> np.ndarray:
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, 1, norm)
+
+
+def evened(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Unit vectors of the rows' sums, centred and scaled along the principal axes of words by occurrence (``n``).
+
+    Common words are everyone's neighbours, so sums lean the same few ways; this
+    takes out the mean direction and the unequal spread.  Rows that never occur
+    stay 0, as do rows at the mean itself.
+    """
+    if not n.sum():
+        return np.zeros(sums.shape)
+    x = _unit(sums.astype(float))
+    weight = n[:, None] / n.sum()
+    x = (x - (x * weight).sum(0)) * (n[:, None] > 0)
+    spread, axes = np.linalg.eigh((x * weight).T @ x)
+    ridge = 0.05 * spread.mean()
+    return _unit(x @ axes / np.sqrt(np.maximum(spread, 0) + ridge)) if ridge > 1e-12 else np.zeros(sums.shape)
+
+
+def random_indexing(docs: DataFrame, shared, text_col: str = "text", seed: int = SEED) -> np.ndarray:
     """Unit word vectors over all documents, a row per row of the broadcast vocabulary ``shared``; rows of words never seen are 0."""
     size_ = shared.value.rows
 
     def run(batches):
         words, rows = shared.value, size_
         gap = np.full(REACH, rows, dtype=np.int64)
-        total, held, size = np.zeros((rows + 1, DIM), dtype=np.int64), [], 0
+        total, n, held, size = np.zeros((rows + 1, DIM), dtype=np.int64), np.zeros(rows, dtype=np.int64), [], 0
+
+        def add():
+            ids = np.concatenate(held)
+            return neighbour_sums(ids, rows, seed), np.bincount(ids, minlength=rows + 1)[:rows]
+
         for batch in batches:
             for t in batch.column(0):
                 ids = words.ids(t.as_py())
                 held += [ids, gap]
                 size += len(ids)
                 if size > 1_000_000:
-                    total += neighbour_sums(np.concatenate(held), rows)
-                    held, size = [], 0
+                    more, seen = add()
+                    total, n, held, size = total + more, n + seen, [], 0
         if held:
-            total += neighbour_sums(np.concatenate(held), rows)
-        some = np.flatnonzero(np.any(total[:rows] != 0, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, k]) for k in range(DIM)]], names=["row", *[f"d{k}" for k in range(DIM)]])
-
-    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "row bigint, " + ", ".join(f"d{k} bigint" for k in range(DIM)))
-    got = sums.groupBy("row").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(DIM)]).toArrow()  # the vocabulary's rows at most
-    out = np.zeros((size_, DIM))
+            more, seen = add()
+            total, n = total + more, n + seen
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), *[pa.array(total[some, k]) for k in range(DIM)]], names=["row", "n", *[f"d{k}" for k in range(DIM)]])
+
+    sums = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "row bigint, n bigint, " + ", ".join(f"d{k} bigint" for k in range(DIM)))
+    got = sums.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(f"d{k}").alias(f"d{k}") for k in range(DIM)]).toArrow()  # the vocabulary's rows at most
+    out, n = np.zeros((size_, DIM)), np.zeros(size_)
     if len(got):
-        out[got.column("row").to_numpy()] = np.stack([got.column(f"d{k}").to_numpy() for k in range(DIM)], axis=1)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
+        at = got.column("row").to_numpy()
+        n[at] = got.column("n").to_numpy()
+        out[at] = np.stack([got.column(f"d{k}").to_numpy() for k in range(DIM)], axis=1)
+    return evened(out, n).astype(np.float32)
 
 
 def pooled(text: str | None, words: Vocabulary, vectors: np.ndarray) -> np.ndarray:
@@ -198,17 +228,18 @@ def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int =
     return net
 
 
-def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.7, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.7, sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = SEED) -> DataFrame:
     """``(id_col, held_out, score, predicted)`` per row.
 
     Labels are read only outside fold ``held``, from at most ``sample`` rows
     (the documented bound); word vectors come from all texts.  A null text is
     an empty one; null ids (never held out) and repeated rows are kept; without
     labels of both classes every score is the share of label 1 (0 without any).
+    ``seed`` is that of the index vectors.
     """
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(vocabulary(docs, text_col))
-    shared = spark.sparkContext.broadcast(random_indexing(docs, words, text_col))  # rows x DIM floats: under 14 MB at any size
+    shared = spark.sparkContext.broadcast(random_indexing(docs, words, text_col, seed))  # rows x DIM floats: under 14 MB at any size
     known = first_rows(one_label(labels, id_col, label_col).filter(fold("id", folds) != held), 5, sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "label")
 

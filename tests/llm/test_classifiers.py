@@ -2,7 +2,7 @@ import pickle
 
 import numpy as np
 
-from gridloom.llm.quality_classifier import DIM, REST, Vocabulary, index_vectors, neighbour_sums, pooled, quality, train_network, vocabulary, words_of
+from gridloom.llm.quality_classifier import DIM, REST, SHARE, Vocabulary, evened, index_vectors, neighbour_sums, pooled, quality, train_network, vocabulary, words_of
 from gridloom.llm.toxicity import Rows, features, fit, logits, risk_parts, sigmoid, slopes, toxicity, train_nnpu
 
 D = "/root/testdata/sf0.01"
@@ -130,3 +130,43 @@ def test_odd_rows(spark):
         got = op(docs, labels).collect()
         assert sorted([str(r.doc_id) for r in got]) == ["1", "3", "3", "None"] and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
         assert op(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_evened_vectors_have_no_common_direction_and_equal_spread():
+    rng = np.random.default_rng(4)
+    n = np.append(rng.integers(1, 100, 300), 0)
+    sums = np.rint(rng.normal(0, 30, (301, DIM)) * np.linspace(0.2, 3, DIM) + 60).astype(int)
+    got = evened(sums, n)
+    assert np.allclose(np.linalg.norm(got[:-1], axis=1), 1) and not got[-1].any()
+    raw = sums[:-1] / np.linalg.norm(sums[:-1], axis=1, keepdims=True)
+    lean = lambda x: np.linalg.norm(np.average(x, axis=0, weights=n[:-1]))
+    uneven = lambda x: np.ptp(np.linalg.eigvalsh(np.cov(x.T, aweights=n[:-1])))
+    assert lean(got[:-1]) < 0.1 * lean(raw) and uneven(got[:-1] * raw.std()) < uneven(raw)
+    assert not evened(sums, np.zeros(301)).any() and not evened(np.ones((3, DIM), dtype=int), np.array([1, 2, 3])).any()
+
+
+def test_quality_against_one_process(spark):
+    from collections import Counter
+    from zlib import crc32
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    counts = Counter(w for t in texts.values() for w in words_of(t))
+    words = Vocabulary(sorted(w for w, k in counts.items() if k >= 5 and k >= SHARE * sum(counts.values())))
+    plus, minus = index_vectors(words.rows)
+    sums, n = np.zeros((words.rows, DIM), dtype=int), np.zeros(words.rows, dtype=int)
+    for t in texts.values():
+        ids = words.ids(t)
+        for i, w in enumerate(ids):
+            n[w] += 1
+            for other in (*ids[max(0, i - 2) : i], *ids[i + 1 : i + 3]):
+                sums[w, plus[other]] += 1
+                sums[w, minus[other]] -= 1
+    vectors = evened(sums, n).astype(np.float32)
+    known = sorted((pooled(texts[r.doc_id], words, vectors).tobytes(), r.quality) for r in labels.collect() if r.quality is not None and crc32(str(r.doc_id).encode()) % 4 != 2)
+    net = train_network(np.array([np.frombuffer(b) for b, _ in known]), np.array([y for _, y in known], dtype=float))
+    got = {r.doc_id: r.score for r in quality(docs, labels).collect()}
+    assert sorted(got) == sorted(texts)
+    for k, t in texts.items():
+        assert abs(got[k] - net.probability(pooled(t, words, vectors)[None])[0]) < 1e-6
