@@ -149,17 +149,19 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size:
     return rows.mapInArrow(run, "key binary, n int, shingles array<bigint>")
 
 
-def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.98) -> DataFrame:
+def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.98, per_wave: int | None = None) -> DataFrame:
     """``(id_col, component_id)`` per row: the smallest id that it reaches over links.
 
     Links join texts whose sets of ``size``-word shingles are at Jaccard
-    ``similarity`` (a fraction) or above and whose fingerprints collide; a pair
+    ``similarity`` (a fraction) or above and whose fingerprints collide (in at most ``RADIUS`` bits of a family, and `farthest` bits of all); a pair
     at the similarity collides with probability ``recall`` or more, closer pairs
-    with more.  Equal sets are always linked.  Words are apart by ASCII white
+    with more.  No link is left out.  Equal sets are always linked.  Words are apart by ASCII white
     space, A-Z lower-cased.  Texts without words (null, empty) are copies of
     each other.  Ids are distinct, not null and of an orderable type
     (`tables.numbered`), and ``df`` gives the same rows whenever it is read;
-    other columns are ignored; an empty table gives an empty result.
+    other columns are ignored; an empty table gives an empty result.  Pairs left
+    after the rounds are verified about ``per_wave`` at a time (as many as there
+    are texts, 100,000 at least); it changes no result.
     """
     num, den = similarity
     width, families = plan(df.count(), num / den, recall)
@@ -190,13 +192,34 @@ def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5
         picked = found.groupBy("family", "v", "turn").agg(F.min_by("u", F.struct("rank", "u")).alias("u")).select("family", "u", "v").distinct()
         beside = picked.join(heads.select("family", F.col("fp").alias("u"), "head"), ["family", "u"]).select("family", F.col("v").alias("fp"), "head")
         beside = beside.union(heads.filter("n > 1").select("family", "fp", "head"))
-        pairs = owners.join(beside, ["family", "fp"]).filter("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v")).distinct()
-        sides = [texts.select(F.col("key").alias(k), F.col("sketch").alias(f"s{k}")) for k in "uv"]
-        pairs = pairs.join(sides[0], "u").join(sides[1], "v").filter(apart <= farthest(64 * families, num / den))
-        pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+        pairs = owners.join(beside, ["family", "fp"]).filter("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+        pairs = near_enough(pairs, texts)
         drop(heads, found)
         return pairs
 
+    def near_enough(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        sides = [texts.select(F.col("key").alias(k), F.col("sketch").alias(f"s{k}")) for k in "uv"]
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return written(pairs.join(sides[0], "u").join(sides[1], "v").filter(apart <= farthest(64 * families, num / den)).select("u", "v"), "pairs")
+
+    def pairs_across(roots: DataFrame) -> DataFrame:
+        """``(u, v)``, u below v: all that collide in any family and lie in two components, all bits of both permitting."""
+        labels = written(roots.select("root").distinct().select("root", (F.monotonically_increasing_id() + 1).alias("label")), "labels")
+        of = texts.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).join(labels, "root", "left")
+        # texts on their own have label 0, which differs from all
+        owners = written(owned(of.select("key", "sketch", F.coalesce("label", F.lit(0)).alias("label")), "label"), "owners")
+        held = written(owners.groupBy("family", "fp", "label").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
+        heads = held.groupBy("family", "fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("n"))
+        found = links(heads.select("family", "fp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(0).alias("label")), width=width, least_bits=4, labelled=True)
+        one = heads.filter("n > 1 AND (lo <> hi OR lo = 0)").select("family", F.col("fp").alias("u"), F.col("fp").alias("v"))
+        a, b = (held.select("family", F.col("fp").alias(k), F.col("label").alias(f"l{k}")) for k in "uv")
+        meet = found.union(one).join(a, ["family", "u"]).join(b, ["family", "v"]).filter("(lu <> lv OR lu = 0) AND (u <> v OR lu <= lv)")
+        a, b = (owners.select("family", F.col("fp").alias(k), F.col("label").alias(f"l{k}"), F.col("key").alias(f"k{k}")) for k in "uv")
+        pairs = meet.join(a, ["family", "u", "lu"]).join(b, ["family", "v", "lv"]).filter("ku <> kv").select(F.col("ku").alias("u"), F.col("kv").alias("v"))
+        pairs = near_enough(pairs, texts)
+        drop(labels, owners, held, found)
+        return pairs
+
     pairs = met_pairs(texts)
     tidy(df.sparkSession)
     both = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
@@ -209,12 +232,14 @@ def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5
         near = pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v")
         return written(near.filter((num + den) * shared >= num * (F.col("nu") + F.col("nv"))).select("u", "v"), "alike")
 
+    def across_yet(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        u, v = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "uv")
+        return pairs.join(u, "u", "left").join(v, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
     # each text with the least of its partners first; then the partners that this leaves in other components
     edges = [alike(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))]
     roots = components.labels(edges[0])
-    named = meeting.select("key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"))
-    apart_yet = pairs.join(named.select(F.col("key").alias("u"), F.col("root").alias("ru")), "u").join(named.select(F.col("key").alias("v"), F.col("root").alias("rv")), "v").filter("ru <> rv")
-    edges.append(alike(apart_yet.select("u", "v")))
+    edges.append(alike(across_yet(pairs, roots)))
     while True:
         # components shrink to the text of the highest score; with these, what has met others without a link meets again
         drop(roots)
@@ -230,9 +255,27 @@ def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5
         if edges[-1].isEmpty():
             break
 
+    # what has met in any family and is still apart, every pair of it in waves, so that disk stays in proportion to the texts
+    rest = pairs_across(roots)
+    many = rest.count()
+    if many:
+        both = rest.select(F.col("u").alias("key")).union(rest.select(F.col("v").alias("key"))).distinct()
+        unread = written(texts.join(both.join(meeting, "key", "left_anti"), "key").select(F.col("least").alias("id"), "key"), "unread")
+        held, more = sets, written(sets_of(df, id_col, text_col, unread, size), "shingle-sets")
+        sets = held.union(more)
+        waves = ceil(many / (per_wave or max(100_000, texts.count())))
+        for k in range(waves):
+            wave = across_yet(rest, roots).filter(F.pmod(F.xxhash64("u", "v"), F.lit(waves)) == k)
+            edges.append(alike(wave))
+            if not edges[-1].isEmpty():
+                drop(roots)
+                roots = components.labels(reduce(DataFrame.union, edges))
+            tidy(df.sparkSession)
+        drop(held, more, unread)
+
     of = texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     out = written(rows.select("id", "key").join(of.join(least, "root").select("key", "component_id"), "key").select(F.col("id").alias(id_col), "component_id"), "near-texts")
-    drop(rows, texts, pairs, meeting, sets, roots, *edges)
+    drop(rows, texts, pairs, meeting, sets, rest, roots, *edges)
     tidy(df.sparkSession)
     return out

@@ -22,6 +22,7 @@ no bucket can be hot, however many copies there are.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -102,16 +103,9 @@ def flips(bits: int, width: int = 64) -> dict[int, np.ndarray]:
     return {int(step[g[0]]): masks[g] for g in np.split(order, cut)}
 
 
-def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, picks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges ``(u, v, turn, rank)`` among distinct ``fps`` (uint64) whose balls meet in ``bucket``.
-
-    Without ``picks``, a shared value links its owners to the least of them: a
-    star, which connects all that meet (turn 0).  With ``picks``, every
-    fingerprint gets three partners at most, however many it meets: the first
-    of them in a seeded order that holds for all values (turn 0), the one that
-    shares most values with others, the middle of a group (1), and the nearest
-    of these and of its neighbours in order (2).  The least ``rank`` is the pick.
-    """
+def shared(fps: np.ndarray, bucket: int, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(place, at, values)``: the values of ``bucket`` that lie in the balls of two or
+    more of the distinct ``fps`` (uint64), and for each value (its ``place``) the places ``at`` in ``fps`` of its owners."""
     step = bucket_of(fps, bits) ^ bucket
     order = np.argsort(step, kind="stable")
     cut = np.flatnonzero(np.diff(step[order])) + 1
@@ -121,7 +115,7 @@ def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, picks: bool =
         if masks is not None:
             keys.append((fps[g][:, None] ^ masks[None, :]).ravel())
             owner.append(np.repeat(g.astype(np.int32), len(masks)))
-    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint64)
     if not keys:
         return none
     keys, owner = np.concatenate(keys), np.concatenate(owner)
@@ -137,7 +131,23 @@ def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, picks: bool =
     at = np.flatnonzero(seen[mix(keys)])
     place = np.minimum(np.searchsorted(twice, keys[at]), len(twice) - 1)
     ok = twice[place] == keys[at]
-    place, members = place[ok], fps[owner[at[ok]]]
+    return place[ok], owner[at[ok]], twice
+
+
+def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, picks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges ``(u, v, turn, rank)`` among distinct ``fps`` (uint64) whose balls meet in ``bucket``.
+
+    Without ``picks``, a shared value links its owners to the least of them: a
+    star, which connects all that meet (turn 0).  With ``picks``, every
+    fingerprint gets three partners at most, however many it meets: the first
+    of them in a seeded order that holds for all values (turn 0), the one that
+    shares most values with others, the middle of a group (1), and the nearest
+    of these and of its neighbours in order (2).  The least ``rank`` is the pick.
+    """
+    place, at, _ = shared(fps, bucket, bits, width)
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+    members = fps[at]
 
     def stars(rank):
         order = np.lexsort((members, rank, place))
@@ -166,6 +176,38 @@ def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, picks: bool =
     return u[near], v[near], turn[near], rank[near]
 
 
+def across(fps: np.ndarray, labels: np.ndarray, bucket: int, bits: int, width: int = 64, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs ``(u, v)`` among distinct ``fps`` within 4 bits whose ``labels`` differ, about
+    ``most`` candidates at a time; a label 0 differs from every other, also from 0.
+
+    A pair meets in many values and comes from one of them only: the one that
+    takes the lowest two of its differing bits from the greater fingerprint.
+    """
+    place, at, values = shared(fps, bucket, bits, width)
+    label = np.where(labels == 0, -1 - np.arange(len(labels)), labels)[at]
+    order = np.lexsort((label, place))
+    place, at, label = place[order], at[order], label[order]
+    other = np.append(True, place[1:] != place[:-1])[: len(at)]
+    ends = lambda new: np.append(np.flatnonzero(new)[1:], len(at))[np.cumsum(new) - 1]
+    # an owner's partners are those of its value that come after its own label
+    first = ends(other | np.append(True, label[1:] != label[:-1])[: len(at)])
+    many = ends(other) - first
+    upto, k = np.append(0, np.cumsum(many)), 0
+    while k < len(at):
+        end = max(k + 1, int(np.searchsorted(upto, upto[k] + most, side="right")) - 1)
+        i = np.repeat(np.arange(k, end), many[k:end])
+        j = first[i] + np.arange(len(i)) - (upto[i] - upto[k])
+        u, v = fps[at[i]], fps[at[j]]
+        u, v = np.minimum(u, v), np.maximum(u, v)
+        x = u ^ v
+        rest = x & (x - np.uint64(1))
+        rest &= rest - (rest > 0).astype(np.uint64)
+        here = values[place[i]] == u ^ x ^ rest
+        if here.any():
+            yield u[here], v[here]
+        k = end
+
+
 def _one_each(u: np.ndarray, v: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each ``v`` its ``u`` of least rank."""
     order = np.lexsort((u, rank, v))
@@ -181,18 +223,21 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width: int = 64, least_bits: int = 6, picks: bool = False) -> DataFrame:
+def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width: int = 64, least_bits: int = 6, picks: bool = False, labelled: bool = False) -> DataFrame:
     """``fps(family int, fp bigint)``, distinct -> edges ``(family, u, v, turn, rank)`` within
     each family; written in the shared folder.  Without ``picks`` they connect
     exactly what pairs within 4 bits connect; with it they are a few partners of
-    every fingerprint (`met`).  Fingerprints have ``width`` bits.  No fingerprints
-    give no edges; nulls are not expected.
+    every fingerprint (`met`).  With ``labelled``, ``fps`` has a third column
+    ``label bigint`` (0 or more) and the result is ``(family, u, v)``: every pair within 4 bits
+    whose labels differ, once (`across`).  Fingerprints have ``width`` bits.  No
+    fingerprints give no edges; nulls are not expected.
     """
     spark = fps.sparkSession
     n = fps.groupBy("family").count().agg(F.max("count")).first()[0] or 0
     variants = 1 + width + width * (width - 1) // 2
     bits = max(least_bits, int(np.ceil(np.log2(max(1.0, n * variants / per_bucket)))))
     path, total = new_folder(spark, "links"), 1 << bits
+    schema = "family int, u bigint, v bigint" + ("" if labelled else ", turn int, rank bigint")
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     was = spark.conf.get(cleanup, None)
     try:
@@ -203,10 +248,12 @@ def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width
                 reach = np.zeros(1 << bits, dtype=bool)
                 reach[list(flips(bits, width))] = True
                 for batch in batches:
-                    family, fp, out = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), []
+                    family, out = batch.column(0).to_numpy(), []
+                    # a fingerprint and its label, if it has one, are a row of numbers
+                    sent = np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)
                     for f in np.unique(family):
-                        x = fp[family == f]
-                        home = bucket_of(x, bits)
+                        x = sent[family == f]
+                        home = bucket_of(x[:, 0], bits)
                         out += [(f, b, y.tobytes()) for b in these if len(y := x[reach[home ^ b]])]
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int32()), pa.array([k[1] for k in out], pa.int32()), pa.array([k[2] for k in out], pa.binary())], names=["family", "bucket", "fps"])
 
@@ -215,14 +262,19 @@ def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width
                 u, v, turn, rank = met(x, int(pdf["bucket"].iloc[0]), bits, width, picks)
                 return pd.DataFrame({"family": np.full(len(u), pdf["family"].iloc[0], dtype=np.int32), "u": u.view(np.int64), "v": v.view(np.int64), "turn": turn, "rank": rank})
 
+            def collide_across(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                x = np.frombuffer(b"".join(b for pdf in parts for b in pdf["fps"]), dtype=np.uint64).reshape(-1, 2)
+                for u, v in across(x[:, 0].copy(), x[:, 1].astype(np.int64), int(key[1]), bits, width):
+                    yield pd.DataFrame({"family": np.full(len(u), key[0], dtype=np.int32), "u": u.view(np.int64), "v": v.view(np.int64)})
+
             if total > per_pass:  # a pass's shuffle files go when the pass is written
                 spark.conf.set(cleanup, "true")
-            sent = fps.select("family", "fp").mapInArrow(send, "family int, bucket int, fps binary")
-            sent.groupBy("family", "bucket").applyInPandas(collide, "family int, u bigint, v bigint, turn int, rank bigint").write.mode("append").parquet(path)
+            sent = fps.select("family", "fp", *["label"] * labelled).mapInArrow(send, "family int, bucket int, fps binary")
+            sent.groupBy("family", "bucket").applyInPandas(collide_across if labelled else collide, schema).write.mode("append").parquet(path)
     finally:
         if total > per_pass:
             spark.conf.set(cleanup, was) if was is not None else spark.conf.unset(cleanup)
-    return placed_at(spark.read.schema("family int, u bigint, v bigint, turn int, rank bigint").parquet(path), path)
+    return placed_at(spark.read.schema(schema).parquet(path), path)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:

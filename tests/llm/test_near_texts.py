@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from gridloom.llm.near_texts import farthest, majorities, near_texts, plan, shingle_set, sketches, _Hashes
-from gridloom.llm.simhash import fingerprint, majority
+from gridloom.llm.simhash import across, fingerprint, links, majority
 from gridloom.llm.tables import ROW, numbered, without, written
 
 D = "/root/testdata/sf0.001"
@@ -106,6 +106,55 @@ def test_large_groups_of_near_copies(spark):
     assert {got[k] for k in (400, 401, 402)} == {400} and {got[403], got[404]} == {403}
 
 
+def test_crowd_of_texts_below_the_similarity(spark):
+    """Hundreds of texts meet each other without a link, and some of them have one: all links count, not only those of picked partners."""
+    rng = random.Random(5)
+    base, texts = [f"hot{k}" for k in range(200)], []
+    for k in range(260):
+        w = list(base)
+        for p in rng.sample(range(200), 4):
+            w[p] = f"y{rng.randrange(10**6)}"
+        texts.append(w)
+        if k % 3 == 0:
+            near = list(w)
+            for p in rng.sample(range(200), 3):
+                near[p] = f"z{rng.randrange(10**6)}"
+            texts.append(near)
+    rng.shuffle(texts)
+    items = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    width, families = plan(len(items))
+    memo = _Hashes()
+    bits = sketches([shingle_set(t.encode().split(), 5, memo) for _, t in items], families)
+    low = bits & np.uint64((1 << width) - 1)
+    collide = lambda a, b: (np.bitwise_count(low[a] ^ low[b]) <= 4).any() and np.bitwise_count(bits[a] ^ bits[b]).sum() <= farthest(64 * families, 0.8)
+    pairs = linked(items)
+    met = [(a, b) for a, b in pairs if collide(a, b)]
+    crowd = sum(collide(a, b) for a in range(len(items)) for b in range(a))
+    want = components_of(range(len(items)), met)
+    got = {r.id: r.component_id for r in near_texts(spark.createDataFrame(items, "id long, text string"), "id", per_wave=12_000).collect()}
+    assert crowd > 20 * len(met) and len(met) > 60 and got == want
+
+
+@pytest.mark.parametrize("width, per_pass", [(32, 64), (44, 5)])
+def test_all_pairs_across_labels(spark, width, per_pass):
+    """Against brute force: every pair within 4 bits whose labels differ, once; label 0 differs from all."""
+    rng, rows, want = random.Random(width), {}, set()
+    for family in (0, 1):
+        x = [rng.getrandbits(width) for _ in range(15)]
+        x = list({y ^ sum(1 << b for b in rng.sample(range(width), rng.randrange(4))) for y in x for _ in range(40)})
+        rows[family] = [(f, rng.choice([0, 0, 1, 2, 2, 2])) for f in x]
+        for i, (a, la) in enumerate(rows[family]):
+            for b, lb in rows[family][:i]:
+                if bin(a ^ b).count("1") <= 4 and (la != lb or not la):
+                    want.add((family, min(a, b), max(a, b)))
+    df = spark.createDataFrame([(f, *r) for f, rs in rows.items() for r in rs], "family int, fp long, label long")
+    got = [(r.family, min(r.u, r.v), max(r.u, r.v)) for r in links(df, width=width, least_bits=4, per_pass=per_pass, labelled=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    fps, labels = (np.array(c) for c in zip(*rows[0]))
+    few = [p for b in range(16) for u, v in across(fps.astype(np.uint64), labels, b, 4, width, most=7) for p in zip(u.tolist(), v.tolist())]
+    assert sorted((0, *p) for p in few) == sorted(p for p in want if not p[0])
+
+
 def test_given_documents(spark):
     items = [(r.doc_id, r.text) for r in spark.read.parquet(f"{D}/documents.parquet").collect()]
     got = near_texts(spark.createDataFrame(items, "id long, text string"), "id").collect()
