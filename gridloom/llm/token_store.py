@@ -83,11 +83,10 @@ def cuts(ids: np.ndarray) -> list[int]:
     for k in range(0, n, size - REACH):  # long streams a window at a time
         part = ids[max(0, k - REACH) : k + size - REACH]
         lead = k - max(0, k - REACH)
-        with np.errstate(over="ignore"):
-            total = np.cumsum(g[part & (len(g) - 1)] * down[: len(part)])
-            total[REACH:] -= total[:-REACH].copy()
-            rolled = total * up[: len(part)]
-        hit = np.flatnonzero((rolled >> np.uint64(64 - MEAN.bit_length() + 1)) == 0)
+        total = np.cumsum(g[part & (len(g) - 1)] * down[: len(part)])
+        rolled = total * up[: len(part)]
+        rolled[REACH:] -= total[:-REACH] * up[REACH : len(part)]
+        hit = np.flatnonzero(rolled < np.uint64(1 << (64 - MEAN.bit_length() + 1)))
         may.append(hit[hit >= lead] - lead + k + 1)
     out, last = [], 0
     for c in np.concatenate(may).tolist():
@@ -103,15 +102,21 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n]
 
 
+@functools.lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each a process: setting them up costs more than most chunks."""
+    return zstandard.ZstdCompressor(level=3, write_checksum=False), zstandard.ZstdDecompressor()
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Ids as zstd-compressed little-endian integers, 16 bits where they fit; the first byte tells the width."""
     narrow = not len(ids) or int(ids.max()) < 1 << 16
     raw = ids.astype("<u2" if narrow else "<u4").tobytes()
-    return (b"\2" if narrow else b"\4") + zstandard.ZstdCompressor(level=3, write_checksum=False).compress(raw)
+    return (b"\2" if narrow else b"\4") + _zstd()[0].compress(raw)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data[1:])
+    raw = _zstd()[1].decompress(memoryview(data)[1:])
     return np.frombuffer(raw, dtype="<u2" if data[:1] == b"\2" else "<u4").astype("<u4")
 
 
@@ -124,6 +129,7 @@ class Words(dict):
 
     def __init__(self, solve, lead: str, most: int = 480_000):
         self.solve, self.lead, self.most, self.old = solve, lead, most, {}
+        self.marks = {c: solve(c) for c in ".,"}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.most:
@@ -132,7 +138,7 @@ class Words(dict):
         ids = self.old.pop(unit, None)
         if ids is None:
             # a word and its full stop or comma are two pre-tokens
-            ids = self[unit[:-1]] + self.solve(unit[-1]) if unit[-1:] in (".", ",") and unit[:-1].isalpha() else self.solve(self.lead + unit)
+            ids = self[unit[:-1]] + self.marks[unit[-1]] if unit[-1:] in self.marks and unit[:-1].isalpha() else self.solve(self.lead + unit)
         self[unit] = ids
         return ids
 
@@ -150,8 +156,11 @@ def _encoder(path: str) -> tuple[Words, Words, dict, re.Pattern | None]:
 
     def solve(unit: str) -> bytes:
         """The library's model on each pre-token (its `encode` costs several times as much on short strings)."""
+        word = unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha())
+        if word and unit.isascii():
+            return array("I", [x.id for x in tokenize(space + unit[1:] if unit[0] == " " else unit)]).tobytes()
         out = []
-        for t in [unit] if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) else PRETOKENS.findall(unit):
+        for t in [unit] if word else PRETOKENS.findall(unit):
             text = (space + t[1:] if t[0] == " " else t) if t.isascii() and t.isprintable() and " " not in t[1:] else t.encode().decode("latin-1").translate(symbols)
             out += [x.id for x in tokenize(text)]
         return array("I", out).tobytes()

@@ -68,6 +68,14 @@ def test_words_memo_turns_over():
     assert asked.count(" often") == 1
 
 
+def test_marks_are_asked_once():
+    asked = []
+    memo = Words(lambda t: asked.append(t) or t.encode(), " ", most=5)
+    for k in range(40):
+        assert memo[f"w{k * 'x'}."] == f" w{k * 'x'}.".encode() and memo[f"v{k * 'x'},"] == f" v{k * 'x'},".encode()
+    assert asked.count(".") == 1 and asked.count(",") == 1 and memo["."] == b" ."
+
+
 @pytest.mark.parametrize("sf", ["0.001"])
 def test_documents(spark, sf):
     d = f"/root/testdata/sf{sf}"
