@@ -30,7 +30,7 @@ from math import acos, ceil, comb, log, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components
@@ -112,6 +112,16 @@ def sketches(sets: list[np.ndarray], families: int) -> np.ndarray:
     return out
 
 
+def parities(sets: list[np.ndarray], lanes: int = 16) -> np.ndarray:
+    """``64 * lanes`` bits per set: whether an odd number of its hashes fall there.  Two sets
+    differ in as many elements as bits, or more."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    h = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    at = of * 64 * lanes + ((h * ODD) >> np.uint64(32)).astype(np.int64) % (64 * lanes)
+    odd = np.bincount(at, minlength=len(sets) * 64 * lanes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, lanes)
+
+
 def sketched(df: DataFrame, id_col: str, text_col: str, size: int, families: int) -> DataFrame:
     """``(id, key, sketch)`` per row; ``key`` names the shingle set."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -132,7 +142,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int, families: int
 
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size: int) -> DataFrame:
-    """``(key, n, shingles)`` of the rows that ``wanted(id, key)`` names; their texts are read again."""
+    """``(key, n, shingles, parity)`` of the rows that ``wanted(id, key)`` names; their texts are read again."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(small(wanted, 200_000), "id").select("key", "text")
 
     def run(batches):
@@ -143,13 +153,57 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size:
                 sets = shingle_sets(held, size, hashes)
                 n = np.array([len(s) for s in sets], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(n), lists], names=["key", "n", "shingles"])
+                parity = parities(sets)
+                offsets = np.arange(0, parity.size + 1, parity.shape[1], dtype=np.int32)
+                parity = pa.ListArray.from_arrays(pa.array(offsets), pa.array(parity.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(n), lists, parity], names=["key", "n", "shingles", "parity"])
                 at += len(held)
 
-    return rows.mapInArrow(run, "key binary, n int, shingles array<bigint>")
+    return rows.mapInArrow(run, "key binary, n int, shingles array<bigint>, parity array<bigint>")
+
+
+def differing(a: str, b: str):
+    """Bits in which two arrays of longs differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.98, per_wave: int | None = None) -> DataFrame:
+def crowd_pairs(sets: DataFrame, roots: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``(u, v)``, u below v: of ``sets(key, n, shingles, parity)``, what may be at ``similarity``
+    and lies in two components of ``roots(node, root)``; no pair at the similarity is missing.
+
+    A prefix join: with shingles rarest first, two sets of n and m that share
+    enough share one before place ``at`` in either only if m is at most
+    ``(den * n - (num + den) * at) / num``.  Shingles of one text only take up
+    the first places and meet nothing, so texts of a crowd that each differ from
+    the rest by shingles of their own meet nowhere.  Sizes go in bands, so that what is too large for
+    a place never meets it; in a cell (shingle and bands) the texts of its
+    largest component meet the others only; and what meets must differ in few
+    enough bits of `parities`.
+    """
+    num, den = similarity
+    of = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), "shingles")
+    held = of.select("key", "n", "root", F.explode("shingles").alias("shingle"))
+    often = written(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+    text = Window.partitionBy("key")
+    at = F.col("n") - F.count(F.lit(1)).over(text) + F.row_number().over(text.orderBy("often", "shingle")) - 1
+    band = lambda n: F.floor(F.log(n) / F.lit(log(1.1)))
+    placed = held.join(often, "shingle").withColumn("upto", F.floor((den * F.col("n") - (num + den) * at) / num))
+    placed = placed.withColumn("from", F.ceil(num * F.col("n") / den)).filter("upto >= from")
+    placed = placed.withColumn("own", band(F.col("n"))).withColumn("other", F.explode(F.sequence(band(F.col("from")), band(F.col("upto")))))
+    cell = ["shingle", "low", "high"]
+    placed = written(placed.select("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "n", "root", "upto"), "placed")
+    cells = placed.groupBy(*cell, "root").agg(F.count(F.lit(1)).alias("many")).groupBy(*cell).agg(F.max_by("root", F.struct("many", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    met = placed.join(cells.filter("roots > 1").drop("roots"), cell).join(sets.select("key", "parity"), "key")
+    met = written(met, "met-in-cells")
+    u, v = (met.select(*cell, *[F.col(c).alias(c + k) for c in ("key", "n", "root", "upto", "parity", "top")]) for k in "uv")
+    pairs = u.filter("rootu <> topu").join(v, cell).filter("rootu <> rootv AND nv <= uptou AND nu <= uptov")
+    pairs = pairs.filter((num + den) * differing("parityu", "parityv") <= (den - num) * (F.col("nu") + F.col("nv")))
+    pairs = written(pairs.select(F.least("keyu", "keyv").alias("u"), F.greatest("keyu", "keyv").alias("v")).distinct(), "crowd-pairs")
+    drop(often, placed, met)
+    return pairs
+
+
+def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.98, per_wave: int | None = None, crowd: int = 4) -> DataFrame:
     """``(id_col, component_id)`` per row: the smallest id that it reaches over links.
 
     Links join texts whose sets of ``size``-word shingles are at Jaccard
@@ -161,7 +215,10 @@ def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5
     (`tables.numbered`), and ``df`` gives the same rows whenever it is read;
     other columns are ignored; an empty table gives an empty result.  Pairs left
     after the rounds are verified about ``per_wave`` at a time (as many as there
-    are texts, 100,000 at least); it changes no result.
+    are texts, 100,000 at least); it changes no result.  Texts that meet more
+    than ``crowd`` texts of other components in one value are joined with each
+    other by their shingles instead (`crowd_pairs`), which finds every pair at the
+    similarity, also such whose fingerprints do not collide.
     """
     num, den = similarity
     width, families = plan(df.count(), num / den, recall)
@@ -169,7 +226,7 @@ def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5
     texts = written(rows.groupBy("key").agg(F.min("id").alias("least"), F.first("sketch").alias("sketch")), "distinct-texts")
 
     mask = (1 << width) - 1 if width < 64 else -1
-    apart = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    apart = differing("su", "sv")
 
     def owned(texts: DataFrame, *more: str) -> DataFrame:
         return texts.select("key", *more, F.posexplode("sketch").alias("family", "fp")).withColumn("fp", F.col("fp").bitwiseAND(F.lit(mask).cast("bigint")))
@@ -202,23 +259,27 @@ def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         return written(pairs.join(sides[0], "u").join(sides[1], "v").filter(apart <= farthest(64 * families, num / den)).select("u", "v"), "pairs")
 
-    def pairs_across(roots: DataFrame) -> DataFrame:
-        """``(u, v)``, u below v: all that collide in any family and lie in two components, all bits of both permitting."""
+    def pairs_across(roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``(u, v)``, u below v: all that collide in any family and lie in two components, all
+        bits of both permitting, but for pairs of two crowded texts; and ``(key)`` of these."""
         labels = written(roots.select("root").distinct().select("root", (F.monotonically_increasing_id() + 1).alias("label")), "labels")
         of = texts.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).join(labels, "root", "left")
         # texts on their own have label 0, which differs from all
         owners = written(owned(of.select("key", "sketch", F.coalesce("label", F.lit(0)).alias("label")), "label"), "owners")
         held = written(owners.groupBy("family", "fp", "label").agg(F.count(F.lit(1)).alias("n")), "fingerprints")
         heads = held.groupBy("family", "fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("n"))
-        found = links(heads.select("family", "fp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(0).alias("label")), width=width, least_bits=4, labelled=True)
-        one = heads.filter("n > 1 AND (lo <> hi OR lo = 0)").select("family", F.col("fp").alias("u"), F.col("fp").alias("v"))
+        found = links(heads.select("family", "fp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(0).alias("label"), "n"), width=width, least_bits=4, labelled=True, crowd=crowd)
+        one = heads.filter("n > 1 AND (lo <> hi OR lo = 0)").select("family", F.col("fp").alias("u"), F.col("fp").alias("v"), "n")
+        packed = found.filter("u = v").union(one.filter(F.col("n") > crowd + 1).drop("n")).select("family", F.col("u").alias("fp")).distinct()
+        packed = written(owners.join(packed, ["family", "fp"]).select("key").distinct(), "crowded")
+        one = one.filter(F.col("n") <= crowd + 1).drop("n")
         a, b = (held.select("family", F.col("fp").alias(k), F.col("label").alias(f"l{k}")) for k in "uv")
-        meet = found.union(one).join(a, ["family", "u"]).join(b, ["family", "v"]).filter("(lu <> lv OR lu = 0) AND (u <> v OR lu <= lv)")
+        meet = found.filter("u <> v").union(one).join(a, ["family", "u"]).join(b, ["family", "v"]).filter("(lu <> lv OR lu = 0) AND (u <> v OR lu <= lv)")
         a, b = (owners.select("family", F.col("fp").alias(k), F.col("label").alias(f"l{k}"), F.col("key").alias(f"k{k}")) for k in "uv")
         pairs = meet.join(a, ["family", "u", "lu"]).join(b, ["family", "v", "lv"]).filter("ku <> kv").select(F.col("ku").alias("u"), F.col("kv").alias("v"))
         pairs = near_enough(pairs, texts)
         drop(labels, owners, held, found)
-        return pairs
+        return pairs, packed
 
     pairs = met_pairs(texts)
     tidy(df.sparkSession)
@@ -255,27 +316,29 @@ def near_texts(df: DataFrame, id_col: str, text_col: str = "text", size: int = 5
         if edges[-1].isEmpty():
             break
 
-    # what has met in any family and is still apart, every pair of it in waves, so that disk stays in proportion to the texts
-    rest = pairs_across(roots)
-    many = rest.count()
-    if many:
-        both = rest.select(F.col("u").alias("key")).union(rest.select(F.col("v").alias("key"))).distinct()
-        unread = written(texts.join(both.join(meeting, "key", "left_anti"), "key").select(F.col("least").alias("id"), "key"), "unread")
+    # what has met in any family and is still apart: crowds by their shingles, every other pair
+    # laid out; in waves, so that disk stays in proportion to the texts
+    rest, packed = pairs_across(roots)
+    both = rest.select(F.col("u").alias("key")).union(rest.select(F.col("v").alias("key"))).union(packed).distinct()
+    unread = written(texts.join(both.join(meeting, "key", "left_anti"), "key").select(F.col("least").alias("id"), "key"), "unread")
+    if not both.isEmpty():
         held, more = sets, written(sets_of(df, id_col, text_col, unread, size), "shingle-sets")
         sets = held.union(more)
-        waves = ceil(many / (per_wave or max(100_000, texts.count())))
-        for k in range(waves):
-            wave = across_yet(rest, roots).filter(F.pmod(F.xxhash64("u", "v"), F.lit(waves)) == k)
-            edges.append(alike(wave))
-            if not edges[-1].isEmpty():
-                drop(roots)
-                roots = components.labels(reduce(DataFrame.union, edges))
-            tidy(df.sparkSession)
-        drop(held, more, unread)
+        parts = [rest] if packed.isEmpty() else [crowd_pairs(sets.join(packed, "key"), roots, similarity), rest]
+        for part in parts:
+            waves = ceil(part.count() / (per_wave or max(100_000, texts.count())))
+            for k in range(waves):
+                wave = across_yet(part, roots).filter(F.pmod(F.xxhash64("u", "v"), F.lit(waves)) == k)
+                edges.append(alike(wave))
+                if not edges[-1].isEmpty():
+                    drop(roots)
+                    roots = components.labels(reduce(DataFrame.union, edges))
+                tidy(df.sparkSession)
+        drop(held, more, *parts)
 
     of = texts.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     out = written(rows.select("id", "key").join(of.join(least, "root").select("key", "component_id"), "key").select(F.col("id").alias(id_col), "component_id"), "near-texts")
-    drop(rows, texts, pairs, meeting, sets, rest, roots, *edges)
+    drop(rows, texts, pairs, meeting, sets, rest, packed, unread, roots, *edges)
     tidy(df.sparkSession)
     return out

@@ -176,27 +176,48 @@ def met(fps: np.ndarray, bucket: int, bits: int, width: int = 64, picks: bool =
     return u[near], v[near], turn[near], rank[near]
 
 
-def across(fps: np.ndarray, labels: np.ndarray, bucket: int, bits: int, width: int = 64, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def across(fps: np.ndarray, labels: np.ndarray, bucket: int, bits: int, width: int = 64, most: int = 1 << 20, weights: np.ndarray | None = None, crowd: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs ``(u, v)`` among distinct ``fps`` within 4 bits whose ``labels`` differ, about
     ``most`` candidates at a time; a label 0 differs from every other, also from 0.
 
     A pair meets in many values and comes from one of them only: the one that
     takes the lowest two of its differing bits from the greater fingerprint.
+
+    With ``crowd``, a fingerprint that meets more than that in one value (by
+    ``weights``, other labels only) is crowded: it comes as ``(u, u)``, and
+    pairs of two crowded ones are not laid out, so that work and pairs stay in
+    proportion to the fingerprints.
     """
     place, at, values = shared(fps, bucket, bits, width)
     label = np.where(labels == 0, -1 - np.arange(len(labels)), labels)[at]
     order = np.lexsort((label, place))
     place, at, label = place[order], at[order], label[order]
     other = np.append(True, place[1:] != place[:-1])[: len(at)]
-    ends = lambda new: np.append(np.flatnonzero(new)[1:], len(at))[np.cumsum(new) - 1]
-    # an owner's partners are those of its value that come after its own label
-    first = ends(other | np.append(True, label[1:] != label[:-1])[: len(at)])
-    many = ends(other) - first
+    inner = other | np.append(True, label[1:] != label[:-1])[: len(at)]
+
+    def runs(new):
+        """First place of each entry's run, and the place after its last."""
+        first, of = np.flatnonzero(new), np.cumsum(new) - 1
+        return first[of], np.append(first[1:], len(at))[of]
+
+    (begin, end), (own, own_end) = runs(other), runs(inner)
+    crowded = np.zeros(len(fps), dtype=bool)
+    if crowd is not None and len(at):
+        upto = np.append(0, np.cumsum(weights[at]))
+        crowded[at[upto[end] - upto[begin] - (upto[own_end] - upto[own]) > crowd]] = True
+        if crowded.any():
+            yield fps[crowded], fps[crowded]
+    # partners are all of the value but those of the own label; of two that are not crowded, the later one
+    left = np.flatnonzero(~crowded[at])
+    many = (end - begin - (own_end - own))[left]
     upto, k = np.append(0, np.cumsum(many)), 0
-    while k < len(at):
-        end = max(k + 1, int(np.searchsorted(upto, upto[k] + most, side="right")) - 1)
-        i = np.repeat(np.arange(k, end), many[k:end])
-        j = first[i] + np.arange(len(i)) - (upto[i] - upto[k])
+    while k < len(left):
+        last = max(k + 1, int(np.searchsorted(upto, upto[k] + most, side="right")) - 1)
+        i = np.repeat(left[k:last], many[k:last])
+        j = begin[i] + np.arange(len(i)) - np.repeat(upto[k:last] - upto[k], many[k:last])
+        j = np.where(j < own[i], j, j + own_end[i] - own[i])
+        once = (j > i) | crowded[at[j]]
+        i, j = i[once], j[once]
         u, v = fps[at[i]], fps[at[j]]
         u, v = np.minimum(u, v), np.maximum(u, v)
         x = u ^ v
@@ -205,7 +226,7 @@ def across(fps: np.ndarray, labels: np.ndarray, bucket: int, bits: int, width: i
         here = values[place[i]] == u ^ x ^ rest
         if here.any():
             yield u[here], v[here]
-        k = end
+        k = last
 
 
 def _one_each(u: np.ndarray, v: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,13 +244,15 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width: int = 64, least_bits: int = 6, picks: bool = False, labelled: bool = False) -> DataFrame:
+def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width: int = 64, least_bits: int = 6, picks: bool = False, labelled: bool = False, crowd: int | None = None) -> DataFrame:
     """``fps(family int, fp bigint)``, distinct -> edges ``(family, u, v, turn, rank)`` within
     each family; written in the shared folder.  Without ``picks`` they connect
     exactly what pairs within 4 bits connect; with it they are a few partners of
     every fingerprint (`met`).  With ``labelled``, ``fps`` has a third column
     ``label bigint`` (0 or more) and the result is ``(family, u, v)``: every pair within 4 bits
-    whose labels differ, once (`across`).  Fingerprints have ``width`` bits.  No
+    whose labels differ, once (`across`).  With ``crowd`` too, a fourth column
+    ``n bigint`` is a fingerprint's weight, crowded ones come as ``(u, u)``, more than once perhaps, and
+    pairs of two crowded ones may be missing.  Fingerprints have ``width`` bits.  No
     fingerprints give no edges; nulls are not expected.
     """
     spark = fps.sparkSession
@@ -263,13 +286,14 @@ def links(fps: DataFrame, per_bucket: int = 8_000_000, per_pass: int = 64, width
                 return pd.DataFrame({"family": np.full(len(u), pdf["family"].iloc[0], dtype=np.int32), "u": u.view(np.int64), "v": v.view(np.int64), "turn": turn, "rank": rank})
 
             def collide_across(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                x = np.frombuffer(b"".join(b for pdf in parts for b in pdf["fps"]), dtype=np.uint64).reshape(-1, 2)
-                for u, v in across(x[:, 0].copy(), x[:, 1].astype(np.int64), int(key[1]), bits, width):
+                x = np.frombuffer(b"".join(b for pdf in parts for b in pdf["fps"]), dtype=np.uint64).reshape(-1, 2 + (crowd is not None))
+                weights = x[:, 2].astype(np.int64) if crowd is not None else None
+                for u, v in across(x[:, 0].copy(), x[:, 1].astype(np.int64), int(key[1]), bits, width, weights=weights, crowd=crowd):
                     yield pd.DataFrame({"family": np.full(len(u), key[0], dtype=np.int32), "u": u.view(np.int64), "v": v.view(np.int64)})
 
             if total > per_pass:  # a pass's shuffle files go when the pass is written
                 spark.conf.set(cleanup, "true")
-            sent = fps.select("family", "fp", *["label"] * labelled).mapInArrow(send, "family int, bucket int, fps binary")
+            sent = fps.select("family", "fp", *["label"] * labelled, *["n"] * (crowd is not None)).mapInArrow(send, "family int, bucket int, fps binary")
             sent.groupBy("family", "bucket").applyInPandas(collide_across if labelled else collide, schema).write.mode("append").parquet(path)
     finally:
         if total > per_pass:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gridloom.llm.near_texts import farthest, majorities, near_texts, plan, shingle_set, sketches, _Hashes
+from gridloom.llm import near_texts as module
+from gridloom.llm.near_texts import crowd_pairs, farthest, majorities, near_texts, parities, plan, shingle_set, sketches, _Hashes
 from gridloom.llm.simhash import across, fingerprint, links, majority
 from gridloom.llm.tables import ROW, numbered, without, written
 
@@ -155,6 +156,69 @@ def test_all_pairs_across_labels(spark, width, per_pass):
     assert sorted((0, *p) for p in few) == sorted(p for p in want if not p[0])
 
 
+def test_crowds_are_not_laid_out(spark):
+    """Pairs of a crowd grow with its size, not with the square; what is not laid out has two crowded ends."""
+    rng, counts = random.Random(4), []
+    for n in (200, 800):
+        fps = {0x5A5A5A5A ^ sum(1 << b for b in rng.sample(range(32), 2)) for _ in range(9 * n)}
+        fps = sorted(fps)[: n // 2] + [rng.getrandbits(32) for _ in range(n // 2)]
+        df = spark.createDataFrame([(0, f, 0, 1) for f in set(fps)], "family int, fp long, label long, n long")
+        rows = [(r.u, r.v) for r in links(df, width=32, least_bits=4, labelled=True, crowd=4).collect()]
+        crowded, laid = {u for u, v in rows if u == v}, [tuple(sorted(p)) for p in rows if p[0] != p[1]]
+        want = {(a, b) for a in set(fps) for b in set(fps) if a < b and bin(a ^ b).count("1") <= 4}
+        assert len(laid) == len(set(laid)) and set(laid) <= want and all(a in crowded and b in crowded for a, b in want - set(laid))
+        counts.append((len(want), len(laid), len(set(fps))))
+    assert all(few <= 8 * n for _, few, n in counts) and counts[1][0] > 30 * counts[1][2]
+
+
+def test_crowd_pairs_against_brute_force(spark):
+    """Every pair at the similarity in two components, and few others, of a crowd in which most pairs collide; sizes differ too."""
+    rng, texts = random.Random(6), []
+    base = [f"hot{k}" for k in range(150)]
+    for k in range(240):
+        w = base[: rng.choice([150, 150, 130])]
+        for p in rng.sample(range(len(w)), rng.choice([0, 1, 4, 5, 6])):
+            w[p] = f"y{rng.randrange(10**6)}"
+        texts.append(w)
+        if k % 4 == 0:
+            texts.append([*w[:70], f"z{k}", *w[71:]])
+    texts += [["one"], ["one", "two"]]
+    memo = _Hashes()
+    sets = list({s.tobytes(): s for s in (shingle_set(" ".join(w).encode().split(), 5, memo) for w in texts)}.values())
+    bits = parities(sets)
+    rows = [(bytes([k // 256, k % 256]), len(s), s.view(np.int64).tolist(), b.tolist()) for k, (s, b) in enumerate(zip(sets, bits))]
+    root = {k: k % 7 for k in range(0, len(sets), 3)}  # some in components, across the similarity
+    roots = spark.createDataFrame([(rows[k][0], rows[r][0]) for k, r in root.items()], "node binary, root binary")
+    df = written(spark.createDataFrame(rows, "key binary, n int, shingles array<bigint>, parity array<bigint>"), "sets")
+    got = [(int.from_bytes(r.u), int.from_bytes(r.v)) for r in crowd_pairs(df, roots, (4, 5)).collect()]
+    held, of = [set(s.tolist()) for s in sets], lambda k: root.get(k, k)
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if of(a) != of(b) and 9 * len(held[a] & held[b]) >= 4 * (len(held[a]) + len(held[b]))}
+    assert want and want <= set(got) and len(got) == len(set(got)) and all(a < b and of(a) != of(b) for a, b in got)
+    assert len(got) < 1.5 * len(want)
+
+
+def test_crowd_without_links_makes_few_pairs(spark, monkeypatch):
+    """Near copies that all collide and are linked to nothing: their pairs are never laid out."""
+    rng, base, texts, made = random.Random(9), [f"hot{k}" for k in range(150)], [], []
+    for _ in range(300):
+        w = list(base)
+        for p in rng.sample(range(150), 5):
+            w[p] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts[7] = texts[200] + " end"
+    items, was = list(enumerate(texts)), module.written
+
+    def seen(df, what):
+        out = was(df, what)
+        made.append((what, out.count()))
+        return out
+
+    monkeypatch.setattr(module, "written", seen)
+    got = {r.id: r.component_id for r in near_texts(spark.createDataFrame(items, "id long, text string"), "id").collect()}
+    assert got == components_of(range(len(items)), linked(items)) and got[200] == 7
+    assert "crowd-pairs" in dict(made) and max(n for what, n in made if what in ("pairs", "crowd-pairs")) < 25 * len(items)
+
+
 def test_given_documents(spark):
     items = [(r.doc_id, r.text) for r in spark.read.parquet(f"{D}/documents.parquet").collect()]
     got = near_texts(spark.createDataFrame(items, "id long, text string"), "id").collect()
