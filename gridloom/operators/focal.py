@@ -140,13 +140,28 @@ def _moments(a: np.ndarray, r: int, orders: tuple[int, ...]) -> tuple[np.ndarray
         return base + mean, [o / n for o in out]
 
 
+def _mean_and_variance(a: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum by count, and the running variance column by column: the sums of SQL's ``avg`` and ``var_pop`` over such windows, so that a threshold met exactly falls on the same side; equal values vary by exactly 0."""
+    n, s, mean, m2 = (np.zeros((a.shape[0] - 2 * r, a.shape[1] - 2 * r)) for _ in range(4))
+    for dx in range(-r, r + 1):
+        for dy in range(-r, r + 1):
+            w = shifted(a, r, dy, dx)
+            there = ~np.isnan(w)
+            n += there
+            off = np.where(there, w - mean, 0.0)
+            mean = mean + off / np.maximum(n, 1)
+            m2 += np.where(there, w - mean, 0.0) * off
+            s += np.where(there, w, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return s / n, m2 / n
+
+
 def speckle(df: DataFrame, kind: str, k: int = 3, looks: float = 1.0, damping: float = 1.0) -> DataFrame:
     """lee, enhanced_lee, kuan, gamma_map (local mean and variance weights) or frost (distance and variation weights)."""
 
     def local_values(arrays, r):
         a = arrays["value"]
-        mean, (var,) = _moments(a, r, (2,))
-        return [shifted(a, r, 0, 0), mean, var]
+        return [shifted(a, r, 0, 0), *_mean_and_variance(a, r)]
 
     def frost(arrays, r):
         _, mean, var = local_values(arrays, r)

@@ -85,3 +85,18 @@ def test_equal_values_do_not_vary(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "y bigint, x bigint, value double")
     assert O.local_statistics(df).count() + O.majority_filter(df, "value").count() + O.glcm(df, 1, 4, 0.0, 1.0).count() + O.morphology(df, "open").count() + O.terrain(df).count() == 0
+
+
+def test_threshold_met_exactly(spark, tmp_path):
+    """Windows whose variance is half their squared mean: the gamma map takes the side that its SQL takes."""
+    import duckdb
+
+    from gridloom.plans.all import ORACLES, QUERIES
+
+    v = np.random.default_rng(151).integers(1, 13, 400)
+    spark.createDataFrame([(k, int(p)) for k, p in enumerate(v)], "p_partkey bigint, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = {(y, x): v for y, x, v in con.execute(ORACLES["e05_gamma_map"]).fetchall()}
+    got = {(r.y, r.x): r.value for r in QUERIES["e05_gamma_map"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 2e-6
