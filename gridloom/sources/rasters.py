@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -46,13 +47,20 @@ def convert_features(df: DataFrame, path: str, fmt: str) -> None:
 
 
 def key_values(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """``(file, keys..)`` of KEY = VALUE text files: one row a file."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.regexp_extract("value", r"^\s*(\w+)\s*=", 1).alias("k"), F.regexp_extract("value", r'=\s*"?([^"]*?)"?\s*$', 1).alias("v"))
-    return lines.filter(F.col("k").isin(keys)).groupBy("file").pivot("k", keys).agg(F.first("v"))
+    """``(file, keys..)`` of KEY = VALUE text: one row a document, each ended by a line END or by its file, if it has any of the keys.
+
+    A file may hold many documents; large files are split between documents.
+    """
+    text = spark.read.option("lineSep", "\nEND\n").text(path)
+    line = {k: rf'(?m)^[ \t]*{re.escape(k)}[ \t]*=[ \t]*"?([^"\r\n]*?)"?[ \t\r]*$' for k in keys}
+    rows = text.select(F.input_file_name().alias("file"), *[F.when(F.col("value").rlike(e), F.regexp_extract("value", e, 1)).alias(k) for k, e in line.items()])
+    return rows.dropna(how="all", subset=keys)
 
 
-def xml_rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).load(path)
+def xml_rows(spark: SparkSession, path: str, tag: str, schema: str | None = None) -> DataFrame:
+    """Elements ``tag`` as rows; without a ``schema`` all files are read once more to infer it."""
+    reader = spark.read.format("xml").option("rowTag", tag)
+    return (reader.schema(schema) if schema else reader).load(path)
 
 
 #: Band name, role, wavelength and width (nm) of three sensors.
