@@ -63,11 +63,13 @@ def a03(spark, d):
 
 @query("a04_xml", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
 def a04(spark, d):
+    """XML product files of up to 1,000 scenes, parsed into one row a scene."""
     path = shared_path(spark, "xml")
     s = spark.read.parquet(f"{d}/supplier.parquet")
-    row = F.concat(F.lit("<product><scene><id>"), F.col("s_suppkey").cast("string"), F.lit("</id><name>"), F.col("s_name"), F.lit("</name></scene></product>"))
-    s.select(row.alias("value"), F.col("s_suppkey").alias("k")).write.partitionBy("k").text(path)
-    return R.xml_rows(spark, path + "/*", "scene").select(F.col("id").cast("bigint").alias("id"), "name")
+    scene = F.concat(F.lit("<scene><id>"), F.col("s_suppkey").cast("string"), F.lit("</id><name>"), F.col("s_name"), F.lit("</name></scene>"))
+    products = s.groupBy(F.floor(F.col("s_suppkey") / 1000).alias("k")).agg(F.concat(F.lit("<product>"), F.concat_ws("", F.collect_list(scene)), F.lit("</product>")).alias("value"))
+    products.write.partitionBy("k").text(path)
+    return R.xml_rows(spark, path + "/*", "scene", "id bigint, name string")
 
 
 @query("a14_convert", "SELECT p_partkey AS id, p_brand AS brand FROM part")
